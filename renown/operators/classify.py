@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from renown.functions import lexicons as lx
 from renown.functions.text import col_, py_strip
 from renown.operators.relevance import is_analyzable
-from renown.operators.tagging import bump_severity, crisis_tags
+from renown.operators.tagging import bump_severity, with_crisis_flags
 
 
 def classify_prompt(text) -> Column:
@@ -77,8 +77,8 @@ def classified_mentions(mentions: DataFrame, responses: DataFrame) -> DataFrame:
     st = F.coalesce(F.col("parse_status"), F.lit("missing"))
     ok = st == "ok"
     nonobj = st == "non_object"
-    rules = crisis_tags("raw_text")
-    flags = F.when(nonobj, F.array().cast("array<string>")).otherwise(rules)
+    j = with_crisis_flags(j.withColumn("_st", st), "raw_text", "_rules", only=F.col("_st") != "non_object")
+    flags = F.col("_rules")
     severity = F.when(ok, F.col("p_severity")).otherwise(F.lit(d["severity"]))
     out = j.select(
         *[F.col(c) for c in keep if c != "reviewer_type"],
@@ -94,4 +94,4 @@ def classified_mentions(mentions: DataFrame, responses: DataFrame) -> DataFrame:
         F.when(st == "malformed", F.lit("parse_error")).when(st == "missing", F.lit("missing_response"))
         .when(nonobj, F.lit("non_object")).alias("analysis_error"),
     )
-    return out.withColumn("severity", bump_severity("_sev", "crisis_flags")).drop("_sev")
+    return out.withColumn("severity", bump_severity("_sev", "crisis_flags")).drop("_sev", "_rules", "_st")

@@ -46,14 +46,8 @@ def company_report(classified: DataFrame, summaries: DataFrame | None, flags: Da
     per-platform sections, aggregated summary.  Sections are left-joined on
     company (each is already one row per company)."""
     card = company_scorecard(classified, summaries)
-    out = card
-    fields = []
-    for plat in lx.PLATFORMS:
-        sec = S.section(classified, plat)
-        key = lx.SECTION_KEYS[plat]
-        cols = [c for c in sec.columns if c != "company"]
-        out = out.join(sec.select("company", F.struct(*cols).alias(key)), "company", "left")
-        fields.append(key)
+    out = card.join(S.sections_by_company(classified), "company", "left")
+    fields = [lx.SECTION_KEYS[p] for p in lx.PLATFORMS]
     if summaries is not None:
         out = out.join(summaries.drop("crisis_flags", "overall_score", "summary_status"), "company", "left")
     else:

@@ -130,59 +130,85 @@ def _quote_lists(df: DataFrame, keys) -> DataFrame:
                                             lambda e: e["quote"]).alias("sample_quotes"))
 
 
-def section(df: DataFrame, platform: str) -> DataFrame:
-    """The report section of one platform, one row per company."""
-    keys = ["company"]
-    d = with_defaults(df).where(F.col("source_platform") == platform)
+# columns of each platform's section, in report order
+SECTION_COLUMNS = {
+    "reddit": ["subreddits_searched", "result_count", "positive", "negative", "neutral", "top_themes", "sample_quotes", "urls"],
+    "google_maps": ["result_count", "avg_rating", "review_count", "positive", "negative", "neutral", "top_themes",
+                    "sample_quotes", "urls"],
+    "glassdoor": ["result_count", "employee_count", "avg_rating", "top_pros", "top_cons", "roles_represented",
+                  "positive", "negative", "neutral", "top_themes", "urls"],
+    "topjobs": ["active_job_count", "salary_range_lkr", "all_salary_info", "hiring_trend", "result_count",
+                "sample_quotes", "urls"],
+    "linkedin": ["result_count", "followers", "employees", "positive", "negative", "neutral", "sample_quotes", "urls"],
+    "facebook": ["result_count", "avg_rating", "page_likes", "positive", "negative", "neutral", "top_themes",
+                 "sample_quotes", "urls"],
+    "news": ["result_count", "articles", "positive", "negative", "neutral", "top_themes", "urls"],
+    "web": ["result_count", "positive", "negative", "neutral", "top_themes", "sample_quotes", "urls"],
+}
+
+
+def section_rows(df: DataFrame) -> DataFrame:
+    """Every platform's section fields for every (company, platform) in one
+    pass: one partial aggregate for the scalar fields plus one bounded
+    top-k each for themes and quotes, and the distinct-url aggregate.
+    Rows of platforms without a section keep only the common fields."""
+    keys = KEYS
+    d = with_defaults(df)
     meta = lambda f: F.col(f"metadata.{f}")
-    aggs = [F.count(F.lit(1)).alias("result_count")]
-    parts = []
-    if platform != "topjobs":
-        aggs += sentiment_counts()
-    if platform == "reddit":
-        sub = meta("subreddit")
-        aggs.append(F.array_sort(F.collect_set(F.when(F.coalesce(sub, F.lit("")) != "", F.concat(F.lit("r/"), sub)))).alias("subreddits_searched"))
-    if platform in ("google_maps", "glassdoor", "facebook"):
-        aggs.append(avg_rating_expr().alias("avg_rating"))
-    if platform == "google_maps":
-        aggs.append(F.coalesce(F.max(F.when(meta("review_count") != 0, meta("review_count"))), F.lit(0)).alias("review_count"))
-    if platform == "glassdoor":
-        aggs.append(F.count(F.lit(1)).alias("employee_count"))
-        aggs.append(F.slice(collect_ordered(meta("pros")), 1, 5).alias("top_pros"))
-        aggs.append(F.slice(collect_ordered(meta("cons")), 1, 5).alias("top_cons"))
-        role = meta("reviewer_role")
-        aggs.append(F.array_sort(F.collect_set(F.when(F.coalesce(role, F.lit("")) != "", role))).alias("roles_represented"))
-    if platform == "topjobs":
-        aggs.append(F.count(F.lit(1)).alias("active_job_count"))
-        aggs.append(first_value(meta("salary_info")).alias("salary_range_lkr"))
-        aggs.append(collect_ordered(meta("salary_info")).alias("all_salary_info"))
-    if platform == "linkedin":
-        aggs.append(last_value(meta("followers")).alias("followers"))
-        aggs.append(last_value(meta("employees")).alias("employees"))
-    if platform == "facebook":
-        aggs.append(last_value(meta("likes")).alias("page_likes"))
-    if platform == "news":
-        art = F.struct(
-            F.coalesce(meta("headline"), F.substring(F.coalesce("raw_text", F.lit("")), 1, 100)).alias("headline"),
-            F.coalesce(meta("source_site"), F.lit("unknown")).alias("source"),
-            F.col("date_raw").alias("date"),
-            F.col("sentiment").alias("sentiment"),
-            F.coalesce("source_url", F.lit("")).alias("url"),
-        )
-        aggs.append(F.transform(F.array_sort(F.collect_list(F.struct(F.col("seq").alias("o"), art.alias("v")))),
-                                lambda e: e["v"]).alias("articles"))
-    base = d.groupBy(*keys).agg(*aggs)
-    if platform == "topjobs":
-        base = base.withColumn("hiring_trend", hiring_trend("active_job_count"))
-    if platform not in ("topjobs", "linkedin"):
-        parts.append(_theme_lists(d, keys))
-    if platform not in ("glassdoor", "news"):
-        parts.append(_quote_lists(d, keys))
-    parts.append(_url_lists(d, keys))
+    sub = meta("subreddit")
+    role = meta("reviewer_role")
+    art = F.struct(
+        F.coalesce(meta("headline"), F.substring(F.coalesce("raw_text", F.lit("")), 1, 100)).alias("headline"),
+        F.coalesce(meta("source_site"), F.lit("unknown")).alias("source"),
+        F.col("date_raw").alias("date"),
+        F.col("sentiment").alias("sentiment"),
+        F.coalesce("source_url", F.lit("")).alias("url"),
+    )
+    plat = F.col("source_platform")
+    base = d.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("result_count"),
+        *sentiment_counts(),
+        F.array_sort(F.collect_set(F.when((plat == "reddit") & (F.coalesce(sub, F.lit("")) != ""),
+                                          F.concat(F.lit("r/"), sub)))).alias("subreddits_searched"),
+        avg_rating_expr().alias("avg_rating"),
+        F.coalesce(F.max(F.when(meta("review_count") != 0, meta("review_count"))), F.lit(0)).alias("review_count"),
+        F.slice(collect_ordered(meta("pros"), where=plat == "glassdoor"), 1, 5).alias("top_pros"),
+        F.slice(collect_ordered(meta("cons"), where=plat == "glassdoor"), 1, 5).alias("top_cons"),
+        F.array_sort(F.collect_set(F.when((plat == "glassdoor") & (F.coalesce(role, F.lit("")) != ""), role))).alias("roles_represented"),
+        first_value(F.when(plat == "topjobs", meta("salary_info"))).alias("salary_range_lkr"),
+        collect_ordered(meta("salary_info"), where=plat == "topjobs").alias("all_salary_info"),
+        last_value(F.when(plat == "linkedin", meta("followers"))).alias("followers"),
+        last_value(F.when(plat == "linkedin", meta("employees"))).alias("employees"),
+        last_value(F.when(plat == "facebook", meta("likes"))).alias("page_likes"),
+        F.transform(F.array_sort(F.collect_list(F.when(plat == "news", F.struct(F.col("seq").alias("o"), art.alias("v"))))),
+                    lambda e: e["v"]).alias("articles"),
+    )
+    base = (base.withColumn("employee_count", F.col("result_count"))
+            .withColumn("active_job_count", F.col("result_count"))
+            .withColumn("hiring_trend", hiring_trend("result_count")))
     out = base
-    for p in parts:
+    for p in (_theme_lists(d, keys), _quote_lists(d, keys), _url_lists(d, keys)):
         out = out.join(p, keys, "left")
     for c in ("top_themes", "sample_quotes", "urls"):
-        if c in out.columns:
-            out = out.withColumn(c, F.coalesce(c, EMPTY))
-    return out.withColumn("platform", F.lit(lx.SECTION_NAMES[platform]))
+        out = out.withColumn(c, F.coalesce(c, EMPTY))
+    return out
+
+
+def section_struct(rows: DataFrame, platform: str) -> F.Column:
+    cols = SECTION_COLUMNS[platform]
+    return F.struct(F.lit(lx.SECTION_NAMES[platform]).alias("platform"), *[F.col(c) for c in cols])
+
+
+def section(df: DataFrame, platform: str) -> DataFrame:
+    """The report section of one platform, one row per company."""
+    rows = section_rows(df.where(F.col("source_platform") == platform))
+    return rows.select("company", *SECTION_COLUMNS[platform], F.lit(lx.SECTION_NAMES[platform]).alias("platform"))
+
+
+def sections_by_company(df: DataFrame) -> DataFrame:
+    """One row per company with a nullable struct per section key (at most
+    eight rows per company are folded, one per platform)."""
+    rows = section_rows(df)
+    aggs = [F.first(F.when(F.col("source_platform") == p, section_struct(rows, p)), ignorenulls=True).alias(lx.SECTION_KEYS[p])
+            for p in lx.PLATFORMS]
+    return rows.groupBy("company").agg(*aggs)

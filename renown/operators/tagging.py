@@ -25,16 +25,29 @@ def regulatory_tags(text, bodies=None) -> Column:
 def crisis_tags(text, patterns=None, bodies=None) -> Column:
     """One tag per crisis category with any pattern hit, plus one
     'Regulatory body mentioned: …' tag; set semantics, sorted."""
+    return _crisis_from(F.lower(F.coalesce(col_(text), F.lit(""))), regulatory_tags(text, bodies), patterns)
+
+
+def _crisis_from(lt: Column, reg: Column, patterns=None) -> Column:
     patterns = patterns or lx.CRISIS_PATTERNS
-    lt = F.lower(F.coalesce(col_(text), F.lit("")))
     cats = [F.when(any_of(lt.contains(p) for p in pats), F.lit(cat)) for cat, pats in patterns]
-    reg = regulatory_tags(text, bodies)
     reg_tag = F.when(F.size(reg) > 0, F.concat(F.lit(lx.REGULATORY_FLAG_PREFIX), F.array_join(reg, ", ")))
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*cats, reg_tag))))
 
 
-def with_crisis_flags(df: DataFrame, text_col: str = "raw_text", out: str = "crisis_flags") -> DataFrame:
-    return df.withColumn(out, crisis_tags(text_col))
+def with_crisis_flags(df: DataFrame, text_col: str = "raw_text", out: str = "crisis_flags",
+                      only: Column | None = None) -> DataFrame:
+    """Add crisis flags.  The lower-cased text and the regulatory list are
+    projected once and referenced many times, so Catalyst keeps them as
+    separate projections (one lowercase pass per row) and the generated
+    code stays small.  ``only``: rows where it is false get no flags."""
+    d = df.withColumn("_lt", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    bodies = lx.REGULATORY_BODIES
+    d = d.withColumn("_reg", F.array_compact(F.array(*[F.when(F.col("_lt").contains(b), F.lit(regulatory_label(b))) for b in bodies])))
+    flags = _crisis_from(F.col("_lt"), F.col("_reg"))
+    if only is not None:
+        flags = F.when(only, flags).otherwise(F.array().cast("array<string>"))
+    return d.withColumn(out, flags).drop("_lt", "_reg")
 
 
 def bump_severity(severity, flags) -> Column:

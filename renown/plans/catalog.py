@@ -345,3 +345,227 @@ def source_urls(spark, sf):
 @query
 def company_scorecard(spark, sf):
     return RP.company_scorecard(scored_mentions(spark, sf))
+
+
+# ------------------------------------------------------------------ sections
+
+def flat_section(df: DataFrame) -> DataFrame:
+    """Arrays -> joined strings (articles as '~'-joined fields)."""
+    cols = []
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        if f.name == "articles":
+            cols.append(F.array_join(F.transform("articles", lambda a: F.concat_ws(
+                "~", a["headline"], a["source"], F.coalesce(a["date"], F.lit("")), a["sentiment"], a["url"])), "|").alias("articles"))
+        elif t.startswith("array"):
+            cols.append(jn(f.name).alias(f.name))
+        else:
+            cols.append(F.col(f.name))
+    return df.select(*cols)
+
+
+def _section_query(platform):
+    def fn(spark, sf):
+        return flat_section(S.section(scored_mentions(spark, sf), platform))
+    return fn
+
+
+for _name, _plat in [("section_forum", "reddit"), ("section_maps", "google_maps"), ("section_employee", "glassdoor"),
+                     ("section_jobs", "topjobs"), ("section_profile", "linkedin"), ("section_social", "facebook"),
+                     ("section_news", "news"), ("section_web", "web")]:
+    _f = _section_query(_plat)
+    _f.__name__ = _name
+    QUERIES[_name] = _f
+
+
+def fx_report(spark, sf):
+    c = scored_mentions(spark, sf)
+    summ = SM.parse_summaries(summary_responses_fx(spark, sf))
+    flags = SM.company_crisis_flags(c, summ)
+    return RP.company_report(c, summ, flags, model_used="external", generated_at=fx.AS_OF.replace(" ", "T"))
+
+
+@query
+def company_report(spark, sf):
+    r = fx_report(spark, sf)
+    n_sections = sum(F.when(F.col(f"by_source.{k}").isNotNull(), 1).otherwise(0) for k in lx.SECTION_KEYS.values())
+    a = "aggregated_summary"
+    return r.select("company", "overall_score", "score_band", "total_results", n_sections.alias("n_sections"),
+                    F.col(f"{a}.what_employees_say").alias("what_employees_say"),
+                    F.col(f"{a}.what_press_says").alias("what_press_says"),
+                    F.col(f"{a}.recommendation").alias("recommendation"),
+                    jn(f"{a}.top_5_pros").alias("top_5_pros"), jn(f"{a}.crisis_flags").alias("crisis_flags"),
+                    F.col("by_source.reddit.result_count").alias("reddit_count"),
+                    F.col("by_source.sl_news.result_count").alias("news_count"))
+
+
+@query
+def export_report_json(spark, sf):
+    r = fx_report(spark, sf)
+    return r.select("company", F.to_json(F.struct(*[F.col(c) for c in r.columns])).alias("report_json"))
+
+
+# --------------------------------------------------------------------- views
+
+from renown.operators import views as V  # noqa: E402
+
+
+@query
+def labelled_mentions(spark, sf):
+    v = V.labelled_mentions(scored_mentions(spark, sf))
+    return v.select("seq", "company", "source_url", "sentiment", "badge", "date_short",
+                    jn("theme_labels", ", ").alias("theme_labels"), "severity_label")
+
+
+@query
+def source_tab_rows(spark, sf):
+    return V.source_tab_rows(scored_mentions(spark, sf)).select("seq", "company", "source_platform", "section_key")
+
+
+def _view(name, fn):
+    def q_(spark, sf):
+        return fn(scored_mentions(spark, sf)).select("company", "source_platform", "view_rank", "seq")
+    q_.__name__ = name
+    QUERIES[name] = q_
+
+
+_view("view_recent", V.view_recent)
+_view("view_negative", V.view_negative)
+_view("view_positive", V.view_positive)
+_view("view_severity", V.view_severity)
+
+
+@query
+def export_csv_rows(spark, sf):
+    c = scored_mentions(spark, sf)
+    e = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
+    return c.select("seq", e("source_platform").alias("source_platform"), e("source_url").alias("source_url"),
+                    e("sentiment").alias("sentiment"), e("confidence").alias("confidence"),
+                    e("reviewer_type").alias("reviewer_type"), jn("themes", "; ").alias("themes"),
+                    e("severity").alias("severity"), e("language_detected").alias("language"),
+                    e("date_raw").alias("date"), F.md5(e("raw_text")).alias("raw_text_md5"))
+
+
+# --------------------------------------------------------------------- dedup
+
+from renown.operators import dedup as D  # noqa: E402
+
+SEMANTIC_T = 0.35
+
+
+@query
+def dedup_fingerprint(spark, sf):
+    return D.dedup_fingerprint(fx.documents_one_company(spark, sf)).select("company", "seq")
+
+
+@query
+def near_dup_pairs(spark, sf):
+    p = D.near_dup_pairs(fx.vectors_fx(spark, sf), SEMANTIC_T)
+    return p.select("company", "a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query
+def dedup_semantic(spark, sf):
+    return D.dedup_semantic(fx.vectors_fx(spark, sf), SEMANTIC_T).select("company", "seq")
+
+
+# ---------------------------------------------------------------------- caps
+
+from renown.operators import caps as CP  # noqa: E402
+
+
+@query
+def capped_mentions(spark, sf):
+    return CP.capped_mentions(_m(spark, sf)).select("company", "source_platform", "seq", "cap_rank")
+
+
+def forum_post_rows(spark, sf):
+    """Posts from the landed forum payloads with their kept-comment counts."""
+    from renown.sources import forum as FO
+    land = fx.landing_forum_fx(spark, sf)
+    posts = FO.extract_posts(land.where(F.col("endpoint") == "search"))
+    comments = FO.extract_comments(land.where(F.col("endpoint") == "comments"))
+    n = comments.groupBy("company", "conv_id").agg(F.count(F.lit(1)).alias("n_comments"))
+    return posts.join(n, ["company", "conv_id"], "left").withColumn("n_comments", F.coalesce("n_comments", F.lit(0)))
+
+
+@query
+def capped_threads(spark, sf):
+    p = forum_post_rows(spark, sf).select("company", F.col("conv_id").alias("seq"), "n_comments")
+    return CP.capped_threads(p, lx.FORUM_SOFT_CAP).select("company", "seq", "n_comments", "rows_before")
+
+
+@query
+def capped_threads_10(spark, sf):
+    p = forum_post_rows(spark, sf).select("company", F.col("conv_id").alias("seq"), "n_comments")
+    return CP.capped_threads(p, 10).select("company", "seq", "n_comments", "rows_before")
+
+
+def _tiered(spark, sf):
+    m = _m(spark, sf)
+    return m.withColumn("tier", (F.col("seq") * 7 % 3).cast("int"))
+
+
+@query
+def source_cascade(spark, sf):
+    m = _tiered(spark, sf)
+    web = CP.cascade_first_nonempty(m.where(F.col("source_platform") == "web"), keys=("company",))
+    news = CP.cascade_fill(m.where(F.col("source_platform") == "news"), lx.PLATFORM_CAPS["news"] // 4)
+    emp = CP.cascade_fill(m.where(F.col("source_platform") == "glassdoor"), lx.PLATFORM_CAPS["glassdoor"] // 8)
+    cols = ["company", "source_platform", "seq", "tier"]
+    return web.select(*cols).unionByName(news.select(*cols)).unionByName(emp.select(*cols))
+
+
+@query
+def fetch_plan(spark, sf):
+    from renown.operators import snapshots as SN
+    snaps = fx.snapshots_fx(spark, sf)
+    fresh = SN.snapshot_fresh(SN.snapshot_latest(snaps), fx.AS_OF)
+    comps = snaps.select("company").distinct()
+    # the source list is a fixed literal, so the grid is a per-row inline, not a join
+    grid = comps.select("company", F.inline(F.array(*[F.struct(F.lit(x).alias("source")) for x in fx.SNAPSHOT_SOURCES])))
+    return SN.fetch_plan(grid, fresh)
+
+
+# ----------------------------------------------------------------- snapshots
+
+from renown.operators import snapshots as SN  # noqa: E402
+
+SPLIT_TS = "2024-01-15 00:00:00"
+
+
+@query
+def snapshot_latest(spark, sf):
+    return SN.snapshot_latest(fx.snapshots_fx(spark, sf))
+
+
+@query
+def snapshot_upsert(spark, sf):
+    s = fx.snapshots_fx(spark, sf)
+    old = s.where(F.col("cached_at") < F.to_timestamp(F.lit(SPLIT_TS)))
+    new = s.where(F.col("cached_at") >= F.to_timestamp(F.lit(SPLIT_TS)))
+    return SN.snapshot_upsert(old, new)
+
+
+@query
+def snapshot_fresh(spark, sf):
+    return SN.snapshot_fresh(SN.snapshot_latest(fx.snapshots_fx(spark, sf)), fx.AS_OF)
+
+
+@query
+def snapshot_age(spark, sf):
+    return SN.snapshot_age(SN.snapshot_latest(fx.snapshots_fx(spark, sf)), fx.AS_OF).select("company", "source", "age_text")
+
+
+@query
+def snapshot_clear(spark, sf):
+    s = fx.snapshots_fx(spark, sf)
+    # clear requests: every company that logged an 'error' event worth more than 400
+    req = s.join(fx.table(spark, sf, "events").where((F.col("event_type") == "error") & (F.col("value") > 400))
+                 .select(F.col("event_id").alias("seq")), "seq", "left_semi").select(F.upper("company").alias("company"))
+    return SN.snapshot_clear(s, req).select("company", "source", "seq")
+
+
+@query
+def usage_totals(spark, sf):
+    return SN.usage_totals(fx.usage_fx(spark, sf))

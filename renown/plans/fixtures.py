@@ -20,6 +20,7 @@ ALIAS_TOKENS = ["erthat", "enbl", "theou", "onerth", "éle", "ung", "ción", "is
 EXTRA_ALIASES = [("99x", "99x Technology"), ("MIT", "Millennium IT"), ("SLT", "Sri Lanka Telecom")]
 AS_OF = "2024-01-31 00:00:00"
 FORUM_EPOCH0 = 1704067200
+SNAPSHOT_SOURCES = ["view", "click", "error", "purchase", "signup"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -171,10 +172,10 @@ def landing_forum_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         ))).alias("cs"))
         .select(
             "conv_id",
-            F.to_json(F.array(
-                F.struct(F.struct(F.array().cast("array<struct<data:struct<body:string>>>").alias("children")).alias("data")),
-                F.struct(F.struct(F.transform("cs", lambda e: F.struct(e["data"].alias("data"))).alias("children")).alias("data")),
-            )).alias("payload"),
+            # [post listing, comment listing]; the first listing is not read
+            F.concat(F.lit('[{"data": {"children": []}}, '),
+                     F.to_json(F.struct(F.struct(F.transform("cs", lambda e: F.struct(e["data"].alias("data"))).alias("children")).alias("data"))),
+                     F.lit("]")).alias("payload"),
         )
     )
     search = posts.select(

@@ -458,7 +458,7 @@ def _():
 def score_sql(total: str, pos: str, neg: str, crisis: str) -> str:
     base = f"CAST(trunc(({pos} / {total}) * 100.0) AS INTEGER)"
     s = f"{base} - {crisis} * 5 - CASE WHEN ({neg} / {total}) > 0.5 THEN 10 ELSE 0 END"
-    return f"CASE WHEN {total} = 0 THEN 50 ELSE greatest(0, least(100, {s})) END"
+    return f"CAST(CASE WHEN {total} = 0 THEN 50 ELSE greatest(0, least(100, {s})) END AS INTEGER)"
 
 
 def band_sql(s: str) -> str:
@@ -472,3 +472,295 @@ def _():
       SELECT *, {score_sql('total_results', 'positive', 'negative', 'crisis_rows')} AS rule_score FROM (
         SELECT company, count(*) AS total_results, {SENT}, CAST(count_if(len(crisis_flags) > 0) AS BIGINT) AS crisis_rows
         FROM scored_fx GROUP BY company))"""
+
+
+# ------------------------------------------------------------------ sections
+
+def _ja(expr: str) -> str:
+    return f"coalesce(array_to_string({expr}, '|'), '')"
+
+
+def _nonempty(x: str) -> str:
+    return f"coalesce({x}, '') <> ''"
+
+
+def section_sql(plat: str) -> str:
+    cols = ["company", "count(*) AS result_count"]
+    if plat != "topjobs":
+        cols.append(SENT)
+    m = lambda f: f"metadata.{f}"
+    if plat == "reddit":
+        sub, prefix = m("subreddit"), q("r/")
+        cols.append(f"{_ja(f'list_sort(list(DISTINCT {prefix} || {sub}) FILTER (WHERE {_nonempty(sub)}))')} AS subreddits_searched")
+    if plat in ("google_maps", "glassdoor", "facebook"):
+        cols.append(f"{avg_rating_sql('rating')} AS avg_rating")
+    if plat == "google_maps":
+        cols.append("coalesce(max(metadata.review_count) FILTER (WHERE metadata.review_count <> 0), 0) AS review_count")
+    if plat == "glassdoor":
+        cols.append("count(*) AS employee_count")
+        for f, o in (("pros", "top_pros"), ("cons", "top_cons")):
+            cols.append(f"{_ja(f'(list({m(f)} ORDER BY seq) FILTER (WHERE {_nonempty(m(f))}))[1:5]')} AS {o}")
+        role = m("reviewer_role")
+        cols.append(f"{_ja(f'list_sort(list(DISTINCT {role}) FILTER (WHERE {_nonempty(role)}))')} AS roles_represented")
+    if plat == "topjobs":
+        sal = m("salary_info")
+        cols.append("count(*) AS active_job_count")
+        cols.append(f"arg_min({sal}, seq) FILTER (WHERE {_nonempty(sal)}) AS salary_range_lkr")
+        cols.append(f"{_ja(f'list({sal} ORDER BY seq) FILTER (WHERE {_nonempty(sal)})')} AS all_salary_info")
+        cols.append("CASE WHEN count(*) >= 10 THEN 'growing' WHEN count(*) >= 3 THEN 'stable' WHEN count(*) >= 1 THEN 'shrinking' ELSE 'none' END AS hiring_trend")
+    if plat == "linkedin":
+        for f in ("followers", "employees"):
+            cols.append(f"arg_max({m(f)}, seq) FILTER (WHERE {_nonempty(m(f))}) AS {f}")
+    if plat == "facebook":
+        cols.append(f"arg_max({m('likes')}, seq) FILTER (WHERE {_nonempty(m('likes'))}) AS page_likes")
+    if plat == "news":
+        art = ("concat_ws('~', coalesce(metadata.headline, substring(coalesce(raw_text, ''), 1, 100)), "
+               "coalesce(metadata.source_site, 'unknown'), coalesce(date_raw, ''), sentiment, coalesce(source_url, ''))")
+        cols.append(f"coalesce(string_agg({art}, '|' ORDER BY seq), '') AS articles")
+    sql = f"WITH base AS (SELECT * FROM scored_fx WHERE source_platform = {q(plat)}),\n"
+    sql += f"agg AS (SELECT {', '.join(cols)} FROM base GROUP BY company)"
+    sel = ["agg.*"]
+    joins = []
+    if plat not in ("topjobs", "linkedin"):
+        sql += (",\nth AS (SELECT company, array_to_string(list(theme ORDER BY theme_rank), '|') AS top_themes FROM ("
+                + THEMES_SQL.format(src="base") + ") GROUP BY company)")
+        sel.append("coalesce(th.top_themes, '') AS top_themes")
+        joins.append("LEFT JOIN th USING (company)")
+    if plat not in ("glassdoor", "news"):
+        qs = (f"SELECT company, quote_rank, {quote_sql('raw_text')} AS quote FROM (SELECT *, row_number() OVER (PARTITION BY company "
+              "ORDER BY coalesce(CAST(confidence AS DOUBLE), 0.0) DESC, seq) AS quote_rank FROM base WHERE length(coalesce(raw_text, '')) > 20) "
+              "WHERE quote_rank <= 3")
+        sql += f",\nqu AS (SELECT company, array_to_string(list(quote ORDER BY quote_rank), '|') AS sample_quotes FROM ({qs}) GROUP BY company)"
+        sel.append("coalesce(qu.sample_quotes, '') AS sample_quotes")
+        joins.append("LEFT JOIN qu USING (company)")
+    sql += (",\nur AS (SELECT company, array_to_string(list(source_url ORDER BY first_seq), '|') AS urls FROM ("
+            "SELECT company, source_url, min(seq) AS first_seq FROM base WHERE coalesce(source_url, '') <> '' GROUP BY ALL) GROUP BY company)")
+    sel.append("coalesce(ur.urls, '') AS urls")
+    joins.append("LEFT JOIN ur USING (company)")
+    sel.append(f"{q(lx.SECTION_NAMES[plat])} AS platform")
+    return sql + f"\nSELECT {', '.join(sel)} FROM agg {' '.join(joins)}"
+
+
+for _name, _plat in [("section_forum", "reddit"), ("section_maps", "google_maps"), ("section_employee", "glassdoor"),
+                     ("section_jobs", "topjobs"), ("section_profile", "linkedin"), ("section_social", "facebook"),
+                     ("section_news", "news"), ("section_web", "web")]:
+    _sql = section_sql(_plat)
+    # the section SQL starts with its own WITH; splice it after the fixture CTEs
+    ORACLE[_name] = with_views("SELECT * FROM sec", "mentions_fx", extra=[SCORED, ("sec", _sql.replace("WITH base AS", "SELECT * FROM (WITH base AS", 1) + ")")])
+
+
+FLAGS = ("flags_fx", f"""
+SELECT c.company, CASE WHEN len(coalesce(mf.f, [])) > 0 THEN list_sort(list_distinct(list_concat(coalesce(s.crisis_flags, []), mf.f)))
+                       ELSE coalesce(s.crisis_flags, []) END AS crisis_flags
+FROM (SELECT DISTINCT company FROM scored_fx) c
+LEFT JOIN (SELECT company, list(DISTINCT flag) AS f FROM (SELECT company, unnest(crisis_flags) AS flag FROM scored_fx) GROUP BY company) mf USING (company)
+LEFT JOIN summary_parsed_fx s USING (company)
+""")
+
+
+@oracle("company_report", "mentions_fx", extra=[SCORED, SUMMARY_RESP, SUMMARY_PARSED, FLAGS])
+def _():
+    d = lx.REPORT_SUMMARY_DEFAULTS
+    return f"""
+    SELECT c.company, coalesce(s.overall_score, c.rule_score) AS overall_score, {band_sql('coalesce(s.overall_score, c.rule_score)')} AS score_band,
+      c.total_results, c.n_sections,
+      coalesce(s.what_employees_say, {q(d['what_employees_say'])}) AS what_employees_say,
+      coalesce(s.what_press_says, {q(d['what_press_says'])}) AS what_press_says,
+      coalesce(s.recommendation, {q(d['recommendation'])}) AS recommendation,
+      {join_arr('s.top_5_pros')} AS top_5_pros, {join_arr('f.crisis_flags')} AS crisis_flags,
+      c.reddit_count, c.news_count
+    FROM (SELECT company, count(*) AS total_results, count(DISTINCT source_platform) AS n_sections,
+            {score_sql('count(*)', "count_if(sentiment = 'positive')", "count_if(sentiment = 'negative')", 'count_if(len(crisis_flags) > 0)')} AS rule_score,
+            CASE WHEN count_if(source_platform = 'reddit') > 0 THEN CAST(count_if(source_platform = 'reddit') AS BIGINT) END AS reddit_count,
+            CASE WHEN count_if(source_platform = 'news') > 0 THEN CAST(count_if(source_platform = 'news') AS BIGINT) END AS news_count
+          FROM scored_fx GROUP BY company) c
+    LEFT JOIN summary_parsed_fx s USING (company) LEFT JOIN flags_fx f USING (company)"""
+
+
+# --------------------------------------------------------------------- views
+
+def _case_map(col: str, mapping: dict, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = {q(k)} THEN {q(v) if isinstance(v, str) else v}" for k, v in mapping.items()) + f" ELSE {default} END"
+
+
+@oracle("labelled_mentions", "mentions_fx", extra=[SCORED])
+def _():
+    badge = _case_map("coalesce(reviewer_type, 'general')", lx.REVIEWER_BADGES, q(lx.REVIEWER_BADGES["general"]))
+    tl = "list_transform(coalesce(themes, []), lambda t: " + _case_map("t", lx.THEME_LABELS, "t") + ")"
+    return (f"SELECT seq, company, coalesce(source_url, '') AS source_url, coalesce(sentiment, 'neutral') AS sentiment, {badge} AS badge, "
+            f"substring(coalesce(date_raw, ''), 1, 10) AS date_short, array_to_string({tl}, ', ') AS theme_labels, "
+            "upper(coalesce(severity, 'low')) AS severity_label FROM scored_fx")
+
+
+@oracle("source_tab_rows", "mentions_fx", extra=[SCORED])
+def _():
+    return f"SELECT seq, company, source_platform, {_case_map('source_platform', lx.SECTION_KEYS, 'source_platform')} AS section_key FROM scored_fx"
+
+
+def _view_sql(order: str) -> str:
+    return f"SELECT company, source_platform, row_number() OVER (PARTITION BY company, source_platform ORDER BY {order}, seq) AS view_rank, seq FROM scored_fx"
+
+
+ORACLE["view_recent"] = with_views(_view_sql("coalesce(date_raw, '') DESC"), "mentions_fx", extra=[SCORED])
+for _k, (_r, _d), _c in [("view_negative", lx.RANK_MOST_NEGATIVE, "sentiment"), ("view_positive", lx.RANK_MOST_POSITIVE, "sentiment"),
+                         ("view_severity", lx.RANK_SEVERITY, "coalesce(severity, 'low')")]:
+    ORACLE[_k] = with_views(_view_sql(_case_map(_c, _r, str(_d))), "mentions_fx", extra=[SCORED])
+
+
+@oracle("export_csv_rows", "mentions_fx", extra=[SCORED])
+def _():
+    e = lambda x: f"coalesce(CAST({x} AS VARCHAR), '')"
+    return (f"SELECT seq, {e('source_platform')} AS source_platform, {e('source_url')} AS source_url, {e('sentiment')} AS sentiment, "
+            f"{e('confidence')} AS confidence, {e('reviewer_type')} AS reviewer_type, {join_arr('themes', '; ')} AS themes, "
+            f"{e('severity')} AS severity, {e('language_detected')} AS language, {e('date_raw')} AS date, md5({e('raw_text')}) AS raw_text_md5 "
+            "FROM scored_fx")
+
+
+# --------------------------------------------------------------------- dedup
+
+@oracle("dedup_fingerprint", "docs_one_fx")
+def _():
+    return f"SELECT company, min(seq) AS seq FROM docs_one_fx GROUP BY company, {fp_sql('raw_text')}"
+
+
+UNIT = ("unit_fx", """
+SELECT company, seq, list_transform(v, lambda x: x / nrm) AS u FROM (
+  SELECT company, seq, v, CASE WHEN sqrt(list_dot_product(v, v)) = 0 THEN 1.0 ELSE sqrt(list_dot_product(v, v)) END AS nrm
+  FROM (SELECT company, seq, CAST(embedding AS DOUBLE[]) AS v FROM vectors_fx))
+""")
+
+
+def _edges(t: float):
+    return ("edges_fx", f"SELECT a.company, a.seq AS a, b.seq AS b, list_dot_product(a.u, b.u) AS sim FROM unit_fx a JOIN unit_fx b "
+                        f"ON a.company = b.company AND a.seq < b.seq WHERE list_dot_product(a.u, b.u) > {t}")
+
+
+@oracle("near_dup_pairs", "vectors_fx", extra=[UNIT, _edges(0.35)])
+def _():
+    return "SELECT company, a, b, round(sim, 6) AS sim FROM edges_fx"
+
+
+GREEDY = """
+SELECT 'all' AS company, unnest(kept) AS seq FROM g WHERE rn = (SELECT max(rn) FROM nodes_fx)
+"""
+
+
+@oracle("dedup_semantic", "vectors_fx", extra=[UNIT, _edges(0.35)])
+def _():
+    return GREEDY
+
+
+# greedy survivors by a sequential recursive walk (the reference rule, row by row)
+ORACLE["dedup_semantic"] = with_views(GREEDY, "vectors_fx", extra=[
+    UNIT, _edges(0.35),
+    ("nodes_fx", "SELECT seq, row_number() OVER (ORDER BY seq) AS rn FROM unit_fx"),
+]).replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    "\nSELECT 'all' AS company, unnest(kept)",
+    """, g(rn, kept) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT n.rn, CASE WHEN (SELECT count(*) FROM edges_fx e WHERE e.b = n.seq AND list_contains(g.kept, e.a)) > 0
+                    THEN g.kept ELSE list_append(g.kept, n.seq) END
+  FROM g JOIN nodes_fx n ON n.rn = g.rn + 1)
+SELECT 'all' AS company, unnest(kept)""", 1)
+
+
+# ---------------------------------------------------------------------- caps
+
+@oracle("capped_mentions", "mentions_fx")
+def _():
+    cap = _case_map("source_platform", lx.PLATFORM_CAPS, "NULL")
+    return (f"SELECT company, source_platform, seq, cap_rank FROM (SELECT *, row_number() OVER (PARTITION BY company, source_platform "
+            f"ORDER BY seq) AS cap_rank FROM mentions_fx) WHERE ({cap}) IS NULL OR cap_rank <= ({cap})")
+
+
+THREADS = ("threads_fx", f"""
+SELECT p.company, p.conv_id AS seq, CAST(coalesce(c.n, 0) AS BIGINT) AS n_comments
+FROM forum_posts_fx p LEFT JOIN (
+  SELECT conv_id, count(*) AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM forum_comments_fx)
+  WHERE k <= {lx.FORUM_COMMENTS_PER_POST} AND coalesce(body, '') NOT IN ('', '[deleted]', '[removed]') GROUP BY conv_id) c USING (conv_id)
+""")
+
+
+def _threads_sql(cap: int) -> str:
+    return f"""
+    SELECT company, seq, n_comments, rows_before FROM (
+      SELECT *, CAST(coalesce(sum(1 + n_comments) OVER (PARTITION BY company ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rows_before
+      FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY seq) AS r FROM threads_fx) WHERE r <= {cap})
+    WHERE rows_before < {cap}"""
+
+
+ORACLE["capped_threads"] = with_views(_threads_sql(lx.FORUM_SOFT_CAP), "forum_comments_fx", extra=[THREADS])
+ORACLE["capped_threads_10"] = with_views(_threads_sql(10), "forum_comments_fx", extra=[THREADS])
+
+
+@oracle("source_cascade", "mentions_fx", extra=[("tm", "SELECT company, source_platform, seq, CAST((seq * 7) % 3 AS INTEGER) AS tier FROM mentions_fx")])
+def _():
+    t = "CAST((seq * 7) % 3 AS INTEGER)"
+    return f"""
+    SELECT company, source_platform, seq, tier FROM tm WHERE source_platform = 'web'
+      AND tier = (SELECT min(tier) FROM tm t2 WHERE t2.company = tm.company AND t2.source_platform = 'web')
+    UNION ALL
+    SELECT company, source_platform, seq, tier FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY tier, seq) AS r FROM tm
+      WHERE source_platform = 'news') WHERE r <= {lx.PLATFORM_CAPS['news'] // 4}
+    UNION ALL
+    SELECT company, source_platform, seq, tier FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY tier, seq) AS r FROM tm
+      WHERE source_platform = 'glassdoor') WHERE r <= {lx.PLATFORM_CAPS['glassdoor'] // 8}"""
+
+
+# ----------------------------------------------------------------- snapshots
+
+LATEST = ("latest_fx", """
+SELECT company, source, cached_at, payload, seq FROM (
+  SELECT lower(company) AS company, lower(source) AS source, cached_at, payload, seq,
+         row_number() OVER (PARTITION BY lower(company), lower(source) ORDER BY cached_at DESC, seq DESC) AS r
+  FROM snapshots_fx) WHERE r = 1
+""")
+AGE = f"((epoch_us(TIMESTAMP '{fx.AS_OF}') - epoch_us(cached_at)) / 1000000.0)"
+
+
+@oracle("snapshot_latest", "snapshots_fx", extra=[LATEST])
+def _():
+    return "SELECT * FROM latest_fx"
+
+
+@oracle("snapshot_upsert", "snapshots_fx", extra=[LATEST])
+def _():
+    return "SELECT * FROM latest_fx"
+
+
+@oracle("snapshot_fresh", "snapshots_fx", extra=[LATEST])
+def _():
+    return f"SELECT * FROM latest_fx WHERE {AGE} <= {lx.SNAPSHOT_TTL_SECONDS}"
+
+
+@oracle("snapshot_age", "snapshots_fx", extra=[LATEST])
+def _():
+    h = f"CAST(floor({AGE} / 3600) AS BIGINT)"
+    m = f"CAST(floor(({AGE} - floor({AGE} / 3600) * 3600) / 60) AS BIGINT)"
+    return (f"SELECT company, source, CASE WHEN {h} > 0 THEN CAST({h} AS VARCHAR) || 'h ' || CAST({m} AS VARCHAR) || 'm ago' "
+            f"ELSE CAST({m} AS VARCHAR) || 'm ago' END AS age_text FROM latest_fx")
+
+
+@oracle("snapshot_clear", "snapshots_fx")
+def _():
+    return ("SELECT company, source, seq FROM snapshots_fx s WHERE lower(company) NOT IN ("
+            "SELECT lower(upper(x.company)) FROM snapshots_fx x JOIN events e ON e.event_id = x.seq "
+            "WHERE e.event_type = 'error' AND e.value > 400)")
+
+
+@oracle("fetch_plan", "snapshots_fx", extra=[LATEST])
+def _():
+    srcs = ", ".join(f"({q(x)})" for x in fx.SNAPSHOT_SOURCES)
+    return (f"SELECT c.company, s.source, CASE WHEN f.company IS NOT NULL THEN 'cached' ELSE 'fetch' END AS action "
+            f"FROM (SELECT DISTINCT company FROM snapshots_fx) c CROSS JOIN (VALUES {srcs}) s(source) "
+            f"LEFT JOIN (SELECT * FROM latest_fx WHERE {AGE} <= {lx.SNAPSHOT_TTL_SECONDS}) f "
+            "ON f.company = lower(c.company) AND f.source = lower(s.source)")
+
+
+@oracle("usage_totals", "usage_fx")
+def _():
+    return ("SELECT provider, model, CAST(coalesce(sum(tokens_used), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(calls_made), 0) AS BIGINT) AS calls "
+            "FROM usage_fx GROUP BY ALL UNION ALL SELECT '*', '*', CAST(coalesce(sum(tokens_used), 0) AS BIGINT), "
+            "CAST(coalesce(sum(calls_made), 0) AS BIGINT) FROM usage_fx")
