@@ -19,6 +19,7 @@ from renown.operators import report as RP
 from renown.operators import sections as S
 from renown.operators import summarize as SM
 from renown.operators import tagging as TG
+from renown.plans.strategy import any_of
 from renown.plans import fixtures as fx
 
 QUERIES: dict = {}
@@ -560,8 +561,8 @@ def snapshot_age(spark, sf):
 @query
 def snapshot_clear(spark, sf):
     s = fx.snapshots_fx(spark, sf)
-    # clear requests: every company that logged an 'error' event worth more than 400
-    req = s.join(fx.table(spark, sf, "events").where((F.col("event_type") == "error") & (F.col("value") > 400))
+    # clear requests: every company that logged an 'error' event worth more than 300
+    req = s.join(fx.table(spark, sf, "events").where((F.col("event_type") == "error") & (F.col("value") > 300))
                  .select(F.col("event_id").alias("seq")), "seq", "left_semi").select(F.upper("company").alias("company"))
     return SN.snapshot_clear(s, req).select("company", "source", "seq")
 
@@ -569,3 +570,72 @@ def snapshot_clear(spark, sf):
 @query
 def usage_totals(spark, sf):
     return SN.usage_totals(fx.usage_fx(spark, sf))
+
+
+# ------------------------------------------------------------------- sources
+
+from renown.sources import forum as FO  # noqa: E402
+from renown.sources import html as HT  # noqa: E402
+from renown.sources import websearch as WS  # noqa: E402
+
+AS_OF_FORUM = "2026-01-15 00:00:00"
+
+
+@query
+def src_forum_posts(spark, sf):
+    land = fx.landing_forum_fx(spark, sf).where(F.col("endpoint") == "search")
+    p = FO.extract_posts(land, as_of=AS_OF_FORUM)
+    return p.select("company", "conv_id", "post_pos", "source_url", F.md5("raw_text").alias("text_md5"),
+                    F.length("raw_text").alias("text_len"), "date_raw", "score", "num_comments", "subreddit")
+
+
+@query
+def src_forum_comments(spark, sf):
+    land = fx.landing_forum_fx(spark, sf).where(F.col("endpoint") == "comments")
+    c = FO.extract_comments(land)
+    return c.select("company", "conv_id", "comment_pos", "source_url", F.md5("raw_text").alias("text_md5"), "date_raw", "score")
+
+
+@query
+def src_web_results(spark, sf):
+    r = WS.extract_results(fx.landing_web_fx(spark, sf))
+    return r.select("company", "grp", "result_pos", "source_url", F.md5("raw_text").alias("text_md5"), "title",
+                    "score", F.coalesce("position", F.lit(0)).alias("position"), "search_engine")
+
+
+@query
+def all_mentions(spark, sf):
+    posts = FO.extract_posts(fx.landing_forum_fx(spark, sf).where(F.col("endpoint") == "search"), as_of=AS_OF_FORUM)
+    comments = FO.extract_comments(fx.landing_forum_fx(spark, sf).where(F.col("endpoint") == "comments"))
+    web = WS.extract_results(fx.landing_web_fx(spark, sf))
+    parts = [posts.select("company", "source_platform", "source_url", "raw_text", (F.col("conv_id") * 100).alias("position")),
+             comments.select("company", "source_platform", "source_url", "raw_text",
+                             (F.col("conv_id") * 100 + 1 + F.col("comment_pos")).alias("position")),
+             web.select("company", "source_platform", "source_url", "raw_text", (F.col("grp") * 10 + F.col("result_pos")).alias("position"))]
+    u = CP.all_mentions(parts)
+    return u.select("company", "source_platform", "platform_ord", "seq", "source_url", F.md5("raw_text").alias("text_md5"))
+
+
+@query
+def html_elements(spark, sf):
+    el = HT.html_elements(fx.table(spark, sf, "pages"), tags=("div",))
+    ads = el.where((F.col("tag") == "div") & (F.col("cls") == "ad"))
+    from pyspark.sql import Window
+    w = Window.partitionBy("page_id").orderBy("pos")
+    return ads.select("page_id", F.row_number().over(w).alias("ad_index"), "text")
+
+
+@query
+def src_job_cards(spark, sf):
+    """Job-card layout B over the pages: li/div/a with a card-like class,
+    first 30 per page, text of at least 10 chars without ignore phrases."""
+    from pyspark.sql import Window
+    el = HT.html_elements(fx.table(spark, sf, "pages"), tags=("li", "div", "a"))
+    cards = el.where(HT.class_matches("card|listing|item|ad"))
+    w = Window.partitionBy("page_id").orderBy("pos")
+    cards = cards.withColumn("card_rank", F.row_number().over(w)).where(F.col("card_rank") <= 30)
+    lt = F.lower("text")
+    cards = cards.where((F.length("text") >= 10) & ~any_of(lt.contains(p) for p in lx.JOB_CARD_IGNORE_B))
+    url = F.when(F.col("first_href").isNotNull(), F.concat(F.lit("https://ikman.lk"), F.col("first_href"))).otherwise(F.lit("https://ikman.lk"))
+    return cards.select("page_id", "card_rank", url.alias("source_url"), tx.safe_text("text").alias("raw_text"),
+                        tx.salary_info("text").alias("salary_info"))

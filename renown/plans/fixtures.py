@@ -221,3 +221,22 @@ def vectors_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 def documents_one_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(F.lit("all").alias("company"), F.col("doc_id").alias("seq"), F.col("text").alias("raw_text"))
+
+
+def landing_web_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed as web-search responses: groups of five documents
+    (doc_id div 5) form one response, alternating the two result layouts."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    g = F.floor(F.col("doc_id") / 5).cast("long")
+    url = F.concat(F.lit("https://web"), F.col("doc_id").cast("string"), F.lit(".lk/r"))
+    title = F.substring("text", 1, 30)
+    a = F.struct(url.alias("url"), title.alias("title"), F.col("text").alias("content"),
+                 ((F.col("doc_id") % 100).cast("double") / 100.0).alias("score"))
+    b = F.struct(url.alias("link"), title.alias("title"), F.col("text").alias("snippet"),
+                 (F.col("doc_id") % 5 + 1).cast("int").alias("position"))
+    x = d.select(g.alias("grp"), "doc_id", a.alias("a"), b.alias("b"))
+    # at most five rows per group: a bounded collect
+    packed = x.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("doc_id", "a", "b"))).alias("rs"))
+    payload = F.when(F.col("grp") % 2 == 0, F.to_json(F.struct(F.transform("rs", lambda r: r["a"]).alias("results")))) \
+        .otherwise(F.to_json(F.struct(F.transform("rs", lambda r: r["b"]).alias("organic_results"))))
+    return packed.select(company_name(F.col("grp") % N_COMPANIES).alias("company"), "grp", payload.alias("payload"))

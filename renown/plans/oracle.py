@@ -747,7 +747,7 @@ def _():
 def _():
     return ("SELECT company, source, seq FROM snapshots_fx s WHERE lower(company) NOT IN ("
             "SELECT lower(upper(x.company)) FROM snapshots_fx x JOIN events e ON e.event_id = x.seq "
-            "WHERE e.event_type = 'error' AND e.value > 400)")
+            "WHERE e.event_type = 'error' AND e.value > 300)")
 
 
 @oracle("fetch_plan", "snapshots_fx", extra=[LATEST])
@@ -764,3 +764,71 @@ def _():
     return ("SELECT provider, model, CAST(coalesce(sum(tokens_used), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(calls_made), 0) AS BIGINT) AS calls "
             "FROM usage_fx GROUP BY ALL UNION ALL SELECT '*', '*', CAST(coalesce(sum(tokens_used), 0) AS BIGINT), "
             "CAST(coalesce(sum(calls_made), 0) AS BIGINT) FROM usage_fx")
+
+
+# ------------------------------------------------------------------- sources
+
+from renown.plans.catalog import AS_OF_FORUM  # noqa: E402
+
+
+def _safe(t: str) -> str:
+    return safe_text_sql(t)
+
+
+@oracle("src_forum_posts", "forum_posts_fx")
+def _():
+    text = "CASE WHEN coalesce(selftext, '') <> '' THEN coalesce(title, '') || chr(10) || chr(10) || selftext ELSE coalesce(title, '') END"
+    cutoff = f"(TIMESTAMP '{AS_OF_FORUM}' - INTERVAL {lx.MAX_POST_AGE_DAYS} DAY)"
+    return f"""
+    SELECT company, conv_id, CAST(0 AS INTEGER) AS post_pos, 'https://reddit.com' || permalink AS source_url,
+      md5({_safe(text)}) AS text_md5, length({_safe(text)}) AS text_len,
+      strftime(make_timestamp(CAST(created_utc * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S') AS date_raw,
+      score, num_comments, subreddit
+    FROM forum_posts_fx WHERE make_timestamp(CAST(created_utc * 1000000 AS BIGINT)) >= {cutoff}"""
+
+
+@oracle("src_forum_comments", "forum_comments_fx")
+def _():
+    return f"""
+    SELECT company, conv_id, CAST(k - 1 AS INTEGER) AS comment_pos,
+      CASE WHEN coalesce(permalink, '') <> '' THEN 'https://reddit.com' || permalink ELSE '' END AS source_url,
+      md5({_safe('body')}) AS text_md5,
+      strftime(make_timestamp(CAST(created_utc * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S') AS date_raw, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM forum_comments_fx)
+    WHERE k <= {lx.FORUM_COMMENTS_PER_POST} AND coalesce(body, '') NOT IN ('', '[deleted]', '[removed]')"""
+
+
+WEB_ROWS = ("web_fx", f"""
+SELECT {company_name('(doc_id // 5) % ' + str(fx.N_COMPANIES))} AS company, doc_id // 5 AS grp,
+  CAST(row_number() OVER (PARTITION BY doc_id // 5 ORDER BY doc_id) - 1 AS INTEGER) AS result_pos,
+  'https://web' || CAST(doc_id AS VARCHAR) || '.lk/r' AS source_url, substring(text, 1, 30) AS title, text,
+  CASE WHEN (doc_id // 5) % 2 = 0 THEN CAST(doc_id % 100 AS DOUBLE) / 100.0 END AS score,
+  CASE WHEN (doc_id // 5) % 2 = 1 THEN CAST(doc_id % 5 + 1 AS INTEGER) END AS position,
+  CASE WHEN (doc_id // 5) % 2 = 0 THEN 'engine_a' ELSE 'engine_b' END AS search_engine
+FROM documents
+""")
+
+
+@oracle("src_web_results", extra=[WEB_ROWS])
+def _():
+    t = "coalesce(title, '') || chr(10) || chr(10) || coalesce(text, '')"
+    return f"SELECT company, grp, result_pos, source_url, md5({_safe(t)}) AS text_md5, coalesce(title, '') AS title, score, coalesce(position, 0) AS position, search_engine FROM web_fx"
+
+
+@oracle("html_elements")
+def _():
+    return (f"SELECT page_id, CAST(generate_subscripts(ads, 1) AS BIGINT) AS ad_index, {py_strip('unnest(ads)')} AS text FROM ("
+            "SELECT page_id, regexp_extract_all(html, '(?s)<div class=\"ad\">(.*?)</div>', 1) AS ads FROM pages)")
+
+
+@oracle("src_job_cards")
+def _():
+    from renown.plans.oracle_sql import any_contains
+    t = "txt"
+    return f"""
+    SELECT page_id, card_rank, 'https://ikman.lk' AS source_url, {_safe(t)} AS raw_text,
+      CASE WHEN regexp_matches({t}, {q(__import__('renown.functions.text', fromlist=['x']).SALARY_RX)})
+           THEN regexp_extract({t}, {q(__import__('renown.functions.text', fromlist=['x']).SALARY_RX)}, 0) END AS salary_info
+    FROM (SELECT page_id, CAST(generate_subscripts(ads, 1) AS INTEGER) AS card_rank, {py_strip('unnest(ads)')} AS txt
+          FROM (SELECT page_id, regexp_extract_all(html, '(?s)<div class=\"ad\">(.*?)</div>', 1) AS ads FROM pages))
+    WHERE card_rank <= 30 AND length(txt) >= 10 AND NOT {any_contains(t, lx.JOB_CARD_IGNORE_B)}"""

@@ -175,4 +175,6 @@ def with_views(sql: str, *names: str, extra: list[tuple[str, str]] | None = None
     for n in names:
         add(n)
     ctes = [f"{n} AS ({VIEWS[n]})" for n in order] + [f"{n} AS ({b})" for n, b in (extra or [])]
+    if not ctes:
+        return sql
     return "WITH " + ",\n".join(ctes) + "\n" + sql
