@@ -29,7 +29,7 @@ def company_scorecard(classified: DataFrame, summaries: DataFrame | None = None)
     g = d.groupBy("company").agg(
         F.count(F.lit(1)).alias("total_results"),
         *S.sentiment_counts(),
-        F.count_if(F.size(F.coalesce("crisis_flags", S.EMPTY)) > 0).alias("crisis_rows"),
+        F.count_if(F.size(F.coalesce("crisis_flags", S.EMPTY_())) > 0).alias("crisis_rows"),
     )
     g = g.withColumn("rule_score", rule_score(F.col("total_results"), F.col("positive"), F.col("negative"), F.col("crisis_rows")))
     if summaries is not None:
@@ -61,9 +61,9 @@ def company_report(classified: DataFrame, summaries: DataFrame | None, flags: Da
     dflt = lx.REPORT_SUMMARY_DEFAULTS
     summary = F.struct(
         *[F.coalesce(F.col(f).cast("string"), F.lit(dflt[f])).alias(f) for f in ("what_employees_say", "what_customers_say", "what_press_says")],
-        F.coalesce(F.col("top_5_pros").cast("array<string>"), S.EMPTY).alias("top_5_pros"),
-        F.coalesce(F.col("top_5_cons").cast("array<string>"), S.EMPTY).alias("top_5_cons"),
-        F.coalesce("_flags", S.EMPTY).alias("crisis_flags"),
+        F.coalesce(F.col("top_5_pros").cast("array<string>"), S.EMPTY_()).alias("top_5_pros"),
+        F.coalesce(F.col("top_5_cons").cast("array<string>"), S.EMPTY_()).alias("top_5_cons"),
+        F.coalesce("_flags", S.EMPTY_()).alias("crisis_flags"),
         F.coalesce(F.col("recommendation").cast("string"), F.lit(dflt["recommendation"])).alias("recommendation"),
     )
     gen = F.lit(generated_at) if generated_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

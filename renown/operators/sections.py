@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from renown.functions import lexicons as lx
 
 KEYS = ["company", "source_platform"]
-EMPTY = F.array().cast("array<string>")
+def EMPTY_():
+    return F.array().cast("array<string>")
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def with_defaults(df: DataFrame) -> DataFrame:
     confidence 0."""
     return (df.withColumn("source_platform", F.coalesce("source_platform", F.lit("web")))
             .withColumn("sentiment", F.coalesce("sentiment", F.lit("neutral")))
-            .withColumn("themes", F.coalesce("themes", EMPTY))
+            .withColumn("themes", F.coalesce("themes", EMPTY_()))
             .withColumn("confidence", F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))))
 
 
@@ -52,7 +53,7 @@ def sentiment_by_reviewer(df: DataFrame) -> DataFrame:
 
 def top_themes(df: DataFrame, k: int = 5, keys=KEYS) -> DataFrame:
     """Most frequent themes, ties broken by first appearance (seq, position)."""
-    e = df.select(*keys, "seq", F.posexplode(F.coalesce("themes", EMPTY)).alias("pos", "theme"))
+    e = df.select(*keys, "seq", F.posexplode(F.coalesce("themes", EMPTY_())).alias("pos", "theme"))
     c = e.groupBy(*keys, "theme").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "pos")).alias("first"))
     w = Window.partitionBy(*keys).orderBy(F.col("n").desc(), F.col("first"))
     return c.withColumn("theme_rank", F.row_number().over(w)).where(F.col("theme_rank") <= k).select(*keys, "theme_rank", "theme", "n")
@@ -87,8 +88,9 @@ def avg_rating(df: DataFrame, keys=KEYS) -> DataFrame:
     return df.groupBy(*keys).agg(avg_rating_expr().alias("avg_rating"))
 
 
-def collect_ordered(value: Column, order: Column = F.col("seq"), where: Column | None = None) -> Column:
-    """Values ordered by ``order`` (a sorted collect of (order, value))."""
+def collect_ordered(value: Column, order: Column | None = None, where: Column | None = None) -> Column:
+    """Values ordered by ``order`` (default seq; a sorted collect of (order, value))."""
+    order = F.col("seq") if order is None else order
     cond = value.isNotNull() & (value.cast("string") != "")
     if where is not None:
         cond = cond & where
@@ -190,7 +192,7 @@ def section_rows(df: DataFrame) -> DataFrame:
     for p in (_theme_lists(d, keys), _quote_lists(d, keys), _url_lists(d, keys)):
         out = out.join(p, keys, "left")
     for c in ("top_themes", "sample_quotes", "urls"):
-        out = out.withColumn(c, F.coalesce(c, EMPTY))
+        out = out.withColumn(c, F.coalesce(c, EMPTY_()))
     return out
 
 
