@@ -23,9 +23,14 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# the same set as plain characters, for btrim (no regex, no backtracking)
+PY_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                  + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(c) -> Column:
     """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(col_(c), f"^{PY_SPACE}+|{PY_SPACE}+$", "")
+    return F.btrim(col_(c), F.lit(PY_SPACE_CHARS))
 
 
 def collapse_ws(c) -> Column:
@@ -39,9 +44,17 @@ def safe_text(c, max_len: int = lx.SAFE_TEXT_CHARS) -> Column:
     return F.when(F.length(t) > max_len, F.concat(F.substring(t, 1, max_len), F.lit("..."))).otherwise(t)
 
 
-def fingerprint(c, n: int = lx.FINGERPRINT_CHARS) -> Column:
-    """Exact-duplicate key: lower, collapse whitespace, first ``n`` chars."""
-    return F.substring(collapse_ws(F.lower(F.coalesce(col_(c), F.lit("")))), 1, n)
+def fingerprint(c, n: int = lx.FINGERPRINT_CHARS, window: int = 8 * lx.FINGERPRINT_CHARS) -> Column:
+    """Exact-duplicate key: lower, collapse whitespace, first ``n`` chars.
+
+    The collapsed form of a prefix is a prefix of the collapsed whole text,
+    so when a ``window``-char prefix already yields ``n`` collapsed chars the
+    key is taken from it; otherwise the whole text is collapsed.  Same
+    result, without rewriting 100 KB texts to keep 200 chars."""
+    t = F.coalesce(col_(c), F.lit(""))
+    head = collapse_ws(F.lower(F.substring(t, 1, window)))
+    return F.when(F.length(head) >= n, F.substring(head, 1, n)).otherwise(
+        F.substring(collapse_ws(F.lower(t)), 1, n))
 
 
 def title_case(c) -> Column:

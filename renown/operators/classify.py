@@ -47,14 +47,25 @@ def parse_json_object(text) -> tuple[Column, Column]:
     return v, status
 
 
+def with_parsed(df: DataFrame, response_col: str = "response") -> DataFrame:
+    """Parse once into ``_v`` / ``_status`` columns; field extraction then
+    reads the parsed value instead of re-parsing the text per field."""
+    raw = F.col(response_col)
+    d = df.withColumn("_v", F.try_parse_json(unfence(raw)))
+    v = F.col("_v")
+    return d.withColumn("_status", F.when(raw.isNull(), F.lit("missing")).when(v.isNull(), F.lit("malformed"))
+                        .when(F.schema_of_variant(v).startswith("OBJECT"), F.lit("ok")).otherwise(F.lit("non_object")))
+
+
 def parse_responses(responses: DataFrame, response_col: str = "response") -> DataFrame:
     """Typed classification fields; absent keys stay null (a merge keeps the
     mention's own value for them), wrong types are cast when possible."""
-    v, status = parse_json_object(response_col)
+    d = with_parsed(responses, response_col)
+    v, status = F.col("_v"), F.col("_status")
     g = lambda path, t: F.try_variant_get(v, f"$.{path}", t)
     ok = status == "ok"
-    return responses.select(
-        "*",
+    return d.select(
+        *responses.columns,
         status.alias("parse_status"),
         F.when(ok, g("sentiment", "string")).alias("p_sentiment"),
         F.when(ok, g("confidence", "double")).alias("p_confidence"),

@@ -34,9 +34,10 @@ def company_needles(companies: DataFrame, aliases: DataFrame, company_col: str =
     )
 
 
-def mentions_any(text, needles) -> Column:
-    """Case-insensitive substring test of the text against a needle array."""
-    lt = F.lower(F.coalesce(col_(text), F.lit("")))
+def mentions_any(text, needles, lowered: bool = False) -> Column:
+    """Case-insensitive substring test of the text against a needle array
+    (``lowered``: the text column is already lower-case)."""
+    lt = col_(text) if lowered else F.lower(F.coalesce(col_(text), F.lit("")))
     return F.exists(col_(needles), lambda n: lt.contains(n))
 
 

@@ -20,25 +20,33 @@ def geo_predicate(text, url, keywords=None, suffix: str = lx.GEO_DOMAIN_SUFFIX)
     return host.endswith(suffix) | any_of(lt.contains(k) for k in keywords)
 
 
-def relevance_predicate(text="raw_text", url="source_url", needles="needles", alias_keys=None) -> Column:
+def relevance_predicate(text="_lt", url="_lu", needles="needles", alias_keys=None) -> Column:
     """Text mentions the company (or one of its aliases), or the url ends with
-    an alias key, or the url mentions the company."""
+    an alias key, or the url mentions the company.  ``text``/``url`` are the
+    lower-cased columns added by ``_with_lower``."""
     keys = [a for a, _ in lx.COMPANY_ALIASES] if alias_keys is None else alias_keys
-    return mentions_any(text, needles) | ends_with_any(url, keys) | mentions_any(url, needles)
+    return mentions_any(text, needles, lowered=True) | ends_with_any(url, keys) | mentions_any(url, needles, lowered=True)
+
+
+def _with_lower(m: DataFrame) -> DataFrame:
+    """Lower-case text and url once; the needle lambdas then read columns
+    instead of lower-casing the whole text once per needle."""
+    return (m.withColumn("_lt", F.lower(F.coalesce("raw_text", F.lit(""))))
+            .withColumn("_lu", F.lower(F.coalesce("source_url", F.lit("")))))
 
 
 def flag_stages(mentions: DataFrame, needles: DataFrame, alias_keys=None, native_platforms=("topjobs",)) -> DataFrame:
     """Add boolean stage columns: relevant, geo_ok, validated."""
-    m = with_needles(mentions, needles)
-    m = m.withColumn("relevant", relevance_predicate(alias_keys=alias_keys))
+    m = _with_lower(with_needles(mentions, needles))
+    m = m.withColumn("relevant", relevance_predicate("_lt", "_lu", alias_keys=alias_keys)).drop("_lt", "_lu")
     m = m.withColumn("geo_ok", geo_predicate("raw_text", "source_url"))
     m = m.withColumn("validated", F.col("relevant") & (F.col("source_platform").isin(*native_platforms) | F.col("geo_ok")))
     return m.drop("needles")
 
 
 def relevance_filter(mentions: DataFrame, needles: DataFrame, alias_keys=None) -> DataFrame:
-    m = with_needles(mentions, needles)
-    return m.where(relevance_predicate(alias_keys=alias_keys)).drop("needles")
+    m = _with_lower(with_needles(mentions, needles))
+    return m.where(relevance_predicate("_lt", "_lu", alias_keys=alias_keys)).drop("needles", "_lt", "_lu")
 
 
 def geo_filter(mentions: DataFrame) -> DataFrame:

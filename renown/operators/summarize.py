@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from renown.functions import lexicons as lx
-from renown.operators.classify import parse_json_object
+from renown.operators.classify import with_parsed
 
 
 def condensed_line(rank="rn") -> F.Column:
@@ -45,7 +45,8 @@ def parse_summaries(responses: DataFrame, response_col: str = "response") -> Dat
     """Typed summary fields.  A malformed text gives the parse-failure
     defaults; a valid non-object makes the summary step fail, which gives
     the 'failed' defaults.  Absent keys stay null (report defaults apply)."""
-    v, status = parse_json_object(response_col)
+    responses = with_parsed(responses, response_col)
+    v, status = F.col("_v"), F.col("_status")
     ok = status == "ok"
     bad = status.isin("malformed", "missing")
     g = lambda path, t: F.try_variant_get(v, f"$.{path}", t)
@@ -70,9 +71,9 @@ def company_mention_flags(classified: DataFrame) -> DataFrame:
 def company_crisis_flags(classified: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
     """Summary flags united with every mention flag (only when there is at
     least one mention flag), sorted for determinism."""
-    mf = company_mention_flags(classified)
-    comps = classified.select("company").distinct()
-    base = comps.join(mf, "company", "left")
+    # one pass: explode_outer keeps companies without flags (null flag row)
+    e = classified.select("company", F.explode_outer("crisis_flags").alias("flag")).groupBy("company", "flag").agg(F.lit(1).alias("_x"))
+    base = e.groupBy("company").agg(F.array_sort(F.collect_list("flag")).alias("mention_flags"))
     if summaries is not None:
         base = base.join(summaries.select("company", F.col("crisis_flags").alias("summary_flags")), "company", "left")
     else:

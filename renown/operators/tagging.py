@@ -15,11 +15,22 @@ def regulatory_label(body: str) -> str:
     return body.upper() if len(body) <= 4 else body.title()
 
 
+def _empty():
+    return F.array().cast("array<string>")
+
+
+def _tags_in_order(lt: Column, items) -> Column:
+    """Labels whose needle is a substring, in lexicon order.  Built from
+    ``concat`` of conditional one-element arrays (no lambdas), so the whole
+    projection stays in generated code."""
+    return F.concat(*[F.when(lt.contains(n), F.array(F.lit(lab))).otherwise(_empty()) for n, lab in items])
+
+
 def regulatory_tags(text, bodies=None) -> Column:
     """Ordered list of regulatory bodies found in the text (substring match)."""
     bodies = bodies or lx.REGULATORY_BODIES
     lt = F.lower(F.coalesce(col_(text), F.lit("")))
-    return F.array_compact(F.array(*[F.when(lt.contains(b), F.lit(regulatory_label(b))) for b in bodies]))
+    return _tags_in_order(lt, [(b, regulatory_label(b)) for b in bodies])
 
 
 def crisis_tags(text, patterns=None, bodies=None) -> Column:
@@ -30,23 +41,23 @@ def crisis_tags(text, patterns=None, bodies=None) -> Column:
 
 def _crisis_from(lt: Column, reg: Column, patterns=None) -> Column:
     patterns = patterns or lx.CRISIS_PATTERNS
-    cats = [F.when(any_of(lt.contains(p) for p in pats), F.lit(cat)) for cat, pats in patterns]
-    reg_tag = F.when(F.size(reg) > 0, F.concat(F.lit(lx.REGULATORY_FLAG_PREFIX), F.array_join(reg, ", ")))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*cats, reg_tag))))
+    cats = [F.when(any_of(lt.contains(p) for p in pats), F.array(F.lit(cat))).otherwise(_empty()) for cat, pats in patterns]
+    reg_tag = F.when(F.size(reg) > 0, F.array(F.concat(F.lit(lx.REGULATORY_FLAG_PREFIX), F.array_join(reg, ", ")))).otherwise(_empty())
+    # categories are distinct and the regulatory tag differs from all of them,
+    # so the set is the concatenation; sort_array needs no comparator lambda
+    return F.sort_array(F.concat(*cats, reg_tag))
 
 
 def with_crisis_flags(df: DataFrame, text_col: str = "raw_text", out: str = "crisis_flags",
                       only: Column | None = None) -> DataFrame:
     """Add crisis flags.  The lower-cased text and the regulatory list are
     projected once and referenced many times, so Catalyst keeps them as
-    separate projections (one lowercase pass per row) and the generated
-    code stays small.  ``only``: rows where it is false get no flags."""
+    separate projections (one lowercase pass per row)."""
     d = df.withColumn("_lt", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    bodies = lx.REGULATORY_BODIES
-    d = d.withColumn("_reg", F.array_compact(F.array(*[F.when(F.col("_lt").contains(b), F.lit(regulatory_label(b))) for b in bodies])))
+    d = d.withColumn("_reg", _tags_in_order(F.col("_lt"), [(b, regulatory_label(b)) for b in lx.REGULATORY_BODIES]))
     flags = _crisis_from(F.col("_lt"), F.col("_reg"))
     if only is not None:
-        flags = F.when(only, flags).otherwise(F.array().cast("array<string>"))
+        flags = F.when(only, flags).otherwise(_empty())
     return d.withColumn(out, flags).drop("_lt", "_reg")
 
 

@@ -226,7 +226,7 @@ def regulatory_tags(spark, sf):
 
 @query
 def crisis_tags(spark, sf):
-    return _m(spark, sf).select("seq", jn(TG.crisis_tags("raw_text")).alias("crisis_flags"))
+    return TG.with_crisis_flags(_m(spark, sf)).select("seq", jn("crisis_flags").alias("crisis_flags"))
 
 
 # ------------------------------------------------------------ classification
@@ -380,7 +380,9 @@ for _name, _plat in [("section_forum", "reddit"), ("section_maps", "google_maps"
 
 
 def fx_report(spark, sf):
-    c = scored_mentions(spark, sf)
+    from renown.plans.strategy import materialize
+    # read by the scorecard, the section aggregates and the flag union
+    c = materialize(scored_mentions(spark, sf))
     summ = SM.parse_summaries(summary_responses_fx(spark, sf))
     flags = SM.company_crisis_flags(c, summ)
     return RP.company_report(c, summ, flags, model_used="external", generated_at=fx.AS_OF.replace(" ", "T"))

@@ -44,7 +44,8 @@ METADATA_FIELDS = [
     ("employees", "string"), ("likes", "string"), ("headline", "string"), ("title", "string"),
     ("search_engine", "string"), ("position", "int"),
 ]
-METADATA_TYPE = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in METADATA_FIELDS])
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType()}
+METADATA_TYPE = T.StructType([T.StructField(n, _TYPES[t]) for n, t in METADATA_FIELDS])
 
 
 def mentions_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
