@@ -58,22 +58,25 @@ def tag_companies(texts: DataFrame, needles: DataFrame, text_col: str = "raw_tex
                   key_cols=("seq",), chunk_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Theta join text x needle on substring containment -> (key, company).
 
-    The needle dimension is broadcast only when its size is checked; a larger
-    dimension is processed in bounded chunks (each chunk broadcast), so the
-    result stays exact without a single huge broadcast.
+    The needle dimension is used only behind a size check: up to
+    ``chunk_rows`` needles it is shipped to the tasks as one automaton and
+    every text is scanned once for all of them; a larger dimension is split
+    into bounded chunks (one scan per chunk), so the result stays exact
+    without an unbounded broadcast.
     """
-    long = needles.select("company", F.explode("needles").alias("needle")).where(F.length("needle") > 0)
-    t = texts.select(*key_cols, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_lt"))
-    if row_count_at_most(long, chunk_rows):
-        parts = [long]
-    else:
-        n = long.count()
-        k = (n + chunk_rows - 1) // chunk_rows
-        long = long.withColumn("_chunk", F.pmod(F.xxhash64("company", "needle"), F.lit(k)))
-        parts = [long.where(F.col("_chunk") == i).drop("_chunk") for i in range(k)]
+    from renown.functions.matcher import lexicon_hits
+
+    long = needles.select("company", F.explode("needles").alias("needle")).where(F.length("needle") > 0).distinct()
+    n = long.count() if not row_count_at_most(long, chunk_rows) else None
+    chunks = 1 if n is None else (n + chunk_rows - 1) // chunk_rows
     out = None
-    for p in parts:
-        j = t.join(F.broadcast(p), F.col("_lt").contains(F.col("needle")), "inner").select(*key_cols, "company")
+    for i in range(chunks):
+        part = long if chunks == 1 else long.where(F.pmod(F.xxhash64("company", "needle"), F.lit(chunks)) == i)
+        rows = sorted((r["needle"], r["company"]) for r in part.collect())  # bounded by chunk_rows
+        words = [w for w, _ in rows]
+        comps = F.array(*[F.lit(c) for _, c in rows])
+        hits = texts.select(*key_cols, F.explode(lexicon_hits(text_col, words)).alias("_i"))
+        j = hits.select(*key_cols, F.element_at(comps, F.col("_i") + 1).alias("company"))
         out = j if out is None else out.unionByName(j)
     return out.distinct()
 

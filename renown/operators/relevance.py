@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from renown.functions import lexicons as lx
 from renown.functions.text import col_, py_strip, url_host
 from renown.operators.entities import ends_with_any, mentions_any, with_needles
-from renown.plans.strategy import any_of
+from renown.functions.matcher import lexicon_hits
 
 
-def geo_predicate(text, url, keywords=None, suffix: str = lx.GEO_DOMAIN_SUFFIX) -> Column:
+def geo_predicate(text, url, keywords=None, suffix: str = lx.GEO_DOMAIN_SUFFIX, lowered: bool = False) -> Column:
     """url authority ends with the country suffix, or lower(text) contains a
-    geography keyword."""
+    geography keyword (``lowered``: the text column is already lower-case)."""
     keywords = keywords or lx.GEO_KEYWORDS
-    lt = F.lower(F.coalesce(col_(text), F.lit("")))
     host = F.coalesce(url_host(url), F.lit(""))
-    return host.endswith(suffix) | any_of(lt.contains(k) for k in keywords)
+    return host.endswith(suffix) | (F.size(lexicon_hits(text, keywords)) > 0)
 
 
 def relevance_predicate(text="_lt", url="_lu", needles="needles", alias_keys=None) -> Column:
@@ -38,8 +37,8 @@ def _with_lower(m: DataFrame) -> DataFrame:
 def flag_stages(mentions: DataFrame, needles: DataFrame, alias_keys=None, native_platforms=("topjobs",)) -> DataFrame:
     """Add boolean stage columns: relevant, geo_ok, validated."""
     m = _with_lower(with_needles(mentions, needles))
-    m = m.withColumn("relevant", relevance_predicate("_lt", "_lu", alias_keys=alias_keys)).drop("_lt", "_lu")
-    m = m.withColumn("geo_ok", geo_predicate("raw_text", "source_url"))
+    m = m.withColumn("relevant", relevance_predicate("_lt", "_lu", alias_keys=alias_keys))
+    m = m.withColumn("geo_ok", geo_predicate("raw_text", "source_url")).drop("_lt", "_lu")
     m = m.withColumn("validated", F.col("relevant") & (F.col("source_platform").isin(*native_platforms) | F.col("geo_ok")))
     return m.drop("needles")
 

@@ -23,8 +23,17 @@ FORUM_EPOCH0 = 1704067200
 SNAPSHOT_SOURCES = ["view", "click", "error", "purchase", "signup"]
 
 
+# text tables whose files may hold a single row group: their scan is then a
+# single task, so the text-heavy work after it is spread by key first
+SPREAD = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in SPREAD:
+        n = max(spark.sparkContext.defaultParallelism * 2, 2)
+        df = df.repartition(n, SPREAD[name])
+    return df
 
 
 def _pick(values, idx_col) -> F.Column:
