@@ -641,3 +641,91 @@ def src_job_cards(spark, sf):
     url = F.when(F.col("first_href").isNotNull(), F.concat(F.lit("https://ikman.lk"), F.col("first_href"))).otherwise(F.lit("https://ikman.lk"))
     return cards.select("page_id", "card_rank", url.alias("source_url"), tx.safe_text("text").alias("raw_text"),
                         tx.salary_info("text").alias("salary_info"))
+
+
+# ------------------------------------------------------------- page sources
+
+from renown.sources import pages as PG  # noqa: E402
+
+ALL_TAGS = ("a", "div", "li", "tr", "td", "span", "p", "h1", "h2", "h3", "time", "article", "section", "body", "ul", "b")
+
+
+def fx_page_elements(spark, sf):
+    w = fx.wrapped_pages_fx(spark, sf)
+    el = HT.html_elements(w, tags=ALL_TAGS)
+    return w, el.join(w.select("page_id", "company"), "page_id")
+
+
+@query
+def src_map_listing(spark, sf):
+    w = fx.wrapped_pages_fx(spark, sf)
+    return PG.map_listing(w).select("page_id", "company", "raw_text", "rating", "review_count")
+
+
+@query
+def src_map_reviews(spark, sf):
+    _, el = fx_page_elements(spark, sf)
+    return PG.map_reviews(el).select("page_id", "review_index", "raw_text", "rating")
+
+
+@query
+def src_employee_reviews(spark, sf):
+    w, el = fx_page_elements(spark, sf)
+    r = PG.employee_review_cascade(PG.employee_reviews(el, w), PG.secondary_employee_reviews(el))
+    return r.select("page_id", "cascade_rank", "tier", "raw_text", "rating", "pros", "cons", "source_site")
+
+
+@query
+def src_job_listings(spark, sf):
+    _, el = fx_page_elements(spark, sf)
+    return PG.job_listings(el).select("page_id", "item_rank", "raw_text", "salary_info")
+
+
+@query
+def src_job_cards_c(spark, sf):
+    _, el = fx_page_elements(spark, sf)
+    return PG.job_cards_c(el).select("page_id", "item_rank", "raw_text")
+
+
+@query
+def src_careers_text(spark, sf):
+    w, el = fx_page_elements(spark, sf)
+    t = PG.careers_text(el, w)
+    return t.select("page_id", "source_url", F.length("raw_text").alias("text_len"))
+
+
+@query
+def src_careers_link(spark, sf):
+    w, el = fx_page_elements(spark, sf)
+    return PG.careers_link(el, w).select("page_id", "careers_url")
+
+
+@query
+def src_profiles(spark, sf):
+    _, el = fx_page_elements(spark, sf)
+    links = PG.profile_links(el)
+    cards = PG.profile_cards(el, links)
+    a = links.select("page_id", F.lit(0).alias("tier"), "item_rank", "source_url", "raw_text", "followers", "employees")
+    b = cards.select("page_id", F.lit(1).alias("tier"), "item_rank", F.lit("").alias("source_url"), "raw_text",
+                     F.lit(None).cast("string").alias("followers"), F.lit(None).cast("string").alias("employees"))
+    return a.unionByName(b)
+
+
+@query
+def src_social_pages(spark, sf):
+    _, el = fx_page_elements(spark, sf)
+    return PG.social_pages(el).select("page_id", "item_rank", "source_url", "raw_text", "rating", "likes")
+
+
+@query
+def src_news_articles(spark, sf):
+    _, el = fx_page_elements(spark, sf)
+    return PG.news_articles(el).select("page_id", "item_rank", "source_url", "raw_text", "date_raw", "headline", "source_site")
+
+
+@query
+def src_news_links(spark, sf):
+    _, el = fx_page_elements(spark, sf)
+    arts = PG.news_articles(el)
+    links = PG.news_links(el, already=arts)
+    return PG.news_cascade(arts, links).select("page_id", "cascade_rank", "tier", "source_url", "headline", "source_site")

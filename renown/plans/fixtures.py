@@ -250,3 +250,51 @@ def landing_web_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.when(F.col("grp") % 2 == 0, F.to_json(F.struct(F.transform("rs", lambda r: r["a"]).alias("results")))) \
         .otherwise(F.to_json(F.struct(F.transform("rs", lambda r: r["b"]).alias("organic_results"))))
     return packed.select(company_name(F.col("grp") % N_COMPANIES).alias("company"), "grp", payload.alias("payload"))
+
+
+def _fmt(x) -> F.Column:
+    return F.format_number(x, 0)
+
+
+def page_block(k, company) -> F.Column:
+    """Synthetic listing/review/link markup derived from the page id, appended
+    to each page so every page extractor has input (FIXTURES: pages wrapped
+    with snippets and links generated from page_id)."""
+    s = lambda c: c.cast("string")
+    site = F.element_at(F.array(*[F.lit(x) for x in lx.NEWS_SITES]), (k % 9 + 1).cast("int"))
+    site2 = F.element_at(F.array(*[F.lit(x) for x in lx.NEWS_SITES]), ((k + 4) % 9 + 1).cast("int"))
+    return F.concat(
+        F.lit('<section class="fx">'),
+        F.when(k % 6 != 0, F.concat(F.lit('<div class="maps-card">Rated '), s(k % 5 + 1), F.lit("."), s(k % 10),
+                                    F.lit(" stars · "), _fmt(k * 13), F.lit(" reviews</div>"))).otherwise(F.lit("")),
+        F.lit('<div data-review-id="r'), s(k), F.lit('-1" aria-label="'), s(k % 5 + 1), F.lit(' stars">First review of page '),
+        s(k), F.lit(" by a visitor</div>"),
+        F.lit('<div data-review-id="r'), s(k), F.lit('-2" aria-label="Rated">Second review '), s(k), F.lit("</div>"),
+        F.lit('<span class="rating-value">'), s(k % 5), F.lit(".5</span>"),
+        F.lit('<div class="employee-review">Pros friendly team '), s(k), F.lit(" Cons slow promotions</div>"),
+        F.lit('<div class="review-container">Indeed review '), s(k), F.lit(" without markers</div>"),
+        F.lit('<ul><li class="job-post">Engineer at '), company, F.lit(" paying Rs. "), _fmt(k * 100), F.lit(" - "),
+        _fmt(k * 150), F.lit("</li></ul>"),
+        F.lit('<div class="vacancy-row">Vacancy '), s(k), F.lit(" open now</div>"),
+        F.lit('<p><a href="https://www.linkedin.com/company/co-'), s(k % 40), F.lit('/about">'), company, F.lit(" | "),
+        _fmt(k * 3), F.lit(" followers | "), s(k % 50), F.lit("-"), s(k % 50 + 10), F.lit(" employees</a></p>"),
+        F.lit('<div class="entity-result">Entity result card for page '), s(k), F.lit("</div>"),
+        F.lit('<p><a href="https://m.facebook.com/page'), s(k % 30), F.lit('?ref=s">Page '), s(k % 30), F.lit(" has "),
+        s(k % 9), F.lit(".5K likes and "), s(k % 5), F.lit(".5 out of 5</a></p>"),
+        F.lit('<div class="news-item"><h3>Headline '), s(k), F.lit(" about "), company, F.lit('</h3><a href="https://www.'),
+        site, F.lit("/news/"), s(k), F.lit('">more</a><span class="snippet">Snippet text '), s(k),
+        F.lit('</span><span class="date">'), s(k % 24), F.lit(" hours ago</span></div>"),
+        F.lit('<a href="https://www.'), site2, F.lit("/story/"), s(k), F.lit('">Story number '), s(k), F.lit(" in the paper</a>"),
+        F.when(k % 3 == 0, F.concat(F.lit('<a href="https://boards.greenhouse.io/co'), s(k), F.lit('">Apply here</a>'))).otherwise(F.lit("")),
+        F.lit('<a href="https://jobs.example.com/'), s(k), F.lit('">View jobs</a>'),
+        F.lit('<a href="https://jobs.example.com/'), s(k), F.lit('/all">Search jobs</a>'),
+        F.lit("</section>"),
+    )
+
+
+def wrapped_pages_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    k = F.col("page_id")
+    company = company_name(k % N_COMPANIES)
+    return p.select("page_id", "url", company.alias("company"),
+                    F.concat(F.col("html"), page_block(k, company)).alias("html"))

@@ -832,3 +832,95 @@ def _():
     FROM (SELECT page_id, CAST(generate_subscripts(ads, 1) AS INTEGER) AS card_rank, {py_strip('unnest(ads)')} AS txt
           FROM (SELECT page_id, regexp_extract_all(html, '(?s)<div class=\"ad\">(.*?)</div>', 1) AS ads FROM pages))
     WHERE card_rank <= 30 AND length(txt) >= 10 AND NOT {any_contains(t, lx.JOB_CARD_IGNORE_B)}"""
+
+
+# ------------------------------------------------------------- page sources
+
+PAGES_FX = ("pg", f"""
+SELECT page_id AS k, url, {company_name('page_id % ' + str(fx.N_COMPANIES))} AS company,
+  ({arr(lx.NEWS_SITES)})[page_id % 9 + 1] AS site, ({arr(lx.NEWS_SITES)})[(page_id + 4) % 9 + 1] AS site2,
+  (page_id + 4) % 9 AS site2_ord
+FROM pages
+""")
+
+
+def _f(x: str) -> str:
+    return f"format('{{:,}}', CAST({x} AS BIGINT))"
+
+
+@oracle("src_map_listing", extra=[PAGES_FX])
+def _():
+    star = "CASE WHEN k % 6 <> 0 THEN CAST(CAST(k % 5 + 1 AS VARCHAR) || '.' || CAST(k % 10 AS VARCHAR) AS DOUBLE) ELSE CAST(k % 5 + 1 AS DOUBLE) END"
+    rc = "CASE WHEN k % 6 <> 0 THEN CAST(k * 13 AS INTEGER) ELSE 0 END"
+    return (f"SELECT k AS page_id, company, company || ' on Google Maps: ' || CAST({star} AS VARCHAR) || ' stars, ' || "
+            f"CAST({rc} AS VARCHAR) || ' reviews' AS raw_text, {star} AS rating, {rc} AS review_count FROM pg")
+
+
+@oracle("src_map_reviews", extra=[PAGES_FX])
+def _():
+    return ("SELECT k AS page_id, 0 AS review_index, 'First review of page ' || CAST(k AS VARCHAR) || ' by a visitor' AS raw_text, "
+            "CAST(k % 5 + 1 AS DOUBLE) AS rating FROM pg UNION ALL "
+            "SELECT k, 1, 'Second review ' || CAST(k AS VARCHAR), CAST(NULL AS DOUBLE) FROM pg")
+
+
+@oracle("src_employee_reviews", extra=[PAGES_FX])
+def _():
+    r = "CAST(k % 5 AS DOUBLE) + 0.5"
+    return (f"SELECT k AS page_id, 1 AS cascade_rank, 0 AS tier, 'Pros: friendly team ' || CAST(k AS VARCHAR) || chr(10) || 'Cons: slow promotions' AS raw_text, "
+            f"{r} AS rating, 'friendly team ' || CAST(k AS VARCHAR) AS pros, 'slow promotions' AS cons, 'glassdoor' AS source_site FROM pg UNION ALL "
+            f"SELECT k, 2, 0, 'Indeed review ' || CAST(k AS VARCHAR) || ' without markers', {r}, '', '', 'glassdoor' FROM pg UNION ALL "
+            "SELECT k, 3, 1, 'Indeed review ' || CAST(k AS VARCHAR) || ' without markers', NULL, NULL, NULL, 'indeed' FROM pg")
+
+
+@oracle("src_job_listings", extra=[PAGES_FX])
+def _():
+    li = f"'Engineer at ' || company || ' paying Rs. ' || {_f('k * 100')} || ' - ' || {_f('k * 150')}"
+    prof = f"company || ' | ' || {_f('k * 3')} || ' followers | ' || CAST(k % 50 AS VARCHAR) || '-' || CAST(k % 50 + 10 AS VARCHAR) || ' employees'"
+    return (f"SELECT k AS page_id, 1 AS item_rank, {li} AS raw_text, 'Rs. ' || {_f('k * 100')} || ' - ' || {_f('k * 150')} AS salary_info FROM pg UNION ALL "
+            f"SELECT k, 2, {prof}, NULL FROM pg UNION ALL "
+            "SELECT k, 3, 'Headline ' || CAST(k AS VARCHAR) || ' about ' || company, NULL FROM pg")
+
+
+@oracle("src_job_cards_c", extra=[PAGES_FX])
+def _():
+    li = f"'Engineer at ' || company || ' paying Rs. ' || {_f('k * 100')} || ' - ' || {_f('k * 150')}"
+    return (f"SELECT k AS page_id, 1 AS item_rank, {li} AS raw_text FROM pg UNION ALL "
+            "SELECT k, 2, 'Vacancy ' || CAST(k AS VARCHAR) || ' open now' FROM pg")
+
+
+@oracle("src_careers_link", extra=[PAGES_FX])
+def _():
+    return ("SELECT k AS page_id, CASE WHEN k % 3 = 0 THEN 'https://boards.greenhouse.io/co' || CAST(k AS VARCHAR) "
+            "ELSE 'https://jobs.example.com/' || CAST(k AS VARCHAR) || '/all' END AS careers_url FROM pg")
+
+
+@oracle("src_profiles", extra=[PAGES_FX])
+def _():
+    prof = f"company || ' | ' || {_f('k * 3')} || ' followers | ' || CAST(k % 50 AS VARCHAR) || '-' || CAST(k % 50 + 10 AS VARCHAR) || ' employees'"
+    return (f"SELECT k AS page_id, 0 AS tier, 1 AS item_rank, 'https://www.linkedin.com/company/co-' || CAST(k % 40 AS VARCHAR) AS source_url, "
+            f"{prof} AS raw_text, {_f('k * 3')} AS followers, CAST(k % 50 AS VARCHAR) || '-' || CAST(k % 50 + 10 AS VARCHAR) AS employees FROM pg "
+            "UNION ALL SELECT k, 1, 1, '', 'Entity result card for page ' || CAST(k AS VARCHAR), NULL, NULL FROM pg")
+
+
+@oracle("src_social_pages", extra=[PAGES_FX])
+def _():
+    return ("SELECT k AS page_id, 1 AS item_rank, 'https://www.facebook.com/page' || CAST(k % 30 AS VARCHAR) AS source_url, "
+            "'Page ' || CAST(k % 30 AS VARCHAR) || ' has ' || CAST(k % 9 AS VARCHAR) || '.5K likes and ' || CAST(k % 5 AS VARCHAR) || '.5 out of 5' AS raw_text, "
+            "CAST(k % 5 AS DOUBLE) + 0.5 AS rating, CAST(k % 9 AS VARCHAR) || '.5K' AS likes FROM pg")
+
+
+@oracle("src_news_articles", extra=[PAGES_FX])
+def _():
+    return ("SELECT k AS page_id, 1 AS item_rank, '' AS source_url, 'Entity result card for page ' || CAST(k AS VARCHAR) AS raw_text, "
+            "NULL AS date_raw, '' AS headline, 'unknown' AS source_site FROM pg UNION ALL "
+            "SELECT k, 2, 'https://www.' || site || '/news/' || CAST(k AS VARCHAR), "
+            "'Headline ' || CAST(k AS VARCHAR) || ' about ' || company || chr(10) || chr(10) || 'Snippet text ' || CAST(k AS VARCHAR), "
+            "CAST(k % 24 AS VARCHAR) || ' hours ago', 'Headline ' || CAST(k AS VARCHAR) || ' about ' || company, site FROM pg")
+
+
+@oracle("src_news_links", extra=[PAGES_FX])
+def _():
+    return ("SELECT k AS page_id, 1 AS cascade_rank, 0 AS tier, '' AS source_url, '' AS headline, 'unknown' AS source_site FROM pg UNION ALL "
+            "SELECT k, 2, 0, 'https://www.' || site || '/news/' || CAST(k AS VARCHAR), 'Headline ' || CAST(k AS VARCHAR) || ' about ' || company, site FROM pg "
+            "UNION ALL SELECT k, 3, 1, 'https://www.' || site2 || '/story/' || CAST(k AS VARCHAR), 'Story number ' || CAST(k AS VARCHAR) || ' in the paper', site2 "
+            "FROM pg WHERE site2_ord < 5")

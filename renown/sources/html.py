@@ -22,8 +22,11 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 NON_TEXT = {"script", "style", "template"}
 DEFAULT_TAGS = ("a", "div", "li", "tr", "td", "span", "p", "h1", "h2", "h3", "article", "section", "body")
 
-ELEMENT_SCHEMA = ("page_id long, pos int, tag string, cls string, href string, aria_label string, "
-                  "first_href string, depth int, text string")
+ELEMENT_SCHEMA = ("page_id long, pos int, end_pos int, parent_pos int, tag string, cls string, href string, "
+                  "aria_label string, review_id string, test_id string, first_href string, depth int, "
+                  "own_texts array<string>, text string")
+FIELDS = ["page_id", "pos", "end_pos", "parent_pos", "tag", "cls", "href", "aria_label", "review_id", "test_id",
+          "first_href", "depth", "own_texts", "text"]
 
 
 class _Collector(HTMLParser):
@@ -44,7 +47,10 @@ class _Collector(HTMLParser):
         if tag in VOID:
             return
         el = {"pos": self.pos, "tag": tag, "cls": a.get("class"), "href": a.get("href"),
-              "aria_label": a.get("aria-label"), "first_href": None, "depth": len(self.stack), "parts": []}
+              "aria_label": a.get("aria-label"), "review_id": a.get("data-review-id"),
+              "test_id": a.get("data-testid") or a.get("data-test"), "first_href": None,
+              "depth": len(self.stack), "parent_pos": self.stack[-1]["pos"] if self.stack else -1,
+              "parts": [], "own": []}
         self.pos += 1
         self.stack.append(el)
         if tag in NON_TEXT:
@@ -63,6 +69,7 @@ class _Collector(HTMLParser):
                 return
 
     def _close(self, el):
+        el["end_pos"] = self.pos
         if el["tag"] in NON_TEXT:
             self.skip -= 1
         if el["tag"] in self.keep:
@@ -71,6 +78,8 @@ class _Collector(HTMLParser):
     def handle_data(self, data):
         if self.skip:
             return
+        if self.stack and data:
+            self.stack[-1]["own"].append(data)
         s = data.strip()
         if s:
             for el in self.stack:
@@ -96,25 +105,25 @@ def parse_elements(html: str, keep: set[str]) -> list[dict]:
 def _elements_fn(keep: set[str], id_col: str, html_col: str):
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = {k: [] for k in ("page_id", "pos", "tag", "cls", "href", "aria_label", "first_href", "depth", "text")}
+            out = {k: [] for k in FIELDS}
             for pid, html in zip(pdf[id_col].tolist(), pdf[html_col].tolist()):
                 for el in parse_elements(html, keep):
                     out["page_id"].append(pid)
-                    out["pos"].append(el["pos"])
-                    out["tag"].append(el["tag"])
-                    out["cls"].append(el["cls"])
-                    out["href"].append(el["href"])
-                    out["aria_label"].append(el["aria_label"])
-                    out["first_href"].append(el["first_href"])
-                    out["depth"].append(el["depth"])
+                    for k in FIELDS[1:-2]:
+                        out[k].append(el[k])
+                    out["own_texts"].append(el["own"])
                     out["text"].append("".join(el["parts"]))
-            yield pd.DataFrame(out).astype({"page_id": "int64", "pos": "int32", "depth": "int32"})
+            yield pd.DataFrame(out).astype({"page_id": "int64", "pos": "int32", "end_pos": "int32",
+                                            "parent_pos": "int32", "depth": "int32"})
     return fn
 
 
 def html_elements(pages: DataFrame, tags=DEFAULT_TAGS, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """pages(page_id, html) -> elements(page_id, pos, tag, cls, href,
-    aria_label, first_href, depth, text) in document order."""
+    """pages(page_id, html) -> one row per element of the kept tags, in
+    document order: position, extent (descendants have pos in
+    (pos, end_pos)), parent position, tag, class, href, aria-label, review
+    id, test id, first descendant link, depth, direct text children and the
+    stripped text."""
     fn = _elements_fn(set(tags), id_col, html_col)
     return pages.select(id_col, html_col).mapInPandas(fn, ELEMENT_SCHEMA)
 
