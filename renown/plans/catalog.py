@@ -404,8 +404,14 @@ def company_report(spark, sf):
 
 @query
 def export_report_json(spark, sf):
-    r = fx_report(spark, sf)
-    return r.select("company", F.to_json(F.struct(*[F.col(c) for c in r.columns])).alias("report_json"))
+    from renown.sources.exports import report_json
+    return report_json(fx_report(spark, sf))
+
+
+@query
+def export_report_lines(spark, sf):
+    from renown.sources.exports import report_lines
+    return report_lines(fx_report(spark, sf))
 
 
 # --------------------------------------------------------------------- views
@@ -729,3 +735,9 @@ def src_news_links(spark, sf):
     arts = PG.news_articles(el)
     links = PG.news_links(el, already=arts)
     return PG.news_cascade(arts, links).select("page_id", "cascade_rank", "tier", "source_url", "headline", "source_site")
+
+
+@query
+def src_web_html(spark, sf):
+    _, el = fx_page_elements(spark, sf)
+    return PG.web_result_blocks(el).select("page_id", "source_url", "raw_text", "title")

@@ -288,6 +288,9 @@ def page_block(k, company) -> F.Column:
         F.when(k % 3 == 0, F.concat(F.lit('<a href="https://boards.greenhouse.io/co'), s(k), F.lit('">Apply here</a>'))).otherwise(F.lit("")),
         F.lit('<a href="https://jobs.example.com/'), s(k), F.lit('">View jobs</a>'),
         F.lit('<a href="https://jobs.example.com/'), s(k), F.lit('/all">Search jobs</a>'),
+        F.lit('<div class="g"><a href="https://shop'), s(k % 7), F.when(k % 2 == 1, F.lit(".lk")).otherwise(F.lit(".com")),
+        F.lit("/r/"), s(k), F.lit('"><h3>Result title '), s(k), F.lit('</h3></a><span class="st">Snippet for result '), s(k),
+        F.when(k % 4 == 0, F.lit(" colombo")).otherwise(F.lit("")), F.lit("</span></div>"),
         F.lit("</section>"),
     )
 

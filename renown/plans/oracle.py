@@ -924,3 +924,11 @@ def _():
             "SELECT k, 2, 0, 'https://www.' || site || '/news/' || CAST(k AS VARCHAR), 'Headline ' || CAST(k AS VARCHAR) || ' about ' || company, site FROM pg "
             "UNION ALL SELECT k, 3, 1, 'https://www.' || site2 || '/story/' || CAST(k AS VARCHAR), 'Story number ' || CAST(k AS VARCHAR) || ' in the paper', site2 "
             "FROM pg WHERE site2_ord < 5")
+
+
+@oracle("src_web_html", extra=[PAGES_FX])
+def _():
+    url = "'https://shop' || CAST(k % 7 AS VARCHAR) || CASE WHEN k % 2 = 1 THEN '.lk' ELSE '.com' END || '/r/' || CAST(k AS VARCHAR)"
+    snip = "'Snippet for result ' || CAST(k AS VARCHAR) || CASE WHEN k % 4 = 0 THEN ' colombo' ELSE '' END"
+    return (f"SELECT k AS page_id, {url} AS source_url, 'Result title ' || CAST(k AS VARCHAR) || chr(10) || chr(10) || {snip} AS raw_text, "
+            "'Result title ' || CAST(k AS VARCHAR) AS title FROM pg WHERE k % 2 = 1 OR k % 4 = 0")

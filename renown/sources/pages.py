@@ -241,3 +241,25 @@ def news_links(elements: DataFrame, sites=None, cap: int = lx.PLATFORM_CAPS["new
     return x.select("page_id", "site_ord", "pos", F.lit("news").alias("source_platform"), F.col("href").alias("source_url"),
                     tx.safe_text("text").alias("raw_text"), F.col("text").alias("headline"), F.col("site").alias("source_site"),
                     F.lit(1).alias("tier"))
+
+
+# ------------------------------------------------------------ web search
+
+def web_result_blocks(elements: DataFrame) -> DataFrame:
+    """Search-result blocks (div with class token 'g'): link required, title
+    from the first h3, snippet from the first span/div with class st|snippet;
+    kept only when title + snippet + url pass the geography test."""
+    from renown.operators.relevance import geo_predicate
+
+    g = elements.where((F.col("tag") == "div") & F.array_contains(F.split(F.coalesce("cls", F.lit("")), " "), "g")
+                       & F.col("first_href").isNotNull())
+    g = _first_descendant(g, elements.where(F.col("tag") == "h3"), "h", ["text"])
+    g = _first_descendant(g, elements.where(F.col("tag").isin("span", "div") & class_matches("st|snippet")), "s", ["text"])
+    title = F.coalesce(F.col("h.text"), F.lit(""))
+    snippet = F.coalesce(F.col("s.text"), F.lit(""))
+    url = F.col("first_href")
+    g = g.withColumn("_combined", F.concat_ws(" ", title, snippet, url))
+    g = g.where(geo_predicate("_combined", url))
+    return g.select("page_id", "pos", F.lit("web").alias("source_platform"), url.alias("source_url"),
+                    tx.safe_text(F.concat(title, F.lit("\n\n"), snippet)).alias("raw_text"), title.alias("title"),
+                    F.lit("google").alias("search_engine"), F.lit("web_result").alias("type"))
