@@ -174,8 +174,6 @@ def section_rows(df: DataFrame) -> DataFrame:
                                           F.concat(F.lit("r/"), sub)))).alias("subreddits_searched"),
         avg_rating_expr().alias("avg_rating"),
         F.coalesce(F.max(F.when(meta("review_count") != 0, meta("review_count"))), F.lit(0)).alias("review_count"),
-        F.slice(collect_ordered(meta("pros"), where=plat == "glassdoor"), 1, 5).alias("top_pros"),
-        F.slice(collect_ordered(meta("cons"), where=plat == "glassdoor"), 1, 5).alias("top_cons"),
         F.array_sort(F.collect_set(F.when((plat == "glassdoor") & (F.coalesce(role, F.lit("")) != ""), role))).alias("roles_represented"),
         first_value(F.when(plat == "topjobs", meta("salary_info"))).alias("salary_range_lkr"),
         collect_ordered(meta("salary_info"), where=plat == "topjobs").alias("all_salary_info"),
@@ -189,13 +187,28 @@ def section_rows(df: DataFrame) -> DataFrame:
             .withColumn("active_job_count", F.col("result_count"))
             .withColumn("hiring_trend", hiring_trend("result_count")))
     out = base
-    for p in (_theme_lists(d, keys), _quote_lists(d, keys), _url_lists(d, keys)):
+    for p in (_theme_lists(d, keys), _quote_lists(d, keys), _url_lists(d, keys), _pros_cons_lists(d, keys)):
         out = out.join(p, keys, "left")
-    for c in ("top_themes", "sample_quotes", "urls"):
+    for c in ("top_themes", "sample_quotes", "urls", "top_pros", "top_cons"):
         out = out.withColumn(c, F.coalesce(c, EMPTY_()))
     return out
 
 
+def _pros_cons_lists(d: DataFrame, keys, k: int = 5) -> DataFrame:
+    """First ``k`` non-empty pros and cons of employee reviews by seq.  Both
+    lists come from one ranked pass with a literal bound, so Spark keeps a
+    partial top-k per input partition instead of collecting every value."""
+    e = d.where(F.col("source_platform") == "glassdoor").select(
+        *keys, "seq", F.inline(F.array(F.struct(F.lit("pros").alias("kind"), F.col("metadata.pros").alias("v")),
+                                       F.struct(F.lit("cons").alias("kind"), F.col("metadata.cons").alias("v")))))
+    e = e.where(F.coalesce("v", F.lit("")) != "")
+    w = Window.partitionBy(*keys, "kind").orderBy("seq")
+    e = e.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    pick = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("_r", "v")))),
+                                    lambda x: x["v"])
+    return e.groupBy(*keys).agg(pick("pros").alias("top_pros"), pick("cons").alias("top_cons"))
+
+
 def section_struct(rows: DataFrame, platform: str) -> F.Column:
     cols = SECTION_COLUMNS[platform]
     return F.struct(F.lit(lx.SECTION_NAMES[platform]).alias("platform"), *[F.col(c) for c in cols])

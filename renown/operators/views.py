@@ -20,30 +20,38 @@ def rank_by(ranks: dict, default: int, col: str) -> Column:
     return F.coalesce(F.try_element_at(map_lit(ranks), F.col(col)), F.lit(default))
 
 
-def ranked(df: DataFrame, order: list[Column], keys=KEYS, out: str = "view_rank") -> DataFrame:
-    """Explicit rank within each tab; ``seq`` is the final key, so the order
-    is total and equals a stable sort of first-seen order."""
-    w = Window.partitionBy(*keys).orderBy(*order, F.col("seq"))
-    return df.withColumn(out, F.row_number().over(w))
+def ranked(df: DataFrame, order: list[tuple[Column, bool]], keys=KEYS, out: str = "view_rank") -> DataFrame:
+    """Explicit rank within each tab for ``order`` = [(expression,
+    descending)], with ``seq`` as the final key, so the order is total and
+    equals a stable sort of first-seen order.  Ranks are computed on a slim
+    key table (range-partitioned, see ``rank_within_groups``) and joined back
+    on (keys, seq), so no tab is sorted in a single task."""
+    from renown.plans.strategy import rank_within_groups
+
+    slim = df.select(*keys, "seq", *[e.alias(f"_o{i}") for i, (e, _) in enumerate(order)])
+    sort = [F.col(f"_o{i}").desc() if desc else F.col(f"_o{i}").asc() for i, (_, desc) in enumerate(order)]
+    r = rank_within_groups(slim, keys, [*sort, F.col("seq").asc()], out).select(*keys, "seq", out)
+    return df.join(r, [*keys, "seq"])
 
 
 def view_recent(df: DataFrame) -> DataFrame:
-    return ranked(df, [F.coalesce("date_raw", F.lit("")).desc()])
+    return ranked(df, [(F.coalesce("date_raw", F.lit("")), True)])
 
 
 def view_negative(df: DataFrame) -> DataFrame:
     r, d = lx.RANK_MOST_NEGATIVE
-    return ranked(df, [rank_by(r, d, "sentiment")])
+    return ranked(df, [(rank_by(r, d, "sentiment"), False)])
 
 
 def view_positive(df: DataFrame) -> DataFrame:
     r, d = lx.RANK_MOST_POSITIVE
-    return ranked(df, [rank_by(r, d, "sentiment")])
+    return ranked(df, [(rank_by(r, d, "sentiment"), False)])
 
 
 def view_severity(df: DataFrame) -> DataFrame:
     r, d = lx.RANK_SEVERITY
-    return ranked(df.withColumn("_sev", F.coalesce("severity", F.lit("low"))), [rank_by(r, d, "_sev")]).drop("_sev")
+    d2 = df.withColumn("_sev", F.coalesce("severity", F.lit("low")))
+    return ranked(d2, [(rank_by(r, d, "_sev"), False)]).drop("_sev")
 
 
 def labelled_mentions(df: DataFrame) -> DataFrame:

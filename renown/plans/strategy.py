@@ -52,3 +52,31 @@ def materialize(df: DataFrame) -> DataFrame:
     in the shared checkpoint folder) instead of recomputing its text work per
     consumer; lineage is cut, so executor loss re-reads the written data."""
     return cut_lineage(df)
+
+
+def rank_within_groups(df: DataFrame, keys, order, out: str = "rank", num_partitions: int | None = None) -> DataFrame:
+    """1-based position of every row inside its group under a total order,
+    without sorting any group in a single task.
+
+    Rows are range-partitioned on (keys, order) and sorted inside each
+    partition, so a hot group is spread over many consecutive partitions.
+    A row's rank is the number of rows of its group in earlier partitions
+    (prefix sums over a small count table: groups x partitions) plus its
+    position inside its own partition.  ``order`` must end with a unique
+    column (e.g. ``seq``) so the order is total; the keyed row table is
+    checkpointed so partition ids and positions are stable.
+    """
+    keys = list(keys)
+    order = list(order)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    k = df.repartitionByRange(n, *[F.col(c) for c in keys], *order).sortWithinPartitions(*[F.col(c) for c in keys], *order)
+    k = k.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_pid", F.spark_partition_id())
+    k = cut_lineage(k)
+    from pyspark.sql import Window
+
+    stats = k.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
+    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = stats.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
+    r = k.join(offs.select(*keys, "_pid", "_before", "_first"), [*keys, "_pid"])
+    return r.withColumn(out, (F.col("_before") + F.col("_mid") - F.col("_first") + 1).cast("long")).drop(
+        "_mid", "_pid", "_before", "_first")

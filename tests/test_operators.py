@@ -105,3 +105,15 @@ def test_snapshot_ttl_and_age(spark):
     assert fresh == {"co"}
     ages = {r["company"]: r["age_text"] for r in SN.snapshot_age(latest, "2024-01-31 00:00:00").collect()}
     assert ages["co"] == "1h 30m ago"
+
+
+def test_rank_within_groups_hot_group(spark):
+    from pyspark.sql import Window
+
+    from renown.plans.strategy import rank_within_groups
+
+    rows = [("hot", i % 7, i) for i in range(300)] + [("cold", i % 3, 1000 + i) for i in range(20)]
+    df = spark.createDataFrame(rows, "g string, k long, seq long")
+    got = rank_within_groups(df, ["g"], [F.col("k").desc(), F.col("seq").asc()], "r", num_partitions=9)
+    want = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.col("k").desc(), "seq")))
+    assert sorted(map(tuple, got.select("g", "seq", "r").collect())) == sorted(map(tuple, want.select("g", "seq", "r").collect()))
