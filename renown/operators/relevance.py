@@ -76,15 +76,21 @@ def analyzable_mentions(mentions: DataFrame) -> DataFrame:
 def pipeline_funnel(mentions: DataFrame, needles: DataFrame, alias_keys=None) -> DataFrame:
     """One pass: per company raw, irrelevant, non-geo, validated, duplicate
     (exact fingerprint) and analyzable counts."""
-    from renown.operators.dedup import fingerprint_survivor_flag
+    from renown.functions.text import fingerprint
+    from renown.plans.strategy import materialize
 
+    # whole-text work once, then a slim stage (no text) read by both branches
     st = flag_stages(mentions, needles, alias_keys)
-    st = fingerprint_survivor_flag(st, only=F.col("validated"))
+    st = materialize(st.select("company", "seq", "relevant", "geo_ok", "validated",
+                               fingerprint("raw_text").alias("_fp"), is_analyzable().alias("_ok")))
+    keep = st.where("validated").groupBy("company", "_fp").agg(F.min("seq").alias("seq")).withColumn("survivor", F.lit(True))
+    st = st.join(keep.select("company", "seq", "survivor"), ["company", "seq"], "left").withColumn(
+        "survivor", F.coalesce("survivor", F.lit(False)))
     return st.groupBy("company").agg(
         F.count(F.lit(1)).alias("raw"),
         F.count_if(~F.col("relevant")).alias("irrelevant"),
         F.count_if(F.col("relevant") & ~F.col("validated")).alias("non_geo"),
         F.count_if("validated").alias("validated"),
         F.count_if(F.col("validated") & ~F.col("survivor")).alias("duplicates"),
-        F.count_if(F.col("validated") & F.col("survivor") & is_analyzable()).alias("analyzed"),
+        F.count_if(F.col("validated") & F.col("survivor") & F.col("_ok")).alias("analyzed"),
     )

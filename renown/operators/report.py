@@ -22,6 +22,20 @@ def rule_score(total: Column, pos: Column, neg: Column, crisis_rows: Column) ->
     return F.when(total == 0, F.lit(50)).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), s))).cast("int")
 
 
+# the longest text prefix any report consumer reads: quotes test len > 200
+# and keep 200 chars, prompts keep 200, headlines 100
+REPORT_TEXT_CHARS = 201
+
+
+def report_input(classified: DataFrame) -> DataFrame:
+    """Classified mentions reduced to what the report reads.  Tagging has
+    already run on the whole texts; afterwards every report consumer looks
+    at no more than the first 201 characters (quote length tests and quote
+    text, headline defaults), so the text is cut to that length before the
+    stage is written once and read by all aggregates."""
+    return classified.withColumn("raw_text", F.substring(F.col("raw_text"), 1, REPORT_TEXT_CHARS))
+
+
 def company_scorecard(classified: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
     """Per company: totals, sentiment counts, rows with crisis flags, rule
     score, final score (summary score when present) and band."""

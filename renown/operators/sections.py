@@ -144,7 +144,7 @@ SECTION_COLUMNS = {
     "linkedin": ["result_count", "followers", "employees", "positive", "negative", "neutral", "sample_quotes", "urls"],
     "facebook": ["result_count", "avg_rating", "page_likes", "positive", "negative", "neutral", "top_themes",
                  "sample_quotes", "urls"],
-    "news": ["result_count", "articles", "positive", "negative", "neutral", "top_themes", "urls"],
+    "news": ["result_count", "articles", "latest_articles", "positive", "negative", "neutral", "top_themes", "urls"],
     "web": ["result_count", "positive", "negative", "neutral", "top_themes", "sample_quotes", "urls"],
 }
 
@@ -183,7 +183,8 @@ def section_rows(df: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.when(plat == "news", F.struct(F.col("seq").alias("o"), art.alias("v"))))),
                     lambda e: e["v"]).alias("articles"),
     )
-    base = (base.withColumn("employee_count", F.col("result_count"))
+    base = (base.withColumn("latest_articles", F.slice("articles", 1, 5))
+            .withColumn("employee_count", F.col("result_count"))
             .withColumn("active_job_count", F.col("result_count"))
             .withColumn("hiring_trend", hiring_trend("result_count")))
     out = base

@@ -355,9 +355,9 @@ def flat_section(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         t = f.dataType.simpleString()
-        if f.name == "articles":
-            cols.append(F.array_join(F.transform("articles", lambda a: F.concat_ws(
-                "~", a["headline"], a["source"], F.coalesce(a["date"], F.lit("")), a["sentiment"], a["url"])), "|").alias("articles"))
+        if f.name in ("articles", "latest_articles"):
+            cols.append(F.array_join(F.transform(f.name, lambda a: F.concat_ws(
+                "~", a["headline"], a["source"], F.coalesce(a["date"], F.lit("")), a["sentiment"], a["url"])), "|").alias(f.name))
         elif t.startswith("array"):
             cols.append(jn(f.name).alias(f.name))
         else:
@@ -382,7 +382,7 @@ for _name, _plat in [("section_forum", "reddit"), ("section_maps", "google_maps"
 def fx_report(spark, sf):
     from renown.plans.strategy import materialize
     # read by the scorecard, the section aggregates and the flag union
-    c = materialize(scored_mentions(spark, sf))
+    c = materialize(RP.report_input(scored_mentions(spark, sf)))
     summ = SM.parse_summaries(summary_responses_fx(spark, sf))
     flags = SM.company_crisis_flags(c, summ)
     return RP.company_report(c, summ, flags, model_used="external", generated_at=fx.AS_OF.replace(" ", "T"))
@@ -657,9 +657,12 @@ ALL_TAGS = ("a", "div", "li", "tr", "td", "span", "p", "h1", "h2", "h3", "time",
 
 
 def fx_page_elements(spark, sf):
+    """Pages and their element table; the element table is parsed once and
+    materialized, because every extractor reads it several times."""
+    from renown.plans.strategy import materialize
     w = fx.wrapped_pages_fx(spark, sf)
     el = HT.html_elements(w, tags=ALL_TAGS)
-    return w, el.join(w.select("page_id", "company"), "page_id")
+    return w, materialize(el.join(w.select("page_id", "company"), "page_id"))
 
 
 @query
@@ -741,3 +744,14 @@ def src_news_links(spark, sf):
 def src_web_html(spark, sf):
     _, el = fx_page_elements(spark, sf)
     return PG.web_result_blocks(el).select("page_id", "source_url", "raw_text", "title")
+
+
+
+@query
+def cache_hits(spark, sf):
+    """Per company: sources served from a fresh snapshot, sources to fetch,
+    and the cache-hit ratio (the funnel's cache line)."""
+    plan = QUERIES["fetch_plan"](spark, sf)
+    g = plan.groupBy("company").agg(F.count_if(F.col("action") == "cached").alias("cached"),
+                                    F.count_if(F.col("action") == "fetch").alias("to_fetch"))
+    return g.withColumn("hit_ratio", F.round(F.col("cached") / (F.col("cached") + F.col("to_fetch")), 6))

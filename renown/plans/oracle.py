@@ -517,6 +517,7 @@ def section_sql(plat: str) -> str:
         art = ("concat_ws('~', coalesce(metadata.headline, substring(coalesce(raw_text, ''), 1, 100)), "
                "coalesce(metadata.source_site, 'unknown'), coalesce(date_raw, ''), sentiment, coalesce(source_url, ''))")
         cols.append(f"coalesce(string_agg({art}, '|' ORDER BY seq), '') AS articles")
+        cols.append(f"coalesce(array_to_string((list({art} ORDER BY seq))[1:5], '|'), '') AS latest_articles")
     sql = f"WITH base AS (SELECT * FROM scored_fx WHERE source_platform = {q(plat)}),\n"
     sql += f"agg AS (SELECT {', '.join(cols)} FROM base GROUP BY company)"
     sel = ["agg.*"]
@@ -932,3 +933,83 @@ def _():
     snip = "'Snippet for result ' || CAST(k AS VARCHAR) || CASE WHEN k % 4 = 0 THEN ' colombo' ELSE '' END"
     return (f"SELECT k AS page_id, {url} AS source_url, 'Result title ' || CAST(k AS VARCHAR) || chr(10) || chr(10) || {snip} AS raw_text, "
             "'Result title ' || CAST(k AS VARCHAR) AS title FROM pg WHERE k % 2 = 1 OR k % 4 = 0")
+
+
+# ------------------------------------------------------------ report lines
+
+def _latin1_sql(t: str) -> str:
+    x = t
+    for old, new in lx.LATIN1_REPLACEMENTS:
+        x = f"replace({x}, {q(old)}, {q(new)})"
+    return f"regexp_replace({x}, '[^\\x{{0}}-\\x{{FF}}]', '?', 'g')"
+
+
+def _report_lines_sql() -> str:
+    d = lx.REPORT_SUMMARY_DEFAULTS
+    plat_ord = _case_map("source_platform", {p: i for i, p in enumerate(lx.PLATFORMS)}, "NULL")
+    plat_name = _case_map("source_platform", lx.SECTION_NAMES, "NULL")
+    score = "coalesce(s.overall_score, c.rule_score)"
+    head = [
+        "SELECT company, 0 AS section_ord, 0 AS item_ord, 'Company Reputation Report' AS text FROM card",
+        "SELECT company, 1, 0, 'Company: ' || company FROM card",
+        f"SELECT company, 2, 0, 'Generated: ' || {q(fx.AS_OF.replace(' ', 'T'))} FROM card",
+        "SELECT company, 3, 0, 'Model: external' FROM card",
+        "SELECT company, 4, 0, 'Total Results: ' || CAST(total_results AS VARCHAR) FROM card",
+        "SELECT company, 5, 0, 'Overall Score: ' || CAST(score AS VARCHAR) || '/100' FROM card",
+        "SELECT company, 6, 0, 'What Employees Say:' FROM card",
+        f"SELECT company, 6, 1, coalesce(what_employees_say, {q(d['what_employees_say'])}) FROM card",
+        "SELECT company, 7, 0, 'What Customers Say:' FROM card",
+        f"SELECT company, 7, 1, coalesce(what_customers_say, {q(d['what_customers_say'])}) FROM card",
+        "SELECT company, 8, 0, 'What Press Says:' FROM card",
+        f"SELECT company, 8, 1, coalesce(what_press_says, {q(d['what_press_says'])}) FROM card",
+        "SELECT company, 9, 0, 'Top Pros:' FROM card",
+        "SELECT company, 9, CAST(generate_subscripts(pros, 1) AS INTEGER), '  + ' || unnest(pros) FROM card",
+        "SELECT company, 10, 0, 'Top Cons:' FROM card",
+        "SELECT company, 10, CAST(generate_subscripts(cons, 1) AS INTEGER), '  - ' || unnest(cons) FROM card",
+        "SELECT company, 11, 0, 'CRISIS FLAGS:' FROM card WHERE len(flags) > 0",
+        "SELECT company, 11, CAST(generate_subscripts(flags, 1) AS INTEGER), '  ! ' || unnest(flags) FROM card",
+        "SELECT company, 12, 0, 'Recommendation:' FROM card",
+        f"SELECT company, 12, 1, coalesce(recommendation, {q(d['recommendation'])}) FROM card",
+        "SELECT company, 13, 0, 'Results by Source & Links' FROM card",
+        "SELECT company, 20 + ord, 0, name || ': ' || CAST(n AS VARCHAR) || ' results' FROM src",
+        "SELECT company, 20 + ord, 1, '  Positive: ' || CAST(pos AS VARCHAR) || ' | Neutral: ' || CAST(neu AS VARCHAR) || "
+        "' | Negative: ' || CAST(neg AS VARCHAR) FROM src WHERE source_platform <> 'topjobs'",
+        "SELECT company, 20 + ord, CAST(generate_subscripts(urls, 1) + 1 AS INTEGER), '  ' || unnest(urls) FROM src",
+    ]
+    card = f"""
+      SELECT c.company, c.total_results, {score} AS score, s.what_employees_say, s.what_customers_say, s.what_press_says,
+             s.recommendation, coalesce(s.top_5_pros, []) AS pros, coalesce(s.top_5_cons, []) AS cons,
+             coalesce(f.crisis_flags, []) AS flags
+      FROM (SELECT company, count(*) AS total_results,
+              {score_sql('count(*)', "count_if(sentiment = 'positive')", "count_if(sentiment = 'negative')", 'count_if(len(crisis_flags) > 0)')} AS rule_score
+            FROM scored_fx GROUP BY company) c
+      LEFT JOIN summary_parsed_fx s USING (company) LEFT JOIN flags_fx f USING (company)"""
+    src = f"""
+      SELECT company, source_platform, {plat_ord} AS ord, {plat_name} AS name, count(*) AS n,
+             count_if(sentiment = 'positive') AS pos, count_if(sentiment = 'neutral') AS neu, count_if(sentiment = 'negative') AS neg,
+             list(DISTINCT source_url) FILTER (WHERE starts_with(coalesce(source_url, ''), 'http')) AS _u
+      FROM scored_fx GROUP BY company, source_platform"""
+    src2 = f"""
+      SELECT s.*, coalesce(u.urls, []) AS urls FROM ({src}) s LEFT JOIN (
+        SELECT company, source_platform, list(source_url ORDER BY first_seq) AS urls FROM (
+          SELECT company, source_platform, source_url, min(seq) AS first_seq FROM scored_fx
+          WHERE starts_with(coalesce(source_url, ''), 'http') GROUP BY ALL) GROUP BY ALL) u USING (company, source_platform)"""
+    body = " UNION ALL ".join(head)
+    return with_views(f"SELECT company, section_ord, item_ord, {_latin1_sql('text')} AS text FROM ({body})",
+                      "mentions_fx", extra=[SCORED, SUMMARY_RESP, SUMMARY_PARSED, FLAGS, ("card", card), ("src", src2)])
+
+
+ORACLE["export_report_lines"] = _report_lines_sql()
+
+
+
+@oracle("cache_hits", "snapshots_fx", extra=[LATEST])
+def _():
+    srcs = ", ".join(f"({q(x)})" for x in fx.SNAPSHOT_SOURCES)
+    return f"""
+    SELECT company, CAST(count_if(action = 'cached') AS BIGINT) AS cached, CAST(count_if(action = 'fetch') AS BIGINT) AS to_fetch,
+      round(count_if(action = 'cached') / count(*), 6) AS hit_ratio FROM (
+      SELECT c.company, CASE WHEN f.company IS NOT NULL THEN 'cached' ELSE 'fetch' END AS action
+      FROM (SELECT DISTINCT company FROM snapshots_fx) c CROSS JOIN (VALUES {srcs}) s(source)
+      LEFT JOIN (SELECT * FROM latest_fx WHERE {AGE} <= {lx.SNAPSHOT_TTL_SECONDS}) f
+        ON f.company = lower(c.company) AND f.source = lower(s.source)) GROUP BY company"""

@@ -117,3 +117,11 @@ def test_rank_within_groups_hot_group(spark):
     got = rank_within_groups(df, ["g"], [F.col("k").desc(), F.col("seq").asc()], "r", num_partitions=9)
     want = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.col("k").desc(), "seq")))
     assert sorted(map(tuple, got.select("g", "seq", "r").collect())) == sorted(map(tuple, want.select("g", "seq", "r").collect()))
+
+
+def test_hashed_embedder_exact_copies(spark):
+    df = spark.createDataFrame([("c", 1, "the same words here"), ("c", 2, "The  same words HERE"), ("c", 3, "entirely different")],
+                               "company string, seq long, raw_text string")
+    v = D.hashed_text_vectors(df, num_features=64)
+    pairs = [(r["a"], r["b"]) for r in D.near_dup_pairs(v, 0.85).collect()]
+    assert pairs == [(1, 2)]
