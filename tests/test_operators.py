@@ -66,14 +66,17 @@ def test_greedy_survivors_matches_sequential(spark):
     edges = sorted({(a, b) for a, b in ((rnd.randrange(n), rnd.randrange(n)) for _ in range(260)) if a < b})
     nodes = spark.createDataFrame([("c", i) for i in range(n)], "company string, seq long")
     e = spark.createDataFrame([("c", a, b) for a, b in edges], "company string, a long, b long")
-    got = sorted(r["seq"] for r in D.greedy_survivors(nodes, e).where("kept").collect())
-    assert got == greedy_brute(n, edges)
+    want = greedy_brute(n, edges)
+    # the size-checked sequential path and the parallel rounds agree with the brute force
+    assert sorted(r["seq"] for r in D.greedy_survivors(nodes, e).where("kept").collect()) == want
+    assert sorted(r["seq"] for r in D.greedy_survivors(nodes, e, local_max_edges=0).where("kept").collect()) == want
 
 
 def test_chain_is_not_connected_components(spark):
     nodes = spark.createDataFrame([("c", i) for i in range(3)], "company string, seq long")
     e = spark.createDataFrame([("c", 0, 1), ("c", 1, 2)], "company string, a long, b long")
     assert sorted(r["seq"] for r in D.greedy_survivors(nodes, e).where("kept").collect()) == [0, 2]
+    assert sorted(r["seq"] for r in D.greedy_rounds(nodes, e).where("kept").collect()) == [0, 2]
 
 
 def test_near_dup_pairs_blocked_equals_brute(spark):
