@@ -78,9 +78,6 @@ def format_epoch(c) -> Column:
     ).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
-def nullif_empty(c) -> Column:
-    c = col_(c)
-    return F.when(c == "", F.lit(None).cast("string")).otherwise(c)
 
 
 def rx_first(c, pattern: str, group: int = 0) -> Column:
@@ -185,10 +182,6 @@ def latin1_safe(c) -> Column:
     return F.regexp_replace(t, r"[^\x{0}-\x{FF}]", "?")
 
 
-def contains_any(text_lower: Column, needles) -> Column:
-    """True when any needle (already lower-case) is a substring; short-circuits."""
-    arr = F.array(*[F.lit(n) for n in needles]) if isinstance(needles, (list, tuple)) else needles
-    return F.exists(arr, lambda n: text_lower.contains(n))
 
 
 def url_host(url) -> Column:

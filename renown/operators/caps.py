@@ -38,7 +38,9 @@ def capped_threads(posts: DataFrame, cap: int = lx.FORUM_SOFT_CAP) -> DataFrame:
 def cascade_first_nonempty(df: DataFrame, tier_col: str = "tier", keys=("company",)) -> DataFrame:
     """Use a later tier only when every earlier tier gave nothing: keep the
     rows of the smallest tier present per key (aggregate + join, no window)."""
-    m = df.groupBy(*keys).agg(F.min(tier_col).alias("_min_tier"))
+    from renown.plans.strategy import broadcast_if_small
+
+    m = broadcast_if_small(df.groupBy(*keys).agg(F.min(tier_col).alias("_min_tier")))
     return df.join(m, list(keys)).where(F.col(tier_col) == F.col("_min_tier")).drop("_min_tier")
 
 

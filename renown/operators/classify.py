@@ -35,16 +35,6 @@ def unfence(response) -> Column:
     return F.when(fenced, py_strip(tail_cut)).otherwise(t)
 
 
-def parse_json_object(text) -> tuple[Column, Column]:
-    """(variant, status) where status is ok / malformed / non_object / missing."""
-    raw = col_(text)
-    v = F.try_parse_json(unfence(raw))
-    is_obj = F.schema_of_variant(v).startswith("OBJECT")
-    status = (F.when(raw.isNull(), F.lit("missing"))
-              .when(v.isNull(), F.lit("malformed"))
-              .when(is_obj, F.lit("ok"))
-              .otherwise(F.lit("non_object")))
-    return v, status
 
 
 def with_parsed(df: DataFrame, response_col: str = "response") -> DataFrame:

@@ -50,7 +50,9 @@ def ends_with_any(url, keys) -> Column:
 def with_needles(df: DataFrame, needles: DataFrame) -> DataFrame:
     """Attach each row's company needle array (equi-join on company; the
     needle table has one row per company)."""
-    return df.join(needles, "company", "left").withColumn(
+    from renown.plans.strategy import broadcast_if_small
+
+    return df.join(broadcast_if_small(needles), "company", "left").withColumn(
         "needles", F.coalesce("needles", F.array(F.lower("company"))))
 
 

@@ -63,7 +63,9 @@ def snapshot_clear(snapshots: DataFrame, companies: DataFrame | None = None) ->
     no company list everything is cleared."""
     if companies is None:
         return snapshots.limit(0)
-    c = companies.select(F.lower("company").alias("_ck")).distinct()
+    from renown.plans.strategy import broadcast_if_small
+
+    c = broadcast_if_small(companies.select(F.lower("company").alias("_ck")).distinct())
     return snapshots.join(c, F.lower(snapshots["company"]) == c["_ck"], "left_anti")
 
 

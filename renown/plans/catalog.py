@@ -44,8 +44,8 @@ def fx_aliases(spark):
 
 
 def fx_alias_keys():
-    return [a for _, a, _ in
-            [(i, fx.ALIAS_TOKENS[i % 12], "") for i in range(fx.N_COMPANIES)] + [(0, a, "") for a, _ in fx.EXTRA_ALIASES]]
+    """Alias keys of the fixture alias dimension, as written."""
+    return [fx.ALIAS_TOKENS[i % 12] for i in range(fx.N_COMPANIES)] + [a for a, _ in fx.EXTRA_ALIASES]
 
 
 def fx_needles(spark, sf):

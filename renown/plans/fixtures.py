@@ -23,16 +23,19 @@ FORUM_EPOCH0 = 1704067200
 SNAPSHOT_SOURCES = ["view", "click", "error", "purchase", "signup"]
 
 
-# text tables whose files may hold a single row group: their scan is then a
-# single task, so the text-heavy work after it is spread by key first
+# text tables: when one stored as fewer files than there are task slots
+# (one file may be a single row group, i.e. a single scan task), the
+# text-heavy work after the scan is spread by key first.  A large table
+# stored as many files is scanned in parallel as is and never reshuffled.
 SPREAD = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name in SPREAD:
-        n = max(spark.sparkContext.defaultParallelism * 2, 2)
-        df = df.repartition(n, SPREAD[name])
+        slots = max(spark.sparkContext.defaultParallelism, 1)
+        if len(df.inputFiles()) < slots:
+            df = df.repartition(slots * 2, SPREAD[name])
     return df
 
 

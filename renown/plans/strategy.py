@@ -17,10 +17,12 @@ def row_count_at_most(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a row-count check; otherwise leave the
-    choice to the planner (AQE converts to broadcast at runtime when the
-    measured side is small)."""
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast a per-key lookup table only behind a row-count check, so the
+    large side is never shuffled on a hot key; above the bound the planner's
+    sort-merge join with AQE skew splitting is used."""
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
 
 
