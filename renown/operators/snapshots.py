@@ -88,3 +88,17 @@ def usage_totals(usage: DataFrame) -> DataFrame:
                     F.coalesce(F.sum("calls_made"), F.lit(0)).cast("long").alias("calls")).select(
         F.lit("*").alias("provider"), F.lit("*").alias("model"), "tokens", "calls")
     return per.unionByName(tot)
+
+
+def cached_reports(report_snapshots: DataFrame, as_of: str, schema: str,
+                   ttl_seconds: int = lx.SNAPSHOT_TTL_SECONDS) -> DataFrame:
+    """Cached-report read path: newest report snapshot per lower(company),
+    kept only while fresh, JSON text parsed back into the report struct.
+    report_snapshots: (company, source, cached_at, payload, seq) with the
+    report JSON as payload (source = model used)."""
+    k = report_snapshots.withColumn("company_key", F.lower("company"))
+    g = k.groupBy("company_key").agg(
+        F.max_by(F.struct("cached_at", "payload", "seq", "source"), F.struct("cached_at", "seq")).alias("r"))
+    latest = g.select(F.col("company_key").alias("company"), "r.cached_at", "r.payload", F.col("r.source").alias("model_used"))
+    fresh = latest.where(age_seconds("cached_at", as_of) <= ttl_seconds)
+    return fresh.select("company", "cached_at", "model_used", F.from_json("payload", schema).alias("report"))

@@ -1013,3 +1013,24 @@ def _():
       FROM (SELECT DISTINCT company FROM snapshots_fx) c CROSS JOIN (VALUES {srcs}) s(source)
       LEFT JOIN (SELECT * FROM latest_fx WHERE {AGE} <= {lx.SNAPSHOT_TTL_SECONDS}) f
         ON f.company = lower(c.company) AND f.source = lower(s.source)) GROUP BY company"""
+
+
+
+@oracle("all_mentions", "forum_comments_fx", extra=[WEB_ROWS])
+def _():
+    cutoff = f"(TIMESTAMP '{AS_OF_FORUM}' - INTERVAL {lx.MAX_POST_AGE_DAYS} DAY)"
+    post_text = "CASE WHEN coalesce(selftext, '') <> '' THEN coalesce(title, '') || chr(10) || chr(10) || selftext ELSE coalesce(title, '') END"
+    web_text = "coalesce(title, '') || chr(10) || chr(10) || coalesce(text, '')"
+    shift = 1 << 40
+    return f"""
+    SELECT company, 'reddit' AS source_platform, 0 AS platform_ord, CAST(conv_id * 100 AS BIGINT) AS seq,
+      'https://reddit.com' || permalink AS source_url, md5({_safe(post_text)}) AS text_md5
+    FROM forum_posts_fx WHERE make_timestamp(CAST(created_utc * 1000000 AS BIGINT)) >= {cutoff}
+    UNION ALL
+    SELECT company, 'reddit', 0, CAST(conv_id * 100 + 1 + (k - 1) AS BIGINT),
+      CASE WHEN coalesce(permalink, '') <> '' THEN 'https://reddit.com' || permalink ELSE '' END, md5({_safe('body')})
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM forum_comments_fx)
+    WHERE k <= {lx.FORUM_COMMENTS_PER_POST} AND coalesce(body, '') NOT IN ('', '[deleted]', '[removed]')
+    UNION ALL
+    SELECT company, 'web', 7, CAST(7 * {shift} + grp * 10 + result_pos AS BIGINT), source_url, md5({_safe(web_text)})
+    FROM web_fx"""

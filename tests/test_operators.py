@@ -128,3 +128,15 @@ def test_hashed_embedder_exact_copies(spark):
     v = D.hashed_text_vectors(df, num_features=64)
     pairs = [(r["a"], r["b"]) for r in D.near_dup_pairs(v, 0.85).collect()]
     assert pairs == [(1, 2)]
+
+
+def test_clear_all_and_cached_reports(spark):
+    df = spark.createDataFrame([("Co", "m1", "2024-01-30 12:00:00", '{"overall_score": 70}', 1),
+                                ("co", "m2", "2024-01-30 18:00:00", '{"overall_score": 40}', 2),
+                                ("Old", "m1", "2024-01-01 00:00:00", '{"overall_score": 10}', 3)],
+                               "company string, source string, ts string, payload string, seq long")
+    df = df.withColumn("cached_at", F.to_timestamp("ts")).drop("ts")
+    assert SN.snapshot_clear(df).count() == 0
+    got = {r["company"]: (r["model_used"], r["report"]["overall_score"])
+           for r in SN.cached_reports(df, "2024-01-31 00:00:00", "overall_score int").collect()}
+    assert got == {"co": ("m2", 40)}
