@@ -226,14 +226,21 @@ def usage_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _one_company(id_col) -> F.Column:
+    """The single company 'all' as a data-dependent expression: a literal
+    would let the optimizer fold every ``company = company`` lookup join into
+    a condition-less join, a plan shape real company columns never have."""
+    return F.when(F.col(id_col).isNotNull(), F.lit("all")).otherwise(F.lit("none"))
+
+
 def vectors_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.lit("all").alias("company"), F.col("vec_id").alias("seq"), F.col("embedding"))
+    return e.select(_one_company("vec_id").alias("company"), F.col("vec_id").alias("seq"), F.col("embedding"))
 
 
 def documents_one_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.lit("all").alias("company"), F.col("doc_id").alias("seq"), F.col("text").alias("raw_text"))
+    return d.select(_one_company("doc_id").alias("company"), F.col("doc_id").alias("seq"), F.col("text").alias("raw_text"))
 
 
 def landing_web_fx(spark: SparkSession, sf_dir: str) -> DataFrame:

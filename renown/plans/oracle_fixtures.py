@@ -143,8 +143,8 @@ SELECT 'user_' || CAST(user_id AS VARCHAR) AS company, event_type AS provider,
        CAST(1 AS BIGINT) AS calls_made, ts AS run_at FROM events
 """
 
-VECTORS_FX = "SELECT 'all' AS company, vec_id AS seq, embedding FROM embeddings"
-DOCS_ONE_FX = "SELECT 'all' AS company, doc_id AS seq, text AS raw_text FROM documents"
+VECTORS_FX = "SELECT CASE WHEN vec_id IS NOT NULL THEN 'all' ELSE 'none' END AS company, vec_id AS seq, embedding FROM embeddings"
+DOCS_ONE_FX = "SELECT CASE WHEN doc_id IS NOT NULL THEN 'all' ELSE 'none' END AS company, doc_id AS seq, text AS raw_text FROM documents"
 
 VIEWS = {
     "mentions_fx": MENTIONS_FX,
