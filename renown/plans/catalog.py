@@ -755,3 +755,20 @@ def cache_hits(spark, sf):
     g = plan.groupBy("company").agg(F.count_if(F.col("action") == "cached").alias("cached"),
                                     F.count_if(F.col("action") == "fetch").alias("to_fetch"))
     return g.withColumn("hit_ratio", F.round(F.col("cached") / (F.col("cached") + F.col("to_fetch")), 6))
+
+
+@query
+def src_web_cascade(spark, sf):
+    """Web results per company: the second search layout is used only when
+    the first gave nothing, the HTML results only when both gave nothing;
+    the result is cut to the web cap in (tier, position) order."""
+    from pyspark.sql import Window
+    r = WS.extract_results(fx.landing_web_fx(spark, sf))
+    api = r.select("company", F.when(F.col("search_engine") == "engine_a", 0).otherwise(1).alias("tier"),
+                   (F.col("grp") * 10 + F.col("result_pos")).alias("seq"), "source_url")
+    _, el = fx_page_elements(spark, sf)
+    html = PG.web_result_blocks(el).join(el.select("page_id", "company").distinct(), "page_id").select(
+        "company", F.lit(2).alias("tier"), F.col("page_id").alias("seq"), "source_url")
+    first = CP.cascade_first_nonempty(api.unionByName(html), "tier")
+    w = Window.partitionBy("company").orderBy("tier", "seq")
+    return first.withColumn("web_rank", F.row_number().over(w)).where(F.col("web_rank") <= lx.PLATFORM_CAPS["web"])

@@ -1034,3 +1034,18 @@ def _():
     UNION ALL
     SELECT company, 'web', 7, CAST(7 * {shift} + grp * 10 + result_pos AS BIGINT), source_url, md5({_safe(web_text)})
     FROM web_fx"""
+
+
+@oracle("src_web_cascade", extra=[WEB_ROWS, PAGES_FX])
+def _():
+    url = "'https://shop' || CAST(k % 7 AS VARCHAR) || CASE WHEN k % 2 = 1 THEN '.lk' ELSE '.com' END || '/r/' || CAST(k AS VARCHAR)"
+    return f"""
+    SELECT company, tier, seq, source_url, web_rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY company ORDER BY tier, seq) AS web_rank FROM (
+        SELECT * FROM (
+          SELECT *, min(tier) OVER (PARTITION BY company) AS mt FROM (
+            SELECT company, CASE WHEN search_engine = 'engine_a' THEN 0 ELSE 1 END AS tier, grp * 10 + result_pos AS seq, source_url FROM web_fx
+            UNION ALL
+            SELECT company, 2, k, {url} FROM pg WHERE k % 2 = 1 OR k % 4 = 0))
+        WHERE tier = mt))
+    WHERE web_rank <= {lx.PLATFORM_CAPS['web']}"""
