@@ -96,3 +96,25 @@ def classified_mentions(mentions: DataFrame, responses: DataFrame) -> DataFrame:
         .when(nonobj, F.lit("non_object")).alias("analysis_error"),
     )
     return out.withColumn("severity", bump_severity("_sev", "crisis_flags")).drop("_sev", "_rules", "_st")
+
+
+RESPONSE_SCHEMA = "seq long, response string"
+
+
+def responses_from(prompts: DataFrame, fn) -> DataFrame:
+    """Pluggable classifier: ``fn(pandas.DataFrame[seq, prompt]) ->
+    pandas.DataFrame[seq, response]`` runs per Arrow batch (``mapInPandas``),
+    so a user model or service client is called in parallel over
+    partitions.  Its output feeds ``classified_mentions`` like a landed
+    response table; failures inside ``fn`` should return null responses,
+    which become 'missing_response' rows rather than failing the job."""
+    def run(batches):
+        for pdf in batches:
+            yield fn(pdf[["seq", "prompt"]])[["seq", "response"]]
+
+    return prompts.select("seq", "prompt").mapInPandas(run, RESPONSE_SCHEMA)
+
+
+def classify_with(mentions: DataFrame, fn) -> DataFrame:
+    """Prompts -> user function -> parsed and merged classification."""
+    return classified_mentions(mentions, responses_from(classify_prompts(mentions), fn))

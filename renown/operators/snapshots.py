@@ -102,3 +102,8 @@ def cached_reports(report_snapshots: DataFrame, as_of: str, schema: str,
     latest = g.select(F.col("company_key").alias("company"), "r.cached_at", "r.payload", F.col("r.source").alias("model_used"))
     fresh = latest.where(age_seconds("cached_at", as_of) <= ttl_seconds)
     return fresh.select("company", "cached_at", "model_used", F.from_json("payload", schema).alias("report"))
+
+
+def usage_append(usage: DataFrame, path: str) -> None:
+    """Append one ledger row per run (company lower-cased as stored)."""
+    usage.withColumn("company", F.lower("company")).write.mode("append").parquet(path)

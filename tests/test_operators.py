@@ -140,3 +140,38 @@ def test_clear_all_and_cached_reports(spark):
     got = {r["company"]: (r["model_used"], r["report"]["overall_score"])
            for r in SN.cached_reports(df, "2024-01-31 00:00:00", "overall_score int").collect()}
     assert got == {"co": ("m2", 40)}
+
+
+def _toy_model(pdf):
+    import pandas as pd
+
+    out = []
+    for s, p in zip(pdf["seq"], pdf["prompt"]):
+        if "broken" in p:
+            out.append(None)
+        else:
+            sent = "negative" if "bad" in p else "positive"
+            out.append('{"sentiment": "%s", "confidence": 0.9, "themes": ["pricing"]}' % sent)
+    return pd.DataFrame({"seq": pdf["seq"], "response": out})
+
+
+def test_pluggable_classifier(spark):
+    m = spark.createDataFrame([("c", 1, "a very bad product indeed", "customer"), ("c", 2, "a lovely product overall", None),
+                               ("c", 3, "this one is broken text", "press"), ("c", 4, "short", None)],
+                              "company string, seq long, raw_text string, reviewer_type string")
+    got = {r["seq"]: r for r in C.classify_with(m, _toy_model).collect()}
+    assert set(got) == {1, 2, 3}  # text under 10 chars is not analyzed
+    assert got[1]["sentiment"] == "negative" and got[1]["reviewer_type"] == "customer"
+    assert got[2]["themes"] == ["pricing"] and got[2]["confidence"] == 0.9
+    assert got[3]["analysis_error"] == "missing_response" and got[3]["reviewer_type"] == "general"
+
+
+def test_usage_append_and_totals(spark):
+    import tempfile
+
+    d = tempfile.mkdtemp(prefix="renown-usage-", dir="/tmp")
+    u = spark.createDataFrame([("Co", "p", "m", 10, 2)], "company string, provider string, model string, tokens_used long, calls_made long")
+    SN.usage_append(u, d)
+    SN.usage_append(u, d)
+    tot = {(r["provider"], r["model"]): (r["tokens"], r["calls"]) for r in SN.usage_totals(spark.read.parquet(d)).collect()}
+    assert tot == {("p", "m"): (20, 4), ("*", "*"): (20, 4)}
