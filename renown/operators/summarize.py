@@ -82,3 +82,15 @@ def company_crisis_flags(classified: DataFrame, summaries: DataFrame | None = No
     mfc = F.coalesce("mention_flags", F.array().cast("array<string>"))
     flags = F.when(F.size(mfc) > 0, F.array_sort(F.array_union(sf, mfc))).otherwise(sf)
     return base.select("company", flags.alias("crisis_flags"))
+
+
+def summarize_with(classified: DataFrame, fn) -> DataFrame:
+    """Pluggable summarizer: ``fn(pandas.DataFrame[company, prompt]) ->
+    pandas.DataFrame[company, response]`` per Arrow batch over the
+    per-company prompts, then the tolerant summary parse."""
+    def run(batches):
+        for pdf in batches:
+            yield fn(pdf[["company", "prompt"]])[["company", "response"]]
+
+    prompts = summary_prompts(classified).select("company", "prompt")
+    return parse_summaries(prompts.mapInPandas(run, "company string, response string"))

@@ -175,3 +175,20 @@ def test_usage_append_and_totals(spark):
     SN.usage_append(u, d)
     tot = {(r["provider"], r["model"]): (r["tokens"], r["calls"]) for r in SN.usage_totals(spark.read.parquet(d)).collect()}
     assert tot == {("p", "m"): (20, 4), ("*", "*"): (20, 4)}
+
+
+def test_pluggable_summarizer(spark):
+    import pandas as pd
+
+    from renown.operators import summarize as SM
+
+    def model(pdf):
+        return pd.DataFrame({"company": pdf["company"],
+                             "response": ['{"overall_score": %d, "top_5_pros": ["x"]}' % p.count("\n") for p in pdf["prompt"]]})
+
+    c = spark.createDataFrame([("A", i, "positive", "employee", ["pricing"], "reddit", "some text here") for i in range(3)],
+                              "company string, seq long, sentiment string, reviewer_type string, themes array<string>, "
+                              "source_platform string, raw_text string")
+    r = SM.summarize_with(c, model).first()
+    # 'Summarize these 3 classified reviews:' + blank line + 3 lines -> 4 newlines
+    assert r["overall_score"] == 4 and r["top_5_pros"] == ["x"] and r["summary_status"] == "ok"
