@@ -50,7 +50,7 @@ class _Collector(HTMLParser):
               "aria_label": a.get("aria-label"), "review_id": a.get("data-review-id"),
               "test_id": a.get("data-testid") or a.get("data-test"), "first_href": None,
               "depth": len(self.stack), "parent_pos": self.stack[-1]["pos"] if self.stack else -1,
-              "parts": [], "own": []}
+              "parts": [], "own": [], "kept": tag in self.keep}
         self.pos += 1
         self.stack.append(el)
         if tag in NON_TEXT:
@@ -82,8 +82,10 @@ class _Collector(HTMLParser):
             self.stack[-1]["own"].append(data)
         s = data.strip()
         if s:
+            # only elements that are emitted accumulate text
             for el in self.stack:
-                el["parts"].append(s)
+                if el["kept"]:
+                    el["parts"].append(s)
 
     def finish(self):
         self.close()
