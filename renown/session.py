@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -41,15 +42,32 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``renown`` importable in Python workers whatever their working
+    directory: zip the package once and register it with the context."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="renown-pkg-"), "renown_pkg")
+    sc.addPyFile(shutil.make_archive(base, "zip", root_dir=here, base_dir="renown"))
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a fresh scratch folder is created and registered.
+    ``spark.checkpoint.dir`` is read from the session; when it is unset
+    a local master (tests) gets a fresh scratch folder and a cluster is refused.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="renown-ckpt-", dir=os.environ.get("RENOWN_SCRATCH", "/tmp"))
         try:
