@@ -66,7 +66,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
-    if not d and not spark.sparkContext.master.startswith("local"):
+    if not d and not (spark.sparkContext.master + "[").startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="renown-ckpt-", dir=os.environ.get("RENOWN_SCRATCH", "/tmp"))
