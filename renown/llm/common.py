@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renown.plans.strategy import cut_lineage
+from renown.session import ensure_checkpoint_dir
 
 BITMAP_BITS = 32768  # bits of one bitmap_construct_agg bitmap
 MAX_FILTER_BITS = 1 << 27  # 16 MB: the largest key filter ever sent to tasks
@@ -16,6 +20,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _drop_folder(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_FOLDERS: dict[str, str] = {}
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed Parquet table in the folder that the cluster's
+    executors share (``spark.checkpoint.dir``): cuts lineage, survives lost
+    executors, and is smaller than a checkpoint.  The application's folder is
+    deleted when the driver ends."""
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{ensure_checkpoint_dir(spark).rstrip('/')}/renown-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_drop_folder, spark, _FOLDERS[app])
+    path = f"{_FOLDERS[app]}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def keep_share(key, n_rows: int, bound: int, salt: int = 0):
     """Condition that keeps about ``bound`` of ``n_rows`` rows, chosen by a
     hash of ``key`` (deterministic, independent of row order)."""
@@ -25,17 +53,18 @@ def keep_share(key, n_rows: int, bound: int, salt: int = 0):
     return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1_000_000_000)) < F.lit(share)
 
 
-def key_filter(keys: DataFrame, col: str, n_keys: int) -> tuple[np.ndarray, int]:
+def key_filter(keys: DataFrame, col: str, n_keys: int, position=None) -> tuple[np.ndarray, int]:
     """One-hash membership bitmap of ``keys[col]`` as (bytes, bits).
 
-    Sixteen bits per key, at most MAX_FILTER_BITS (16 MB) in all: the size
+    Thirty-two bits per key, at most MAX_FILTER_BITS (16 MB) in all: the size
     sent to the driver and to tasks is bounded; beyond it the filter only lets
-    more rows through.  False positives must be dropped by an exact join.
+    more rows through.  Callers must be right whatever false positives it lets
+    through.  ``position(column, bits)`` is ``filter_position`` by default.
     """
     bits = BITMAP_BITS
-    while bits < 16 * max(1, n_keys) and bits < MAX_FILTER_BITS:
+    while bits < 32 * max(1, n_keys) and bits < MAX_FILTER_BITS:
         bits *= 2
-    pos = filter_position(F.col(col), bits)
+    pos = (position or filter_position)(F.col(col), bits)
     rows = (keys.select(pos.alias("p")).groupBy(F.floor(F.col("p") / BITMAP_BITS).cast("long").alias("bucket"))
             .agg(F.bitmap_construct_agg(F.col("p") % BITMAP_BITS).alias("bits")).collect())
     out = np.zeros(bits // 8, np.uint8)
@@ -60,10 +89,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star / small-star rounds; every round is two grouped
     minima joined back (partial aggregation, so a hub never gathers its
-    neighbours in one task; the joins are splittable by AQE) and one reliable
-    checkpoint.  Ends when every node points at its component's minimum.
+    neighbours in one task; the joins are splittable by AQE) and one written
+    table.  Ends when every node points at its component's minimum.
     """
-    e = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         mark = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -75,4 +104,4 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut_lineage(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        e = written(small.union(least.select("a", F.col("m").alias("b"))).distinct())

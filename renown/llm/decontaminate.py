@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from renown.plans.strategy import cut_lineage
+from renown.llm.common import written
 
 MASKS = ("110110101", "101011011", "111000111")
 WINDOW = 20
@@ -63,13 +63,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WIND
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_codes(F.col("text")).alias("item"),
                              F.xxhash64("item_id", F.col("text").cast("string")).alias("ik")).dropDuplicates(["ik"])
-    items = cut_lineage(items.filter(F.size("item") > 0))
-    seeds = cut_lineage(seed_rows(items, "ik", "item", masks).withColumnRenamed("pos", "item_pos").distinct())
+    items = written(items.filter(F.size("item") > 0))
+    seeds = written(seed_rows(items, "ik", "item", masks).withColumnRenamed("pos", "item_pos").distinct())
     small = seeds.count() <= MAX_BROADCAST_SEEDS
     own = seed_rows(d.select("rk", word_codes(F.col("text")).alias("codes")), "rk", "codes", masks)
     hits = (own.join(F.broadcast(seeds) if small else seeds, "seed")
             .select("rk", "ik", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct())
-    hits = cut_lineage(hits)
+    hits = written(hits)
     # the lost context comes back with the text of documents that were hit
     texts = d.join(hits.select("rk").distinct(), "rk", "left_semi").select("rk", "doc_id", word_codes(F.col("text")).alias("doc"))
     laid = hits.join(items, "ik").join(texts, "rk")

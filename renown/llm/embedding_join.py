@@ -29,8 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from renown.llm.common import components, keep_share
-from renown.plans.strategy import cut_lineage
+from renown.llm.common import components, keep_share, written
 
 COSINE = 0.95
 PIVOT_SAMPLE = 4000  # vectors among which pivots are chosen
@@ -116,7 +115,7 @@ def near_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     # 0.0 and -0.0 are one value; keys and one representative per distinct vector
     rows = rows.withColumn("valid", valid).withColumn("vector", F.when(F.col("valid"), F.transform("vector", lambda v: v + F.lit(0).cast("float"))))
     rows = rows.withColumn("node", F.xxhash64("vector"))
-    classes = cut_lineage(rows.filter("valid").groupBy("vector").agg(F.count(F.lit(1)).alias("copies"), F.min("node").alias("node"), F.min("vec_id").alias("first"))
+    classes = written(rows.filter("valid").groupBy("vector").agg(F.count(F.lit(1)).alias("copies"), F.min("node").alias("node"), F.min("vec_id").alias("first"))
                           .withColumn("size", F.size("vector")))
     sizes = {x["size"]: x["n"] for x in classes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     pivots = {}
@@ -130,7 +129,7 @@ def near_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     radius = {(h["size"], h["cell"]): h["radius"] for h in homes}
     placed = classes.select("size", "node", "copies", "vector").mapInPandas(
         _assign(pivots, r, radius), f"size int, cell int, home boolean, node long, copies long, vector {dict(classes.dtypes)['vector']}")
-    placed = cut_lineage(placed)
+    placed = written(placed)
     cells = placed.groupBy("size", "cell").agg(
         F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).alias("na"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("nb"))
     placed = placed.join(F.broadcast(cells), ["size", "cell"])  # at most MAX_PIVOTS rows a vector length
@@ -138,7 +137,7 @@ def near_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     own = placed.filter("home").withColumn("a", F.pmod(part, F.col("na"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     others = placed.withColumn("home", F.lit(False)).withColumn("b", F.pmod(part, F.col("nb"))).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)))
     both = own.select("size", "cell", "a", "b", "home", "node", "copies", "vector").union(others.select("size", "cell", "a", "b", "home", "node", "copies", "vector"))
-    found = cut_lineage(both.groupBy("size", "cell", "a", "b").applyInPandas(_block(cosine), "a long, b long, links long"))
+    found = written(both.groupBy("size", "cell", "a", "b").applyInPandas(_block(cosine), "a long, b long, links long"))
     counts = found.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     names = classes.select("node", "first", "copies")
     # one vec_id with several vectors is one node: its vectors' classes are linked

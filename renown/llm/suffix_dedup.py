@@ -41,9 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from renown.llm.common import filter_position, in_filter, key_filter
+from renown.llm.common import filter_position, in_filter, key_filter, written
 from renown.llm.hashing import BYTE_TABLE, mix, text_slices
-from renown.plans.strategy import cut_lineage
 
 LENGTH = 200
 ANCHOR = 32
@@ -119,32 +118,58 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
 
 
-def _anchor_rows(length):
+def _anchor_names(length):
+    """Anchor names of the windows, each with its count in the slice."""
+    def run(batches):
+        for batch in batches:
+            for _, _, b, off in text_slices(batch.column("text")):
+                h, c = np.unique(_contexts(b, off, length)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["anchor", "c"])
+    return run
+
+
+def name_position(name, bits: int):
+    return F.pmod(name, F.lit(bits))
+
+
+def place_position(rk, at, bits: int):
+    """Filter position of one occurrence; the same in Spark and numpy."""
+    if isinstance(rk, np.ndarray):
+        return (rk ^ (at << 20)) % bits
+    return F.pmod(rk.bitwiseXOR(F.shiftleft(at, 20)), F.lit(bits))
+
+
+def _anchor_rows(length, shared, bits):
+    """Anchors whose name is in the filter, with their contexts."""
     def run(batches):
         for batch in batches:
             rk = batch.column("rk").to_numpy()
             for lo, _, b, off in text_slices(batch.column("text")):
                 row, kg, ctx, first, n = _contexts(b, off, length)
+                kg = kg.view(np.int64)
+                some = in_filter(shared.value, kg % bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(kg.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(rk[lo + row]), pa.array(first * 512 + n)],
+                    [pa.array(kg[some]), pa.array(ctx.view(np.int64)[some]), pa.array(rk[lo + row[some]]), pa.array((first * 512 + n)[some])],
                     ["anchor", "ctx", "rk", "at"])
     return run
 
 
-def _window_rows(length):
-    """Names of all windows of the given contexts."""
+def _window_rows(length, shared, bits):
+    """Names of all windows of the contexts in the filter."""
     def run(batches):
         for batch in batches:
-            rk, spans = batch.column("rk").to_numpy(), batch.column("ats")
-            for lo, hi, b, off in text_slices(batch.column("text")):
+            rk = batch.column("rk").to_numpy()
+            for lo, _, b, off in text_slices(batch.column("text")):
+                row, _, _, first, n = _contexts(b, off, length)
+                some = in_filter(shared.value, place_position(rk[lo + row], first * 512 + n, bits))
+                row, first, n = row[some], first[some], n[some]
+                if not len(n):
+                    continue
                 names = _doubled(b, length)[length]
-                for r in range(lo, hi):
-                    at = np.asarray(spans[r].values.to_numpy())
-                    first, n = at // 512, at % 512
-                    starts = np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[off[r - lo] + starts].view(np.int64)), pa.array(np.full(len(starts), rk[r])), pa.array(starts)],
-                        ["name", "rk", "start"])
+                starts = np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
+                row = np.repeat(row, n)
+                yield pa.RecordBatch.from_arrays([pa.array(names[off[row] + starts].view(np.int64)), pa.array(rk[lo + row]), pa.array(starts)],
+                                                 ["name", "rk", "start"])
     return run
 
 
@@ -182,20 +207,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     with ``with_text``, the remaining bytes."""
     if not ANCHOR < length <= 512:
         raise ValueError(f"length must be over {ANCHOR} and at most 512")
-    keyed = _keyed(docs)
-    anchors = cut_lineage(keyed.select("rk", "text").mapInArrow(_anchor_rows(length), "anchor long, ctx long, rk long, at long"))
-    contexts = anchors.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rk", "at")).alias("one"))
-    shared = cut_lineage(contexts.groupBy("anchor").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds")).filter("n > 1"))
-    contexts = cut_lineage(contexts.join(shared, "anchor").select("anchor", "ctx", "c", "kinds", "one.rk", "one.at"))
-    whole = anchors.join(contexts.filter("c > 1").select("anchor", "ctx"), ["anchor", "ctx"]).select("rk", "at")
-    # windows of contexts whose anchor has others too
-    wanted = cut_lineage(contexts.filter("kinds > 1").groupBy("rk").agg(F.collect_list("at").alias("ats")))
-    bitmap, bits = key_filter(wanted, "rk", wanted.count())
-    windows = (_kept_by(keyed.select("rk", "text"), bitmap, bits, "rk long, text string")
-               .join(wanted, "rk").mapInArrow(_window_rows(length), "name long, rk long, start long"))
+    keyed, sc = _keyed(docs), docs.sparkSession.sparkContext
+    # depth 32, anchors only: names that occur more than once
+    names = keyed.select("text").mapInArrow(_anchor_names(length), "anchor long, c long")
+    names = written(names.groupBy("anchor").agg(F.sum("c").alias("c")).filter("c > 1").select("anchor"))
+    bitmap, bits = key_filter(names, "anchor", names.count(), name_position)
+    # contexts of those anchors (others that the filter lets through are unique, and so are their windows)
+    anchors = written(keyed.select("rk", "text").mapInArrow(_anchor_rows(length, sc.broadcast(bitmap), bits), "anchor long, ctx long, rk long, at long"))
+    contexts = written(anchors.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rk", "at")).alias("one")))
+    whole = anchors.join(contexts.filter("c > 1").select("anchor", "ctx"), ["anchor", "ctx"], "left_semi").select("rk", "at")
+    # windows of contexts whose anchor has other contexts too, one occurrence of each context
+    kinds = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor")
+    wanted = written(contexts.join(kinds, "anchor", "left_semi").select("one.rk", "one.at"))
+    place = lambda _, bits: place_position(F.col("rk"), F.col("at"), bits)
+    bitmap, bits = key_filter(wanted, "rk", wanted.count(), place)
+    # windows let through by chance are real windows at other places, so counts stay right
+    windows = keyed.select("rk", "text").mapInArrow(_window_rows(length, sc.broadcast(bitmap), bits), "name long, rk long, start long")
     twice = (windows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("name"))).filter("c > 1")
              .select("rk", (F.col("start") * 512 + 1).alias("at")))
-    spans = cut_lineage(whole.union(twice).groupBy("rk").agg(F.collect_set("at").alias("ats")))
+    spans = written(whole.union(twice).groupBy("rk").agg(F.collect_set("at").alias("ats")))
     bitmap, bits = key_filter(spans, "rk", spans.count())
     pos = filter_position(F.col("rk"), bits)
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)

@@ -25,10 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from renown.llm.common import keep_share
+from renown.llm.common import keep_share, written
 from renown.llm.hashing import text_slices, word_hashes
 from renown.llm.linear import train_ordinal
-from renown.plans.strategy import cut_lineage
 
 TRAIN_ROWS = 20_000
 VOCABULARY = 2048
@@ -105,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, rows: int = TRAIN_R
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(r, np.arange(n + 1)).astype(np.int32)), pa.array(c))
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, n), lists], ["label", "found"])
 
-    got = cut_lineage(sample.mapInArrow(rows_of, "label int, found array<long>")).toPandas()
+    got = written(sample.mapInArrow(rows_of, "label int, found array<long>")).toPandas()
     found = [np.asarray(v, np.int64) for v in got["found"]]
     row = np.repeat(np.arange(len(found)), [len(v) for v in found])
     col = np.concatenate(found) if len(row) else np.zeros(0, np.int64)
