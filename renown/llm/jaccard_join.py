@@ -33,19 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from renown.llm.common import components, filter_position, in_filter, key_filter
+from renown.llm.common import components, filter_position, in_filter, key_filter, written
 from renown.llm.hashing import mix, set_keys, shingle_hashes, text_slices, word_hashes
-from renown.plans.strategy import cut_lineage
 
 SHINGLE = 5
 PERCENT = 80
 MAX_FREQUENT = 400_000  # entries of the frequency table sent to tasks (6.4 MB)
 FREQUENT_FROM = 8
 COUNT_SLICE = 4_000_000  # shingles counted together in a task
-ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
-                  ("pk", pa.int64()), ("prefix", pa.list_(pa.int64()))])
-
-
 def _sets(batch, k):
     """Yields (row, sorted distinct shingle hashes) of a batch."""
     for lo, hi, b, off in text_slices(batch.column("text")):
@@ -77,7 +72,7 @@ def _count_frequent(k):
 
 def frequent_shingles(docs: DataFrame, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles and their counts, sorted by hash."""
-    counts = cut_lineage(docs.select("text").mapInArrow(_count_frequent(k), "h long, c long")
+    counts = written(docs.select("text").mapInArrow(_count_frequent(k), "h long, c long")
                          .groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= FREQUENT_FROM))
     # the lowest count that keeps the table in its bound, from a histogram by powers of 2 ** (1/4)
     steps = counts.groupBy(F.floor(F.log2("c") * 4).alias("s")).count().orderBy(F.desc("s")).collect()
@@ -95,77 +90,95 @@ def frequent_shingles(docs: DataFrame, k: int = SHINGLE) -> tuple[np.ndarray, np
     return h[order], rows["c"].to_numpy(np.int64)[order]
 
 
-def prefix_rows(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: set size, set keys, prefix key and prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
+def _prefix(u: np.ndarray, known: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of a sorted set, rarest frequency class first."""
+    size = len(u) - (percent * len(u) + 99) // 100 + 1
+    if len(known):
+        at = np.minimum(np.searchsorted(known, u), len(known) - 1)
+        f = np.where(known[at] == u, count[at], 0)
+        if f.any():
+            return u[np.lexsort((u, f))][:size]
+    return u[:size]
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+
+def set_rows(docs: DataFrame, shared, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: set size, two set keys and prefix key."""
     def run(batches):
         known, count = shared.value
         for batch in batches:
-            ids = batch.column("doc_id")
-            cols, prefixes, rows = [[], [], [], []], [], []
-
-            def emit():
-                sizes = np.cumsum([0] + [len(p) for p in prefixes]).astype(np.int32)
-                values = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(values))
-                return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)).cast(pa.int64()), *[pa.array(c, pa.int64()) for c in cols], lists], schema=ROWS)
-
-            held = 0
+            n, k1, k2, pk = (np.zeros(batch.num_rows, np.int64) for _ in range(4))
             for r, u in _sets(batch, k):
-                n = len(u)
-                p = u[:n - (percent * n + 99) // 100 + 1] if n else u
-                if n and len(known):
-                    at = np.minimum(np.searchsorted(known, u), len(known) - 1)
-                    f = np.where(known[at] == u, count[at], 0)
-                    if f.any():
-                        p = u[np.lexsort((u, f))][:len(p)]
-                k1, k2 = set_keys(u)
-                pk = int((mix(p).sum(dtype=np.uint64)).view(np.int64)) if n else 0
-                for c, v in zip(cols, (n, k1, k2, pk), strict=True):
-                    c.append(v)
-                rows.append(r)
-                prefixes.append(p)
-                held += len(p)
-                if held > 500_000:
-                    yield emit()
-                    cols, prefixes, rows, held = [[], [], [], []], [], [], 0
-            if rows:
-                yield emit()
+                n[r] = len(u)
+                k1[r], k2[r] = set_keys(u)
+                if len(u):
+                    pk[r] = mix(_prefix(u, known, count, percent)).sum(dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (n, k1, k2, pk))], ["doc_id", "n", "k1", "k2", "pk"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n long, k1 long, k2 long, pk long, prefix array<long>")
+    return _plain(docs).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, pk long")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, n_ids: int, k: int) -> DataFrame:
-    """(id, set) of the documents whose id is in ``ids(id)``: texts of others
-    are skipped at the scan by a bounded key filter, none is shuffled."""
-    bitmap, bits = key_filter(ids, "id", n_ids)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def prefix_tokens(docs: DataFrame, leaders: DataFrame, n_leaders: int, shared, k: int, percent: int) -> DataFrame:
+    """(token, node, at) of the prefixes of the group leaders, at = size * 2**32
+    + position.  Texts that the bounded key filter lets through by chance only
+    add a copy of their group to its buckets."""
+    bitmap, bits = key_filter(leaders, "doc_id", n_leaders)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
+        known, count = shared.value
         for batch in batches:
-            keep = np.flatnonzero(in_filter(shared.value, batch.column("pos").to_numpy()))
-            for lo in range(0, len(keep), 500):
-                part = batch.take(pa.array(keep[lo:lo + 500]))
-                got = [u.view(np.int64) for _, u in _sets(part, k)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(got, pa.list_(pa.int64()))], ["id", "set"])
+            part = batch.filter(pa.array(in_filter(sent.value, batch.column("pos").to_numpy())))
+            ids = part.column("doc_id").to_numpy()
+            held, rows = [], 0
+            for r, u in _sets(part, k):
+                if len(u):
+                    p = _prefix(u, known, count, percent)
+                    held.append((p.view(np.int64), np.full(len(p), ids[r]), (len(u) << 32) + np.arange(len(p))))
+                    rows += len(p)
+                if rows > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["token", "node", "at"])
+                    held, rows = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["token", "node", "at"])
+
+    d = _plain(docs).filter("doc_id is not null").withColumn("pos", filter_position(F.col("doc_id"), bits))
+    return d.mapInArrow(run, "token long, node long, at long")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, id_name: str, text_name: str) -> DataFrame:
+    """Texts of the documents in ``ids`` and of a few others: unneeded texts
+    are skipped at the scan by a bounded key filter, not shuffled."""
+    bitmap, bits = key_filter(ids, id_name, ids.count())
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null")
-    return d.withColumn("pos", filter_position(F.col("id"), bits)).mapInArrow(run, "id long, set array<long>").join(ids, "id", "left_semi")
+    def run(batches):
+        for batch in batches:
+            yield batch.select([id_name, text_name]).filter(pa.array(in_filter(sent.value, batch.column("pos").to_numpy())))
+
+    d = _plain(docs).filter("doc_id is not null").toDF(id_name, text_name)
+    return d.withColumn("pos", filter_position(F.col(id_name), bits)).mapInArrow(run, f"{id_name} long, {text_name} string")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets meet the threshold."""
-    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    n = ids.count()
-    if not n:
-        return pairs
-    sets = cut_lineage(sets_of(docs, ids, n, k))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    same = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * same >= percent * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                keep = np.zeros(part.num_rows, bool)
+                x = dict(_sets(pa.RecordBatch.from_arrays([part.column("ta")], ["text"]), k))
+                for r, v in _sets(pa.RecordBatch.from_arrays([part.column("tb")], ["text"]), k):
+                    same = len(np.intersect1d(x[r], v, assume_unique=True))
+                    keep[r] = 100 * same >= percent * (len(x[r]) + len(v) - same)
+                yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    left = pairs.join(texts_of(docs, pairs.select("a").distinct(), "a", "ta"), "a")
+    both = left.join(texts_of(docs, pairs.select("b").distinct(), "b", "tb"), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -176,48 +189,55 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every input row."""
-    rows = cut_lineage(prefix_rows(docs, k, percent))
-    filled = rows.filter("n > 0 and doc_id is not null")
-    classes = cut_lineage(filled.groupBy("k1", "k2", "n", "pk").agg(F.min("doc_id").alias("node")))
-    key = F.struct("k1", "k2")
-    groups = filled.groupBy("pk", "n").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"), (F.min(key) != F.max(key)).alias("mixed"))
-    met = (groups.select("gid", "n", "mixed", F.posexplode("prefix").alias("pos", "token"))
-           .withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("met > 1 or mixed").drop("met", "mixed"))
-    # groups of several classes: the group's first class leads, the others meet it
-    several = (classes.groupBy("pk", "n").agg(F.min("node").alias("gid"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
-    members = cut_lineage(classes.join(several, ["pk", "n"]).select("gid", "node"))
-    buckets = cut_lineage(met.join(members, "gid", "left").select(F.coalesce("node", "gid").alias("node"), "n", "pos", "token"))
-
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
+    rows = written(set_rows(docs, shared, k, percent))
+    filled, key = rows.filter("n > 0 and doc_id is not null"), F.struct("k1", "k2")
+    classes = written(filled.groupBy("k1", "k2", "n", "pk").agg(F.min("doc_id").alias("node")))
+    groups = written(classes.groupBy("pk", "n").agg(F.min("node").alias("doc_id"), F.count(F.lit(1)).alias("classes")))
+    tokens = prefix_tokens(docs, groups, groups.count(), shared, k, percent)
+    met = tokens.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("met > 1").drop("met")
+    # groups of several classes expand: the group's first class leads, the others join its buckets
+    members = written(classes.join(groups.filter("classes > 1").select("pk", "n", F.col("doc_id").alias("leader")), ["pk", "n"]).select("leader", "node"))
+    buckets = written(met)
+    if not members.isEmpty():
+        buckets = written(buckets.join(members.withColumnRenamed("node", "member"), F.col("node") == F.col("leader"), "left")
+                          .select("token", F.coalesce("member", "node").alias("node"), "at"))
     # one doc_id with several texts is one node
     texts = filled.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo <> hi").select("doc_id")
-    same_id = cut_lineage(filled.join(texts, "doc_id", "left_semi").join(classes, ["k1", "k2", "n"])
-                          .select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b"))
-    found = members.filter("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"))
-    links = None
+    links = written(filled.join(texts, "doc_id", "left_semi").join(classes, ["k1", "k2", "n"])
+                    .select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b"))
+    size = F.shiftright("at", 32)
+    band = F.floor(F.log(size) / F.log(F.lit(100.0 / percent)))
     state = buckets.withColumn("label", F.col("node"))
-    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))
-    for salt, first in ((1, True), (2, False)):
-        keyed = state.withColumn("band", band).withColumn("draw", F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), F.col("node").alias("node"), F.col("label").alias("label"), F.col("n").alias("n")))
-        pivots = keyed.groupBy("token", "band").agg(F.min("draw").alias("pivot"))
-        near = (keyed.join(pivots, ["token", "band"])
-                .filter((F.col("label") != F.col("pivot.label")) & _sizes_fit(F.col("n"), F.col("pivot.n"), percent))
-                .select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")))
-        pairs = cut_lineage((found.union(near) if first else near).distinct())
-        new = verified(docs, pairs, k, percent)
-        links = cut_lineage((same_id if links is None else links).union(new))
-        state = cut_lineage(_labelled(state, links))
+    pairs = members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    for salt in (1, 2):
+        keyed = state.withColumn("band", band)
+        draw = F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "label", "at")
+        pivots = keyed.groupBy("token", "band").agg(F.min(draw).alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+        near = (keyed.join(pivots.select("token", "band", "pivot"), ["token", "band"])
+                .filter((F.col("label") != F.col("pivot.label")) & _sizes_fit(size, F.shiftright("pivot.at", 32), percent))
+                .select(F.col("node").alias("a"), F.col("pivot.node").alias("b")))
+        pairs = written((pairs.union(near) if salt == 1 else near).distinct())
+        links = written(links.union(verified(docs, pairs, k, percent)))
+        comp = components(links).withColumnRenamed("id", "node")
+        state = buckets.join(comp, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        members = members.select("leader", "node").join(comp, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     # every remaining pair across components, by shared prefix shingles
-    open_buckets = state.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    left = cut_lineage(state.join(open_buckets, "token", "left_semi"))
+    mixed = state.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
+    left = written(state.join(mixed, "token", "left_semi"))
     x, y = left.alias("x"), left.alias("y")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100.0 + percent) - 1e-9)
+    n, m = F.shiftright("x.at", 32), F.shiftright("y.at", 32)
+    i, j = F.col("x.at").bitwiseAND(2**32 - 1), F.col("y.at").bitwiseAND(2**32 - 1)
+    need = F.ceil((n + m) * percent / (100.0 + percent) - 1e-9)
     rest = (x.join(y, F.col("x.token") == F.col("y.token"))
-            .filter((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _sizes_fit(F.col("x.n"), F.col("y.n"), percent)
-                    & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + F.least("x.pos", "y.pos") >= need))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    rest = cut_lineage(rest)
-    links = cut_lineage(links.union(verified(docs, rest, k, percent)))
-    comp = components(links)
+            .filter((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _sizes_fit(n, m, percent)
+                    & (F.least(n - i, m - j) + F.least(i, j) >= need))
+            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    u, v = members.alias("u"), members.alias("v")
+    inner = (u.join(v, F.col("u.leader") == F.col("v.leader")).filter("u.node < v.node and u.label <> v.label")
+             .select(F.col("u.node").alias("a"), F.col("v.node").alias("b")))
+    rest = written(rest.union(inner).distinct())
+    comp = components(links.union(verified(docs, rest, k, percent)))
     named = (classes.join(comp.withColumnRenamed("id", "node"), "node", "left")
              .select("k1", "k2", "n", F.coalesce("component", "node").alias("component")))
     out = rows.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
@@ -234,5 +254,5 @@ def one_per_component(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     """The documents that are the smallest id of their component (of rows that
     repeat an id every one stays)."""
     keep = jaccard_components(docs, k, percent).filter("component_id = doc_id").select("doc_id").distinct()
-    gone = docs.join(keep, "doc_id", "left_semi")
-    return gone.select(*docs.columns).union(docs.filter("doc_id is null"))
+    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["doc_id"]), "left_semi")
+    return kept.select(*docs.columns).union(docs.filter("doc_id is null"))
