@@ -18,8 +18,15 @@ unique, in three steps at growing depth:
 * an anchor's whole context (all windows it owns, by their first and last
   window names): contexts that occur twice are repeated as a whole, without
   looking at single positions.
-* full ``length``, only for the windows of contexts that are unique although
-  their anchor is not (edges of repeated passages), one per distinct context.
+* ``length`` - 15 bytes, for contexts that are unique although their anchor is
+  not (edges of repeated passages), one of each distinct context: cells of 16
+  windows leave when the bytes all 16 share are unique, and cells that occur
+  twice as a whole are repeated as a whole.
+* full ``length``, only for the windows of the remaining cells.
+
+What goes on from step to step is chosen by bounded key filters at the scan
+(the texts are read again, not shuffled); these let a few others through,
+which are unique names or further true occurrences and change no result.
 
 Names replace sorted ranks and no step compares texts, so the result is exact
 up to 64-bit collisions.  Spans return to their documents by an outer join;
@@ -46,6 +53,7 @@ from renown.llm.hashing import BYTE_TABLE, mix, text_slices
 
 LENGTH = 200
 ANCHOR = 32
+CELL = 16
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -58,23 +66,34 @@ def _pair(a, b):
     return x
 
 
-def _doubled(b: np.ndarray, upto: int) -> dict[int, np.ndarray]:
-    """Names at depths 1, 2, 4, ... <= upto, and at ``upto``; entry i of a
-    depth d names the bytes [i, i + d)."""
-    names, d = BYTE_TABLE[b], 1
-    out = {}
-    while d < upto:
-        if d == ANCHOR:
+def _power(depth: int) -> int:
+    return 1 << (depth.bit_length() - 1)
+
+
+def _doubled(b: np.ndarray, length: int) -> dict[int, np.ndarray]:
+    """Names at the depths in use: entry i of depth d names the bytes
+    [i, i + d).  Depths double; ``length`` itself is two overlapping halves."""
+    keep = {ANCHOR, _power(length - CELL + 1), _power(length)}
+    names, d, out = BYTE_TABLE[b], 1, {}
+    while True:
+        if d in keep:
             out[d] = names
-        if 2 * d > upto:
-            names = _pair(names[:len(names) - (upto - d)], names[upto - d:])
+        if 2 * d > length:
             break
         names = _pair(names[:-d], names[d:]) if len(names) > d else names[:0]
         d *= 2
-    out[upto] = names
+    rest = length - d
+    out[length] = _pair(names[:len(names) - rest], names[rest:]) if rest and len(names) > rest else names if not rest else names[:0]
     return out
 
 
+def _core_names(names: dict[int, np.ndarray], at: np.ndarray, length: int) -> np.ndarray:
+    """Names of the ``length - CELL + 1`` bytes at the given positions."""
+    depth = length - CELL + 1
+    half = _power(depth)
+    return _pair(names[half][at], names[half][at + depth - half])
+
+
 def _leftmost_min(h: np.ndarray, width: int) -> np.ndarray:
     """Index of the leftmost smallest entry of every window of ``width``."""
     low, at, d = h, np.arange(len(h), dtype=np.int32), 1
@@ -88,9 +107,10 @@ def _leftmost_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def _contexts(b, off, length):
-    """Anchors of one slice: (row, anchor name, context name, first window,
-    number of windows), offsets relative to the row."""
-    none = (np.zeros(0, np.int64),) * 5
+    """Names by depth, and the anchors of one slice: (row, anchor name,
+    context name, first window, number of windows, anchor); the first window
+    is relative to its row, the anchor to the slice."""
+    none = {}, *(np.zeros(0, np.int64),) * 6
     if len(b) < length:
         return none
     names = _doubled(b, length)
@@ -110,7 +130,7 @@ def _contexts(b, off, length):
     whole = names[length]
     shape = ((a - lo) * 512 + (hi - lo)).astype(np.uint64)
     ctx = mix(_pair(whole[lo], whole[hi]) + shape * _M1)
-    return row[lo], names[ANCHOR][a], ctx, lo - off[row[lo]], hi - lo + 1
+    return names, row[lo], names[ANCHOR][a], ctx, lo - off[row[lo]], hi - lo + 1, a
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -123,20 +143,19 @@ def _anchor_names(length):
     def run(batches):
         for batch in batches:
             for _, _, b, off in text_slices(batch.column("text")):
-                h, c = np.unique(_contexts(b, off, length)[1], return_counts=True)
+                h, c = np.unique(_contexts(b, off, length)[2], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["anchor", "c"])
     return run
 
 
 def name_position(name, bits: int):
+    """Filter position of a name, the same as ``name % bits`` in numpy."""
     return F.pmod(name, F.lit(bits))
 
 
-def place_position(rk, at, bits: int):
-    """Filter position of one occurrence; the same in Spark and numpy."""
-    if isinstance(rk, np.ndarray):
-        return (rk ^ (at << 20)) % bits
-    return F.pmod(rk.bitwiseXOR(F.shiftleft(at, 20)), F.lit(bits))
+def _place(rk: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Name of one occurrence of a context."""
+    return mix(_pair(rk.view(np.uint64), at.astype(np.uint64))).view(np.int64)
 
 
 def _anchor_rows(length, shared, bits):
@@ -145,34 +164,79 @@ def _anchor_rows(length, shared, bits):
         for batch in batches:
             rk = batch.column("rk").to_numpy()
             for lo, _, b, off in text_slices(batch.column("text")):
-                row, kg, ctx, first, n = _contexts(b, off, length)
+                _, row, kg, ctx, first, n, _ = _contexts(b, off, length)
                 kg = kg.view(np.int64)
                 some = in_filter(shared.value, kg % bits)
+                own, at = rk[lo + row[some]], (first * 512 + n)[some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(kg[some]), pa.array(ctx.view(np.int64)[some]), pa.array(rk[lo + row[some]]), pa.array((first * 512 + n)[some])],
-                    ["anchor", "ctx", "rk", "at"])
+                    [pa.array(kg[some]), pa.array(ctx.view(np.int64)[some]), pa.array(own), pa.array(at), pa.array(_place(own, at))],
+                    ["anchor", "ctx", "rk", "at", "place"])
     return run
 
 
-def _window_rows(length, shared, bits):
-    """Names of all windows of the contexts in the filter."""
+def _cells(b, off, rk, length, chosen, bits):
+    """Names by depth and the cells of the chosen contexts of one slice: (row,
+    core name, first window, number of windows).  A cell holds the windows
+    whose distance to the anchor has the same quotient by CELL, so equal
+    windows lie in cells of equal core: the bytes common to the whole cell."""
+    names, row, _, _, first, n, anchor = _contexts(b, off, length)
+    some = in_filter(chosen, _place(rk[row], first * 512 + n) % bits) if len(n) else np.zeros(0, bool)
+    row, first, n, anchor = row[some], first[some], n[some], anchor[some]
+    if not len(n):
+        return (names, *(np.zeros(0, np.int64),) * 4)
+    which = np.repeat(np.arange(len(n)), n)
+    start = first[which] + np.arange(len(which)) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
+    cell = (anchor[which] - off[row[which]] - start) // CELL
+    new = np.append(True, (which[1:] != which[:-1]) | (cell[1:] != cell[:-1]))
+    lo = np.flatnonzero(new)
+    core = _core_names(names, anchor[which[lo]] - cell[lo] * CELL, length)
+    return names, row[which[lo]], core, start[lo], np.diff(np.append(lo, len(which)))
+
+
+def _cell_rows(length, contexts, rows, bits):
+    """Cells of the contexts in the filter, of texts in the filter ``rows``."""
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(in_filter(rows.value[0], batch.column("rk").to_numpy() % rows.value[1])))
             rk = batch.column("rk").to_numpy()
-            for lo, _, b, off in text_slices(batch.column("text")):
-                row, _, _, first, n = _contexts(b, off, length)
-                some = in_filter(shared.value, place_position(rk[lo + row], first * 512 + n, bits))
+            for lo, hi, b, off in text_slices(batch.column("text")):
+                names, row, core, first, n = _cells(b, off, rk[lo:hi], length, contexts.value, bits)
+                if len(n):
+                    own, at, whole = rk[lo + row], first * 512 + n, names[length]
+                    name = mix(_pair(whole[off[row] + first], whole[off[row] + first + n - 1]) + n.astype(np.uint64) * _M1)
+                    yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(name.view(np.int64)), pa.array(own), pa.array(at), pa.array(_place(own, at))],
+                                                     ["core", "cell", "rk", "at", "place"])
+    return run
+
+
+def _window_rows(length, contexts, cells, rows, bits, cell_bits):
+    """Names of all windows of the cells in the filter ``cells``."""
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(in_filter(rows.value[0], batch.column("rk").to_numpy() % rows.value[1])))
+            rk = batch.column("rk").to_numpy()
+            for lo, hi, b, off in text_slices(batch.column("text")):
+                names, row, _, first, n = _cells(b, off, rk[lo:hi], length, contexts.value, bits)
+                some = in_filter(cells.value, _place(rk[lo + row], first * 512 + n) % cell_bits) if len(n) else np.zeros(0, bool)
                 row, first, n = row[some], first[some], n[some]
                 if not len(n):
                     continue
-                names = _doubled(b, length)[length]
                 starts = np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
                 row = np.repeat(row, n)
-                yield pa.RecordBatch.from_arrays([pa.array(names[off[row] + starts].view(np.int64)), pa.array(rk[lo + row]), pa.array(starts)],
+                yield pa.RecordBatch.from_arrays([pa.array(names[length][off[row] + starts].view(np.int64)), pa.array(rk[lo + row]), pa.array(starts)],
                                                  ["name", "rk", "start"])
     return run
 
 
+def _kinds(found: DataFrame, outer: str, inner: str) -> tuple[DataFrame, DataFrame]:
+    """Of rows (outer, inner, rk, at, place): the rows whose inner name is
+    repeated, and one place of every inner name whose outer name has others too."""
+    names = written(found.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("c"), F.max("place").alias("place"), F.max_by("rk", "place").alias("rk")))
+    whole = found.join(names.filter("c > 1").select(outer, inner), [outer, inner], "left_semi").select("rk", "at")
+    several = names.groupBy(outer).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(outer)
+    return whole, written(names.join(several, outer, "left_semi").select("place", "rk"))
+
+
 def removed_mask(n: int, at: np.ndarray, length: int) -> np.ndarray:
     """Bytes covered by the windows ``first * 512 + count``."""
     change = np.zeros(n + 1, np.int64)
@@ -213,19 +277,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     names = written(names.groupBy("anchor").agg(F.sum("c").alias("c")).filter("c > 1").select("anchor"))
     bitmap, bits = key_filter(names, "anchor", names.count(), name_position)
     # contexts of those anchors (others that the filter lets through are unique, and so are their windows)
-    anchors = written(keyed.select("rk", "text").mapInArrow(_anchor_rows(length, sc.broadcast(bitmap), bits), "anchor long, ctx long, rk long, at long"))
-    contexts = written(anchors.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rk", "at")).alias("one")))
-    whole = anchors.join(contexts.filter("c > 1").select("anchor", "ctx"), ["anchor", "ctx"], "left_semi").select("rk", "at")
-    # windows of contexts whose anchor has other contexts too, one occurrence of each context
-    kinds = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor")
-    wanted = written(contexts.join(kinds, "anchor", "left_semi").select("one.rk", "one.at"))
-    place = lambda _, bits: place_position(F.col("rk"), F.col("at"), bits)
-    bitmap, bits = key_filter(wanted, "rk", wanted.count(), place)
-    # windows let through by chance are real windows at other places, so counts stay right
-    windows = keyed.select("rk", "text").mapInArrow(_window_rows(length, sc.broadcast(bitmap), bits), "name long, rk long, start long")
+    anchors = written(keyed.select("rk", "text").mapInArrow(_anchor_rows(length, sc.broadcast(bitmap), bits), "anchor long, ctx long, rk long, at long, place long"))
+    whole, open_contexts = _kinds(anchors, "anchor", "ctx")
+    # cells of contexts whose anchor has other contexts too, one occurrence of each context; places
+    # that a filter lets through by chance are real ones, so they only add true occurrences
+    chosen, bits = key_filter(open_contexts, "place", open_contexts.count(), name_position)
+    chosen, rows = sc.broadcast(chosen), sc.broadcast(key_filter(open_contexts, "rk", open_contexts.count(), name_position))
+    cells = written(keyed.select("rk", "text").mapInArrow(_cell_rows(length, chosen, rows, bits), "core long, cell long, rk long, at long, place long"))
+    more, open_cells = _kinds(cells, "core", "cell")
+    picked, cell_bits = key_filter(open_cells, "place", open_cells.count(), name_position)
+    rows = sc.broadcast(key_filter(open_cells, "rk", open_cells.count(), name_position))
+    windows = keyed.select("rk", "text").mapInArrow(_window_rows(length, chosen, sc.broadcast(picked), rows, bits, cell_bits), "name long, rk long, start long")
     twice = (windows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("name"))).filter("c > 1")
              .select("rk", (F.col("start") * 512 + 1).alias("at")))
-    spans = written(whole.union(twice).groupBy("rk").agg(F.collect_set("at").alias("ats")))
+    spans = written(whole.union(more).union(twice).groupBy("rk").agg(F.collect_set("at").alias("ats")))
     bitmap, bits = key_filter(spans, "rk", spans.count())
     pos = filter_position(F.col("rk"), bits)
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
