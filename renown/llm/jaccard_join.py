@@ -12,12 +12,14 @@ documents link when ``100 * |A & B| >= 80 * |A | B|``.
    size collapse into one group; exact copies thereby into one class.
 3. Groups meet in the buckets of their prefix shingles; groups expand to their
    classes (distinct sets) and pairs are verified on whole sets.  Pairs are
-   not enumerated within a bucket: classes first meet one pivot of their
-   bucket and size band (two rounds, other pivots in the second), verified
-   links are merged to components, and only pairs in *different* components
-   that pass the length and position filters are enumerated and verified
-   afterwards.  So no link between different components is missed, and a
-   large group of near copies costs pairs in proportion to its members.
+   not enumerated within a bucket: every bucket and size band has one pivot,
+   and a class meets the pivot it shares most buckets with (``PIVOT_ROUNDS``
+   rounds with other pivots); verified links merge to components.  Only pairs
+   in *different* components are enumerated afterwards, by shared prefix
+   shingles, and verified where sizes and the number of prefix shingles
+   shared leave a link possible.  So no link between different
+   components is missed, and a large group of near copies costs pairs in
+   proportion to its members.
 
 Cases: null or empty text and text without words have an empty set, link with
 nothing and are their own component; rows that repeat a doc_id are one node
@@ -40,6 +42,7 @@ SHINGLE = 5
 PERCENT = 80
 MAX_FREQUENT = 400_000  # entries of the frequency table sent to tasks (6.4 MB)
 FREQUENT_FROM = 8
+PIVOT_ROUNDS = 1
 COUNT_SLICE = 4_000_000  # shingles counted together in a task
 def _sets(batch, k):
     """Yields (row, sorted distinct shingle hashes) of a batch."""
@@ -195,29 +198,33 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     classes = written(filled.groupBy("k1", "k2", "n", "pk").agg(F.min("doc_id").alias("node")))
     groups = written(classes.groupBy("pk", "n").agg(F.min("node").alias("doc_id"), F.count(F.lit(1)).alias("classes")))
     tokens = prefix_tokens(docs, groups, groups.count(), shared, k, percent)
-    met = tokens.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("met > 1").drop("met")
+    met = tokens.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("met > 1")
     # groups of several classes expand: the group's first class leads, the others join its buckets
     members = written(classes.join(groups.filter("classes > 1").select("pk", "n", F.col("doc_id").alias("leader")), ["pk", "n"]).select("leader", "node"))
     buckets = written(met)
     if not members.isEmpty():
         buckets = written(buckets.join(members.withColumnRenamed("node", "member"), F.col("node") == F.col("leader"), "left")
-                          .select("token", F.coalesce("member", "node").alias("node"), "at"))
+                          .select("token", F.coalesce("member", "node").alias("node"), "at", "met"))
     # one doc_id with several texts is one node
     texts = filled.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo <> hi").select("doc_id")
     links = written(filled.join(texts, "doc_id", "left_semi").join(classes, ["k1", "k2", "n"])
                     .select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b"))
     size = F.shiftright("at", 32)
     band = F.floor(F.log(size) / F.log(F.lit(100.0 / percent)))
-    state = buckets.withColumn("label", F.col("node"))
+    # the first pivots are the classes that meet most others, e.g. the origin of a group of copies
+    central = written(buckets.groupBy("node").agg((-F.sum("met")).alias("rank")))
+    buckets = buckets.drop("met")
+    state = buckets.withColumn("label", F.col("node")).join(central, "node")
     pairs = members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    for salt in (1, 2):
+    for salt in range(PIVOT_ROUNDS):
         keyed = state.withColumn("band", band)
-        draw = F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "label", "at")
+        draw = F.struct((F.col("rank") if salt == 0 else F.xxhash64("node", F.lit(salt))).alias("h"), "node", "label", "at")
         pivots = keyed.groupBy("token", "band").agg(F.min(draw).alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
         near = (keyed.join(pivots.select("token", "band", "pivot"), ["token", "band"])
                 .filter((F.col("label") != F.col("pivot.label")) & _sizes_fit(size, F.shiftright("pivot.at", 32), percent))
-                .select(F.col("node").alias("a"), F.col("pivot.node").alias("b")))
-        pairs = written((pairs.union(near) if salt == 1 else near).distinct())
+                .groupBy(F.col("node").alias("a"), F.col("pivot.node").alias("b")).agg(F.count(F.lit(1)).alias("shared")))
+        near = near.groupBy("a").agg(F.max_by("b", F.struct("shared", F.xxhash64("b", F.lit(salt)))).alias("b"))
+        pairs = written(pairs.union(near).distinct() if salt == 0 else near)
         links = written(links.union(verified(docs, pairs, k, percent)))
         comp = components(links).withColumnRenamed("id", "node")
         state = buckets.join(comp, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
@@ -229,10 +236,14 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     n, m = F.shiftright("x.at", 32), F.shiftright("y.at", 32)
     i, j = F.col("x.at").bitwiseAND(2**32 - 1), F.col("y.at").bitwiseAND(2**32 - 1)
     need = F.ceil((n + m) * percent / (100.0 + percent) - 1e-9)
+    # sets that share ``need`` shingles share 1 + extra of their first n - need + 1 + extra; the last, more
+    # frequent places of the prefixes need not meet
+    extra = F.greatest(F.floor((need - F.ceil(F.greatest(n, m) * percent / 100.0 - 1e-9)) / 4), F.lit(0))
     rest = (x.join(y, F.col("x.token") == F.col("y.token"))
             .filter((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _sizes_fit(n, m, percent)
-                    & (F.least(n - i, m - j) + F.least(i, j) >= need))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+                    & (i <= n - need + extra) & (j <= m - need + extra))
+            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), extra.alias("extra")))
+    rest = rest.groupBy("a", "b", "extra").agg(F.count(F.lit(1)).alias("shared")).filter("shared > extra").select("a", "b")
     u, v = members.alias("u"), members.alias("v")
     inner = (u.join(v, F.col("u.leader") == F.col("v.leader")).filter("u.node < v.node and u.label <> v.label")
              .select(F.col("u.node").alias("a"), F.col("v.node").alias("b")))
