@@ -1,33 +1,26 @@
-"""One-pass multi-keyword substring matching.
-
-``lexicon_hits(text, needles)`` returns, per row, the sorted distinct indexes
-of the needles that occur in ``text.lower()``.  It runs as an Arrow-batched
-pandas UDF over an Aho-Corasick automaton (built once per Python worker and
-lexicon), so a 100 KB text is scanned once for every needle instead of once
-per needle.  Without the automaton library the same result comes from native
-``contains`` tests.
+"""Multi-keyword substring matching.
+
+``lexicon_hits`` serves the fixed lexicons (a few dozen patterns) in generated
+code: one quoted alternation decides whether a text has any hit, and only
+those texts are tested pattern by pattern.  ``needle_hits`` serves company
+needles by the thousand in one pass of an automaton, Arrow-batched; both
+return the sorted distinct indexes of the needles found in the lower-cased
+text.
 """
 
 from __future__ import annotations
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-try:  # optional accelerator
-    import ahocorasick  # noqa: F401
-    HAVE_AHO = True
-except Exception:  # pragma: no cover
-    HAVE_AHO = False
-
 _AUTOMATA: dict = {}
 
 
 def _automaton(needles: tuple):
     a = _AUTOMATA.get(needles)
     if a is None:
-        import ahocorasick
-
         a = ahocorasick.Automaton()
         for i, n in enumerate(needles):
             if n:
@@ -59,15 +52,21 @@ def _hits_udf(needles: tuple):
     return hits
 
 
+def _text(text) -> Column:
+    return F.col(text) if isinstance(text, str) else text
+
+
+def needle_hits(text, needles) -> Column:
+    """Sorted distinct indexes of many ``needles`` contained in lower(text)."""
+    return _hits_udf(tuple(needles))(_text(text))
+
+
 def lexicon_hits(text, needles) -> Column:
-    """Sorted distinct indexes of ``needles`` contained in lower(text)."""
-    needles = tuple(needles)
-    c = F.col(text) if isinstance(text, str) else text
-    if HAVE_AHO:
-        return _hits_udf(needles)(c)
-    lt = F.lower(F.coalesce(c, F.lit("")))
-    return F.concat(*[F.when(lt.contains(n), F.array(F.lit(i))).otherwise(F.array().cast("array<int>"))
-                      for i, n in enumerate(needles)])
+    """Sorted distinct indexes of a fixed lexicon contained in lower(text)."""
+    low = F.lower(F.coalesce(_text(text), F.lit("")))
+    none = F.array().cast("array<int>")
+    found = F.concat(*[F.when(low.contains(n), F.array(F.lit(i))).otherwise(none) for i, n in enumerate(needles)])
+    return F.when(low.rlike("|".join(f"\\Q{n}\\E" for n in needles)), found).otherwise(none)
 
 
 def any_hit(hits: Column, indexes) -> Column:

@@ -106,11 +106,15 @@ def responses_from(prompts: DataFrame, fn) -> DataFrame:
     pandas.DataFrame[seq, response]`` runs per Arrow batch (``mapInPandas``),
     so a user model or service client is called in parallel over
     partitions.  Its output feeds ``classified_mentions`` like a landed
-    response table; failures inside ``fn`` should return null responses,
+    response table; a batch for which ``fn`` raises gets null responses,
     which become 'missing_response' rows rather than failing the job."""
     def run(batches):
         for pdf in batches:
-            yield fn(pdf[["seq", "prompt"]])[["seq", "response"]]
+            try:
+                out = fn(pdf[["seq", "prompt"]])[["seq", "response"]]
+            except Exception:  # a user's model: its rows stay, without a response
+                out = pdf[["seq"]].assign(response=None)
+            yield out
 
     return prompts.select("seq", "prompt").mapInPandas(run, RESPONSE_SCHEMA)
 

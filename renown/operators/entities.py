@@ -66,7 +66,7 @@ def tag_companies(texts: DataFrame, needles: DataFrame, text_col: str = "raw_tex
     into bounded chunks (one scan per chunk), so the result stays exact
     without an unbounded broadcast.
     """
-    from renown.functions.matcher import lexicon_hits
+    from renown.functions.matcher import needle_hits
 
     long = needles.select("company", F.explode("needles").alias("needle")).where(F.length("needle") > 0).distinct()
     n = long.count() if not row_count_at_most(long, chunk_rows) else None
@@ -77,7 +77,7 @@ def tag_companies(texts: DataFrame, needles: DataFrame, text_col: str = "raw_tex
         rows = sorted((r["needle"], r["company"]) for r in part.collect())  # bounded by chunk_rows
         words = [w for w, _ in rows]
         comps = F.array(*[F.lit(c) for _, c in rows])
-        hits = texts.select(*key_cols, F.explode(lexicon_hits(text_col, words)).alias("_i"))
+        hits = texts.select(*key_cols, F.explode(needle_hits(text_col, words)).alias("_i"))
         j = hits.select(*key_cols, F.element_at(comps, F.col("_i") + 1).alias("company"))
         out = j if out is None else out.unionByName(j)
     return out.distinct()

@@ -40,11 +40,11 @@ def windowed_sentiment(stream: DataFrame, ts_col: str = "event_ts", size: str =
 
 
 def append_snapshots(path: str):
-    """foreachBatch writer: append the non-empty rows of each micro-batch,
-    partitioned by source (idempotent per batch id through the batch path)."""
+    """foreachBatch writer: the non-empty rows of each micro-batch go to the
+    batch's own folder, partitioned by source; a replayed batch replaces it."""
     def write(batch: DataFrame, batch_id: int) -> None:
         ok = batch.where(~F.coalesce(F.col("payload"), F.lit("")).isin("", "[]"))
-        ok.withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("source").parquet(path)
+        ok.write.mode("overwrite").partitionBy("source").parquet(f"{path}/batch_id={batch_id}")
     return write
 
 

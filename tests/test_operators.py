@@ -67,16 +67,23 @@ def test_greedy_survivors_matches_sequential(spark):
     nodes = spark.createDataFrame([("c", i) for i in range(n)], "company string, seq long")
     e = spark.createDataFrame([("c", a, b) for a, b in edges], "company string, a long, b long")
     want = greedy_brute(n, edges)
-    # the size-checked sequential path and the parallel rounds agree with the brute force
-    assert sorted(r["seq"] for r in D.greedy_survivors(nodes, e).where("kept").collect()) == want
-    assert sorted(r["seq"] for r in D.greedy_survivors(nodes, e, local_max_edges=0).where("kept").collect()) == want
+    assert sorted(r["seq"] for r in D.greedy_rounds(nodes, e).where("kept").collect()) == want
 
 
 def test_chain_is_not_connected_components(spark):
-    nodes = spark.createDataFrame([("c", i) for i in range(3)], "company string, seq long")
-    e = spark.createDataFrame([("c", 0, 1), ("c", 1, 2)], "company string, a long, b long")
-    assert sorted(r["seq"] for r in D.greedy_survivors(nodes, e).where("kept").collect()) == [0, 2]
-    assert sorted(r["seq"] for r in D.greedy_rounds(nodes, e).where("kept").collect()) == [0, 2]
+    nodes = spark.createDataFrame([("c", i) for i in range(12)], "company string, seq long")
+    e = spark.createDataFrame([("c", i, i + 1) for i in range(11)], "company string, a long, b long")
+    assert sorted(r["seq"] for r in D.greedy_rounds(nodes, e).where("kept").collect()) == [0, 2, 4, 6, 8, 10]
+
+
+def test_failing_classifier_keeps_rows(spark):
+    from renown.operators.classify import responses_from
+
+    def broken(pdf):
+        raise ValueError("no model")
+
+    rows = responses_from(spark.createDataFrame([(1, "p"), (2, "q")], "seq long, prompt string"), broken).collect()
+    assert sorted((r["seq"], r["response"]) for r in rows) == [(1, None), (2, None)]
 
 
 def test_near_dup_pairs_blocked_equals_brute(spark):
