@@ -31,6 +31,7 @@ from renown.llm.hashing import text_slices
 from renown.llm.linear import train_svm
 
 DIMS = 2048
+SLICE_ROWS = 256  # rows whose features are held at once
 TRAIN_ROWS = 4000
 UNKNOWN = "und"
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
@@ -45,7 +46,8 @@ _IS_LETTER[128:] = True
 
 def gram_features(col: pa.Array):
     """(first row, features) for slices of a column of lower-cased texts."""
-    for lo, _, b, off in text_slices(col):
+    pieces = ((at + lo, b, off) for at in range(0, len(col), SLICE_ROWS) for lo, _, b, off in text_slices(col.slice(at, SLICE_ROWS)))
+    for lo, b, off in pieces:
         rows = len(off) - 1
         letter = _IS_LETTER[b]
         # one space before every row's words and between words
@@ -84,10 +86,10 @@ def _features(docs: DataFrame, *keep: str) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
-def _one_versus_one(x: np.ndarray, y: np.ndarray) -> tuple[list[str], list[tuple[int, int, np.ndarray]]]:
+def _one_versus_one(x: np.ndarray, rows: np.ndarray, y: np.ndarray) -> tuple[list[str], list[tuple[int, int, np.ndarray]]]:
     names = sorted(set(y))
-    return names, [(i, j, train_svm(x[m], np.where(y[m] == a, 1.0, -1.0)))
-                   for (i, a), (j, b) in combinations(list(enumerate(names)), 2) for m in [(y == a) | (y == b)]]
+    return names, [(i, j, train_svm(x, rows[m], np.where(y[m] == a, 1.0, -1.0)))
+                   for (i, a), (j, b) in combinations(list(enumerate(names)), 2) for m in [np.flatnonzero((y == a) | (y == b))]]
 
 
 def train(docs: DataFrame, held_out=None, rows: int = TRAIN_ROWS, families: dict[str, str] = FAMILIES):
@@ -96,17 +98,19 @@ def train(docs: DataFrame, held_out=None, rows: int = TRAIN_ROWS, families: dict
     if held_out is not None:
         known = known.filter(~F.coalesce(held_out, F.lit(False)))
     n = known.select(F.lit(1)).count()
-    sample = _features(known.filter(keep_share(F.col("doc_id").cast("string"), n, rows)).select(F.col("lang").cast("string").alias("lang"), "text"), "lang").toPandas()
-    if not len(sample):
+    sample = _features(known.filter(keep_share(F.col("doc_id").cast("string"), n, rows)).select(F.col("lang").cast("string").alias("lang"), "text"), "lang").toArrow()
+    x = np.empty((sample.num_rows, DIMS), np.float32)
+    for i, v in enumerate(sample.column("x")):
+        x[i] = np.frombuffer(v.as_buffer(), np.float32)
+    lang = np.array(sample.column("lang").to_pylist(), str)
+    del sample
+    some = np.flatnonzero(x.any(axis=1))
+    if not len(some):
         return None
-    x = np.stack([np.frombuffer(v, np.float32) for v in sample["x"]])
-    lang = sample["lang"].to_numpy(str)
-    some = x.any(axis=1)
-    if not some.any():
-        return None
-    x, lang = x[some], lang[some]
+    lang = lang[some]
     family = np.array([families.get(v, f"={v}") for v in lang])
-    return _one_versus_one(x, family), {f: _one_versus_one(x[family == f], lang[family == f]) for f in sorted(set(family))}
+    return _one_versus_one(x, some, family), {
+        f: _one_versus_one(x, some[family == f], lang[family == f]) for f in sorted(set(family))}
 
 
 def _shares(x: np.ndarray, model) -> np.ndarray:

@@ -5,27 +5,28 @@ from __future__ import annotations
 import numpy as np
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 20) -> np.ndarray:
-    """Linear SVM (squared hinge) by dual coordinate descent; ``y`` is +1/-1
-    and the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+def train_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 20) -> np.ndarray:
+    """Linear SVM (squared hinge) on ``x[rows]`` by dual coordinate descent;
+    ``y`` is +1/-1 and the last weight is the bias.  ``x`` is never copied."""
     share = np.where(y > 0, (y > 0).sum(), (y < 0).sum())
     diag = share / len(y) / c  # classes weigh alike
-    norm = (x * x).sum(axis=1) + diag
-    alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
+    norm = np.array([x[r].astype(np.float64) @ x[r] for r in rows]) + 1 + diag
+    alpha, w, bias = np.zeros(len(rows)), np.zeros(x.shape[1]), 0.0
     rng = np.random.Generator(np.random.PCG64(7))
     for _ in range(epochs):
         most = 0.0
-        for i in rng.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1 + diag[i] * alpha[i]
-            new = max(0.0, alpha[i] - g / norm[i])
-            if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
-                most = max(most, abs(new - alpha[i]))
-                alpha[i] = new
+        for i in rng.permutation(len(rows)):
+            v = x[rows[i]].astype(np.float64)
+            g = y[i] * (v @ w + bias) - 1 + diag[i] * alpha[i]
+            step = max(0.0, alpha[i] - g / norm[i]) - alpha[i]
+            if step:
+                w += step * y[i] * v
+                bias += step * y[i]
+                most = max(most, abs(step))
+                alpha[i] += step
         if most < 1e-3:
             break
-    return w
+    return np.append(w, bias)
 
 
 def train_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, dims: int, levels: int, l2: float = 1.0, steps: int = 300):

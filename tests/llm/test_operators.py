@@ -245,7 +245,7 @@ def test_svm_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 5))
     y = np.where(x[:, 0] + x[:, 1] > 0.2, 1.0, -1.0)
-    w = train_svm(x, y)
+    w = train_svm(x, np.arange(400), y)
     assert np.mean(np.sign(x @ w[:-1] + w[-1]) == y) > 0.97
 
 
