@@ -10,16 +10,17 @@ give each source a token quota.
 A quota is realised by whole passes over the source plus one partial pass.
 Each pass is a block permutation: documents fall into blocks by a hash of the
 document and the pass, blocks and the documents in a block are ordered by
-hashes.  A partial pass takes whole blocks in order while their tokens fit,
-and from the block where the quota ends the documents, in order, that begin
-before it.  Only (source, pass, block) sums are ordered in one window per
-source, and blocks hold about ``BLOCK_DOCS`` documents, so a source with a
-third of all rows is never gathered in a task.
+hashes.  A partial pass takes documents in that order while their places
+begin before the quota's end.  Where it ends is one place per source: the
+block from sums by block, the document from the sums of that block alone, so
+texts are never shuffled and a source with a third of all rows is never
+gathered in a task (blocks hold about ``BLOCK_DOCS`` documents).  Sorting by
+pass, block and place gives the permutation.
 
 Cases: tokens are white-space separated words; null and empty texts have no
 tokens, and rows without tokens come once with every pass; a null source is a
-source of its own; repeated rows are separate rows and interchangeable; extra
-columns pass through; sources without any token get weight 0; an empty table
+source of its own; repeated rows (equal doc_id and text) are separate rows that
+share a place and are drawn together; extra columns pass through; sources without any token get weight 0; an empty table
 gives an empty result.
 """
 
@@ -30,6 +31,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from renown.llm.common import written
+
 BLOCK_DOCS = 4096
 MAX_REPEATS = 1.25
 BUDGET = 1.0  # tokens to draw, as a multiple of the corpus
@@ -80,39 +83,60 @@ def source_weights(docs: DataFrame, budget: float = BUDGET, max_repeats: float |
     return [(r["source"], r["docs"], r["tokens"], x, int(round(x * draw))) for r, x in zip(sums, w, strict=True)]
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """(source, n_tokens, _key) of every row."""
+    return docs.select(F.col("source").cast("string").alias("source"), token_count().alias("n_tokens"), document_key().alias("_key"))
+
+
+def token_count():
+    words = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+")
+    return F.size(F.array_remove(words, "")).cast("long")
+
+
+def document_key():
+    return F.xxhash64("doc_id", F.col("text").cast("string"))
+
+
+def places(key, number, blocks, seed: int):
+    """The order of a pass: (block, place) by hashes of block and document."""
+    block = F.pmod(F.xxhash64(key, number, F.lit(seed)), blocks)
+    return F.struct(F.xxhash64(block, number, F.lit(seed + 1)).alias("block"), F.xxhash64(key, number, F.lit(seed + 2)).alias("place"), key.alias("key"))
+
+
+def _first_reaching(sums: DataFrame, order: str) -> DataFrame:
+    """Per source the last of its places, in ``order``, that begins before the
+    quota, and the quota left there."""
+    w = Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    begun = sums.withColumn("quota", F.col("quota") - F.coalesce(F.sum("tokens").over(w), F.lit(0))).filter("quota > 0")
+    return begun.groupBy("source").agg(F.max(F.struct(order, "quota")).alias("end")).select("source", f"end.{order}", "end.quota")
+
+
 def mix(docs: DataFrame, budget: float = BUDGET, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, seed: int = 0) -> DataFrame:
     """The drawn rows: every input column plus n_tokens, pass (from 0), block
-    (its place in the pass) and weight."""
-    columns = [c for c in docs.columns if c not in ("n_tokens", "pass", "block", "weight")]
-    words = F.array_remove(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), "")
-    rows = docs.select(*columns, F.size(words).cast("long").alias("n_tokens"))
-    plan = source_weights(rows.select("source", "n_tokens"), budget, max_repeats, target_entropy)
+    (its order in the pass), place (the order in the block) and weight."""
     spark = docs.sparkSession
-    # passes of every source: whole ones have no quota left to check
+    slim = written(counted(docs))
+    plan = source_weights(slim, budget, max_repeats, target_entropy)
+    # the partial pass of every source: its number, quota and number of blocks; one row per source
+    partial = [(s, quota // t, quota % t, max(1, -(-n // BLOCK_DOCS))) for s, n, t, _, quota in plan if t and quota % t]
+    part = spark.createDataFrame(partial, "_source string, pass long, quota long, blocks long")
+    rows = (slim.join(F.broadcast(part), F.col("source").eqNullSafe(F.col("_source")))
+            .withColumn("at", places(F.col("_key"), F.col("pass"), F.col("blocks"), seed)))
+    by_block = rows.groupBy("source", "quota", F.col("at.block").alias("block")).agg(F.sum("n_tokens").alias("tokens"))
+    ends = _first_reaching(by_block, "block").toDF("_s", "_b", "left")
+    ends = spark.createDataFrame(ends.collect(), ends.schema)  # one row per source
+    last = rows.join(F.broadcast(ends), F.col("source").eqNullSafe(F.col("_s")) & (F.col("at.block") == F.col("_b")))
+    by_place = last.groupBy("source", F.col("left").alias("quota"), "at").agg(F.sum("n_tokens").alias("tokens"))
+    stop = {r["source"]: r["at"] for r in _first_reaching(by_place, "at").collect()}
     passes = []
-    for source, n, tokens, weight, quota in plan:
-        whole = quota // tokens if tokens else 1
-        rest = quota - whole * tokens if tokens else 0
-        passes.append((source, max(1, -(-n // BLOCK_DOCS)), float(weight), [(p, None) for p in range(whole)] + [(whole, rest)] * (rest > 0)))
-    dim = spark.createDataFrame(passes, "_source string, _blocks long, weight double, _passes array<struct<pass:long, quota:long>>")
-    key = F.xxhash64("doc_id", F.col("text").cast("string"))
-    # one row per source: the driver just made this table
-    drawn = rows.join(F.broadcast(dim), F.col("source").cast("string").eqNullSafe(F.col("_source"))).select(
-        *columns, "n_tokens", "weight", "_blocks", key.alias("_key"), F.explode("_passes").alias("_p"))
-    drawn = drawn.select(*columns, "n_tokens", "weight", "_key", F.col("_p.pass").alias("pass"), F.col("_p.quota").alias("_quota"),
-                         F.pmod(F.xxhash64("_key", "_p.pass", F.lit(seed)), F.col("_blocks")).alias("_block"))
-    where = ["source", "pass", "_block"]
-    order = F.xxhash64("_block", "pass", F.lit(seed + 1))
-    sums = drawn.groupBy("source", "pass", "_block", "_quota").agg(F.sum("n_tokens").alias("_tokens"))
-    w = Window.partitionBy("source", "pass").orderBy(order, "_block")
-    places = sums.select(*where, "_tokens", "_quota", F.row_number().over(w).alias("block"), (F.sum("_tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_tokens")).alias("_before"))
-    places = places.filter(F.col("_quota").isNull() | (F.col("_before") < F.col("_quota")))
-    ends = F.col("_quota").isNotNull() & (F.col("_before") + F.col("_tokens") > F.col("_quota"))
-    kinds = places.select(F.col("source").alias("_source"), F.col("pass").alias("_pass"), F.col("_block").alias("_b"), "block", "_before", ends.alias("_ends"))
-    # source x passes x (documents / BLOCK_DOCS) rows: an ordinary join, AQE picks its form
-    taken = drawn.join(kinds, F.col("source").eqNullSafe(F.col("_source")) & (F.col("pass") == F.col("_pass")) & (F.col("_block") == F.col("_b")))
-    out = [*columns, "n_tokens", "pass", "block", "weight"]
-    whole = taken.filter(~F.col("_ends")).select(*out)
-    inner = Window.partitionBy("source", "pass", "_block").orderBy(F.xxhash64("_key", "pass", F.lit(seed + 2)), "_key").rowsBetween(Window.unboundedPreceding, -1)
-    part = taken.filter("_ends").withColumn("_start", F.col("_before") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
-    return whole.union(part.filter(F.col("_start") < F.col("_quota")).select(*out))
+    for source, n, t, weight, quota in plan:
+        whole = [(p, None) for p in range(quota // t if t else 1)]
+        passes.append((source, max(1, -(-n // BLOCK_DOCS)), float(weight), whole + ([((quota // t), stop[source])] if source in stop else [])))
+    dim = spark.createDataFrame(passes, "_source string, _blocks long, weight double, _passes array<struct<pass:long, stop:struct<block:long, place:long, key:long>>>")
+    columns = [c for c in docs.columns if c not in ("n_tokens", "pass", "block", "place", "weight")]
+    drawn = (docs.select(*columns, token_count().alias("n_tokens"), document_key().alias("_key"))
+             .join(F.broadcast(dim), F.col("source").cast("string").eqNullSafe(F.col("_source")))
+             .withColumn("_p", F.explode("_passes"))
+             .withColumn("_at", places(F.col("_key"), F.col("_p.pass"), F.col("_blocks"), seed)))
+    return (drawn.filter(F.col("_p.stop").isNull() | (F.col("_at") <= F.col("_p.stop")))
+            .select(*columns, "n_tokens", F.col("_p.pass").alias("pass"), F.col("_at.block").alias("block"), F.col("_at.place").alias("place"), "weight"))

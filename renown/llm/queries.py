@@ -34,7 +34,7 @@ def op2_suffix_dedup(spark, sf_dir) -> DataFrame:
 @query
 def op3_mixing(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "source", "n_tokens", "pass", "block", "weight")
+    return mixing.mix(docs).select("doc_id", "source", "n_tokens", "pass", "block", "place", "weight")
 
 
 @query

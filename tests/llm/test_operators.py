@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from renown.llm import decontaminate, embedding_join, html_content, jaccard_join, language, mixing, quality, secrets, suffix_dedup, toxicity
 from renown.llm.common import components
@@ -197,7 +198,7 @@ def test_mixing(spark):
     rows = [(i, words(rng, rng.randrange(1, 60)), "big" if i % 4 else f"s{i % 3}", i) for i in range(400)] + [(900, None, None, 1), (901, "", "big", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_tokens long")
     got = mixing.mix(df, max_repeats=1.5)
-    assert got.columns == ["doc_id", "text", "source", "n_tokens", "pass", "block", "weight"]
+    assert got.columns == ["doc_id", "text", "source", "n_tokens", "pass", "block", "place", "weight"]
     rows_out = got.collect()
     plan = mixing.source_weights(df.selectExpr("source", "coalesce(size(filter(split(text, ' '), x -> x <> '')), 0) as n_tokens"), max_repeats=1.5)
     assert abs(sum(w for _, _, _, w, _ in plan) - 1) < 1e-9
@@ -216,6 +217,42 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_draws_a_prefix_of_the_block_permutation(spark, monkeypatch):
+    """The partial pass against a plain walk over blocks and documents."""
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 8)
+    rng = random.Random(3)
+    rows = [(i, words(rng, rng.randrange(0, 30)), "a" if i % 3 else "b") for i in range(300)] + [(7, "same words", "a")] * 5
+    rows += [(r[0] + 1000, r[1], "c") for r in rows[:20]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, max_repeats=1.3).collect()
+    plan = {s: (n, t, q) for s, n, t, _, q in mixing.source_weights(mixing.counted(df), max_repeats=1.3)}
+    walk = df.withColumn("key", mixing.document_key()).collect()
+    for source, (n, tokens, quota) in plan.items():
+        own = [r for r in walk if r.source == source]
+        passes, rest = divmod(quota, tokens)
+        want = {p: sorted(r.doc_id for r in own) for p in range(passes)}
+        if rest:
+            last = spark.createDataFrame(own, "doc_id long, text string, source string, key long")
+            order = mixing.places(F.col("key"), F.lit(passes).cast("long"), F.lit(max(1, -(-n // 8))).cast("long"), 0)
+            ordered = last.select("doc_id", F.size(F.expr("filter(split(text, ' '), x -> x <> '')")).alias("n"), order.alias("o")).orderBy("o", "doc_id").collect()
+            drawn, ids, place = 0, [], None
+            for r in ordered:
+                if drawn >= rest and r.o != place:
+                    break
+                drawn, place = drawn + r.n, r.o
+                ids.append(r.doc_id)
+            want[passes] = sorted(ids)
+        for p, ids in want.items():
+            assert sorted(r.doc_id for r in got if r.source == source and r["pass"] == p) == ids
+        assert sum(r.source == source for r in got) == sum(map(len, want.values()))
+
+
+def test_mixing_shuffles_no_text(spark):
+    df = spark.createDataFrame([(i, "some words here", f"s{i % 3}") for i in range(60)], "doc_id long, text string, source string")
+    plan = mixing.mix(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+
+
 def test_exponent():
     tokens = [1000.0, 100.0, 10.0]
     a = mixing.bisect_exponent(tokens, sum(tokens), 4.0, None)
