@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from renown.llm import decontaminate, embedding_join, html_content, jaccard_join, language, mixing, quality, secrets, suffix_dedup, toxicity
 from renown.llm.common import table
+from renown.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 QUERIES = {}
 
@@ -80,6 +83,3 @@ def pipeline(spark, sf_dir) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
-
-
-ORACLE: dict[str, str] = {}
