@@ -53,13 +53,15 @@ def cascade_fill(df: DataFrame, cap: int, tier_col: str = "tier", keys=("company
 
 
 def all_mentions(parts: list[DataFrame], platforms=None) -> DataFrame:
-    """Union of per-platform extracts in platform order; ``seq`` orders
-    first by platform, then by position within the platform."""
+    """Union of per-platform extracts in platform order.  ``seq`` is the order
+    key (platform_ord, position, item): position of the payload within the
+    platform, then of the row within the payload; a struct compares field by
+    field, so no range of ids can overflow into the next platform."""
     platforms = platforms or lx.PLATFORMS
     ords = {p: i for i, p in enumerate(platforms)}
     out = None
     for p in parts:
         out = p if out is None else out.unionByName(p, allowMissingColumns=True)
     po = F.coalesce(F.try_element_at(map_lit(ords), F.col("source_platform")), F.lit(len(platforms)))
-    return out.withColumn("platform_ord", po.cast("int")).withColumn(
-        "seq", F.col("platform_ord").cast("long") * F.lit(1 << 40) + F.col("position").cast("long"))
+    return out.withColumn("seq", F.struct(po.cast("int").alias("platform_ord"), F.col("position").cast("long").alias("position"),
+                                          F.col("item").cast("int").alias("item"))).drop("position", "item")

@@ -589,19 +589,24 @@ from renown.sources import websearch as WS  # noqa: E402
 AS_OF_FORUM = "2026-01-15 00:00:00"
 
 
+def fx_threads(spark, sf):
+    land = fx.landing_forum_fx(spark, sf)
+    return FO.taken_threads(FO.extract_posts(land.where(F.col("endpoint") == "search"), as_of=AS_OF_FORUM),
+                            FO.extract_comments(land.where(F.col("endpoint") == "comments")))
+
+
 @query
 def src_forum_posts(spark, sf):
-    land = fx.landing_forum_fx(spark, sf).where(F.col("endpoint") == "search")
-    p = FO.extract_posts(land, as_of=AS_OF_FORUM)
+    p, _ = fx_threads(spark, sf)
     return p.select("company", "conv_id", "post_pos", "source_url", F.md5("raw_text").alias("text_md5"),
                     F.length("raw_text").alias("text_len"), "date_raw", "score", "num_comments", "subreddit")
 
 
 @query
 def src_forum_comments(spark, sf):
-    land = fx.landing_forum_fx(spark, sf).where(F.col("endpoint") == "comments")
-    c = FO.extract_comments(land)
-    return c.select("company", "conv_id", "comment_pos", "source_url", F.md5("raw_text").alias("text_md5"), "date_raw", "score")
+    _, c = fx_threads(spark, sf)
+    return c.select("company", "conv_id", "comment_pos", "source_url", F.md5("raw_text").alias("text_md5"), "date_raw", "score",
+                    "parent_post", "reviewer_type")
 
 
 @query
@@ -613,15 +618,14 @@ def src_web_results(spark, sf):
 
 @query
 def all_mentions(spark, sf):
-    posts = FO.extract_posts(fx.landing_forum_fx(spark, sf).where(F.col("endpoint") == "search"), as_of=AS_OF_FORUM)
-    comments = FO.extract_comments(fx.landing_forum_fx(spark, sf).where(F.col("endpoint") == "comments"))
+    posts, comments = fx_threads(spark, sf)
     web = WS.extract_results(fx.landing_web_fx(spark, sf))
-    parts = [posts.select("company", "source_platform", "source_url", "raw_text", (F.col("conv_id") * 100).alias("position")),
-             comments.select("company", "source_platform", "source_url", "raw_text",
-                             (F.col("conv_id") * 100 + 1 + F.col("comment_pos")).alias("position")),
-             web.select("company", "source_platform", "source_url", "raw_text", (F.col("grp") * 10 + F.col("result_pos")).alias("position"))]
+    common = ["company", "source_platform", "source_url", "raw_text"]
+    parts = [posts.select(*common, F.col("conv_id").alias("position"), F.lit(0).alias("item")),
+             comments.select(*common, F.col("conv_id").alias("position"), (F.col("comment_pos") + 1).alias("item")),
+             web.select(*common, F.col("grp").alias("position"), F.col("result_pos").alias("item"))]
     u = CP.all_mentions(parts)
-    return u.select("company", "source_platform", "platform_ord", "seq", "source_url", F.md5("raw_text").alias("text_md5"))
+    return u.select("company", "source_platform", "seq.platform_ord", "seq.position", "seq.item", "source_url", F.md5("raw_text").alias("text_md5"))
 
 
 @query
@@ -633,6 +637,13 @@ def html_elements(spark, sf):
     return ads.select("page_id", F.row_number().over(w).alias("ad_index"), "text")
 
 
+@query
+def html_element_counts(spark, sf):
+    """Every element of every page, counted by tag (and those with a class)."""
+    el = HT.html_elements(fx.table(spark, sf, "pages"))
+    return el.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.count("cls").alias("n_class"))
+
+
 @query
 def src_job_cards(spark, sf):
     """Job-card layout B over the pages: li/div/a with a card-like class,
@@ -653,15 +664,12 @@ def src_job_cards(spark, sf):
 
 from renown.sources import pages as PG  # noqa: E402
 
-ALL_TAGS = ("a", "div", "li", "tr", "td", "span", "p", "h1", "h2", "h3", "time", "article", "section", "body", "ul", "b")
-
-
 def fx_page_elements(spark, sf):
     """Pages and their element table; the element table is parsed once and
     materialized, because every extractor reads it several times."""
     from renown.plans.strategy import materialize
     w = fx.wrapped_pages_fx(spark, sf)
-    el = HT.html_elements(w, tags=ALL_TAGS)
+    el = HT.html_elements(w)
     return w, materialize(el.join(w.select("page_id", "company"), "page_id"))
 
 
@@ -737,7 +745,7 @@ def src_news_links(spark, sf):
     _, el = fx_page_elements(spark, sf)
     arts = PG.news_articles(el)
     links = PG.news_links(el, already=arts)
-    return PG.news_cascade(arts, links).select("page_id", "cascade_rank", "tier", "source_url", "headline", "source_site")
+    return PG.news_cascade(arts, links).select("company", "page_id", "cascade_rank", "tier", "source_url", "headline", "source_site")
 
 
 @query

@@ -8,6 +8,7 @@ from renown.plans.catalog import AS_OF_RECENT, SITE_POOL
 from renown.plans.oracle_fixtures import arr, company_name, py_strip, q, with_views
 from renown.plans.oracle_sql import (analyzable_sql, any_contains, avg_rating_sql, crisis_sql, geo_sql, join_arr,
                                      quote_sql, regulatory_sql, title_sql)
+from renown.sources.html import VOID
 
 ORACLE: dict[str, str] = {}
 
@@ -776,27 +777,39 @@ def _safe(t: str) -> str:
     return safe_text_sql(t)
 
 
-@oracle("src_forum_posts", "forum_posts_fx")
+_CUTOFF = f"(TIMESTAMP '{AS_OF_FORUM}' - INTERVAL {lx.MAX_POST_AGE_DAYS} DAY)"
+KEPT_COMMENTS = ("kept_comments_fx", f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM forum_comments_fx)
+WHERE k <= {lx.FORUM_COMMENTS_PER_POST} AND coalesce(body, '') NOT IN ('', '[deleted]', '[removed]')""")
+# a post is taken while the posts and comments taken before it are below the soft cap
+TAKEN = ("taken_posts_fx", f"""
+SELECT * FROM (
+  SELECT p.*, coalesce(sum(1 + coalesce(c.n, 0)) OVER (PARTITION BY p.company ORDER BY p.conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM forum_posts_fx p LEFT JOIN (SELECT conv_id, count(*) AS n FROM kept_comments_fx GROUP BY conv_id) c ON c.conv_id = p.conv_id
+  WHERE make_timestamp(CAST(p.created_utc * 1000000 AS BIGINT)) >= {_CUTOFF})
+WHERE before < {lx.FORUM_SOFT_CAP}""")
+
+
+@oracle("src_forum_posts", "forum_posts_fx", "forum_comments_fx", extra=[KEPT_COMMENTS, TAKEN])
 def _():
     text = "CASE WHEN coalesce(selftext, '') <> '' THEN coalesce(title, '') || chr(10) || chr(10) || selftext ELSE coalesce(title, '') END"
-    cutoff = f"(TIMESTAMP '{AS_OF_FORUM}' - INTERVAL {lx.MAX_POST_AGE_DAYS} DAY)"
     return f"""
     SELECT company, conv_id, CAST(0 AS INTEGER) AS post_pos, 'https://reddit.com' || permalink AS source_url,
       md5({_safe(text)}) AS text_md5, length({_safe(text)}) AS text_len,
       strftime(make_timestamp(CAST(created_utc * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S') AS date_raw,
       score, num_comments, subreddit
-    FROM forum_posts_fx WHERE make_timestamp(CAST(created_utc * 1000000 AS BIGINT)) >= {cutoff}"""
+    FROM taken_posts_fx"""
 
 
-@oracle("src_forum_comments", "forum_comments_fx")
+@oracle("src_forum_comments", "forum_posts_fx", "forum_comments_fx", extra=[KEPT_COMMENTS, TAKEN])
 def _():
     return f"""
-    SELECT company, conv_id, CAST(k - 1 AS INTEGER) AS comment_pos,
-      CASE WHEN coalesce(permalink, '') <> '' THEN 'https://reddit.com' || permalink ELSE '' END AS source_url,
-      md5({_safe('body')}) AS text_md5,
-      strftime(make_timestamp(CAST(created_utc * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S') AS date_raw, score
-    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM forum_comments_fx)
-    WHERE k <= {lx.FORUM_COMMENTS_PER_POST} AND coalesce(body, '') NOT IN ('', '[deleted]', '[removed]')"""
+    SELECT c.company, c.conv_id, CAST(k - 1 AS INTEGER) AS comment_pos,
+      CASE WHEN coalesce(c.permalink, '') <> '' THEN 'https://reddit.com' || c.permalink ELSE '' END AS source_url,
+      md5({_safe('c.body')}) AS text_md5,
+      strftime(make_timestamp(CAST(c.created_utc * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S') AS date_raw, c.score,
+      coalesce(t.title, '') AS parent_post, 'general' AS reviewer_type
+    FROM kept_comments_fx c JOIN taken_posts_fx t ON t.conv_id = c.conv_id"""
 
 
 WEB_ROWS = ("web_fx", f"""
@@ -816,6 +829,18 @@ def _():
     return f"SELECT company, grp, result_pos, source_url, md5({_safe(t)}) AS text_md5, coalesce(title, '') AS title, score, coalesce(position, 0) AS position, search_engine FROM web_fx"
 
 
+@oracle("html_element_counts")
+def _():
+    void = ", ".join(q(t) for t in sorted(VOID))
+    # comments go first, then the insides of raw-text elements, then every start tag is read
+    bare = r"regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '(<(script|style)\b[^>]*>).*?(</(script|style)\s*>)', '\1\3', 'gis')"
+    return rf"""
+    SELECT page_id, tag, count(*) AS n, count(*) FILTER (WHERE regexp_matches(opening, '\sclass\s*=', 'i')) AS n_class FROM (
+      SELECT page_id, opening, lower(regexp_extract(opening, '<([a-zA-Z][^\s/>]*)', 1)) AS tag
+      FROM (SELECT page_id, unnest(regexp_extract_all({bare}, '<[a-zA-Z][^>]*>')) AS opening FROM pages))
+    WHERE tag NOT IN ({void}) GROUP BY page_id, tag"""
+
+
 @oracle("html_elements")
 def _():
     return (f"SELECT page_id, CAST(generate_subscripts(ads, 1) AS BIGINT) AS ad_index, {py_strip('unnest(ads)')} AS text FROM ("
@@ -921,10 +946,17 @@ def _():
 
 @oracle("src_news_links", extra=[PAGES_FX])
 def _():
-    return ("SELECT k AS page_id, 1 AS cascade_rank, 0 AS tier, '' AS source_url, '' AS headline, 'unknown' AS source_site FROM pg UNION ALL "
-            "SELECT k, 2, 0, 'https://www.' || site || '/news/' || CAST(k AS VARCHAR), 'Headline ' || CAST(k AS VARCHAR) || ' about ' || company, site FROM pg "
-            "UNION ALL SELECT k, 3, 1, 'https://www.' || site2 || '/story/' || CAST(k AS VARCHAR), 'Story number ' || CAST(k AS VARCHAR) || ' in the paper', site2 "
-            "FROM pg WHERE site2_ord < 5")
+    cap = lx.PLATFORM_CAPS["news"]
+    return f"""
+    SELECT company, page_id, cascade_rank, tier, source_url, headline, source_site FROM (
+      SELECT *, row_number() OVER (PARTITION BY company ORDER BY tier, site_ord, page_id, pos) AS cascade_rank FROM (
+        SELECT company, k AS page_id, 0 AS tier, -1 AS site_ord, 1 AS pos, '' AS source_url, '' AS headline, 'unknown' AS source_site FROM pg
+        UNION ALL SELECT company, k, 0, -1, 2, 'https://www.' || site || '/news/' || CAST(k AS VARCHAR), 'Headline ' || CAST(k AS VARCHAR) || ' about ' || company, site FROM pg
+        UNION ALL
+        SELECT company, k, 1, site2_ord, 1, 'https://www.' || site2 || '/story/' || CAST(k AS VARCHAR), 'Story number ' || CAST(k AS VARCHAR) || ' in the paper', site2
+        FROM pg p WHERE site2_ord < 5 AND {cap} >
+          (SELECT 2 * count(*) + count(*) FILTER (WHERE o.site2_ord < p.site2_ord) FROM pg o WHERE o.company = p.company)))
+    WHERE cascade_rank <= {cap}"""
 
 
 @oracle("src_web_html", extra=[PAGES_FX])
@@ -1016,23 +1048,20 @@ def _():
 
 
 
-@oracle("all_mentions", "forum_comments_fx", extra=[WEB_ROWS])
+@oracle("all_mentions", "forum_posts_fx", "forum_comments_fx", extra=[KEPT_COMMENTS, TAKEN, WEB_ROWS])
 def _():
-    cutoff = f"(TIMESTAMP '{AS_OF_FORUM}' - INTERVAL {lx.MAX_POST_AGE_DAYS} DAY)"
     post_text = "CASE WHEN coalesce(selftext, '') <> '' THEN coalesce(title, '') || chr(10) || chr(10) || selftext ELSE coalesce(title, '') END"
     web_text = "coalesce(title, '') || chr(10) || chr(10) || coalesce(text, '')"
-    shift = 1 << 40
     return f"""
-    SELECT company, 'reddit' AS source_platform, 0 AS platform_ord, CAST(conv_id * 100 AS BIGINT) AS seq,
+    SELECT company, 'reddit' AS source_platform, 0 AS platform_ord, CAST(conv_id AS BIGINT) AS position, 0 AS item,
       'https://reddit.com' || permalink AS source_url, md5({_safe(post_text)}) AS text_md5
-    FROM forum_posts_fx WHERE make_timestamp(CAST(created_utc * 1000000 AS BIGINT)) >= {cutoff}
+    FROM taken_posts_fx
     UNION ALL
-    SELECT company, 'reddit', 0, CAST(conv_id * 100 + 1 + (k - 1) AS BIGINT),
+    SELECT company, 'reddit', 0, CAST(conv_id AS BIGINT), CAST(k AS INTEGER),
       CASE WHEN coalesce(permalink, '') <> '' THEN 'https://reddit.com' || permalink ELSE '' END, md5({_safe('body')})
-    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM forum_comments_fx)
-    WHERE k <= {lx.FORUM_COMMENTS_PER_POST} AND coalesce(body, '') NOT IN ('', '[deleted]', '[removed]')
+    FROM kept_comments_fx WHERE conv_id IN (SELECT conv_id FROM taken_posts_fx)
     UNION ALL
-    SELECT company, 'web', 7, CAST(7 * {shift} + grp * 10 + result_pos AS BIGINT), source_url, md5({_safe(web_text)})
+    SELECT company, 'web', 7, CAST(grp AS BIGINT), CAST(result_pos AS INTEGER), source_url, md5({_safe(web_text)})
     FROM web_fx"""
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from renown.functions import lexicons as lx
 from renown.functions.text import format_epoch, safe_text
+from renown.operators.caps import capped_threads
 
 POST_SCHEMA = ("struct<data:struct<children:array<struct<data:struct<title:string, selftext:string, "
                "permalink:string, created_utc:double, score:int, num_comments:int>>>>>")
@@ -34,7 +35,7 @@ def extract_posts(landing: DataFrame, as_of: str | None = None, max_age_days: in
         F.timestamp_micros((F.coalesce(d["created_utc"], F.lit(0.0)) * 1e6).cast("long")).alias("event_ts"),
         d["title"].alias("title"), d["permalink"].alias("permalink"),
         F.coalesce(d["score"], F.lit(0)).alias("score"), F.coalesce(d["num_comments"], F.lit(0)).alias("num_comments"),
-        F.lit("post").alias("type"),
+        F.lit("general").alias("reviewer_type"), F.lit("post").alias("type"),
     )
     if as_of is not None:
         cutoff = F.to_timestamp(F.lit(as_of)) - F.make_interval(days=F.lit(max_age_days))
@@ -60,5 +61,20 @@ def extract_comments(landing: DataFrame, per_post: int = lx.FORUM_COMMENTS_PER_P
         safe_text(body).alias("raw_text"),
         format_epoch(F.coalesce(d["created_utc"], F.lit(0.0))).alias("date_raw"),
         F.coalesce(d["score"], F.lit(0)).alias("score"),
-        F.lit("comment").alias("type"),
+        F.lit("general").alias("reviewer_type"), F.lit("comment").alias("type"),
     )
+
+
+def taken_threads(posts: DataFrame, comments: DataFrame, cap: int = lx.FORUM_SOFT_CAP,
+                  keys=("company", "conv_id")) -> tuple[DataFrame, DataFrame]:
+    """The posts a crawl takes under its soft cap (a post counts 1 plus its
+    kept comments) and the comments of exactly those posts, each with its
+    post's title as ``parent_post``.  ``posts`` have passed the age cutoff;
+    ``keys`` name one thread, the last one in crawl order.  A post without
+    a permalink has no comments to read."""
+    linked = F.coalesce("permalink", F.lit("")) != ""
+    n = comments.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    p = posts.join(n, list(keys), "left").withColumn("n_comments", F.when(linked, F.coalesce("_n", F.lit(0))).otherwise(0)).drop("_n")
+    taken = capped_threads(p.withColumn("seq", F.struct(keys[-1], "post_pos")), cap).drop("seq", "rows_before")
+    parents = taken.where(linked).select(*keys, F.coalesce("title", F.lit("")).alias("parent_post"))
+    return taken, comments.join(parents, list(keys))

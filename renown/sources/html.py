@@ -20,17 +20,18 @@ from pyspark.sql import functions as F
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 NON_TEXT = {"script", "style", "template"}
-DEFAULT_TAGS = ("a", "div", "li", "tr", "td", "span", "p", "h1", "h2", "h3", "article", "section", "body")
+ERROR_TAG = "#error"
+PIECE_ROWS, PIECE_CHARS = 4096, 8_000_000  # rows or text characters after which a frame is handed on
 
 ELEMENT_SCHEMA = ("page_id long, pos int, end_pos int, parent_pos int, tag string, cls string, href string, "
                   "aria_label string, review_id string, test_id string, first_href string, depth int, "
-                  "own_texts array<string>, text string")
+                  "own_texts array<string>, text string, parse_error string")
 FIELDS = ["page_id", "pos", "end_pos", "parent_pos", "tag", "cls", "href", "aria_label", "review_id", "test_id",
-          "first_href", "depth", "own_texts", "text"]
+          "first_href", "depth", "own_texts", "text", "parse_error"]
 
 
 class _Collector(HTMLParser):
-    def __init__(self, keep: set[str]):
+    def __init__(self, keep: set[str] | None):
         super().__init__(convert_charrefs=True)
         self.keep = keep
         self.stack: list[dict] = []
@@ -50,7 +51,7 @@ class _Collector(HTMLParser):
               "aria_label": a.get("aria-label"), "review_id": a.get("data-review-id"),
               "test_id": a.get("data-testid") or a.get("data-test"), "first_href": None,
               "depth": len(self.stack), "parent_pos": self.stack[-1]["pos"] if self.stack else -1,
-              "parts": [], "own": [], "kept": tag in self.keep}
+              "parts": [], "own": [], "kept": self.keep is None or tag in self.keep, "parse_error": None}
         self.pos += 1
         self.stack.append(el)
         if tag in NON_TEXT:
@@ -72,7 +73,7 @@ class _Collector(HTMLParser):
         el["end_pos"] = self.pos
         if el["tag"] in NON_TEXT:
             self.skip -= 1
-        if el["tag"] in self.keep:
+        if el["kept"]:
             self.done.append(el)
 
     def handle_data(self, data):
@@ -95,38 +96,57 @@ class _Collector(HTMLParser):
         return self.done
 
 
-def parse_elements(html: str, keep: set[str]) -> list[dict]:
-    c = _Collector(keep)
+def _error_row(e: Exception) -> dict:
+    return {**dict.fromkeys(FIELDS), "pos": -1, "end_pos": -1, "parent_pos": -1, "depth": 0, "tag": ERROR_TAG, "own": [],
+            "parts": [], "parse_error": f"{type(e).__name__}: {e}"}
+
+
+def parse_elements(html: str, keep: set[str] | None) -> list[dict]:
+    """Elements in document order.  Markup that the parser gives up on does
+    not fail the job: the elements before it are followed by one row of tag
+    ``#error`` whose ``parse_error`` names the fault."""
+    c, failed = _Collector(keep), []
     try:
         c.feed(html or "")
-    except Exception:  # malformed markup never fails the job
-        pass
-    return c.finish()
+    except Exception as e:
+        failed = [_error_row(e)]
+    try:
+        return c.finish() + failed
+    except Exception as e:
+        while c.stack:
+            c._close(c.stack.pop())
+        return sorted(c.done, key=lambda x: x["pos"]) + (failed or [_error_row(e)])
+
+
+def _frame(rows: list[list]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=FIELDS).astype({"page_id": "int64", "pos": "int32", "end_pos": "int32",
+                                                      "parent_pos": "int32", "depth": "int32"})
 
 
-def _elements_fn(keep: set[str], id_col: str, html_col: str):
+def _elements_fn(keep: set[str] | None, id_col: str, html_col: str):
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = {k: [] for k in FIELDS}
+            rows, chars = [], 0
             for pid, html in zip(pdf[id_col].tolist(), pdf[html_col].tolist()):
                 for el in parse_elements(html, keep):
-                    out["page_id"].append(pid)
-                    for k in FIELDS[1:-2]:
-                        out[k].append(el[k])
-                    out["own_texts"].append(el["own"])
-                    out["text"].append("".join(el["parts"]))
-            yield pd.DataFrame(out).astype({"page_id": "int64", "pos": "int32", "end_pos": "int32",
-                                            "parent_pos": "int32", "depth": "int32"})
+                    el["page_id"], el["own_texts"], el["text"] = pid, el["own"], "".join(el["parts"])
+                    rows.append([el[k] for k in FIELDS])
+                    chars += len(el["text"])
+                    if len(rows) >= PIECE_ROWS or chars >= PIECE_CHARS:
+                        yield _frame(rows)
+                        rows, chars = [], 0
+            if rows:
+                yield _frame(rows)
     return fn
 
 
-def html_elements(pages: DataFrame, tags=DEFAULT_TAGS, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """pages(page_id, html) -> one row per element of the kept tags, in
-    document order: position, extent (descendants have pos in
+def html_elements(pages: DataFrame, tags=None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """pages(page_id, html) -> one row per element (of ``tags`` only, when
+    given), in document order: position, extent (descendants have pos in
     (pos, end_pos)), parent position, tag, class, href, aria-label, review
     id, test id, first descendant link, depth, direct text children and the
-    stripped text."""
-    fn = _elements_fn(set(tags), id_col, html_col)
+    stripped text; see ``parse_elements`` for markup that cannot be parsed."""
+    fn = _elements_fn(None if tags is None else set(tags), id_col, html_col)
     return pages.select(id_col, html_col).mapInPandas(fn, ELEMENT_SCHEMA)
 
 

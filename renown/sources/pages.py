@@ -98,12 +98,13 @@ def employee_review_cascade(primary: DataFrame, secondary: DataFrame, cap: int =
     return both.withColumn("cascade_rank", F.row_number().over(w)).where(F.col("cascade_rank") <= cap)
 
 
-def news_cascade(articles: DataFrame, links: DataFrame, cap: int = lx.PLATFORM_CAPS["news"], keys=("page_id",)) -> DataFrame:
-    """Search results first, then site links in site order, cut to ``cap``."""
-    a = articles.select(*keys, "tier", F.lit(-1).alias("site_ord"), F.col("item_rank").alias("pos"), "source_url",
+def news_cascade(articles: DataFrame, links: DataFrame, cap: int = lx.PLATFORM_CAPS["news"], keys=("company",)) -> DataFrame:
+    """Search results first, then site links in site order (within both by
+    page and place), cut to ``cap`` rows per company."""
+    a = articles.select(*keys, "page_id", "tier", F.lit(-1).alias("site_ord"), F.col("item_rank").alias("pos"), "source_url",
                         "raw_text", "headline", "source_site")
-    b = links.select(*keys, "tier", "site_ord", "pos", "source_url", "raw_text", "headline", "source_site")
-    w = Window.partitionBy(*keys).orderBy("tier", "site_ord", "pos")
+    b = links.select(*keys, "page_id", "tier", "site_ord", "pos", "source_url", "raw_text", "headline", "source_site")
+    w = Window.partitionBy(*keys).orderBy("tier", "site_ord", "page_id", "pos")
     u = a.unionByName(b)
     return u.withColumn("cascade_rank", F.row_number().over(w)).where(F.col("cascade_rank") <= cap)
 
@@ -199,7 +200,7 @@ def social_pages(elements: DataFrame, cap: int = lx.PLATFORM_CAPS["facebook"]) -
 
 # ------------------------------------------------------------------ news
 
-def news_articles(elements: DataFrame, cap: int = lx.PLATFORM_CAPS["news"]) -> DataFrame:
+def news_articles(elements: DataFrame, cap: int = lx.PLATFORM_CAPS["news"], keys=("company",)) -> DataFrame:
     """Result blocks (div, class result|article|news), first ``cap``:
     headline from the first h3/h2/a inside, snippet from the first
     p/span/div with a snippet-like class (else the block text), link, date
@@ -218,27 +219,28 @@ def news_articles(elements: DataFrame, cap: int = lx.PLATFORM_CAPS["news"]) -> D
     url = F.coalesce(F.col("l.href"), F.lit(""))
     body = F.when(headline != "", F.concat(headline, F.lit("\n\n"), snippet)).otherwise(snippet)
     out = a.where((headline != "") | (snippet != ""))
-    return out.select("page_id", "item_rank", F.lit("news").alias("source_platform"), url.alias("source_url"),
+    return out.select(*keys, "page_id", "item_rank", F.lit("news").alias("source_platform"), url.alias("source_url"),
                       tx.safe_text(body).alias("raw_text"), F.col("d.text").alias("date_raw"), headline.alias("headline"),
                       tx.source_site(url).alias("source_site"), F.lit(0).alias("tier"))
 
 
-def news_links(elements: DataFrame, sites=None, cap: int = lx.PLATFORM_CAPS["news"], already: DataFrame | None = None) -> DataFrame:
+def news_links(elements: DataFrame, sites=None, cap: int = lx.PLATFORM_CAPS["news"], already: DataFrame | None = None,
+               keys=("company",)) -> DataFrame:
     """Per site in order, links whose href contains the site with headline
-    text longer than 10 chars; sites are consulted only while the rows so
-    far (``already`` per page plus earlier sites) are below ``cap``."""
+    text longer than 10 chars; sites are consulted only while the company's
+    rows so far (``already`` plus those of earlier sites) are below ``cap``."""
     sites = sites or lx.NEWS_SITES[:5]
     arr = F.array(*[F.struct(F.lit(i).alias("site_ord"), F.lit(s).alias("site")) for i, s in enumerate(sites)])
     a = elements.where((F.col("tag") == "a") & F.col("href").isNotNull() & (F.length("text") > 10))
     x = a.select("*", F.inline(arr)).where(F.col("href").contains(F.col("site")))
-    per_site = x.groupBy("page_id", "site_ord").agg(F.count(F.lit(1)).alias("n_site"))
-    w = Window.partitionBy("page_id").orderBy("site_ord").rowsBetween(Window.unboundedPreceding, -1)
+    per_site = x.groupBy(*keys, "site_ord").agg(F.count(F.lit(1)).alias("n_site"))
+    w = Window.partitionBy(*keys).orderBy("site_ord").rowsBetween(Window.unboundedPreceding, -1)
     gate = per_site.withColumn("before", F.coalesce(F.sum("n_site").over(w), F.lit(0)))
     if already is not None:
-        gate = gate.join(already.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n0")), "page_id", "left")
+        gate = gate.join(already.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n0")), list(keys), "left")
         gate = gate.withColumn("before", F.col("before") + F.coalesce("_n0", F.lit(0)))
-    x = x.join(gate.where(F.col("before") < cap).select("page_id", "site_ord"), ["page_id", "site_ord"], "left_semi")
-    return x.select("page_id", "site_ord", "pos", F.lit("news").alias("source_platform"), F.col("href").alias("source_url"),
+    x = x.join(gate.where(F.col("before") < cap).select(*keys, "site_ord"), [*keys, "site_ord"], "left_semi")
+    return x.select(*keys, "page_id", "site_ord", "pos", F.lit("news").alias("source_platform"), F.col("href").alias("source_url"),
                     tx.safe_text("text").alias("raw_text"), F.col("text").alias("headline"), F.col("site").alias("source_site"),
                     F.lit(1).alias("tier"))
 

@@ -38,6 +38,17 @@ def test_forum_posts_and_comments(spark):
     assert sorted(r["raw_text"] for r in c) == ["a", "b"]
 
 
+def test_comments_follow_their_posts(spark):
+    posts = spark.createDataFrame([("co", i, 0, f"T{i}", "" if i == 2 else f"/p{i}") for i in range(6)],
+                                  "company string, conv_id long, post_pos int, title string, permalink string")
+    comments = spark.createDataFrame([("co", i, j) for i in range(9) for j in range(2)], "company string, conv_id long, comment_pos int")
+    taken, kept = FO.taken_threads(posts, comments, cap=8)
+    # 3 + 3 rows, then a post without a permalink (1 row), then the one that passes the cap
+    assert sorted((r["conv_id"], r["n_comments"]) for r in taken.collect()) == [(0, 2), (1, 2), (2, 0), (3, 2)]
+    assert sorted({(r["conv_id"], r["parent_post"]) for r in kept.collect()}) == [(0, "T0"), (1, "T1"), (3, "T3")]
+    assert kept.count() == 6
+
+
 def test_web_search_layouts(spark):
     a = {"results": [{"url": "u1", "title": "t1", "content": "c1", "score": 0.5}]}
     b = {"organic_results": [{"link": "u2", "title": "t2", "snippet": "s2", "position": 1}]}
@@ -56,6 +67,40 @@ def test_html_broken_nesting_and_cards(spark):
     assert cards[0]["first_href"] == "/ad/1"
 
 
+def test_text_nodes_and_parents_of_any_tag(spark):
+    html = ('<dl><dt>Engineer at Acme</dt></dl><label>Clerk, <em>Acme</em></label>'
+            '<p><strong><a href="https://www.linkedin.com/company/acme">Acme | 1,200 followers</a> of it</strong></p>')
+    pages = spark.createDataFrame([(1, "Acme", html)], "page_id long, company string, html string")
+    el = HT.html_elements(pages).join(pages.select("page_id", "company"), "page_id")
+    assert [r["raw_text"] for r in PG.job_listings(el).orderBy("item_rank").collect()][:3] == ["Engineer at Acme", "Acme", "Acme | 1,200 followers"]
+    assert "of it" in PG.profile_links(el).first()["raw_text"]
+
+
+def test_parse_errors_are_rows(monkeypatch):
+    def broken(self, tag, attrs):
+        if tag == "bad":
+            raise ValueError("no")
+        return start(self, tag, attrs)
+
+    start = HT._Collector.handle_starttag
+    monkeypatch.setattr(HT._Collector, "handle_starttag", broken)
+    got = HT.parse_elements("<div>a<p>b</p><bad>c", None)
+    assert [(e["tag"], e["parse_error"]) for e in got][-1] == (HT.ERROR_TAG, "ValueError: no")
+    assert {e["tag"] for e in got} >= {"div", "p"}
+
+
+def test_news_cap_counts_per_company(spark):
+    link = '<a href="https://{}/{}">A headline of some length</a>'
+    sites = ["one.example", "two.example"]
+    pages = spark.createDataFrame([(i, "co", "".join(link.format(s, i) for s in sites)) for i in range(4)], "page_id long, company string, html string")
+    el = HT.html_elements(pages).join(pages.select("page_id", "company"), "page_id")
+    arts = PG.news_articles(el)
+    # the first site's four links reach the cap over all pages: the second site is not read
+    links = PG.news_links(el, sites=sites, cap=4, already=arts)
+    assert sorted(r["source_url"] for r in links.collect()) == [f"https://one.example/{i}" for i in range(4)]
+    assert [r["source_url"] for r in PG.news_cascade(arts, links, cap=3).orderBy("cascade_rank").collect()] == [f"https://one.example/{i}" for i in range(3)]
+
+
 def test_careers_link_precedence(spark):
     html = ('<a href="https://x.io/a">Explore</a><a href="https://boards.greenhouse.io/c">Apply</a>'
             '<a href="https://x.io/b">View jobs</a>')
