@@ -5,9 +5,13 @@ Euclidean distance of at most r = sqrt(2 - 2c).  Identical vectors collapse to
 one class with a count.  Pivots (far apart, from a bounded sample) partition
 the classes by nearest pivot.  By the triangle inequality a vector x can have
 a partner with home cell j only if d(x, p_j) <= d(x, p_home) + 2r and
-d(x, p_j) <= radius_j + r; it is replicated to exactly those cells.  A vector
-meets all its partners in its home cell, so link counts need no
-de-duplication.  Cells join independently and, when large, in blocks of
+d(x, p_j) <= radius_j + r.  A pair of two cells is compared in one of them,
+the lower if their numbers differ by an even number, else the higher; x is
+replicated to those cells of the condition where its pairs are compared.  So
+every pair meets exactly once across cells (in both directions within one),
+and link counts need no de-duplication: a block counts its home rows' links
+and those of the replicas.  Cells join independently and, when large, in
+blocks of
 ``BLOCK`` home rows by ``BLOCK`` members; a block is a matrix product that
 returns link counts and a spanning forest of its links, never the pairs, so a
 hot cell or a large group of near copies is split and nothing grows with the
@@ -67,6 +71,8 @@ def _assign(pivots: dict, r: float, radius: dict | None):
                     continue
                 reach = np.array([radius.get((size, j), -np.inf) for j in range(len(p))])
                 go = (d <= near[:, None] + 2 * r + 1e-9) & (d <= reach + r + 1e-9)
+                apart = np.arange(len(p)) - home[:, None]
+                go &= (apart < 0) == (apart % 2 == 0)  # where pairs of these two cells are compared
                 go[np.arange(len(d)), home] = True
                 at, cell = np.nonzero(go)
                 yield pd.DataFrame({"size": size, "cell": cell, "home": cell == home[at], "node": part["node"].to_numpy()[at],
@@ -80,13 +86,13 @@ def _block(cosine: float):
         if not len(home) or not len(other):
             return pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
         x, y = unit(np.array(home["vector"].tolist(), np.float64)), unit(np.array(other["vector"].tolist(), np.float64))
-        ids, copies = other["node"].to_numpy(), other["copies"].to_numpy()
-        own = home["node"].to_numpy()
+        ids, copies, guest = other["node"].to_numpy(), other["copies"].to_numpy(), other["guest"].to_numpy()
+        own, times = home["node"].to_numpy(), home["copies"].to_numpy()
         # nodes: members first, then home rows that are not among them
         where = {n: i for i, n in enumerate(ids)}
         place = np.array([where.setdefault(n, len(where)) for n in own])
         names = np.array(list(where), np.int64)
-        label, counts = np.arange(len(names)), np.zeros(len(own), np.int64)
+        label, counts, guests = np.arange(len(names)), np.zeros(len(own), np.int64), np.zeros(len(ids), np.int64)
         for lo in range(0, len(x), STRIP):
             near = x[lo:lo + STRIP] @ y.T >= cosine
             for i in range(len(near)):
@@ -95,14 +101,16 @@ def _block(cosine: float):
                 if not len(hit):
                     continue
                 counts[lo + i] = copies[hit].sum()
+                guests[hit] += times[lo + i]
                 at = np.append(label[hit], label[place[lo + i]])
                 low = at.min()
                 if (at != low).any():
                     label[np.isin(label, at)] = low
         joined = np.flatnonzero(label != np.arange(len(names)))
-        some = np.flatnonzero(counts)
-        return pd.DataFrame({"a": np.append(own[some], names[joined]), "b": np.append(own[some], names[label[joined]]),
-                             "links": np.append(counts[some], np.zeros(len(joined), np.int64))})
+        some, too = np.flatnonzero(counts), np.flatnonzero((guests > 0) & guest)
+        nodes = np.append(own[some], ids[too])
+        return pd.DataFrame({"a": np.append(nodes, names[joined]), "b": np.append(nodes, names[label[joined]]),
+                             "links": np.concatenate([counts[some], guests[too], np.zeros(len(joined), np.int64)])})
     return run
 
 
@@ -134,9 +142,10 @@ def near_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).alias("na"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("nb"))
     placed = placed.join(F.broadcast(cells), ["size", "cell"])  # at most MAX_PIVOTS rows a vector length
     part = F.xxhash64("node", F.lit(5))
-    own = placed.filter("home").withColumn("a", F.pmod(part, F.col("na"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    others = placed.withColumn("home", F.lit(False)).withColumn("b", F.pmod(part, F.col("nb"))).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)))
-    both = own.select("size", "cell", "a", "b", "home", "node", "copies", "vector").union(others.select("size", "cell", "a", "b", "home", "node", "copies", "vector"))
+    own = placed.filter("home").withColumn("guest", F.lit(False)).withColumn("a", F.pmod(part, F.col("na"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    others = placed.withColumn("guest", ~F.col("home")).withColumn("home", F.lit(False)).withColumn("b", F.pmod(part, F.col("nb"))).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)))
+    sides = ["size", "cell", "a", "b", "home", "guest", "node", "copies", "vector"]
+    both = own.select(*sides).union(others.select(*sides))
     found = written(both.groupBy("size", "cell", "a", "b").applyInPandas(_block(cosine), "a long, b long, links long"))
     counts = found.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     names = classes.select("node", "first", "copies")
