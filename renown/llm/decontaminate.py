@@ -9,13 +9,22 @@ diagonal and compared word by word: the pair is a leak when some window of
 ``window`` item words (the whole item when it is shorter) has at least
 ``percent`` % equal words.
 
+The masks alone lay not every pair that passes this rule (4 substitutions in
+20 words can hit all of their windows), so seeds of one short mask are made
+too; each mask's windows run to the end of the text.  With the given window
+and percentage the masks meet every pattern of substitutions in items of
+``span`` words and more (enumerated in the tests); with others a run of equal
+words that every such overlap must hold takes the short mask's place, and
+items with fewer words than the span are seeded by such runs as well.
+
 The benchmark side of the seed join is broadcast only when it holds at most
 ``MAX_BROADCAST_SEEDS`` rows (counted first; about 40 MB); beyond that it is
 an ordinary shuffled join.  Seed windows are made in chunks of ``CHUNK``
 words, so a very long text is never expanded at once.
 
 Cases: null and empty texts have no words and never match; items with fewer
-words than a mask's span never match; rows that repeat a doc_id or item_id
+words than a mask's span are compared whole when ``short_items`` is set (the
+default; the registered query leaves them out, as its SQL does); rows that repeat a doc_id or item_id
 are matched separately and reported once per (doc_id, item_id); null ids
 are reported as null; extra columns are ignored; empty tables give no rows.
 """
@@ -28,6 +37,7 @@ from pyspark.sql import functions as F
 from renown.llm.common import written
 
 MASKS = ("110110101", "101011011", "111000111")
+SHORT_MASK = "11011"  # beside MASKS, for substitutions that leave them no window
 WINDOW = 20
 PERCENT = 80
 CHUNK = 2048
@@ -43,30 +53,55 @@ def word_codes(col):
     return F.transform(words(col), lambda w: F.xxhash64(w))
 
 
-def seed_rows(df: DataFrame, key: str, codes: str, masks=MASKS) -> DataFrame:
-    """(key, pos, seed) for every window and mask."""
+def shared_run(n: int, percent: int) -> int:
+    """Length of a run of equal words that an overlap of ``n`` words with
+    ``percent`` % equal ones must hold (its gaps cut the equal words into one
+    run more than there are gaps)."""
+    equal = max(1, -(-n * percent // 100))
+    return -(-equal // (n - equal + 1))
+
+
+def whole_masks(masks, window: int, percent: int) -> tuple:
+    """``masks`` and what they need to meet every overlap that passes."""
+    if (tuple(masks), window, percent) == (MASKS, WINDOW, PERCENT):
+        return (*MASKS, SHORT_MASK)
     span = max(map(len, masks))
+    return (*masks, "1" * min(shared_run(n, percent) for n in range(min(span, window), window + 1)))
+
+
+def seed_rows(df: DataFrame, key: str, codes: str, masks=MASKS) -> DataFrame:
+    """(key, pos, seed) for every mask and every window of its length."""
+    span, least = max(map(len, masks)), min(map(len, masks))
     pieces = df.select(key, F.explode(F.transform(
-        F.when(F.size(codes) >= span, F.sequence(F.lit(0), F.size(codes) - span, F.lit(CHUNK))).otherwise(F.array().cast("array<int>")),
+        F.when(F.size(codes) >= least, F.sequence(F.lit(0), F.size(codes) - least, F.lit(CHUNK))).otherwise(F.array().cast("array<int>")),
         lambda s: F.struct(s.alias("at"), F.slice(F.col(codes), s + 1, F.lit(CHUNK + span - 1)).alias("part")))).alias("p"))
     pieces = pieces.select(key, "p.at", "p.part")
-    n = F.greatest(F.size("part") - span + 1, F.lit(0))
+    n = F.least(F.greatest(F.size("part") - least + 1, F.lit(0)), F.lit(CHUNK))
     shifted = F.arrays_zip(*[F.slice("part", j + 1, n).alias(f"w{j}") for j in range(span)])
     rows = pieces.select(key, "at", F.posexplode(shifted).alias("i", "w"))
-    seeds = F.array(*[F.xxhash64(F.lit(m), *[F.col(f"w.w{j}") for j, x in enumerate(mask) if x == "1"]) for m, mask in enumerate(masks)])
-    return rows.select(key, (F.col("at") + F.col("i")).alias("pos"), F.explode(seeds).alias("seed"))
+    # past the end of the text the words are null
+    seeds = F.array(*[F.when(F.col(f"w.w{len(mask) - 1}").isNotNull(), F.xxhash64(F.lit(mask), *[F.col(f"w.w{j}") for j, x in enumerate(mask) if x == "1"]))
+                      for mask in masks])
+    return rows.select(key, (F.col("at") + F.col("i")).alias("pos"), F.explode(seeds).alias("seed")).filter("seed is not null")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WINDOW, percent: int = PERCENT, short_items: bool = True) -> DataFrame:
     """(doc_id, item_id, matched, compared): each pair with a verified
     overlap, ``matched`` equal words of the best window of ``compared``."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_codes(F.col("text")).alias("item"),
                              F.xxhash64("item_id", F.col("text").cast("string")).alias("ik")).dropDuplicates(["ik"])
-    items = written(items.filter(F.size("item") > 0))
-    seeds = written(seed_rows(items, "ik", "item", masks).withColumnRenamed("pos", "item_pos").distinct())
+    span, every = max(map(len, masks)), whole_masks(masks, window, percent)
+    items = written(items.filter(F.size("item") >= (1 if short_items else span)))
+    item_seeds = seed_rows(items.filter(F.size("item") >= span), "ik", "item", every)
+    runs: dict[str, list[int]] = {}
+    for (n,) in items.filter(F.size("item") < span).select(F.size("item")).distinct().collect():
+        runs.setdefault("1" * shared_run(min(n, window), percent), []).append(n)
+    for run, sizes in runs.items():
+        item_seeds = item_seeds.union(seed_rows(items.filter(F.size("item").isin(sizes)), "ik", "item", (run,)))
+    seeds = written(item_seeds.withColumnRenamed("pos", "item_pos").distinct())
     small = seeds.count() <= MAX_BROADCAST_SEEDS
-    own = seed_rows(d.select("rk", word_codes(F.col("text")).alias("codes")), "rk", "codes", masks)
+    own = seed_rows(d.select("rk", word_codes(F.col("text")).alias("codes")), "rk", "codes", tuple(dict.fromkeys((*every, *runs))))
     hits = (own.join(F.broadcast(seeds) if small else seeds, "seed")
             .select("rk", "ik", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct())
     hits = written(hits)
