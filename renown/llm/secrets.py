@@ -10,6 +10,14 @@ spans still costs at least 10 ** ``MIN_GUESSES`` guesses.  The segmentation
 is a dynamic program over the whole value, so its cost is the minimum over
 all segmentations; a value's time is linear in its length.
 
+Dictionary words are a short list of password words and the words of the
+corpus, ranked by the number of rows that hold them (``word_ranks``: counted
+over all texts, values in a credential context left out, so no secret becomes
+its own dictionary word).  So prose after a credential word ("the password is
+required.") is no secret.  About ``MAX_WORDS`` words, at most, of up to
+``MAX_LETTERS`` letters are sent to the tasks (under 10 MB as UTF-8); a word
+in fewer than ``MIN_ROWS`` rows stays unknown and costs brute force.
+
 Cases: null text is empty and has no spans; equal rows are scanned alike;
 any text length is handled in one row; extra columns are ignored; empty
 tables give empty results; a null doc_id is kept as null.
@@ -25,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from renown.llm.common import keep_share, written
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a maximal run, so shorter ones fail as a whole
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -36,6 +46,9 @@ CONTEXT_HINTS = (*ASSIGN_HINTS, "passphrase", "passcode", "pwd", "key", "credent
 MIN_GUESSES = 9.0
 KINDS = ("assign", "access", "hex", "guess")
 BATCH = 256
+MAX_WORDS = 100_000
+MIN_LETTERS, MAX_LETTERS = 3, 24
+MIN_ROWS = 3
 
 # fixed values: common password words (by rank) and keyboard rows
 WORDS = """password welcome login admin master dragon monkey letmein secret shadow sunshine princess football baseball
@@ -78,8 +91,10 @@ def _runs(s: str, steps) -> list[int]:
     return out
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation of ``value``."""
+def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
+    """log10 of the guesses of the cheapest segmentation of ``value``, words
+    by their ranks (those of ``WORDS`` when none are given)."""
+    ranks, longest = (RANK, LONGEST) if ranks is None else (ranks, max(LONGEST, MAX_LETTERS))
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     dates: dict[int, list[tuple[int, float]]] = {}
@@ -98,10 +113,10 @@ def guess_cost(value: str) -> float:
         here = best[i]
         best[i + 1] = min(best[i + 1], here + _alphabet(value[i]))
         here += segment
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
+        for j in range(i + 3, min(n, i + longest) + 1):
+            rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
-                cost = math.log10(rank) + (0 if value[i:j] == low[i:j] else math.log10(4)) + (0 if low[i:j] in RANK else math.log10(4))
+                cost = math.log10(rank) + (0 if value[i:j] == low[i:j] else math.log10(4)) + (0 if low[i:j] in ranks else math.log10(4))
                 best[j] = min(best[j], here + cost)
         for j, cost in dates.get(i, ()):
             best[j] = min(best[j], here + cost)
@@ -120,7 +135,33 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def find_spans(text: str | None, min_guesses: float = MIN_GUESSES) -> list[tuple[int, int, str]]:
+def word_ranks(docs: DataFrame) -> dict[str, int]:
+    """Rank of the most frequent words by rows that hold them, and of WORDS."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    low = F.lower(text)
+    hinted = F.lit(False)
+    for hint in CONTEXT_HINTS:
+        hinted = hinted | low.contains(hint)
+    # values in a credential context are not counted
+    rest = F.lower(F.when(hinted, F.regexp_replace(text, "(?i)" + CONTEXT.pattern, " ")).otherwise(text))
+    found = docs.select(F.explode(F.array_distinct(F.split(rest, r"[^\p{L}]+"))).alias("word"))
+    counts = found.filter(F.length("word").between(MIN_LETTERS, MAX_LETTERS)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts.filter(F.col("n") >= MIN_ROWS).withColumn("class", F.floor(F.log2("n") * 64)))
+    # from the most frequent class down while there is room; of the last one a share by hash
+    room, least, share = MAX_WORDS, None, F.lit(True)
+    for row in sorted(counts.groupBy("class").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["class"]):
+        least, share = row["class"], keep_share("word", row["words"], room)
+        room -= row["words"]
+        if room <= 0:
+            break
+    if least is None:
+        return dict(RANK)
+    top = counts.filter((F.col("class") > least) | ((F.col("class") == least) & share)).select("word", "n").collect()
+    ranks = {w: i + 1 for i, (w, n) in enumerate(sorted(top, key=lambda r: (-r["n"], r["word"])))}
+    return ranks | {w: min(i, ranks.get(w, i)) for w, i in RANK.items()}
+
+
+def find_spans(text: str | None, min_guesses: float = MIN_GUESSES, ranks: dict[str, int] | None = None) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) of a text by start, then kind as listed."""
     if not text:
         return []
@@ -131,13 +172,13 @@ def find_spans(text: str | None, min_guesses: float = MIN_GUESSES) -> list[tuple
         out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if any(h in low for h in CONTEXT_HINTS):
-        out += [(*m.span(1), "guess") for m in CONTEXT.finditer(text) if guess_cost(m[1]) >= min_guesses]
+        out += [(*m.span(1), "guess") for m in CONTEXT.finditer(text) if guess_cost(m[1], ranks) >= min_guesses]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
-def redacted(text: str | None, mark: str = "[SECRET]", min_guesses: float = MIN_GUESSES) -> str | None:
+def redacted(text: str | None, mark: str = "[SECRET]", min_guesses: float = MIN_GUESSES, ranks: dict[str, int] | None = None) -> str | None:
     """The text with every maximal run of overlapping spans replaced by ``mark``."""
-    spans = find_spans(text, min_guesses)
+    spans = find_spans(text, min_guesses, ranks)
     if not spans:
         return text
     out, done, i = [], 0, 0
@@ -154,13 +195,14 @@ def redacted(text: str | None, mark: str = "[SECRET]", min_guesses: float = MIN_
 def secret_spans(docs: DataFrame, min_guesses: float = MIN_GUESSES) -> DataFrame:
     """Per input row: doc_id and spans, an array of (start, end, kind)."""
     schema = "doc_id long, spans array<struct<start:long, end:long, kind:string>>"
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH):
                 part = batch.slice(lo, BATCH)
-                found = [[{"start": s, "end": e, "kind": k} for s, e, k in find_spans(t.as_py(), min_guesses)] for t in part.column("text")]
+                found = [[{"start": s, "end": e, "kind": k} for s, e, k in find_spans(t.as_py(), min_guesses, ranks.value)] for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, kind)], ["doc_id", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -168,12 +210,14 @@ def secret_spans(docs: DataFrame, min_guesses: float = MIN_GUESSES) -> DataFrame
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", min_guesses: float = MIN_GUESSES) -> DataFrame:
     """The documents with their secrets replaced; other columns unchanged."""
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
+
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             for lo in range(0, batch.num_rows, BATCH):
                 part = batch.slice(lo, BATCH)
-                clean = pa.array([redacted(t.as_py(), mark, min_guesses) for t in part.column(at)], pa.string())
+                clean = pa.array([redacted(t.as_py(), mark, min_guesses, ranks.value) for t in part.column(at)], pa.string())
                 yield part.set_column(at, part.schema.field(at), clean)
 
     return docs.mapInArrow(run, docs.schema)

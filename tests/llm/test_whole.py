@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-from renown.llm import decontaminate
+from renown.llm import decontaminate, secrets
 from tests.llm import brute
 
 DOCS = "doc_id long, text string"
@@ -62,3 +62,25 @@ def test_decontaminate_meets_every_diagonal(spark):
     assert long == {k: m for k, m in want.items() if k[1] >= 9}
     other = {(r.doc_id, r.item_id): r.matched for r in decontaminate.leaks(df, bench, window=12, percent=70).collect()}
     assert other == every_diagonal(docs, items, 12, 70)
+
+
+def test_prose_after_a_credential_word_is_no_secret(spark):
+    prose = ["Payment is required. The report was generated and then unavailable, as expected.", "It was required, generated, unavailable; expected."] * 2
+    clean = ["Your password is required.", "The token is generated on login.", "The login is unavailable, try again.", "A secret is expected."]
+    keys = ["The password is Xk9#mQ2$vLp8 now", "passphrase: kjhqzvxwpltr"] * 4
+    rows = list(enumerate(prose + clean + keys))
+    assert any(secrets.find_spans(t) for t in clean)
+    spans = {r.doc_id: len(r.spans) for r in secrets.secret_spans(spark.createDataFrame(rows, DOCS)).collect()}
+    assert spans == {i: int(t in keys) for i, t in rows}
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all((got[i] == t) == (t not in keys) for i, t in rows)
+    assert "kjhqzvxwpltr" not in secrets.word_ranks(spark.createDataFrame(rows, DOCS))
+    assert secrets.word_ranks(spark.createDataFrame([(1, None)], DOCS)) == secrets.RANK
+
+
+def test_word_ranks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "MAX_WORDS", 50)
+    texts = ["".join(chr(97 + (i // 26**k) % 26) * 2 for k in range(3)) for i in range(400)]
+    rows = [(j, " ".join(texts[:400 if j < 5 else 20])) for j in range(9)]
+    ranks = secrets.word_ranks(spark.createDataFrame(rows, DOCS))
+    assert all(ranks[w] <= 20 for w in texts[:20]) and 30 <= len(ranks.keys() - secrets.RANK.keys()) <= 70
