@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of each group of linked documents the smallest id stays."""
+    """Operator 7: of each group of linked documents the row with the smallest id stays (null ids last)."""
     return jaccard_join.one_per_component(docs)
 
 

@@ -31,6 +31,8 @@ are reported as null; extra columns are ignored; empty tables give no rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +90,17 @@ def seed_rows(df: DataFrame, key: str, codes: str, masks=MASKS) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WINDOW, percent: int = PERCENT, short_items: bool = True) -> DataFrame:
     """(doc_id, item_id, matched, compared): each pair with a verified
     overlap, ``matched`` equal words of the best window of ``compared``."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
+    return (row_leaks(docs, benchmark, masks, window, percent, short_items)
+            .groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("compared").alias("compared")))
+
+
+def row_key(docs: DataFrame):
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
+def row_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WINDOW, percent: int = PERCENT, short_items: bool = True) -> DataFrame:
+    """Verified overlaps with their document's row key ``rk``, a pair once or more."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs).alias("rk"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_codes(F.col("text")).alias("item"),
                              F.xxhash64("item_id", F.col("text").cast("string")).alias("ik")).dropDuplicates(["ik"])
     span, every = max(map(len, masks)), whole_masks(masks, window, percent)
@@ -110,16 +122,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WIND
     laid = hits.join(items, "ik").join(texts, "rk")
     skip_doc, skip_item = F.greatest("diagonal", F.lit(0)), F.greatest(-F.col("diagonal"), F.lit(0))
     n = F.least(F.size("doc") - skip_doc, F.size("item") - skip_item)
-    laid = laid.select("doc_id", "item_id", F.least(F.size("item"), F.lit(window)).alias("compared"), F.zip_with(
+    laid = laid.select("rk", "doc_id", "item_id", F.least(F.size("item"), F.lit(window)).alias("compared"), F.zip_with(
         F.slice("doc", skip_doc + 1, n), F.slice("item", skip_item + 1, n), lambda a, b: (a == b).cast("int")).alias("same")).filter(F.size("same") >= F.col("compared"))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - F.col("compared") + 1), lambda i: F.aggregate(
         F.slice("same", i, F.col("compared")), F.lit(0), lambda total, x: total + x)))
-    found = laid.select("doc_id", "item_id", best.cast("long").alias("matched"), F.col("compared").cast("long").alias("compared"))
-    return (found.filter(F.col("matched") * 100 >= F.col("compared") * percent)
-            .groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("compared").alias("compared")))
+    found = laid.select("rk", "doc_id", "item_id", best.cast("long").alias("matched"), F.col("compared").cast("long").alias("compared"))
+    return found.filter(F.col("matched") * 100 >= F.col("compared") * percent)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents without any leak."""
-    bad = leaks(docs, benchmark, **how).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows without any leak, each judged by its own id and text (null
+    and repeated ids too)."""
+    key = "_row_" + uuid.uuid4().hex[:8]
+    bad = row_leaks(docs, benchmark, **how).select(F.col("rk").alias(key)).distinct()
+    return docs.withColumn(key, row_key(docs)).join(bad, key, "left_anti").select(*docs.columns)

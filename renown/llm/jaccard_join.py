@@ -30,6 +30,8 @@ ignored; empty tables give empty results.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -262,8 +264,20 @@ def _sizes_fit(n, m, percent):
 
 
 def one_per_component(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents that are the smallest id of their component (of rows that
-    repeat an id every one stays)."""
-    keep = jaccard_components(docs, k, percent).filter("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["doc_id"]), "left_semi")
-    return kept.select(*docs.columns).union(docs.filter("doc_id is null"))
+    """One row of each group of linked rows: the smallest (doc_id, row key),
+    null ids last.  Rows are linked by their texts alone, so rows without a
+    unique id take part, and texts that only share an id are not dropped; of
+    rows equal in doc_id and text one stays."""
+    own = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("rk")).groupBy("doc_id", "rk").agg(F.count(F.lit(1)).alias("times")))
+    comp = jaccard_components(docs.select(own.alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("rk"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk", "times")).alias("first")
+    keep = written(rows.join(comp, "rk").groupBy("component_id").agg(first).select("first.rk", "first.times"))
+    key = "_row_" + uuid.uuid4().hex[:8]
+    keyed = docs.withColumn(key, own)
+    once, repeated = (keep.filter(c).select(F.col("rk").alias(key)) for c in ("times = 1", "times > 1"))
+    # of repeated rows the one whose columns have the smallest hash
+    every = F.struct(*docs.columns)
+    last = (keyed.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by(every, F.xxhash64(*docs.columns)).alias("r"))
+            .select(*[F.col("r").getField(c).alias(c) for c in docs.columns]))
+    return keyed.join(once, key, "left_semi").select(*docs.columns).union(last)

@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-from renown.llm import decontaminate, secrets
+from renown.llm import decontaminate, jaccard_join, secrets
 from tests.llm import brute
 
 DOCS = "doc_id long, text string"
@@ -84,3 +84,17 @@ def test_word_ranks_are_bounded(spark, monkeypatch):
     rows = [(j, " ".join(texts[:400 if j < 5 else 20])) for j in range(9)]
     ranks = secrets.word_ranks(spark.createDataFrame(rows, DOCS))
     assert all(ranks[w] <= 20 for w in texts[:20]) and 30 <= len(ranks.keys() - secrets.RANK.keys()) <= 70
+
+
+def test_rows_without_a_unique_id(spark):
+    rng = random.Random(6)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(5))
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(5, a, 1), (5, a, 1), (5, a, 2), (5, b, 1), (3, near, 1), (None, a, 1), (None, c, 1), (None, c, 1), (None, None, 1), (None, None, 1),
+            (7, d, 1), (7, d, 1), (8, "", 1), (9, "", 1), (None, e, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rk int")
+    got = sorted([tuple(r) for r in jaccard_join.one_per_component(df).collect()], key=str)
+    assert got == sorted([(3, near, 1), (5, b, 1), (None, c, 1), (None, None, 1), (7, d, 1), (8, "", 1), (9, "", 1), (None, e, 1)], key=str)
+    bench = spark.createDataFrame([(1, c), (2, b)], ITEMS)
+    left = sorted([tuple(r) for r in decontaminate.clean_documents(df, bench).collect()], key=str)
+    assert left == sorted([r for r in rows if r[1] not in (b, c)], key=str)
