@@ -15,12 +15,14 @@ from renown.llm import decontaminate, jaccard_join, language, mixing, secrets
 from renown.llm.common import table
 from renown.session import ensure_checkpoint_dir, ship_package
 
-MIN_LANGUAGE_SCORE = 0.25  # below chance among two families of two languages
+MIN_LANGUAGE_SCORE = 0.25  # the least possible score among two families of two languages
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents of no known language (``und``, or a score under
-    MIN_LANGUAGE_SCORE) go."""
+    """Operator 5: only ``und`` documents (null or letterless texts) go.  With
+    the learned two families of two languages the score is the product of two
+    best shares of at least 0.5 each, so MIN_LANGUAGE_SCORE rejects no other
+    document: texts of a language not learned, and noise of letters, stay."""
     return language.identified(docs, MIN_LANGUAGE_SCORE)
 
 
