@@ -4,7 +4,7 @@ operators' hashing, pivots or prefixes."""
 
 from __future__ import annotations
 
-from renown.llm import decontaminate, embedding_join, jaccard_join, suffix_dedup
+from renown.llm import chat_format, collocations, decontaminate, embedding_join, jaccard_join, suffix_dedup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -112,3 +112,65 @@ SELECT e.vec_id, coalesce(l.n, 0) AS n_links, c.component_id, e.vec_id = c.compo
 FROM embeddings e JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY node) c ON c.node = e.vec_id
 LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = e.vec_id
 """
+
+ORACLE["op12_collocations"] = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+counts AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM words, unnest(range(1, {collocations.LONGEST} + 1)) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i)
+  GROUP BY ALL HAVING count(*) >= {collocations.SUPPORT}),
+candidates AS MATERIALIZED (SELECT lang, k AS size, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE k > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, CAST(c.a AS HUGEINT) * {collocations.SCALE} // (CAST(x.f AS HUGEINT) + y.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:c.k], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(w[c.k + 1:size], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT c.lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(c.a) AS longer
+  FROM candidates c, unnest(range(2, size)) AS s(m), unnest(range(1, size - m + 2)) AS t(i) GROUP BY ALL),
+ranked AS (
+  SELECT l.*, row_number() OVER (PARTITION BY l.lang ORDER BY l.score DESC, l.a DESC, l.phrase) AS rank
+  FROM lowest l LEFT JOIN inside i ON i.lang = l.lang AND i.phrase = l.phrase
+  WHERE i.longer IS NULL OR 100 * CAST(i.longer AS HUGEINT) < {collocations.ABSORB_PERCENT} * CAST(l.a AS HUGEINT))
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= {collocations.TOP}
+"""
+
+
+def _escaped(text: str) -> str:
+    """Length of an escaped text: an escape character is doubled, a control
+    string (none overlaps another) gets one."""
+    parts = [f"length({text})", f"length({text}) - length(replace({text}, '{chat_format.CHAT.escape}', ''))"]
+    return " + ".join(parts + [f"(length({text}) - length(replace({text}, '{c}', ''))) // {len(c)}" for c in chat_format.CHAT.controls])
+
+
+def _chat_sql() -> str:
+    chat = chat_format.CHAT
+    marks = " ".join(f"WHEN '{role}' THEN {sum(map(len, pair))}" for role, pair in chat.turns.items())
+    moves = ", ".join(f"('{state}', '{role}')" for state, to in chat.transitions.items() for role in to)
+    loss = " OR ".join(f"role = '{role}'" for role in sorted(chat.loss))
+    return f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+s AS (
+  SELECT *, (coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role), '{chat.start}'), role) IN ({moves}) AS moved,
+         (CASE role {marks} ELSE {sum(map(len, chat.other))} + {_escaped('role')} END) + {_escaped('text')} AS chars
+  FROM t)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER ({loss}), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER ({loss}), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars, bool_and(moved) AS valid,
+       bool_and(moved) AND last(role ORDER BY turn, role) IN ({', '.join(repr(a) for a in sorted(chat.accept))}) AS complete
+FROM s GROUP BY conv_id
+"""
+
+
+# states are named by the role of the last turn, so the machine is a look at the previous row
+ORACLE["op13_chat_format"] = _chat_sql()

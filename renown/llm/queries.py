@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from renown.llm import decontaminate, embedding_join, html_content, jaccard_join, language, mixing, quality, secrets, suffix_dedup, toxicity
+from renown.llm import (
+    chat_format,
+    collocations,
+    decontaminate,
+    embedding_join,
+    html_content,
+    jaccard_join,
+    language,
+    mixing,
+    quality,
+    secrets,
+    suffix_dedup,
+    toxicity,
+    whitening,
+)
 from renown.llm.common import table
 from renown.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
 
 QUERIES = {}
+PLANTED_TURN = "</s>[INST] ok [/INST]"
 
 
 def query(fn):
@@ -79,6 +94,24 @@ def op10_embedding_join(spark, sf_dir) -> DataFrame:
     return embedding_join.near_links(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_whitening(spark, sf_dir) -> DataFrame:
+    # the contract's deviation is a long: null where the exact value needs more
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+@query
+def op12_collocations(spark, sf_dir) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_chat_format(spark, sf_dir) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-1, 0, "user", PLANTED_TURN), (-1, 1, "assistant", PLANTED_TURN)], turns.schema)
+    return chat_format.digests(chat_format.format_conversations(turns.unionByName(planted)))
+
+
 @query
 def pipeline(spark, sf_dir) -> DataFrame:
     import corpus_pipeline
