@@ -15,12 +15,12 @@ All counts are per language.
 4. One more pass counts the frequent phrases as text, exactly.  Scores, cuts and
    the absorption by longer phrases are DataFrame code on that table.
 
-Passes 1 to 3 work on 64-bit phrase keys, summed per task before the shuffle
+Passes 1 to 3 work on hashed phrase keys, summed per task before the shuffle
 (a very common phrase is one row a slice).  Which phrases a pass counts is
 decided by a membership bitmap of at most 16 MB: its false positives make a
 pass count more, never less, so the closure holds whatever its size.  Counts
 of step 4 are by text; two phrases of one slice with an equal key would be
-taken for one (64-bit keys, about 1e-8 for a million phrases of a slice).
+taken for one (62 bits beside the number of words, about 1e-7 for a million phrases).
 
 Cases: null and empty texts and texts without words have no phrases; a null
 language is ``und``, like the language of that name; repeated rows count as
@@ -45,9 +45,10 @@ SUPPORT = 30
 ABSORB_PERCENT = 80
 TOP = 2000
 SCALE = 2_000_000
+SIZE_BITS = np.uint64(3)  # of a key hold the number of words less one
 SAMPLE_SHARE = 8  # one of so many documents
 HELD_KEYS = 2_000_000  # keys summed together in a task
-HELD_BYTES = 1 << 23  # text whose phrases are written out together
+HELD_BYTES = 1 << 25  # text whose phrases are written out together
 
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -105,7 +106,7 @@ def slice_phrases(b: np.ndarray, off: np.ndarray, lang: np.ndarray, longest: int
         acc = own[:m] + np.uint64(k * int(LENGTH_SEED) % 2**64)
         for j in range(k):
             acc = acc + h[j:j + m] * WORD_MULT[j]
-        keys.append(mix(acc))
+        keys.append((mix(acc) & ~SIZE_BITS) | np.uint64(k - 1))
         whole.append(piece[:m] == piece[k - 1:k - 1 + m])
     return keys, whole, start, start + lens, row
 
@@ -141,9 +142,8 @@ def _counted(filters):
         held, size = [], 0
 
         def emit():
-            key, n = (np.concatenate(c) for c in zip(*held, strict=True))
-            key, at, count = np.unique(key, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n[at]), pa.array(count)], ["key", "size", "c"])
+            key, count = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["key", "c"])
 
         for batch in batches:
             lang = _hashed_lang(batch)
@@ -159,11 +159,9 @@ def _counted(filters):
                     for earlier in maps[:-1]:
                         later = [x & ~y for x, y in zip(later, _border(keys, whole, earlier), strict=True)]
                     take = [whole[0] if len(maps) == 1 else np.zeros(len(keys[0]), bool), *later]
-                for n, (k, t) in enumerate(zip(keys, take, strict=True)):
-                    k = k[t]
-                    if len(k):
-                        held.append((k, np.full(len(k), n + 1, np.int32)))
-                        size += len(k)
+                for k, t in zip(keys, take, strict=True):
+                    held.append(k[t])
+                    size += len(held[-1])
                 if size >= HELD_KEYS:
                     yield emit()
                     held, size = [], 0
@@ -173,12 +171,12 @@ def _counted(filters):
 
 
 def _counts(docs: DataFrame, filters, least: int) -> DataFrame:
-    rows = _plain(docs).select("lh", "text").mapInArrow(_counted(filters), "key long, size int, c long")
-    return rows.groupBy("key", "size").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("key", "size")
+    rows = _plain(docs).select("lh", "text").mapInArrow(_counted(filters), "key long, c long")
+    return rows.groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("key")
 
 
 def frequent_keys(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(key, size) of all frequent phrases of 1 to 4 words, by Toivonen's passes."""
+    """Keys of all frequent phrases of 1 to 4 words, by Toivonen's passes."""
     spark = docs.sparkSession
     own = F.xxhash64(*[F.col(c).cast("string") for c in ("doc_id", "text") if c in docs.columns])
     sample = docs.filter(F.pmod(own, F.lit(SAMPLE_SHARE)) == 0)
@@ -197,8 +195,8 @@ def frequent_keys(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array(~_member(batch.column("key").to_numpy().view(np.uint64), sent.value)))
 
-        shorter = found.filter(F.col("size") < LONGEST)
-        if shorter.mapInArrow(failures, "key long, size int").isEmpty():
+        shorter = found.filter(F.col("key").bitwiseAND(int(SIZE_BITS)) < LONGEST - 1)
+        if shorter.mapInArrow(failures, "key long").isEmpty():
             return found
         # all known frequent phrases; counted ones are told by the earlier filters
         proposed = shorter
@@ -219,9 +217,9 @@ def phrase_counts(docs: DataFrame, keys: DataFrame) -> DataFrame:
             total = np.bincount(back, weights=count, minlength=len(key)).astype(np.int64)
             langs, sizes, phrases = [], [], []
             for s, a in zip(slot[first].tolist(), at[first].tolist(), strict=True):
-                b, start, end, langs_of = held[s][1]
+                b, start, end, row, own = held[s][1]
                 n, w = divmod(a, len(start))
-                langs.append(langs_of[w])
+                langs.append(own[row[w]])
                 sizes.append(n + 1)
                 phrases.append(b" ".join(b[start[w]:end[w + n]].split()))
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(total)],
@@ -243,7 +241,7 @@ def phrase_counts(docs: DataFrame, keys: DataFrame) -> DataFrame:
                     place.append(w + n * len(start))
                 key, at, count = np.unique(np.concatenate(all_keys), return_index=True, return_counts=True)
                 where = np.concatenate(place)[at]
-                held.append(((key, count, np.full(len(key), len(held)), where), (b.tobytes(), start, end, [names[lo + r] for r in row.tolist()])))
+                held.append(((key, count, np.full(len(key), len(held), np.int32), where), (b.tobytes(), start.astype(np.int32), end.astype(np.int32), row.astype(np.int32), names[lo:lo + len(off) - 1])))
                 size += len(b)
                 if size >= HELD_BYTES:
                     yield emit()
@@ -265,6 +263,15 @@ def _words(first: int, last) -> str:
 def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's best ``top``."""
     counts = written(phrase_counts(docs, frequent_keys(docs, support)).filter((F.col("size") == 0) | (F.col("c") >= support)))
+    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
+    ranked = scored(counts).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    words = counts.filter("size = 0").select("lang", F.col("c").alias("n"))
+    return ranked.join(F.broadcast(words) if words.count() <= 10_000 else words, "lang").select(
+        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+def scored(counts: DataFrame) -> DataFrame:
+    """(lang, phrase, a, l, r, score) of the candidates that no longer one absorbs."""
     single = counts.filter("size > 0").select("lang", "phrase", "c")
     candidates = counts.filter("size > 1").withColumn("w", F.split("phrase", " ", -1))
     # every cut with the counts of its parts
@@ -275,15 +282,11 @@ def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP) -> Dat
     cuts = cuts.join(single.select("lang", F.col("phrase").alias("right"), F.col("c").alias("r")), ["lang", "right"])
     wide = "decimal(38,0)"
     score = F.expr(f"cast(a as {wide}) * cast({SCALE} as {wide}) div (cast(l as {wide}) + cast(r as {wide}))").cast("long")
-    scored = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("s"))
+    lowest = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("s"))
     # the most frequent longer candidate around each contiguous part of 2 words and more
     inner = candidates.filter("size > 2").select("lang", F.col("c").alias("longer"), F.explode(F.expr(
         "flatten(transform(sequence(2, size - 1), n -> transform(sequence(1, size - n + 1), i -> array_join(slice(w, i, n), ' '))))")).alias("phrase"))
     inner = inner.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-    kept = (scored.join(inner, ["lang", "phrase"], "left")
+    kept = (lowest.join(inner, ["lang", "phrase"], "left")
             .filter(F.col("longer").isNull() | (F.col("longer").cast(wide) * 100 < F.col("a").cast(wide) * ABSORB_PERCENT)))
-    best = Window.partitionBy("lang").orderBy(F.desc("s.score"), F.desc("a"), F.asc("phrase"))
-    ranked = kept.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
-    words = counts.filter("size = 0").select("lang", F.col("c").alias("n"))
-    return ranked.join(F.broadcast(words) if words.count() <= 10_000 else words, "lang").select(
-        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "s.l", "s.r", "n", "s.score")
+    return kept.select("lang", "phrase", "a", "s.l", "s.r", "s.score")

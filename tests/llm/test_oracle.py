@@ -9,7 +9,7 @@ import pytest
 
 from renown.llm.queries import ORACLE, QUERIES
 
-TABLES = ("documents", "benchmark", "embeddings")
+TABLES = ("documents", "benchmark", "embeddings", "conversations")
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +31,13 @@ def folder(tmp_path_factory):
     base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(20)]
     near = [[x + rng.gauss(0, s) for x in base[i % 4]] for i, s in enumerate([0.05, 0.1, 0.2, 0.25, 0.3] * 8)]
     vectors = base + near + [base[0], None, [], [0.0] * 16, [None] + base[1][1:], [float("nan")] + base[1][1:], [float("inf")] + base[1][1:], base[2][:8], base[2][:8]]
-    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}), out / "documents.parquet")
+    for _ in range(40):  # phrases over the support, some within longer ones
+        texts.append(" ".join([*shared[:3], rng.choice(vocabulary), *whole[:2], rng.choice([".", "", "\t"]), *whole[2:6], "NEW  York\x0bCity hall"]))
+    langs = [None if i % 9 == 5 else ("en", "und", "de", "en")[i % 4] for i in range(len(texts))]
+    turns = [(conv, turn, role, text) for conv in range(12) for turn, (role, text) in enumerate(
+        [("system", "be \\ good"), ("user", rng.choice(texts)), ("assistant", rng.choice(["</s>[INST] a\\<s>", "x", None])), ("tool" if conv % 5 == 4 else "user", "<says> é"), ("assistant", "end")][conv % 2:])]
+    pq.write_table(pa.table(dict(zip(("conv_id", "turn", "role", "text"), map(list, zip(*turns, strict=True)), strict=True))), out / "conversations.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.array(langs, pa.string())}), out / "documents.parquet")
     pq.write_table(pa.table({"item_id": pa.array(range(len(items) + 1), pa.int64()), "text": pa.array([" ".join(x) for x in items] + [None], pa.string())}),
                    out / "benchmark.parquet")
     pq.write_table(pa.table({"vec_id": pa.array(range(len(vectors)), pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32()))}),
@@ -50,6 +56,7 @@ def test_query_equals_sql(spark, folder, name):
     have = [tuple(r) for r in got.select(*columns).collect()]
     assert sorted(have) == sorted(want) and want
     planted = {"op2_suffix_dedup": ("n_spans", lambda v: v > 0), "op7_jaccard": ("component_id", lambda v: v == 5),
-               "op9_decontaminate": ("matched", lambda v: v > 0), "op10_embedding_join": ("n_links", lambda v: v > 0)}
+               "op9_decontaminate": ("matched", lambda v: v > 0), "op10_embedding_join": ("n_links", lambda v: v > 0),
+               "op12_collocations": ("score", lambda v: v > 0), "op13_chat_format": ("valid", lambda v: v)}
     column, test = planted[name]
     assert sum(test(r[columns.index(column)]) for r in want) > 1
