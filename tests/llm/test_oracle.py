@@ -31,7 +31,7 @@ def folder(tmp_path_factory):
     base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(20)]
     near = [[x + rng.gauss(0, s) for x in base[i % 4]] for i, s in enumerate([0.05, 0.1, 0.2, 0.25, 0.3] * 8)]
     vectors = base + near + [base[0], None, [], [0.0] * 16, [None] + base[1][1:], [float("nan")] + base[1][1:], [float("inf")] + base[1][1:], base[2][:8], base[2][:8]]
-    for _ in range(40):  # phrases over the support, some within longer ones
+    for _ in range(140):  # phrases over the support, some within longer ones
         texts.append(" ".join([*shared[:3], rng.choice(vocabulary), *whole[:2], rng.choice([".", "", "\t"]), *whole[2:6], "NEW  York\x0bCity hall"]))
     langs = [None if i % 9 == 5 else ("en", "und", "de", "en")[i % 4] for i in range(len(texts))]
     turns = [(conv, turn, role, text) for conv in range(12) for turn, (role, text) in enumerate(
