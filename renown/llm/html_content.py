@@ -7,9 +7,11 @@ of blocks; the two ratios are fused (their product, log-scaled), carried to
 the blocks, smoothed over neighbouring blocks, and blocks at or above the
 threshold (a share of the mean smoothed ratio of the page) are content nodes.
 The content region is the article or main element, or else the parent
-elements, that hold content nodes; all of its blocks that are not inside
-boilerplate elements (menus, headers, footers, sidebars, notices, adverts,
+elements, that hold content nodes; all of its blocks that are not lists of
+links alone nor inside boilerplate elements (menus, headers, footers, sidebars, notices, adverts,
 forms, comments, scripts, styles, hidden parts) form the text, in page order.
+A class or id that names boilerplate does not count on an element that holds
+most of the article's (else the page's) text outside links.
 So a short paragraph or heading between long ones stays.
 
 Cases: null or empty html gives an empty text; unclosed or cut markup is read
@@ -29,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>?|<[a-zA-Z/][^>]*\Z""", re.DOTALL)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|<[!?][^>]*>?|<[a-zA-Z/][^>]*\Z""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 PART = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？]")
 BATCH = 128
 SMOOTH = (0.25, 0.5, 0.25)
 THRESHOLD = 0.5
+MENU = 2  # items of a list of links alone
 
 # fixed values: element names and name parts of boilerplate
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
@@ -58,15 +61,22 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "flag", "holds_main")
+    """``path`` is the number of the element's root-to-leaf path; ``named``:
+    boilerplate by a part of its class or id alone; ``main``: the outermost
+    article or main that it is or lies in; ``chars``: text outside links."""
 
-    def __init__(self, tag, parent, name, flag):
-        self.tag, self.parent, self.flag, self.holds_main = tag, parent, flag, False
-        self.path = f"{parent.path}/{name}" if parent else name
+    __slots__ = ("tag", "parent", "path", "flag", "named", "holds_main", "main", "chars", "out", "kept")
 
+    def __init__(self, tag, parent, path, flag, named):
+        self.tag, self.parent, self.path, self.flag, self.named = tag, parent, path, flag, named
+        self.holds_main, self.chars, self.out, self.kept = False, 0, False, False
+        self.main = parent and parent.main or (self if tag in ("article", "main") else None)
 
-def _flag(tag: str, attributes: str, inside_main: bool) -> tuple[bool, str]:
-    """(boilerplate by its own name or attributes, name with class)."""
+
+def _flag(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool, str]:
+    """(boilerplate by its tag, role or style; by a part of its class or id;
+    name with class)."""
+    named = False
     flag = tag in BOILERPLATE_TAGS or (tag == "header" and not inside_main)
     name, found = tag, {}
     if attributes.strip("/ \t\r\n"):
@@ -76,18 +86,21 @@ def _flag(tag: str, attributes: str, inside_main: bool) -> tuple[bool, str]:
         if tag in ("article", "main"):
             flag |= bool(parts & COMMENT_PARTS)
         elif tag not in ("body", "html") and not (tag[0] == "h" and tag[1:].isdigit()):
-            flag |= bool(parts & BOILERPLATE_PARTS)
+            # a heading within the article is no page header
+            named = bool(parts & (BOILERPLATE_PARTS - {"header"} if inside_main else BOILERPLATE_PARTS)) and not parts & COMMENT_PARTS
+            flag |= bool(parts & COMMENT_PARTS)
         flag |= found.get("role", "") in BOILERPLATE_ROLES
         flag |= "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         if found.get("class"):
             name = f"{tag}.{found['class']}"
-    return flag, name
+    return flag, named, name
 
 
-def blocks(page: str) -> list[tuple[_Element, str, int]]:
-    """(element, text, link characters) of every block with text, in order."""
-    root = _Element("", None, "", False)
-    stack, out = [root], []
+def blocks(page: str) -> tuple[list[_Element], list[tuple[_Element, str, int]]]:
+    """All elements, parents first, and (element, text, link characters) of
+    every block with text, in order."""
+    root = _Element("", None, 0, False, False)
+    stack, out, elements, paths, opened = [root], [], [root], {}, {}
     text, linked, in_link, at = [], 0, 0, 0
 
     def flush():
@@ -99,6 +112,8 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
 
     def pop_to(i):
         flush()
+        for e in stack[i:]:
+            opened[e.tag] -= 1
         del stack[i:]
 
     def say(piece):
@@ -118,7 +133,7 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             if tag == "a":
                 in_link = 0
             elif tag in BLOCKS:
-                i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+                i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0) if opened.get(tag) else 0
                 if i and not (tag == "p" and any(e.tag in ("div", "article", "section", "td", "li") for e in stack[i + 1:])):
                     pop_to(i)
                 else:
@@ -149,34 +164,43 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
                         pop_to(i)
             if tag in VOID:
                 continue
-            inside = any(e.tag in ("article", "main") for e in stack)
-            flag, name = _flag(tag, m[3], inside)
-            stack.append(_Element(tag, stack[-1], name, flag))
+            up = stack[-1]
+            flag, named, name = _flag(tag, m[3], up.main is not None)
+            stack.append(_Element(tag, up, paths.setdefault((up.path, name), len(paths) + 1), flag, named))
+            elements.append(stack[-1])
+            opened[tag] = opened.get(tag, 0) + 1
             if tag in ("article", "main") and not flag:
-                for e in stack[:-1]:
-                    e.holds_main = True
+                while up and not up.holds_main:
+                    up.holds_main, up = True, up.parent
     say(page[at:])
     flush()
-    return out
+    return elements, out
 
 
-def _boilerplate(e: _Element) -> bool:
-    while e:
-        if e.flag and not e.holds_main:
-            return True
-        e = e.parent
-    return False
+def _mark_boilerplate(elements: list[_Element], found: list[tuple[_Element, str, int]]) -> None:
+    """``out`` of every element.  A name alone makes no boilerplate of an
+    element that holds most of the text outside links of its surroundings (the
+    article's, else the page's): it is a wrapper."""
+    for e, text, linked in found:
+        e.chars += max(0, len(text) - linked)
+    for e in reversed(elements[1:]):
+        e.parent.chars += e.chars
+    for e in elements[1:]:
+        around = e.main.chars if e.main and e.main is not e else elements[0].chars
+        wrapper = e.holds_main or 2 * e.chars > around
+        e.out = e.parent.out or (e.flag and not e.holds_main) or (e.named and not wrapper)
 
 
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    seen = {}
-    found = [x for x in blocks(page) if not seen.setdefault(id(x[0]), _boilerplate(x[0]))]
+    elements, found = blocks(page)
+    _mark_boilerplate(elements, found)
+    found = [x for x in found if not x[0].out]
     if not found:
         return ""
-    sums: dict[str, list[int]] = {}
+    sums: dict[int, list[int]] = {}
     for e, text, linked in found:
         s = sums.setdefault(e.path, [0, 0, 0])
         s[0] += max(0, len(text) - linked)
@@ -187,29 +211,20 @@ def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     padded = [own[0], *own, own[-1]]
     smooth = [sum(w * padded[i + j] for j, w in enumerate(SMOOTH)) for i in range(len(own))]
     least = threshold * sum(smooth) / len(smooth)
-    regions = set()
     for (e, text, linked), ratio in zip(found, smooth, strict=True):
         if ratio >= least and linked < len(text):
-            regions.add(id(_region(e)))
-    kept = []
-    for e, text, _ in found:
-        at = e
-        while at:
-            if id(at) in regions:
-                kept.append(text)
-                break
-            at = at.parent
-    return "\n".join(kept)
+            _region(e).kept = True
+    for e in elements[1:]:
+        e.kept |= e.parent.kept
+    # lists of links alone are menus wherever they stand
+    menus = {p for p, (chars, _, n) in sums.items() if not chars and n >= MENU}
+    return "\n".join(text for e, text, _ in found if e.kept and not (e.tag == "li" and e.path in menus))
 
 
 def _region(e: _Element) -> _Element:
     """The outermost article or main around a block, else the parent of its element."""
-    best, at = None, e
-    while at:
-        best = at if at.tag in ("article", "main") else best
-        at = at.parent
-    if best:
-        return best
+    if e.main:
+        return e.main
     return e.parent if e.parent and e.parent.tag not in ("", "html") else e
 
 
