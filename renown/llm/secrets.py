@@ -107,6 +107,11 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
     walk = _runs(low, lambda a, b: b in NEAR.get(a, ()))
     up = _runs(low, lambda a, b: a.isalnum() and ord(b) - ord(a) == 1)
     down = _runs(low, lambda a, b: a.isalnum() and ord(b) - ord(a) == -1)
+    # a block of each length and its repeats: how far the value equals itself moved by that length
+    equal = {unit: [0] * (n + 1) for unit in range(2, 9)}
+    for unit, run in equal.items():
+        for i in range(n - unit - 1, -1, -1):
+            run[i] = run[i + 1] + 1 if low[i] == low[i + unit] else 0
     best = [0.0] + [math.inf] * n
     segment = math.log10(2)  # guesses to know where the next segment starts
     for i in range(n):
@@ -125,10 +130,8 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
         for runs, choices in ((walk, 40 * 4), (up, 40), (down, 80)):
             if runs[i] >= 3:
                 best[i + runs[i]] = min(best[i + runs[i]], here + math.log10(choices * runs[i]))
-        for unit in range(2, min(8, (n - i) // 2) + 1):  # a block and its repeats
-            times = 1
-            while low.startswith(low[i:i + unit], i + times * unit) and i + (times + 1) * unit <= n:
-                times += 1
+        for unit, run in equal.items():
+            times = 1 + run[i] // unit
             if times > 1:
                 cost = sum(map(_alphabet, low[i:i + unit])) + math.log10(times)
                 best[i + unit * times] = min(best[i + unit * times], here + cost)
