@@ -27,6 +27,7 @@ def _drop_folder(spark: SparkSession, folder: str) -> None:
 
 
 _FOLDERS: dict[str, str] = {}
+_TABLES: list[str] = []  # folders of the tables written, oldest first
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -41,7 +42,61 @@ def written(df: DataFrame) -> DataFrame:
         atexit.register(_drop_folder, spark, _FOLDERS[app])
     path = f"{_FOLDERS[app]}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _TABLES.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables written in the block at its end, but for those passed
+    to the function it gives, which frames built in the block still read."""
+    first, kept = len(_TABLES), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.folder)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in _TABLES[first:]:
+            if path not in kept:
+                _drop_folder(spark, path)
+        _TABLES[first:] = [path for path in _TABLES[first:] if path in kept]
+
+
+def names(df: DataFrame, prefix: str, n: int = 1) -> list[str]:
+    """``n`` column names that the table does not have (nor any table by chance)."""
+    return [f"{prefix}_{uuid.uuid4().hex[:12]}" for _ in range(n)]
+
+
+def quoted(columns) -> list:
+    """Columns by name, whatever characters the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def row_keys(docs: DataFrame) -> list:
+    """Two 64-bit keys of a row's id and text: rows that differ in them share
+    both only by a chance of about 1e-20 for 1e9 rows."""
+    parts = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    return [F.xxhash64(*parts), F.xxhash64(F.lit("second"), *reversed(parts))]
+
+
+MARK_CLASSES = 1 << 20
+
+
+def marked_rows(keyed: DataFrame, keys: DataFrame, k1: str, k2: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose class of keys holds one of ``keys``, other rows).  Classes
+    are a hash of the first key; at most ``MARK_CLASSES`` of them (16 MB) are
+    broadcast, so most rows are passed on at the scan and only few
+    texts beside the wanted ones take part in a join.  DataFrame functions only."""
+    (name,) = names(keyed, "_class")
+    of = lambda c: F.pmod(F.xxhash64(F.lit("class"), F.col(c)), F.lit(MARK_CLASSES))
+    classes = F.broadcast(keys.select(of(k1).alias(name)).distinct())
+    classed = keyed.withColumn(name, of(k1))
+    return classed.join(classes, name, "left_semi").drop(name), classed.join(classes, name, "left_anti").drop(name)
 
 
 def keep_share(key, n_rows: int, bound: int, salt: int = 0):
@@ -97,11 +152,14 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         mark = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
-            return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            out = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            out.folder = e.folder
+            return out
         seen = mark
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = written(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        last, e = e, written(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        _drop_folder(e.sparkSession, last.folder)

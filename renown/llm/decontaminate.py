@@ -23,20 +23,17 @@ an ordinary shuffled join.  Seed windows are made in chunks of ``CHUNK``
 words, so a very long text is never expanded at once.
 
 Cases: null and empty texts have no words and never match; items with fewer
-words than a mask's span are compared whole when ``short_items`` is set (the
-default; the registered query leaves them out, as its SQL does); rows that repeat a doc_id or item_id
+words than a mask's span are compared whole; rows that repeat a doc_id or item_id
 are matched separately and reported once per (doc_id, item_id); null ids
 are reported as null; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from renown.llm.common import written
+from renown.llm.common import marked_rows, names, quoted, row_keys, scratch, written
 
 MASKS = ("110110101", "101011011", "111000111")
 SHORT_MASK = "11011"  # beside MASKS, for substitutions that leave them no window
@@ -87,24 +84,21 @@ def seed_rows(df: DataFrame, key: str, codes: str, masks=MASKS) -> DataFrame:
     return rows.select(key, (F.col("at") + F.col("i")).alias("pos"), F.explode(seeds).alias("seed")).filter("seed is not null")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WINDOW, percent: int = PERCENT, short_items: bool = True) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, matched, compared): each pair with a verified
     overlap, ``matched`` equal words of the best window of ``compared``."""
-    return (row_leaks(docs, benchmark, masks, window, percent, short_items)
+    return (row_leaks(docs, benchmark, masks, window, percent)
             .groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("compared").alias("compared")))
 
 
-def row_key(docs: DataFrame):
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-
-
-def row_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WINDOW, percent: int = PERCENT, short_items: bool = True) -> DataFrame:
-    """Verified overlaps with their document's row key ``rk``, a pair once or more."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs).alias("rk"))
+def row_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
+    """Verified overlaps with their document's row keys ``rk`` and ``rk2``, a pair once or more."""
+    rk, rk2 = row_keys(docs)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rk.alias("rk"), rk2.alias("rk2"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_codes(F.col("text")).alias("item"),
                              F.xxhash64("item_id", F.col("text").cast("string")).alias("ik")).dropDuplicates(["ik"])
     span, every = max(map(len, masks)), whole_masks(masks, window, percent)
-    items = written(items.filter(F.size("item") >= (1 if short_items else span)))
+    items = written(items.filter(F.size("item") >= 1))
     item_seeds = seed_rows(items.filter(F.size("item") >= span), "ik", "item", every)
     runs: dict[str, list[int]] = {}
     for (n,) in items.filter(F.size("item") < span).select(F.size("item")).distinct().collect():
@@ -118,21 +112,25 @@ def row_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int =
             .select("rk", "ik", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct())
     hits = written(hits)
     # the lost context comes back with the text of documents that were hit
-    texts = d.join(hits.select("rk").distinct(), "rk", "left_semi").select("rk", "doc_id", word_codes(F.col("text")).alias("doc"))
+    texts = d.join(hits.select("rk").distinct(), "rk", "left_semi").select("rk", "rk2", "doc_id", word_codes(F.col("text")).alias("doc"))
     laid = hits.join(items, "ik").join(texts, "rk")
     skip_doc, skip_item = F.greatest("diagonal", F.lit(0)), F.greatest(-F.col("diagonal"), F.lit(0))
     n = F.least(F.size("doc") - skip_doc, F.size("item") - skip_item)
-    laid = laid.select("rk", "doc_id", "item_id", F.least(F.size("item"), F.lit(window)).alias("compared"), F.zip_with(
+    laid = laid.select("rk", "rk2", "doc_id", "item_id", F.least(F.size("item"), F.lit(window)).alias("compared"), F.zip_with(
         F.slice("doc", skip_doc + 1, n), F.slice("item", skip_item + 1, n), lambda a, b: (a == b).cast("int")).alias("same")).filter(F.size("same") >= F.col("compared"))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - F.col("compared") + 1), lambda i: F.aggregate(
         F.slice("same", i, F.col("compared")), F.lit(0), lambda total, x: total + x)))
-    found = laid.select("rk", "doc_id", "item_id", best.cast("long").alias("matched"), F.col("compared").cast("long").alias("compared"))
+    found = laid.select("rk", "rk2", "doc_id", "item_id", best.cast("long").alias("matched"), F.col("compared").cast("long").alias("compared"))
     return found.filter(F.col("matched") * 100 >= F.col("compared") * percent)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows without any leak, each judged by its own id and text (null
-    and repeated ids too)."""
-    key = "_row_" + uuid.uuid4().hex[:8]
-    bad = row_leaks(docs, benchmark, **how).select(F.col("rk").alias(key)).distinct()
-    return docs.withColumn(key, row_key(docs)).join(bad, key, "left_anti").select(*docs.columns)
+    and repeated ids too).  Only contaminated rows and a few others are shuffled."""
+    k1, k2 = names(docs, "_row", 2)
+    first, second = row_keys(docs)
+    with scratch(docs.sparkSession) as keep:
+        bad = keep(written(row_leaks(docs, benchmark, **how).select(F.col("rk").alias(k1), F.col("rk2").alias(k2)).distinct()))
+    marked, others = marked_rows(docs.withColumn(k1, first).withColumn(k2, second), bad, k1, k2)
+    columns = quoted(docs.columns)
+    return others.select(*columns).union(marked.join(bad, [k1, k2], "left_anti").select(*columns))

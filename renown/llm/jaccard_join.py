@@ -30,14 +30,12 @@ ignored; empty tables give empty results.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from renown.llm.common import components, filter_position, in_filter, key_filter, written
+from renown.llm.common import components, filter_position, in_filter, key_filter, marked_rows, names, quoted, row_keys, scratch, written
 from renown.llm.hashing import mix, set_keys, shingle_hashes, text_slices, word_hashes
 
 SHINGLE = 5
@@ -194,69 +192,70 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every input row."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
-    rows = written(set_rows(docs, shared, k, percent))
-    filled, key = rows.filter("n > 0 and doc_id is not null"), F.struct("k1", "k2")
-    classes = written(filled.groupBy("k1", "k2", "n", "pk").agg(F.min("doc_id").alias("node")))
-    groups = written(classes.groupBy("pk", "n").agg(F.min("node").alias("doc_id"), F.count(F.lit(1)).alias("classes")))
-    tokens = prefix_tokens(docs, groups, groups.count(), shared, k, percent)
-    met = tokens.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("met > 1")
-    # groups of several classes expand: the group's first class leads, the others join its buckets
-    members = written(classes.join(groups.filter("classes > 1").select("pk", "n", F.col("doc_id").alias("leader")), ["pk", "n"]).select("leader", "node"))
-    buckets = written(met)
-    if not members.isEmpty():
-        buckets = written(buckets.join(members.withColumnRenamed("node", "member"), F.col("node") == F.col("leader"), "left")
-                          .select("token", F.coalesce("member", "node").alias("node"), "at", "met"))
-    # one doc_id with several texts is one node
-    texts = filled.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo <> hi").select("doc_id")
-    links = written(filled.join(texts, "doc_id", "left_semi").join(classes, ["k1", "k2", "n"])
-                    .select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b"))
-    size = F.shiftright("at", 32)
-    band = F.floor(F.log(size) / F.log(F.lit(100.0 / percent)))
-    # the first pivots are the classes that meet most others, e.g. the origin of a group of copies
-    central = written(buckets.groupBy("node").agg((-F.sum("met")).alias("rank")))
-    buckets = buckets.drop("met")
-    state = buckets.withColumn("label", F.col("node")).join(central, "node")
-    pairs = members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    for salt in range(PIVOT_ROUNDS):
-        keyed = state.withColumn("band", band)
-        draw = F.struct((F.col("rank") if salt == 0 else F.xxhash64("node", F.lit(salt))).alias("h"), "node", "label", "at")
-        pivots = keyed.groupBy("token", "band").agg(F.min(draw).alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-        near = (keyed.join(pivots.select("token", "band", "pivot"), ["token", "band"])
-                .filter((F.col("label") != F.col("pivot.label")) & _sizes_fit(size, F.shiftright("pivot.at", 32), percent))
-                .groupBy(F.col("node").alias("a"), F.col("pivot.node").alias("b")).agg(F.count(F.lit(1)).alias("shared")))
-        near = near.groupBy("a").agg(F.max_by("b", F.struct("shared", F.xxhash64("b", F.lit(salt)))).alias("b"))
-        pairs = written(pairs.union(near).distinct() if salt == 0 else near)
-        links = written(links.union(verified(docs, pairs, k, percent)))
-        comp = components(links).withColumnRenamed("id", "node")
-        state = buckets.join(comp, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        members = members.select("leader", "node").join(comp, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    # every remaining pair across components, by shared prefix shingles
-    mixed = state.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    left = written(state.join(mixed, "token", "left_semi"))
-    x, y = left.alias("x"), left.alias("y")
-    n, m = F.shiftright("x.at", 32), F.shiftright("y.at", 32)
-    i, j = F.col("x.at").bitwiseAND(2**32 - 1), F.col("y.at").bitwiseAND(2**32 - 1)
-    need = F.ceil((n + m) * percent / (100.0 + percent) - 1e-9)
-    # sets that share ``need`` shingles share 1 + extra of their first n - need + 1 + extra; the last, more
-    # frequent places of the prefixes need not meet
-    extra = F.greatest(F.floor((need - F.ceil(F.greatest(n, m) * percent / 100.0 - 1e-9)) / 4), F.lit(0))
-    rest = (x.join(y, F.col("x.token") == F.col("y.token"))
-            .filter((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _sizes_fit(n, m, percent)
-                    & (i <= n - need + extra) & (j <= m - need + extra))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), extra.alias("extra")))
-    rest = rest.groupBy("a", "b", "extra").agg(F.count(F.lit(1)).alias("shared")).filter("shared > extra").select("a", "b")
-    u, v = members.alias("u"), members.alias("v")
-    inner = (u.join(v, F.col("u.leader") == F.col("v.leader")).filter("u.node < v.node and u.label <> v.label")
-             .select(F.col("u.node").alias("a"), F.col("v.node").alias("b")))
-    rest = written(rest.union(inner).distinct())
-    comp = components(links.union(verified(docs, rest, k, percent)))
-    named = (classes.join(comp.withColumnRenamed("id", "node"), "node", "left")
-             .select("k1", "k2", "n", F.coalesce("component", "node").alias("component")))
-    out = rows.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
-    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    with scratch(docs.sparkSession) as keep:
+        shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
+        rows = keep(written(set_rows(docs, shared, k, percent)))
+        filled, key = rows.filter("n > 0 and doc_id is not null"), F.struct("k1", "k2")
+        classes = keep(written(filled.groupBy("k1", "k2", "n", "pk").agg(F.min("doc_id").alias("node"))))
+        groups = written(classes.groupBy("pk", "n").agg(F.min("node").alias("doc_id"), F.count(F.lit(1)).alias("classes")))
+        tokens = prefix_tokens(docs, groups, groups.count(), shared, k, percent)
+        met = tokens.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("met > 1")
+        # groups of several classes expand: the group's first class leads, the others join its buckets
+        members = written(classes.join(groups.filter("classes > 1").select("pk", "n", F.col("doc_id").alias("leader")), ["pk", "n"]).select("leader", "node"))
+        buckets = written(met)
+        if not members.isEmpty():
+            buckets = written(buckets.join(members.withColumnRenamed("node", "member"), F.col("node") == F.col("leader"), "left")
+                              .select("token", F.coalesce("member", "node").alias("node"), "at", "met"))
+        # one doc_id with several texts is one node
+        texts = filled.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo <> hi").select("doc_id")
+        links = written(filled.join(texts, "doc_id", "left_semi").join(classes, ["k1", "k2", "n"])
+                        .select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b"))
+        size = F.shiftright("at", 32)
+        band = F.floor(F.log(size) / F.log(F.lit(100.0 / percent)))
+        # the first pivots are the classes that meet most others, e.g. the origin of a group of copies
+        central = written(buckets.groupBy("node").agg((-F.sum("met")).alias("rank")))
+        buckets = buckets.drop("met")
+        state = buckets.withColumn("label", F.col("node")).join(central, "node")
+        pairs = members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+        for salt in range(PIVOT_ROUNDS):
+            keyed = state.withColumn("band", band)
+            draw = F.struct((F.col("rank") if salt == 0 else F.xxhash64("node", F.lit(salt))).alias("h"), "node", "label", "at")
+            pivots = keyed.groupBy("token", "band").agg(F.min(draw).alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+            near = (keyed.join(pivots.select("token", "band", "pivot"), ["token", "band"])
+                    .filter((F.col("label") != F.col("pivot.label")) & _sizes_fit(size, F.shiftright("pivot.at", 32), percent))
+                    .groupBy(F.col("node").alias("a"), F.col("pivot.node").alias("b")).agg(F.count(F.lit(1)).alias("shared")))
+            near = near.groupBy("a").agg(F.max_by("b", F.struct("shared", F.xxhash64("b", F.lit(salt)))).alias("b"))
+            pairs = written(pairs.union(near).distinct() if salt == 0 else near)
+            links = written(links.union(verified(docs, pairs, k, percent)))
+            comp = components(links).withColumnRenamed("id", "node")
+            state = buckets.join(comp, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+            members = members.select("leader", "node").join(comp, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        # every remaining pair across components, by shared prefix shingles
+        mixed = state.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
+        left = written(state.join(mixed, "token", "left_semi"))
+        x, y = left.alias("x"), left.alias("y")
+        n, m = F.shiftright("x.at", 32), F.shiftright("y.at", 32)
+        i, j = F.col("x.at").bitwiseAND(2**32 - 1), F.col("y.at").bitwiseAND(2**32 - 1)
+        need = F.ceil((n + m) * percent / (100.0 + percent) - 1e-9)
+        # sets that share ``need`` shingles share 1 + extra of their first n - need + 1 + extra; the last, more
+        # frequent places of the prefixes need not meet
+        extra = F.greatest(F.floor((need - F.ceil(F.greatest(n, m) * percent / 100.0 - 1e-9)) / 4), F.lit(0))
+        rest = (x.join(y, F.col("x.token") == F.col("y.token"))
+                .filter((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _sizes_fit(n, m, percent)
+                        & (i <= n - need + extra) & (j <= m - need + extra))
+                .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), extra.alias("extra")))
+        rest = rest.groupBy("a", "b", "extra").agg(F.count(F.lit(1)).alias("shared")).filter("shared > extra").select("a", "b")
+        u, v = members.alias("u"), members.alias("v")
+        inner = (u.join(v, F.col("u.leader") == F.col("v.leader")).filter("u.node < v.node and u.label <> v.label")
+                 .select(F.col("u.node").alias("a"), F.col("v.node").alias("b")))
+        rest = written(rest.union(inner).distinct())
+        comp = keep(components(links.union(verified(docs, rest, k, percent))))
+        named = (classes.join(comp.withColumnRenamed("id", "node"), "node", "left")
+                 .select("k1", "k2", "n", F.coalesce("component", "node").alias("component")))
+        out = rows.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
+        alone = F.col("doc_id").isNull() | (F.col("n") == 0)
+        return out.select("doc_id", F.col("n").alias("n_shingles"),
+                          F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def _sizes_fit(n, m, percent):
@@ -267,17 +266,28 @@ def one_per_component(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     """One row of each group of linked rows: the smallest (doc_id, row key),
     null ids last.  Rows are linked by their texts alone, so rows without a
     unique id take part, and texts that only share an id are not dropped; of
-    rows equal in doc_id and text one stays."""
-    own = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("rk")).groupBy("doc_id", "rk").agg(F.count(F.lit(1)).alias("times")))
-    comp = jaccard_components(docs.select(own.alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("rk"), "component_id").distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk", "times")).alias("first")
-    keep = written(rows.join(comp, "rk").groupBy("component_id").agg(first).select("first.rk", "first.times"))
-    key = "_row_" + uuid.uuid4().hex[:8]
-    keyed = docs.withColumn(key, own)
-    once, repeated = (keep.filter(c).select(F.col("rk").alias(key)) for c in ("times = 1", "times > 1"))
-    # of repeated rows the one whose columns have the smallest hash
-    every = F.struct(*docs.columns)
-    last = (keyed.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by(every, F.xxhash64(*docs.columns)).alias("r"))
-            .select(*[F.col("r").getField(c).alias(c) for c in docs.columns]))
-    return keyed.join(once, key, "left_semi").select(*docs.columns).union(last)
+    rows equal in doc_id and text one stays (the one whose other columns, maps
+    left out, have the smallest hash).  Rows are told apart by two 64-bit keys;
+    rows that share the first one only by chance are never dropped.
+
+    Only rows to drop or to reduce to one, and a few others, are shuffled."""
+    spark = docs.sparkSession
+    k1, k2 = names(docs, "_row", 2)
+    first, second = row_keys(docs)
+    with scratch(spark) as keep:
+        rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), first.alias("rk"), second.alias("rk2"))
+                       .groupBy("doc_id", "rk", "rk2").agg(F.count(F.lit(1)).alias("times")))
+        comp = jaccard_components(docs.select(first.alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("rk"), "component_id").distinct()
+        placed = written(rows.join(comp, "rk").withColumn("place", F.struct(F.col("doc_id").isNull(), "doc_id", "rk", "rk2")))
+        best = placed.groupBy("component_id").agg(F.min("place").alias("best"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+        chance = rows.groupBy("rk").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rk")
+        gone = placed.join(best, "component_id").filter("place <> best").join(chance, "rk", "left_anti")
+        dropped = keep(written(gone.select(F.col("rk").alias(k1), F.col("rk2").alias(k2))))
+        touched = keep(written(dropped.union(rows.filter("times > 1").select("rk", "rk2")).distinct()))
+    columns = quoted(docs.columns)
+    marked, others = marked_rows(docs.withColumn(k1, first).withColumn(k2, second), touched, k1, k2)
+    plain = [c for c, f in zip(columns, docs.schema.fields, strict=True) if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    # equal rows are summed up before they meet their decision, so a row repeated any number of times is no hot key
+    single = marked.groupBy(k1, k2).agg(F.min_by(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)]), F.xxhash64(*plain)).alias("r"))
+    stay = single.join(dropped, [k1, k2], "left_anti").select(*[F.col("r")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
+    return others.select(*columns).union(stay)

@@ -68,30 +68,19 @@ FROM documents d LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY node) c ON c.node = d.doc_id
 """
 
-# a pair shares a seed when the words at some mask's 1-positions are equal
-_SPAN = max(map(len, decontaminate.MASKS))
-_SEEDS = " UNION ALL ".join(
-    f"SELECT id, p, {m} AS mask, concat_ws(' ', {', '.join(f'w{j}' for j, x in enumerate(mask) if x == '1')}) AS seed "
-    f"FROM windows_{{side}} WHERE w{_SPAN - 1} IS NOT NULL" for m, mask in enumerate(decontaminate.MASKS))
-_LEADS = ", ".join(f"lead(word, {j}) OVER o AS w{j}" for j in range(_SPAN))
-
-
-def _side(side: str, table: str, key: str) -> str:
-    return f"""
+# every diagonal on which enough words are equal is tried, without the operator's masks
+_LISTS = """
 lists_{side} AS (SELECT {key} AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}),
-words_{side} AS MATERIALIZED (SELECT id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM lists_{side}),
-windows_{side} AS MATERIALIZED (SELECT id, p, {_LEADS} FROM words_{side} WINDOW o AS (PARTITION BY id ORDER BY p)),
-seeds_{side} AS ({_SEEDS.format(side=side)})"""
-
+words_{side} AS MATERIALIZED (SELECT id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM lists_{side})"""
 
 ORACLE["op9_decontaminate"] = f"""
-WITH {_side("d", "documents", "doc_id")}, {_side("i", "benchmark", "item_id")},
-hits AS MATERIALIZED (
-  SELECT DISTINCT d.id AS doc_id, i.id AS item_id, d.p - i.p AS diagonal
-  FROM seeds_d d JOIN seeds_i i ON d.mask = i.mask AND d.seed = i.seed),
+WITH {_LISTS.format(side="d", table="documents", key="doc_id")}, {_LISTS.format(side="i", table="benchmark", key="item_id")},
+diagonals AS MATERIALIZED (
+  SELECT d.id AS doc_id, i.id AS item_id, d.p - i.p AS diagonal, least(any_value(i.n), {decontaminate.WINDOW}) AS compared
+  FROM words_d d JOIN words_i i ON d.word = i.word GROUP BY ALL HAVING count(*) * 100 >= least(any_value(i.n), {decontaminate.WINDOW}) * {decontaminate.PERCENT}),
 laid AS (
-  SELECT h.doc_id, h.item_id, h.diagonal, i.p AS q, least(i.n, {decontaminate.WINDOW}) AS compared, CAST(i.word = d.word AS INT) AS same
-  FROM hits h JOIN words_i i ON i.id = h.item_id JOIN words_d d ON d.id = h.doc_id AND d.p = i.p + h.diagonal),
+  SELECT h.doc_id, h.item_id, h.diagonal, i.p AS q, compared, CAST(i.word = d.word AS INT) AS same
+  FROM diagonals h JOIN words_i i ON i.id = h.item_id JOIN words_d d ON d.id = h.doc_id AND d.p = i.p + h.diagonal),
 summed AS (
   SELECT doc_id, item_id, compared, sum(same) OVER w AS matched, count(*) OVER w AS n
   FROM laid WINDOW w AS (PARTITION BY doc_id, item_id, diagonal ORDER BY q ROWS BETWEEN CURRENT ROW AND {decontaminate.WINDOW - 1} FOLLOWING))

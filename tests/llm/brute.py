@@ -82,24 +82,22 @@ def plain_words(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
 
-def leaks(docs, items, masks, window=20, percent=80):
-    """{(doc_id, item_id): matched} with a seed hit and a verified overlap."""
-    span = max(map(len, masks))
-    on = [[j for j, x in enumerate(m) if x == "1"] for m in masks]
-    index = defaultdict(set)
+def leaks(docs, items, window=20, percent=80):
+    """{(doc_id, item_id): matched} of verified overlaps, on every diagonal."""
+    index = defaultdict(list)
     words = {i: plain_words(t) for i, t in items}
     for i, w in words.items():
-        for p in range(len(w) - span + 1):
-            for m, js in enumerate(on):
-                index[m, tuple(w[p + j] for j in js)].add((i, p))
+        for q, x in enumerate(w):
+            index[x].append((i, q))
     out = {}
     for d, t in docs:
         w = plain_words(t)
-        diagonals = {(i, p - q) for p in range(len(w) - span + 1) for m, js in enumerate(on)
-                     for i, q in index.get((m, tuple(w[p + j] for j in js)), ())}
-        for i, g in diagonals:
-            same = [w[q + g] == x for q, x in enumerate(words[i]) if 0 <= q + g < len(w)]
+        diagonals = Counter((i, p - q) for p, x in enumerate(w) for i, q in index.get(x, ()))
+        for (i, g), equal in diagonals.items():
             size = min(window, len(words[i]))
+            if equal * 100 < size * percent:
+                continue
+            same = [w[q + g] == x for q, x in enumerate(words[i]) if 0 <= q + g < len(w)]
             best = max((sum(same[s:s + size]) for s in range(len(same) - size + 1)), default=0)
             if best and best * 100 >= size * percent:
                 out[d, i] = max(best, out.get((d, i), 0))
