@@ -66,15 +66,15 @@ def parse_responses(responses: DataFrame, response_col: str = "response") -> Dat
     )
 
 
-def classified_mentions(mentions: DataFrame, responses: DataFrame) -> DataFrame:
-    """Analyzable mentions left-joined with their parsed responses, merged
-    right-wins; failures keep the row with defaults and an error column."""
+def classified_mentions(mentions: DataFrame, responses: DataFrame, keys=("seq",)) -> DataFrame:
+    """Analyzable mentions left-joined on ``keys`` with their parsed responses,
+    merged right-wins; failures keep the row with defaults and an error column."""
     d = lx.CLASSIFY_DEFAULTS
     m = mentions.where(is_analyzable())
     keep = [c for c in m.columns if c not in ("sentiment", "confidence", "themes", "severity",
                                               "language_detected", "crisis_flags", "analysis_error")]
-    p = parse_responses(responses.select("seq", "response")).drop("response")
-    j = m.select(*keep).join(p, "seq", "left")
+    p = parse_responses(responses.select(*keys, "response")).drop("response")
+    j = m.select(*keep).join(p, list(keys), "left")
     st = F.coalesce(F.col("parse_status"), F.lit("missing"))
     ok = st == "ok"
     nonobj = st == "non_object"

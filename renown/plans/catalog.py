@@ -646,18 +646,9 @@ def html_element_counts(spark, sf):
 
 @query
 def src_job_cards(spark, sf):
-    """Job-card layout B over the pages: li/div/a with a card-like class,
-    first 30 per page, text of at least 10 chars without ignore phrases."""
-    from pyspark.sql import Window
+    """Job-card layout B over the pages."""
     el = HT.html_elements(fx.table(spark, sf, "pages"), tags=("li", "div", "a"))
-    cards = el.where(HT.class_matches("card|listing|item|ad"))
-    w = Window.partitionBy("page_id").orderBy("pos")
-    cards = cards.withColumn("card_rank", F.row_number().over(w)).where(F.col("card_rank") <= 30)
-    lt = F.lower("text")
-    cards = cards.where((F.length("text") >= 10) & ~any_of(lt.contains(p) for p in lx.JOB_CARD_IGNORE_B))
-    url = F.when(F.col("first_href").isNotNull(), F.concat(F.lit("https://ikman.lk"), F.col("first_href"))).otherwise(F.lit("https://ikman.lk"))
-    return cards.select("page_id", "card_rank", url.alias("source_url"), tx.safe_text("text").alias("raw_text"),
-                        tx.salary_info("text").alias("salary_info"))
+    return PG.job_cards_b(el).drop("source_platform")
 
 
 # ------------------------------------------------------------- page sources
@@ -780,3 +771,52 @@ def src_web_cascade(spark, sf):
     first = CP.cascade_first_nonempty(api.unionByName(html), "tier")
     w = Window.partitionBy("company").orderBy("tier", "seq")
     return first.withColumn("web_rank", F.row_number().over(w)).where(F.col("web_rank") <= lx.PLATFORM_CAPS["web"])
+
+
+# ------------------------------------------------------------- end-to-end run
+
+from renown.plans import end_to_end as EE  # noqa: E402
+from renown.sources import canonical as CN  # noqa: E402
+
+
+def fx_canonical(spark, sf) -> DataFrame:
+    """Canonical mentions of the eight platforms, from landed payloads."""
+    from renown.plans.strategy import materialize
+    w, el = fx_page_elements(spark, sf)
+    plain = fx.table(spark, sf, "pages")
+    cards = materialize(HT.html_elements(plain, tags=("li", "div", "a")).join(
+        plain.select("page_id", fx.company_name(F.col("page_id") % fx.N_COMPANIES).alias("company")), "page_id"))
+    blocks = PG.web_result_blocks(el).join(w.select("page_id", "company"), "page_id")
+    return CN.canonical_union([*CN.forum_mentions(*fx_threads(spark, sf)), *CN.page_mentions(w, el, cards),
+                               CN.web_mentions(WS.extract_results(fx.landing_web_fx(spark, sf)), blocks)])
+
+
+def run_responses(mentions: DataFrame) -> DataFrame:
+    """Landed classifier responses of a run: some missing, some malformed."""
+    p = F.col("seq.position")
+    text = F.concat(F.lit('{"sentiment": "'), F.element_at(F.array(*[F.lit(x) for x in lx.SENTIMENTS]), (p % 3 + 1).cast("int")),
+                    F.lit('", "confidence": 0.5, "themes": ["'), F.element_at(F.array(*[F.lit(x) for x in lx.THEMES]), (p % 12 + 1).cast("int")),
+                    F.lit('"], "severity": "low", "language_detected": "en"}'))
+    return mentions.where(p % 50 != 7).select("seq", "company", F.when(p % 10 == 0, F.lit("not json")).otherwise(text).alias("response"))
+
+
+@query
+def canonical_mentions(spark, sf):
+    m = fx_canonical(spark, sf)
+    return m.select("company", "source_platform", "seq.platform_ord", "seq.position", "seq.item", "source_url", F.md5("raw_text").alias("text_md5"),
+                    "date_raw", "rating", "reviewer_type", *[F.col(f"metadata.{f}").alias(f"m_{f}") for f in (
+                        "type", "pros", "salary_info", "followers", "likes", "headline", "title", "parent_post")])
+
+
+@query
+def pipeline_report(spark, sf):
+    """The whole run: funnel and report header per company."""
+    summaries = SM.parse_summaries(summary_responses_fx(spark, sf))
+    funnel, report = EE.run_report(fx_canonical(spark, sf), fx_needles(spark, sf), run_responses, summaries, fx_alias_keys(),
+                                   fx.AS_OF.replace(" ", "T"))
+    n_sections = sum(F.when(F.col(f"by_source.{k}").isNotNull(), 1).otherwise(0) for k in lx.SECTION_KEYS.values())
+    r = report.select("company", "overall_score", "score_band", "total_results", n_sections.alias("n_sections"),
+                      F.coalesce("by_source.topjobs_ikman.result_count", F.lit(0)).alias("jobs"),
+                      F.coalesce("by_source.web_general.positive", F.lit(0)).alias("web_positive"),
+                      jn("by_source.topjobs_ikman.urls").alias("job_urls"), jn("aggregated_summary.crisis_flags").alias("crisis_flags"))
+    return funnel.join(r, "company", "left")

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from renown.functions import lexicons as lx
+from renown.sources.canonical import METADATA_TYPE  # noqa: F401
 
 N_COMPANIES = 23
 # tokens that occur in the synthetic prose; company i gets ALIAS_TOKENS[i % 12]
@@ -36,18 +36,6 @@ def company_name(idx_col) -> F.Column:
     return F.concat(F.lit("Company "), F.lpad(idx_col.cast("string"), 2, "0"))
 
 
-METADATA_FIELDS = [
-    ("subreddit", "string"), ("score", "double"), ("num_comments", "int"), ("type", "string"),
-    ("parent_post", "string"), ("star_rating", "double"), ("review_count", "int"),
-    ("review_index", "int"), ("pros", "string"), ("cons", "string"), ("reviewer_role", "string"),
-    ("source_site", "string"), ("salary_info", "string"), ("followers", "string"),
-    ("employees", "string"), ("likes", "string"), ("headline", "string"), ("title", "string"),
-    ("search_engine", "string"), ("position", "int"),
-]
-_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType()}
-METADATA_TYPE = T.StructType([T.StructField(n, _TYPES[t]) for n, t in METADATA_FIELDS])
-
-
 def mentions_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classified mentions: documents left-joined with labels (one row per doc)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

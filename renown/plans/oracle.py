@@ -1078,3 +1078,122 @@ def _():
             SELECT company, 2, k, {url} FROM pg WHERE k % 2 = 1 OR k % 4 = 0))
         WHERE tier = mt))
     WHERE web_rank <= {lx.PLATFORM_CAPS['web']}"""
+
+
+# ------------------------------------------------------------- end-to-end run
+
+def _canon_sql() -> str:
+    """The eight platforms' rows, written from the rules of the landed payloads."""
+    v = lambda x: f"CAST({x} AS VARCHAR)"
+    cols = ("company", "source_platform", "position", "item", "source_url", "raw_text", "date_raw", "rating", "m_type",
+            "m_pros", "m_salary_info", "m_followers", "m_likes", "m_headline", "m_title", "m_parent_post")
+    parts = []
+
+    def add(src, company="company", url="url", **c):
+        c = {"company": company, "source_url": url, **c}
+        parts.append("SELECT " + ", ".join(f"{c.get(k, 'NULL')} AS {k}" for k in cols) + f" FROM {src}")
+
+    iso = lambda x: f"strftime(make_timestamp(CAST({x} * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S')"
+    post = "CASE WHEN coalesce(selftext, '') <> '' THEN coalesce(title, '') || chr(10) || chr(10) || selftext ELSE coalesce(title, '') END"
+    add("taken_posts_fx", source_platform="'reddit'", position="conv_id", item="0", url="'https://reddit.com' || permalink", raw_text=_safe(post),
+        date_raw=iso("created_utc"), m_type="'post'")
+    add("kept_comments_fx c JOIN taken_posts_fx t ON t.conv_id = c.conv_id", "c.company", source_platform="'reddit'", position="c.conv_id", item="k",
+        url="CASE WHEN coalesce(c.permalink, '') <> '' THEN 'https://reddit.com' || c.permalink ELSE '' END", raw_text=_safe("c.body"),
+        date_raw=iso("c.created_utc"), m_type="'comment'", m_parent_post="coalesce(t.title, '')")
+    star = f"CASE WHEN k % 6 <> 0 THEN CAST({v('k % 5 + 1')} || '.' || {v('k % 10')} AS DOUBLE) ELSE CAST(k % 5 + 1 AS DOUBLE) END"
+    count = "CASE WHEN k % 6 <> 0 THEN CAST(k * 13 AS INTEGER) ELSE 0 END"
+    add("pg", source_platform="'google_maps'", position="k", item="0", rating=star, m_type="'business_listing'",
+        raw_text=f"company || ' on Google Maps: ' || {v(star)} || ' stars, ' || {v(count)} || ' reviews'")
+    for i, text, rating in ((1, f"'First review of page ' || {v('k')} || ' by a visitor'", "CAST(k % 5 + 1 AS DOUBLE)"), (2, f"'Second review ' || {v('k')}", "NULL")):
+        add("pg", source_platform="'google_maps'", position="k", item=str(i), rating=rating, m_type="'review'", raw_text=text)
+    half = "CAST(k % 5 AS DOUBLE) + 0.5"
+    indeed = f"'Indeed review ' || {v('k')} || ' without markers'"
+    for i, text, rating, pros in ((1, f"'Pros: friendly team ' || {v('k')} || chr(10) || 'Cons: slow promotions'", half, f"'friendly team ' || {v('k')}"),
+                                  (2, indeed, half, "''"), (3, indeed, "NULL", "NULL")):
+        add("pg", source_platform="'glassdoor'", position="k", item=str(i), rating=rating, m_type="'employee_review'", raw_text=text, m_pros=pros)
+    pay = f"'Rs. ' || {_f('k * 100')} || ' - ' || {_f('k * 150')}"
+    job = f"'Engineer at ' || company || ' paying ' || {pay}"
+    profile = f"company || ' | ' || {_f('k * 3')} || ' followers | ' || {v('k % 50')} || '-' || {v('k % 50 + 10')} || ' employees'"
+    head = f"'Headline ' || {v('k')} || ' about ' || company"
+    for i, text, salary in ((1, job, pay), (2, profile, "NULL"), (3, head, "NULL")):
+        add("pg", url="'https://www.topjobs.lk'", source_platform="'topjobs'", position="k", item=str(i), m_type="'job_listing'", raw_text=text, m_salary_info=salary)
+    add("(SELECT * FROM cards_fx JOIN pg ON pg.k = cards_fx.page_id)", url="cards_fx_url", source_platform="'topjobs'", position="k",
+        item="card_rank + 100", m_type="'job_listing'", raw_text="card_text", m_salary_info="card_salary")
+    for i, text in ((201, job), (202, f"'Vacancy ' || {v('k')} || ' open now'")):
+        add("pg", url="'https://www.jobsnet.lk'", source_platform="'topjobs'", position="k", item=str(i), m_type="'job_listing'", raw_text=text)
+    card = f"'Entity result card for page ' || {v('k')}"
+    add("pg", url=f"'https://www.linkedin.com/company/co-' || {v('k % 40')}", source_platform="'linkedin'", position="k", item="1", m_type="'company_profile'",
+        raw_text=profile, m_followers=_f("k * 3"))
+    add("pg", url="''", source_platform="'linkedin'", position="k", item="101", m_type="'search_result'", raw_text=card)
+    add("pg", url=f"'https://www.facebook.com/page' || {v('k % 30')}", source_platform="'facebook'", position="k", item="1", rating=half, m_type="'page_info'",
+        raw_text=f"'Page ' || {v('k % 30')} || ' has ' || {v('k % 9')} || '.5K likes and ' || {v('k % 5')} || '.5 out of 5'", m_likes=f"{v('k % 9')} || '.5K'")
+    cap = lx.PLATFORM_CAPS["news"]
+    news = f"""(SELECT *, row_number() OVER (PARTITION BY company ORDER BY tier, site_ord, k, pos) AS r FROM (
+        SELECT company, k, 0 AS tier, -1 AS site_ord, 1 AS pos, '' AS u, {card} AS body, NULL AS d, '' AS h FROM pg
+        UNION ALL SELECT company, k, 0, -1, 2, 'https://www.' || site || '/news/' || {v('k')}, {head} || chr(10) || chr(10) || 'Snippet text ' || {v('k')},
+          {v('k % 24')} || ' hours ago', {head} FROM pg
+        UNION ALL SELECT company, k, 1, site2_ord, 1, 'https://www.' || site2 || '/story/' || {v('k')}, 'Story number ' || {v('k')} || ' in the paper', NULL,
+          'Story number ' || {v('k')} || ' in the paper' FROM pg p WHERE site2_ord < 5 AND {cap} >
+          (SELECT 2 * count(*) + count(*) FILTER (WHERE o.site2_ord < p.site2_ord) FROM pg o WHERE o.company = p.company)))"""
+    add(f"{news} WHERE r <= {cap}", url="u", source_platform="'news'", position="r", item="0", m_type="'news_article'", raw_text="body", date_raw="d", m_headline="h")
+    shop = f"'https://shop' || {v('k % 7')} || CASE WHEN k % 2 = 1 THEN '.lk' ELSE '.com' END || '/r/' || {v('k')}"
+    snip = f"'Snippet for result ' || {v('k')} || CASE WHEN k % 4 = 0 THEN ' colombo' ELSE '' END"
+    web_text = "coalesce(title, '') || chr(10) || chr(10) || coalesce(text, '')"
+    web = f"""(SELECT *, row_number() OVER (PARTITION BY company ORDER BY place) AS r FROM (SELECT *, min(tier) OVER (PARTITION BY company) AS mt FROM (
+        SELECT company, CASE WHEN search_engine = 'engine_a' THEN 0 ELSE 1 END AS tier, grp * 10 + result_pos AS place, source_url AS u, {_safe(web_text)} AS body,
+          coalesce(title, '') AS t FROM web_fx
+        UNION ALL SELECT company, 2, k, {shop}, 'Result title ' || {v('k')} || chr(10) || chr(10) || {snip}, 'Result title ' || {v('k')} FROM pg
+        WHERE k % 2 = 1 OR k % 4 = 0)) WHERE tier = mt)"""
+    add(f"{web} WHERE r <= {lx.PLATFORM_CAPS['web']}", url="u", source_platform="'web'", position="place", item="0", m_type="'web_result'", raw_text="body", m_title="t")
+    return " UNION ALL ".join(parts)
+
+
+CARDS = ("cards_fx", f"SELECT page_id, card_rank, source_url AS cards_fx_url, raw_text AS card_text, salary_info AS card_salary FROM ({ORACLE['src_job_cards']})")
+CANON_TYPES = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in ("date_raw", "m_pros", "m_salary_info", "m_followers", "m_likes", "m_headline", "m_title", "m_parent_post"))
+CANON = ("canon_fx", f"""
+SELECT company, source_platform, {_case_map('source_platform', {p: i for i, p in enumerate(lx.PLATFORMS)}, 'NULL')} AS platform_ord,
+  CAST(position AS BIGINT) AS position, CAST(item AS INTEGER) AS item, coalesce(source_url, '') AS source_url, raw_text, CAST(rating AS DOUBLE) AS rating,
+  {_case_map('source_platform', __import__('renown.sources.canonical', fromlist=['x']).REVIEWER_TYPE, 'NULL')} AS reviewer_type, m_type, {CANON_TYPES}
+FROM ({_canon_sql()})""")
+CANON_EXTRA = [KEPT_COMMENTS, TAKEN, WEB_ROWS, PAGES_FX, CARDS, CANON]
+
+
+@oracle("canonical_mentions", "forum_posts_fx", "forum_comments_fx", extra=CANON_EXTRA)
+def _():
+    return "SELECT * EXCLUDE (raw_text), md5(raw_text) AS text_md5 FROM canon_fx"
+
+
+def _run_views() -> list[tuple[str, str]]:
+    from renown.plans.end_to_end import RUN_CAPS
+    order = "platform_ord, position, item"
+    sentiment = f"CASE WHEN position % 50 = 7 OR position % 10 = 0 THEN 'neutral' ELSE ({arr(lx.SENTIMENTS)})[position % 3 + 1] END"
+    return [
+        ("capped_run", f"""SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY company) AS extracted,
+           row_number() OVER (PARTITION BY company, source_platform ORDER BY {order}) AS r FROM canon_fx) WHERE r <= {_case_map('source_platform', RUN_CAPS, 'NULL')}"""),
+        ("flagged_run", f"SELECT m.*, {_relevant()} AS relevant, {geo_sql('m.raw_text', 'm.source_url')} AS geo_ok FROM capped_run m JOIN needles_fx n USING (company)"),
+        ("valid_run", f"SELECT *, relevant AND (source_platform = 'topjobs' OR geo_ok) AS validated, {fp_sql('raw_text')} AS fp FROM flagged_run"),
+        ("run_fx", f"""SELECT *, validated AND row_number() OVER (PARTITION BY company, fp, validated ORDER BY {order}) = 1 AS survivor,
+           {analyzable_sql('raw_text')} AS ok FROM valid_run"""),
+        ("kept_fx", f"SELECT *, {sentiment} AS sentiment, {crisis_sql('raw_text')} AS flags FROM run_fx WHERE survivor AND ok"),
+    ]
+
+
+@oracle("pipeline_report", "mentions_fx", "aliases_fx", "forum_posts_fx", "forum_comments_fx", extra=[NEEDLES, *CANON_EXTRA, *_run_views(), SUMMARY_RESP, SUMMARY_PARSED])
+def _():
+    score = score_sql("count(*)", "count_if(sentiment = 'positive')", "count_if(sentiment = 'negative')", "count_if(len(flags) > 0)")
+    return f"""
+    SELECT f.*, coalesce(s.overall_score, c.rule_score) AS overall_score, {band_sql('coalesce(s.overall_score, c.rule_score)')} AS score_band,
+      c.total_results, c.n_sections, c.jobs, c.web_positive, coalesce(c.job_urls, '') AS job_urls,
+      CASE WHEN c.company IS NULL THEN '' ELSE coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(s.crisis_flags, []), coalesce(c.all_flags, [])))), '|'), '') END AS crisis_flags
+    FROM (
+      SELECT company, any_value(extracted) AS extracted, count(*) AS raw, {cnt('NOT relevant')} AS irrelevant, {cnt('relevant AND NOT validated')} AS non_geo,
+        {cnt('validated AND NOT survivor')} AS duplicates, {cnt('survivor AND NOT ok')} AS too_short, {cnt('survivor AND ok')} AS analyzed
+      FROM run_fx GROUP BY company) f
+    LEFT JOIN (
+      SELECT company, count(*) AS total_results, count(DISTINCT source_platform) AS n_sections, {score} AS rule_score,
+        {cnt("source_platform = 'topjobs'")} AS jobs, {cnt("source_platform = 'web' AND sentiment = 'positive'")} AS web_positive,
+        flatten(list(flags)) AS all_flags,
+        (SELECT string_agg(u, '|' ORDER BY a, b) FROM (SELECT source_url AS u, arg_min(position, position * 1000 + item) AS a, arg_min(item, position * 1000 + item) AS b
+          FROM kept_fx k WHERE k.company = kept_fx.company AND source_platform = 'topjobs' GROUP BY source_url)) AS job_urls
+      FROM kept_fx GROUP BY company) c USING (company)
+    LEFT JOIN summary_parsed_fx s ON s.company = f.company AND c.company IS NOT NULL"""

@@ -102,8 +102,9 @@ def news_cascade(articles: DataFrame, links: DataFrame, cap: int = lx.PLATFORM_C
     """Search results first, then site links in site order (within both by
     page and place), cut to ``cap`` rows per company."""
     a = articles.select(*keys, "page_id", "tier", F.lit(-1).alias("site_ord"), F.col("item_rank").alias("pos"), "source_url",
-                        "raw_text", "headline", "source_site")
-    b = links.select(*keys, "page_id", "tier", "site_ord", "pos", "source_url", "raw_text", "headline", "source_site")
+                        "raw_text", "date_raw", "headline", "source_site")
+    b = links.select(*keys, "page_id", "tier", "site_ord", "pos", "source_url", "raw_text", F.lit(None).cast("string").alias("date_raw"),
+                     "headline", "source_site")
     w = Window.partitionBy(*keys).orderBy("tier", "site_ord", "page_id", "pos")
     u = a.unionByName(b)
     return u.withColumn("cascade_rank", F.row_number().over(w)).where(F.col("cascade_rank") <= cap)
@@ -123,6 +124,17 @@ def job_listings(elements: DataFrame, cap: int = lx.PLATFORM_CAPS["topjobs"] //
                     tx.salary_info("text").alias("salary_info"))
 
 
+def job_cards_b(elements: DataFrame, cap: int = lx.PLATFORM_CAPS["topjobs"]) -> DataFrame:
+    """li/div/a with a card-like class, first ``cap`` per page, then text of at
+    least 10 chars without an ignore phrase; url from the first link inside."""
+    cards = _ranked(elements.where(F.col("tag").isin("li", "div", "a") & class_matches("card|listing|item|ad")), cap, "card_rank")
+    lt = F.lower("text")
+    cards = cards.where((F.length("text") >= 10) & ~any_of(lt.contains(p) for p in lx.JOB_CARD_IGNORE_B))
+    url = F.concat(F.lit("https://ikman.lk"), F.coalesce("first_href", F.lit("")))
+    return cards.select("page_id", "card_rank", F.lit("topjobs").alias("source_platform"), url.alias("source_url"),
+                        tx.safe_text("text").alias("raw_text"), tx.salary_info("text").alias("salary_info"))
+
+
 def job_cards_c(elements: DataFrame, cap: int = lx.PLATFORM_CAPS["topjobs"]) -> DataFrame:
     """div/tr/li with a job-like class, first ``cap``, >= 10 chars, no ignore phrase."""
     c = elements.where(F.col("tag").isin("div", "tr", "li") & class_matches("job|listing|vacancy"))
