@@ -2,65 +2,21 @@
 
 ``lexicon_hits`` serves the fixed lexicons (a few dozen patterns) in generated
 code: one quoted alternation decides whether a text has any hit, and only
-those texts are tested pattern by pattern.  ``needle_hits`` serves company
-needles by the thousand in one pass of an automaton, Arrow-batched; both
-return the sorted distinct indexes of the needles found in the lower-cased
-text.
+those texts are tested pattern by pattern.  It gives the sorted distinct
+indexes of the needles found in the lower-cased text.  Company needles by the
+thousand go through the gram index of ``entities.tag_companies``.
 """
 
 from __future__ import annotations
 
-import ahocorasick
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_AUTOMATA: dict = {}
-
-
-def _automaton(needles: tuple):
-    a = _AUTOMATA.get(needles)
-    if a is None:
-        a = ahocorasick.Automaton()
-        for i, n in enumerate(needles):
-            if n:
-                if n in a:
-                    a.add_word(n, a.get(n) + (i,))
-                else:
-                    a.add_word(n, (i,))
-        a.make_automaton()
-        _AUTOMATA[needles] = a
-    return a
-
-
-def _hits_udf(needles: tuple):
-    always = [i for i, n in enumerate(needles) if n == ""]
-
-    @F.pandas_udf("array<int>")
-    def hits(s: pd.Series) -> pd.Series:
-        auto = _automaton(needles)
-        out = []
-        for x in s:
-            if x is None:
-                x = ""
-            found = set(always)
-            for _, idx in auto.iter(x.lower()):
-                found.update(idx)
-            out.append(sorted(found))
-        return pd.Series(out, dtype=object)
-
-    return hits
-
 
 def _text(text) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
-def needle_hits(text, needles) -> Column:
-    """Sorted distinct indexes of many ``needles`` contained in lower(text)."""
-    return _hits_udf(tuple(needles))(_text(text))
-
-
 def lexicon_hits(text, needles) -> Column:
     """Sorted distinct indexes of a fixed lexicon contained in lower(text)."""
     low = F.lower(F.coalesce(_text(text), F.lit("")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from renown.functions import lexicons as lx
 from renown.functions.text import col_, normalize_spaces, title_case
-from renown.plans.strategy import BROADCAST_MAX_ROWS, row_count_at_most
+from renown.plans.strategy import BROADCAST_MAX_ROWS, broadcast_if_small, cut_lineage, row_count_at_most
 
 
 def first_alias_per_key(aliases: DataFrame) -> DataFrame:
@@ -50,37 +50,88 @@ def ends_with_any(url, keys) -> Column:
 def with_needles(df: DataFrame, needles: DataFrame) -> DataFrame:
     """Attach each row's company needle array (equi-join on company; the
     needle table has one row per company)."""
-    from renown.plans.strategy import broadcast_if_small
-
     return df.join(broadcast_if_small(needles), "company", "left").withColumn(
         "needles", F.coalesce("needles", F.array(F.lower("company"))))
 
 
-def tag_companies(texts: DataFrame, needles: DataFrame, text_col: str = "raw_text",
-                  key_cols=("seq",), chunk_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+FEW_NEEDLES = 64  # up to so many needles are tested one by one in generated code
+GRAM = 3  # letters of an indexed gram
+STRIDE = GRAM  # longer needles meet grams cut at every third place only
+SAMPLE_SHARE = 64  # one of so many texts tells how common a gram is
+# kinds of grams a text is cut into, each prefixed so that kinds never meet:
+# 1 and 2 (all places) for needles that short, a (all places) up to
+# GRAM + STRIDE - 2 letters, t (every third place) for longer needles
+KINDS = ("1", "2", "a", "t")
+
+
+def _needle_kind(needle="needle") -> Column:
+    n = F.length(needle)
+    return (F.when(n < GRAM, n.cast("string")).when(n < GRAM + STRIDE - 1, F.lit("a")).otherwise(F.lit("t")))
+
+
+def _chunks(low: Column, n: int, first: int = 0) -> Column:
+    """Consecutive grams of ``n`` letters from letter ``first`` on."""
+    return F.regexp_extract_all(F.expr(f"substring(_low, {first + 1})") if first else low, F.lit(f"(?s)(.{{{n}}})"), F.lit(1))
+
+
+def _text_grams(low: Column, kinds) -> Column:
+    """Distinct prefixed grams of the kinds that some needle has."""
+    parts = {"1": [_chunks(low, 1)], "2": [_chunks(low, 2, i) for i in range(2)],
+             "a": [_chunks(low, GRAM, i) for i in range(GRAM)], "t": [_chunks(low, GRAM)]}
+    prefixed = lambda k: lambda g: F.concat(F.lit(k), g)
+    grams = [F.transform(c, prefixed(k)) for k in kinds for c in parts[k]]
+    return F.array_distinct(F.concat(*grams))
+
+
+def needle_index(needles: DataFrame, texts: DataFrame, kinds, keys) -> DataFrame:
+    """(gram, needle): the grams by which each needle is found.  A needle of
+    kind t has one gram for each of the three ways a text's cuts can fall on
+    it, others have one; each is the rarest of its choices in a hash sample of
+    the texts (the choice only decides how many candidates are compared)."""
+    sample = texts.where(F.pmod(F.xxhash64(*keys), F.lit(SAMPLE_SHARE)) == 0)
+    common = sample.select(F.explode(_text_grams(F.col("_low"), kinds)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    size = F.when(F.col("kind").isin("1", "2"), F.length("needle")).otherwise(F.lit(GRAM))
+    n = needles.select("needle").distinct().withColumn("kind", _needle_kind()).withColumn("size", size)
+    n = n.withColumn("at", F.explode(F.expr("sequence(1, length(needle) - size + 1)")))
+    n = n.select("needle", F.when(F.col("kind") == "t", F.col("at") % STRIDE).otherwise(F.lit(0)).alias("way"),
+                 F.concat("kind", F.expr("substring(needle, at, size)")).alias("gram"))
+    n = n.join(common, "gram", "left").groupBy("needle", "way").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("best"))
+    return n.select(F.col("best.gram").alias("gram"), "needle").distinct()
+
+
+def tag_companies(texts: DataFrame, needles: DataFrame, text_col: str = "raw_text", key_cols=("seq",),
+                  max_broadcast: int = BROADCAST_MAX_ROWS, few: int = FEW_NEEDLES) -> DataFrame:
     """Theta join text x needle on substring containment -> (key, company).
 
-    The needle dimension is used only behind a size check: up to
-    ``chunk_rows`` needles it is shipped to the tasks as one automaton and
-    every text is scanned once for all of them; a larger dimension is split
-    into bounded chunks (one scan per chunk), so the result stays exact
-    without an unbounded broadcast.
+    At most ``few`` needles are tested in generated code, like a lexicon.
+    More go through an inverted index instead of one test per needle: every
+    text is cut once into grams, which meet the grams of the needles in an equi-join;
+    ``contains`` decides the few candidates.  An index of at most
+    ``max_broadcast`` entries is broadcast, so texts never leave their tasks;
+    a larger one is joined on slim (key, gram) rows, hot grams split by AQE,
+    and candidates meet their texts by key.  Exact for any number of needles.
     """
-    from renown.functions.matcher import needle_hits
-
+    keys = list(key_cols)
     long = needles.select("company", F.explode("needles").alias("needle")).where(F.length("needle") > 0).distinct()
-    n = long.count() if not row_count_at_most(long, chunk_rows) else None
-    chunks = 1 if n is None else (n + chunk_rows - 1) // chunk_rows
-    out = None
-    for i in range(chunks):
-        part = long if chunks == 1 else long.where(F.pmod(F.xxhash64("company", "needle"), F.lit(chunks)) == i)
-        rows = sorted((r["needle"], r["company"]) for r in part.collect())  # bounded by chunk_rows
-        words = [w for w, _ in rows]
-        comps = F.array(*[F.lit(c) for _, c in rows])
-        hits = texts.select(*key_cols, F.explode(needle_hits(text_col, words)).alias("_i"))
-        j = hits.select(*key_cols, F.element_at(comps, F.col("_i") + 1).alias("company"))
-        out = j if out is None else out.unionByName(j)
-    return out.distinct()
+    if row_count_at_most(long.select("needle").distinct(), few):
+        words = sorted(r[0] for r in long.select("needle").distinct().collect())  # at most ``few``
+        if not words:
+            return texts.select(*keys, F.lit(None).cast("string").alias("company")).limit(0)
+        low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+        none = F.array().cast("array<string>")
+        found = texts.select(*keys, F.explode(F.concat(*[F.when(low.contains(w), F.array(F.lit(w))).otherwise(none) for w in words])).alias("needle"))
+        return found.join(broadcast_if_small(long), "needle").select(*keys, "company").distinct()
+    present = {r[0] for r in long.select(_needle_kind()).distinct().collect()}  # at most four kinds
+    kinds = [k for k in KINDS if k in present]
+    low = texts.select(*keys, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low"))
+    index = cut_lineage(needle_index(long, low, kinds, keys))
+    grams = low.select(*keys, "_low", F.explode(_text_grams(F.col("_low"), kinds)).alias("gram"))
+    if row_count_at_most(index, max_broadcast) and row_count_at_most(long, max_broadcast):
+        hits = grams.join(F.broadcast(index), "gram").where(F.col("_low").contains(F.col("needle"))).select(*keys, "needle")
+        return hits.join(F.broadcast(long), "needle").select(*keys, "company").distinct()
+    pairs = grams.drop("_low").join(index, "gram").select(*keys, "needle").distinct()
+    hits = pairs.join(low, keys).where(F.col("_low").contains(F.col("needle"))).select(*keys, "needle")
+    return hits.join(long, "needle").select(*keys, "company").distinct()
 
 
 def enrich_query(company, platform) -> Column:

@@ -179,6 +179,13 @@ def tag_companies(spark, sf):
     return E.tag_companies(m, fx_needles(spark, sf))
 
 
+@query
+def tag_companies_indexed(spark, sf):
+    """The same join through the gram index, as for needles by the thousand."""
+    m = _m(spark, sf).select("seq", "raw_text")
+    return E.tag_companies(m, fx_needles(spark, sf), few=0)
+
+
 @query
 def enriched_queries(spark, sf):
     return E.enriched_queries(_m(spark, sf).select("company")).select("company", "platform_ord", "platform", "query")

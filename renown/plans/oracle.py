@@ -172,6 +172,9 @@ def _():
             "WHERE length(n.needle) > 0 AND contains(lower(coalesce(m.raw_text, '')), n.needle)")
 
 
+ORACLE["tag_companies_indexed"] = ORACLE["tag_companies"]
+
+
 @oracle("enriched_queries", "mentions_fx")
 def _():
     cases = " ".join(f"WHEN lower(p.platform) = {q(k)} THEN {q(v.split('{c}')[0])} || c.company || {q(v.split('{c}')[1])}"

@@ -20,12 +20,27 @@ def test_normalize_company_alias_first_wins(spark):
     assert out["wso2  labs"] == "Wso2 Labs"
 
 
-def test_tag_companies_chunked_equals_single(spark):
-    texts = spark.createDataFrame([(1, "Acme and Beta"), (2, "nothing"), (3, "acme beta gamma")], "seq long, raw_text string")
-    needles = spark.createDataFrame([("A", ["acme"]), ("B", ["beta", "gamma"])], "company string, needles array<string>")
-    a = sorted(map(tuple, E.tag_companies(texts, needles).collect()))
-    b = sorted(map(tuple, E.tag_companies(texts, needles, chunk_rows=1).collect()))
-    assert a == b == [(1, "A"), (1, "B"), (3, "A"), (3, "B")]
+def test_tag_companies_equals_plain_search(spark):
+    """Needles of every length, both join forms, letters beyond the BMP."""
+    import random
+
+    from renown.operators import entities as E
+    rng = random.Random(11)
+    letters = "abcÉé \n日😀x"
+    pick = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, pick(rng.randint(0, 60))) for i in range(150)] + [(150, None), (151, ""), (152, "A"), (153, "aé")]
+    needles = {f"c{i}": sorted({pick(rng.randint(1, 9)).lower() for _ in range(3)}) for i in range(40)}
+    needles["long"] = [rows[3][1][2:30].lower(), rows[5][1].lower()]
+    needles["none"] = ["", "not there at all"]
+    texts = spark.createDataFrame(rows, "seq long, raw_text string")
+    table = spark.createDataFrame(list(needles.items()), "company string, needles array<string>")
+    want = sorted((i, c) for i, t in rows for c, ns in needles.items() if any(n and n in (t or "").lower() for n in ns))
+    assert sorted(map(tuple, E.tag_companies(texts, table, few=1000).collect())) == want
+    assert sorted(map(tuple, E.tag_companies(texts, table).collect())) == want  # broadcast index
+    assert sorted(map(tuple, E.tag_companies(texts, table, max_broadcast=0).collect())) == want
+    assert E.tag_companies(texts, table.limit(0)).count() == 0
+    plan = E.tag_companies(texts, table)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_parse_responses_statuses(spark):
