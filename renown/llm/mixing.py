@@ -20,7 +20,9 @@ pass, block and place gives the permutation.
 Cases: tokens are white-space separated words; null and empty texts have no
 tokens, and rows without tokens come once with every pass; a null source is a
 source of its own; repeated rows (equal doc_id and text) are separate rows that
-share a place and are drawn together; extra columns pass through; sources without any token get weight 0; an empty table
+share a place and are drawn together; extra columns of any name and
+type pass through, but for those named like an added column (in either case),
+which the added one replaces; sources without any token get weight 0; an empty table
 gives an empty result.
 """
 
@@ -31,7 +33,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from renown.llm.common import written
+from renown.llm.common import names, quoted, written
 
 BLOCK_DOCS = 4096
 MAX_REPEATS = 1.25
@@ -111,9 +113,13 @@ def _first_reaching(sums: DataFrame, order: str) -> DataFrame:
     return begun.groupBy("source").agg(F.max(F.struct(order, "quota")).alias("end")).select("source", f"end.{order}", "end.quota")
 
 
+ADDED = ("n_tokens", "pass", "block", "place", "weight")
+
+
 def mix(docs: DataFrame, budget: float = BUDGET, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, seed: int = 0) -> DataFrame:
     """The drawn rows: every input column plus n_tokens, pass (from 0), block
-    (its order in the pass), place (the order in the block) and weight."""
+    (its order in the pass), place (the order in the block) and weight; an
+    input column of one of these names is replaced."""
     spark = docs.sparkSession
     slim = written(counted(docs))
     plan = source_weights(slim, budget, max_repeats, target_entropy)
@@ -133,10 +139,12 @@ def mix(docs: DataFrame, budget: float = BUDGET, max_repeats: float | None = MAX
         whole = [(p, None) for p in range(quota // t if t else 1)]
         passes.append((source, max(1, -(-n // BLOCK_DOCS)), float(weight), whole + ([((quota // t), stop[source])] if source in stop else [])))
     dim = spark.createDataFrame(passes, "_source string, _blocks long, weight double, _passes array<struct<pass:long, stop:struct<block:long, place:long, key:long>>>")
-    columns = [c for c in docs.columns if c not in ("n_tokens", "pass", "block", "place", "weight")]
-    drawn = (docs.select(*columns, token_count().alias("n_tokens"), document_key().alias("_key"))
-             .join(F.broadcast(dim), F.col("source").cast("string").eqNullSafe(F.col("_source")))
-             .withColumn("_p", F.explode("_passes"))
-             .withColumn("_at", places(F.col("_key"), F.col("_p.pass"), F.col("_blocks"), seed)))
-    return (drawn.filter(F.col("_p.stop").isNull() | (F.col("_at") <= F.col("_p.stop")))
-            .select(*columns, "n_tokens", F.col("_p.pass").alias("pass"), F.col("_at.block").alias("block"), F.col("_at.place").alias("place"), "weight"))
+    columns = quoted(c for c in docs.columns if c.lower() not in ADDED)
+    key, source, p, at, n, w, blocks, todo = (names(docs, x)[0] for x in ("key", "source", "p", "at", "n", "w", "blocks", "todo"))
+    drawn = (docs.select(*columns, token_count().alias(n), document_key().alias(key))
+             .join(F.broadcast(dim.toDF(source, blocks, w, todo)), F.col("source").cast("string").eqNullSafe(F.col(source)))
+             .withColumn(p, F.explode(todo))
+             .withColumn(at, places(F.col(key), F.col(p)["pass"], F.col(blocks), seed)))
+    return (drawn.filter(F.col(p)["stop"].isNull() | (F.col(at) <= F.col(p)["stop"]))
+            .select(*columns, F.col(n).alias("n_tokens"), F.col(p)["pass"].alias("pass"), F.col(at)["block"].alias("block"),
+                    F.col(at)["place"].alias("place"), F.col(w).alias("weight")))

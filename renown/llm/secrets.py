@@ -10,13 +10,17 @@ spans still costs at least 10 ** ``MIN_GUESSES`` guesses.  The segmentation
 is a dynamic program over the whole value, so its cost is the minimum over
 all segmentations; a value's time is linear in its length.
 
-Dictionary words are a short list of password words and the words of the
-corpus, ranked by the number of rows that hold them (``word_ranks``: counted
-over all texts, values in a credential context left out, so no secret becomes
-its own dictionary word).  So prose after a credential word ("the password is
-required.") is no secret.  About ``MAX_WORDS`` words, at most, of up to
-``MAX_LETTERS`` letters are sent to the tasks (under 10 MB as UTF-8); a word
-in fewer than ``MIN_ROWS`` rows stays unknown and costs brute force.
+Dictionary words are a short list of password words and, of the letter runs
+of values in a credential context (their parts of 3 to ``MAX_LETTERS`` letters
+and whole runs of any length), those that the corpus uses as words.  All of them
+are counted over all texts, none is capped: a word that stands in n of the N rows
+of the table has rank ceil(N / n), what Zipf's law gives for its frequency, so a
+table loaded k times over ranks alike.  An occurrence counts where another word
+stands beside it (one space, or comma and space, between); values in a
+credential context, and passwords that stand alone, make no dictionary word.
+So prose after a credential word ("the password is required.") is no secret.
+Ranks reach their rows by joins on the row key; only rows with such words are
+shuffled, and nothing per word or row goes to the driver.
 
 Cases: null text is empty and has no spans; equal rows are scanned alike;
 any text length is handled in one row; extra columns are ignored; empty
@@ -32,8 +36,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from renown.llm.common import keep_share, written
+from renown.llm.common import MARK_CLASSES, marked_rows, names, quoted, row_keys, scratch, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a maximal run, so shorter ones fail as a whole
@@ -46,9 +51,11 @@ CONTEXT_HINTS = (*ASSIGN_HINTS, "passphrase", "passcode", "pwd", "key", "credent
 MIN_GUESSES = 9.0
 KINDS = ("assign", "access", "hex", "guess")
 BATCH = 256
-MAX_WORDS = 100_000
 MIN_LETTERS, MAX_LETTERS = 3, 24
-MIN_ROWS = 3
+LETTERS = re.compile(r"[^\W\d_]+")
+# a word beside another word; possessive, so a long run of letters is passed once
+BESIDE = r"(?<!\p{L})(?:(?<=\p{L},? )\p{L}++|\p{L}++(?=,? \p{L}))"
+FLUSH = 1 << 16  # candidate words a batch
 
 # fixed values: common password words (by rank) and keyboard rows
 WORDS = """password welcome login admin master dragon monkey letmein secret shadow sunshine princess football baseball
@@ -114,11 +121,12 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
             run[i] = run[i + 1] + 1 if low[i] == low[i + unit] else 0
     best = [0.0] + [math.inf] * n
     segment = math.log10(2)  # guesses to know where the next segment starts
+    runs_over = {m.start(): m.end() for m in LETTERS.finditer(low) if m.end() - m.start() > longest}
     for i in range(n):
         here = best[i]
         best[i + 1] = min(best[i + 1], here + _alphabet(value[i]))
         here += segment
-        for j in range(i + 3, min(n, i + longest) + 1):
+        for j in (*range(i + MIN_LETTERS, min(n, i + longest) + 1), *((runs_over[i],) if i in runs_over else ())):
             rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
                 cost = math.log10(rank) + (0 if value[i:j] == low[i:j] else math.log10(4)) + (0 if low[i:j] in ranks else math.log10(4))
@@ -138,29 +146,86 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
     return best[n]
 
 
-def word_ranks(docs: DataFrame) -> dict[str, int]:
-    """Rank of the most frequent words by rows that hold them, and of WORDS."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    low = F.lower(text)
-    hinted = F.lit(False)
+def candidate_words(value: str):
+    """The parts of a value that a dictionary word could cover, as ``guess_cost`` looks them up."""
+    low = value.lower()
+    for form in {low, low.translate(LEET)}:
+        for run in LETTERS.findall(form):
+            for i in range(len(run) - MIN_LETTERS + 1):
+                yield from (run[i:j] for j in range(i + MIN_LETTERS, min(len(run), i + MAX_LETTERS) + 1))
+            if len(run) > MAX_LETTERS:
+                yield run
+
+
+def _hinted(text):
+    low, out = F.lower(text), F.lit(False)
     for hint in CONTEXT_HINTS:
-        hinted = hinted | low.contains(hint)
-    # values in a credential context are not counted
-    rest = F.lower(F.when(hinted, F.regexp_replace(text, "(?i)" + CONTEXT.pattern, " ")).otherwise(text))
-    found = docs.select(F.explode(F.array_distinct(F.split(rest, r"[^\p{L}]+"))).alias("word"))
-    counts = found.filter(F.length("word").between(MIN_LETTERS, MAX_LETTERS)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    counts = written(counts.filter(F.col("n") >= MIN_ROWS).withColumn("class", F.floor(F.log2("n") * 64)))
-    # from the most frequent class down while there is room; of the last one a share by hash
-    room, least, share = MAX_WORDS, None, F.lit(True)
-    for row in sorted(counts.groupBy("class").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["class"]):
-        least, share = row["class"], keep_share("word", row["words"], room)
-        room -= row["words"]
-        if room <= 0:
-            break
-    if least is None:
-        return dict(RANK)
-    top = counts.filter((F.col("class") > least) | ((F.col("class") == least) & share)).select("word", "n").collect()
-    ranks = {w: i + 1 for i, (w, n) in enumerate(sorted(top, key=lambda r: (-r["n"], r["word"])))}
+        out = out | low.contains(hint)
+    return out
+
+
+def _candidates(docs: DataFrame, min_guesses: float) -> DataFrame:
+    """(k1, k2, word) of every value in a credential context that is a secret
+    unless the corpus knows its words; rows may repeat."""
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for k1, k2, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+                keys = k1.as_py(), k2.as_py()
+                for value in {m[1] for m in CONTEXT.finditer(text.as_py())}:
+                    if guess_cost(value) < min_guesses:
+                        continue
+                    for word in candidate_words(value):
+                        rows.append((*keys, word))
+                        if len(rows) == FLUSH:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["k1", "k2", "word"])
+                            rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["k1", "k2", "word"])
+
+    k1, k2 = row_keys(docs)
+    text = F.col("text").cast("string")
+    return docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("text")).filter(_hinted(F.col("text"))).mapInArrow(run, "k1 long, k2 long, word string")
+
+
+def word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, n): rows in which a word of ``words`` (one column, distinct)
+    stands beside another word, outside of values in a credential context."""
+    text = F.col("text").cast("string")
+    rest = F.lower(F.when(_hinted(text), F.regexp_replace(text, "(?i)" + CONTEXT.pattern, "\n")).otherwise(text))
+    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(BESIDE), F.lit(0)))).alias("word"))
+    of = F.pmod(F.xxhash64("word"), F.lit(MARK_CLASSES)).alias("class")  # at most 2**20 classes are broadcast
+    slim = found.withColumn("class", of).join(F.broadcast(words.select(of).distinct()), "class", "left_semi")
+    return slim.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(words, "word", "left_semi")
+
+
+def word_ranks(docs: DataFrame, min_guesses: float = MIN_GUESSES) -> DataFrame:
+    """(k1, k2, ranks): of every row whose credential values hold words of the
+    corpus, its two row keys and the ranks of these words (a map)."""
+    with scratch(docs.sparkSession) as keep:
+        found = written(_candidates(docs, min_guesses).distinct())
+        counts = word_counts(docs, found.select("word").distinct())
+        rows = docs.count()
+        ranked = found.join(counts, "word").groupBy("k1", "k2").agg(
+            F.map_from_entries(F.collect_list(F.struct("word", F.ceil(F.lit(rows) / F.col("n")).cast("long")))).alias("ranks"))
+        return keep(written(ranked))
+
+
+def _with_ranks(docs: DataFrame, min_guesses: float) -> DataFrame:
+    """The columns of ``docs`` and, last, the ranks of the words in the row's credential values (null: none)."""
+    k1, k2, ranks = (names(docs, p)[0] for p in ("k1", "k2", "ranks"))
+    known = word_ranks(docs, min_guesses).toDF(k1, k2, ranks)
+    first, second = row_keys(docs)
+    marked, rest = marked_rows(docs.withColumns({k1: first, k2: second}), known, k1, k2)
+    columns = quoted(docs.columns)
+    return marked.join(known, [k1, k2], "left").select(*columns, ranks).union(rest.select(*columns, F.lit(None).cast("map<string,bigint>").alias(ranks)))
+
+
+def _merged(ranks) -> dict[str, int] | None:
+    """Ranks of a row's words with those of ``WORDS``, the lower one each."""
+    if not ranks:
+        return None
+    ranks = dict(ranks)
     return ranks | {w: min(i, ranks.get(w, i)) for w, i in RANK.items()}
 
 
@@ -198,32 +263,34 @@ def redacted(text: str | None, mark: str = "[SECRET]", min_guesses: float = MIN_
 def secret_spans(docs: DataFrame, min_guesses: float = MIN_GUESSES) -> DataFrame:
     """Per input row: doc_id and spans, an array of (start, end, kind)."""
     schema = "doc_id long, spans array<struct<start:long, end:long, kind:string>>"
-    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH):
                 part = batch.slice(lo, BATCH)
-                found = [[{"start": s, "end": e, "kind": k} for s, e, k in find_spans(t.as_py(), min_guesses, ranks.value)] for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, kind)], ["doc_id", "spans"])
+                found = [[{"start": s, "end": e, "kind": k} for s, e, k in find_spans(t.as_py(), min_guesses, _merged(r.as_py()))]
+                         for t, r in zip(part.column(1), part.column(2), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _with_ranks(slim, min_guesses).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", min_guesses: float = MIN_GUESSES) -> DataFrame:
     """The documents with their secrets replaced; other columns unchanged."""
-    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
+    at, last = docs.columns.index("text"), len(docs.columns)
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(docs.schema)])  # names with dots fail in mapInArrow
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             for lo in range(0, batch.num_rows, BATCH):
                 part = batch.slice(lo, BATCH)
-                clean = pa.array([redacted(t.as_py(), mark, min_guesses, ranks.value) for t in part.column(at)], pa.string())
-                yield part.set_column(at, part.schema.field(at), clean)
+                clean = pa.array([redacted(t.as_py(), mark, min_guesses, _merged(r.as_py()))
+                                  for t, r in zip(part.column(at), part.column(last), strict=True)], pa.string())
+                yield part.set_column(at, part.schema.field(at), clean).select(range(last))
 
-    return docs.mapInArrow(run, docs.schema)
+    return _with_ranks(docs, min_guesses).toDF(*plain.names, "ranks").mapInArrow(run, plain).toDF(*docs.columns)
 
 
 def span_digest(spans: DataFrame) -> DataFrame:

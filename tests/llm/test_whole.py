@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-from renown.llm import decontaminate, jaccard_join, secrets
+from renown.llm import decontaminate, jaccard_join, mixing, secrets
 from tests.llm import brute
 
 DOCS = "doc_id long, text string"
@@ -72,16 +72,50 @@ def test_prose_after_a_credential_word_is_no_secret(spark):
     assert spans == {i: int(t in keys) for i, t in rows}
     got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, DOCS)).collect()}
     assert all((got[i] == t) == (t not in keys) for i, t in rows)
-    assert "kjhqzvxwpltr" not in secrets.word_ranks(spark.createDataFrame(rows, DOCS))
-    assert secrets.word_ranks(spark.createDataFrame([(1, None)], DOCS)) == secrets.RANK
-
-
-def test_word_ranks_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(secrets, "MAX_WORDS", 50)
-    texts = ["".join(chr(97 + (i // 26**k) % 26) * 2 for k in range(3)) for i in range(400)]
-    rows = [(j, " ".join(texts[:400 if j < 5 else 20])) for j in range(9)]
-    ranks = secrets.word_ranks(spark.createDataFrame(rows, DOCS))
-    assert all(ranks[w] <= 20 for w in texts[:20]) and 30 <= len(ranks.keys() - secrets.RANK.keys()) <= 70
+    known = secrets.word_ranks(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(known) == len(clean) and {w: n for r in known for w, n in r.ranks.items() if len(w) > 7} == {
+        "required": 4, "generated": 4, "unavailable": 4, "expected": 8}  # 16 rows, beside a word in 4, 4, 4 and 2
+    assert secrets.word_ranks(spark.createDataFrame([(1, None)], DOCS)).count() == 0
+
+
+def test_spans_do_not_depend_on_the_size_of_the_table(spark):
+    """The same row in one row, among bare copies of its value, and in tables
+    loaded once or many times; every word is counted, however many there are."""
+    def spans(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+        return {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in secrets.secret_spans(df).collect()}
+
+    row = "password is zebrafishing"
+    want = spans([row])[0]
+    assert want == [(12, 24, "guess")]
+    assert spans([row] + ["zebrafishing"] * 3)[0] == want and spans([row] * 1000)[999] == want
+    assert spans([row] + [f"filler text number {i}" for i in range(999)])[0] == want
+    prose = [row, "we went zebrafishing together", "nothing else"]
+    assert spans(prose)[0] == [] and spans(prose * 100)[0] == []
+    letters = ["".join(chr(97 + (i // 26**k) % 26) * 3 for k in range(4)) for i in range(500)]
+    assert not any(v for v in spans([f"the secret is {w}" for w in letters] + [f"some {w} here" for w in letters]).values())
+
+
+def test_redaction_keeps_any_column_and_long_words(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    rows = [(1, f"Das Passwort is {long}.", {"k": 1}, "x", 2.0), (2, f"die {long} und mehr", None, None, None), (None, None, {}, "", 0.0), (3, "", None, "y", 1.0),
+            (4, "password is " + "qzjxkv" * 30 + "w" + "xkqjz" * 2000, None, "z", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, ranks string, `a.b` double")
+    got = secrets.redact(df)
+    assert got.schema == df.schema
+    assert sorted((str(r[0]), r[3], r[4]) for r in got.collect()) == sorted((str(r[0]), r[3], r[4]) for r in rows)
+    texts = {r[0]: r[1] for r in got.collect()}
+    assert texts[1] == rows[0][1] and texts[2] == rows[1][1] and texts[None] is None and texts[3] == "" and texts[4] == "password is [SECRET]"
+
+
+def test_mixing_keeps_columns_named_like_its_own(spark):
+    rows = [(i, "a b c", f"s{i % 2}", f"key{i}", i, {"k": i}, "dot", f"pass{i}", 1.5) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _key string, _p int, m map<string,int>, `a.b` string, `PASS` string, weight double")
+    got = mixing.mix(df)
+    assert got.columns == [*df.columns[:7], "n_tokens", "pass", "block", "place", "weight"]
+    want = {r[0]: r[:7] for r in rows}
+    seen = got.collect()
+    assert seen and all(tuple(r)[:7] == want[r[0]] for r in seen) and all(r.n_tokens == 3 and r["pass"] in (0, 1) for r in seen)
 
 
 def test_rows_without_a_unique_id(spark):
