@@ -518,16 +518,17 @@ def capped_threads_10(spark, sf):
 
 
 def _tiered(spark, sf):
-    m = _m(spark, sf)
-    return m.withColumn("tier", (F.col("seq") * 7 % 3).cast("int"))
+    """Mentions of two companies in three tiers: groups over every platform's cap."""
+    company = F.concat(F.lit("Group "), (F.floor(F.col("seq") / 8) % 2).cast("string"))
+    return _m(spark, sf).withColumns({"tier": (F.col("seq") * 7 % 3).cast("int"), "company": company})
 
 
 @query
 def source_cascade(spark, sf):
     m = _tiered(spark, sf)
     web = CP.cascade_first_nonempty(m.where(F.col("source_platform") == "web"), keys=("company",))
-    news = CP.cascade_fill(m.where(F.col("source_platform") == "news"), lx.PLATFORM_CAPS["news"] // 4)
-    emp = CP.cascade_fill(m.where(F.col("source_platform") == "glassdoor"), lx.PLATFORM_CAPS["glassdoor"] // 8)
+    news = CP.cascade_fill(m.where(F.col("source_platform") == "news"), lx.PLATFORM_CAPS["news"])
+    emp = CP.cascade_fill(m.where(F.col("source_platform") == "glassdoor"), lx.PLATFORM_CAPS["glassdoor"])
     cols = ["company", "source_platform", "seq", "tier"]
     return web.select(*cols).unionByName(news.select(*cols)).unionByName(emp.select(*cols))
 

@@ -700,7 +700,7 @@ ORACLE["capped_threads"] = with_views(_threads_sql(lx.FORUM_SOFT_CAP), "forum_co
 ORACLE["capped_threads_10"] = with_views(_threads_sql(10), "forum_comments_fx", extra=[THREADS])
 
 
-@oracle("source_cascade", "mentions_fx", extra=[("tm", "SELECT company, source_platform, seq, CAST((seq * 7) % 3 AS INTEGER) AS tier FROM mentions_fx")])
+@oracle("source_cascade", "mentions_fx", extra=[("tm", "SELECT 'Group ' || CAST((seq // 8) % 2 AS VARCHAR) AS company, source_platform, seq, CAST((seq * 7) % 3 AS INTEGER) AS tier FROM mentions_fx")])
 def _():
     t = "CAST((seq * 7) % 3 AS INTEGER)"
     return f"""
@@ -708,10 +708,10 @@ def _():
       AND tier = (SELECT min(tier) FROM tm t2 WHERE t2.company = tm.company AND t2.source_platform = 'web')
     UNION ALL
     SELECT company, source_platform, seq, tier FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY tier, seq) AS r FROM tm
-      WHERE source_platform = 'news') WHERE r <= {lx.PLATFORM_CAPS['news'] // 4}
+      WHERE source_platform = 'news') WHERE r <= {lx.PLATFORM_CAPS['news']}
     UNION ALL
     SELECT company, source_platform, seq, tier FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY tier, seq) AS r FROM tm
-      WHERE source_platform = 'glassdoor') WHERE r <= {lx.PLATFORM_CAPS['glassdoor'] // 8}"""
+      WHERE source_platform = 'glassdoor') WHERE r <= {lx.PLATFORM_CAPS['glassdoor']}"""
 
 
 # ----------------------------------------------------------------- snapshots
