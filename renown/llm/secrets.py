@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from renown.llm.common import MARK_CLASSES, marked_rows, names, quoted, row_keys, scratch, written
+from renown.llm.common import marked_rows, names, quoted, row_keys, scratch, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a maximal run, so shorter ones fail as a whole
@@ -56,6 +56,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 # a word beside another word; possessive, so a long run of letters is passed once
 BESIDE = r"(?<!\p{L})(?:(?<=\p{L},? )\p{L}++|\p{L}++(?=,? \p{L}))"
 FLUSH = 1 << 16  # candidate words a batch
+WORD_CLASSES = 1 << 22  # classes of words, the bound of what is broadcast of them (64 MB)
 
 # fixed values: common password words (by rank) and keyboard rows
 WORDS = """password welcome login admin master dragon monkey letmein secret shadow sunshine princess football baseball
@@ -146,6 +147,20 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
     return best[n]
 
 
+class _EveryWord:
+    """Ranks under which every run of letters is the likeliest word there is:
+    the cost under them is a lower bound for any corpus."""
+
+    def get(self, word: str) -> int | None:
+        return 1 if word.isalpha() else None
+
+    def __contains__(self, word: str) -> bool:
+        return word.isalpha()
+
+
+EVERY_WORD = _EveryWord()
+
+
 def candidate_words(value: str):
     """The parts of a value that a dictionary word could cover, as ``guess_cost`` looks them up."""
     low = value.lower()
@@ -165,15 +180,16 @@ def _hinted(text):
 
 
 def _candidates(docs: DataFrame, min_guesses: float) -> DataFrame:
-    """(k1, k2, word) of every value in a credential context that is a secret
-    unless the corpus knows its words; rows may repeat."""
+    """(k1, k2, word) of every value in a credential context whose words decide:
+    a secret without the corpus, and none if all its letter runs were the most
+    frequent words.  Rows may repeat."""
     def run(batches):
         for batch in batches:
             rows = []
             for k1, k2, text in zip(*(batch.column(i) for i in range(3)), strict=True):
                 keys = k1.as_py(), k2.as_py()
                 for value in {m[1] for m in CONTEXT.finditer(text.as_py())}:
-                    if guess_cost(value) < min_guesses:
+                    if guess_cost(value) < min_guesses or guess_cost(value, EVERY_WORD) >= min_guesses:
                         continue
                     for word in candidate_words(value):
                         rows.append((*keys, word))
@@ -194,7 +210,7 @@ def word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     rest = F.lower(F.when(_hinted(text), F.regexp_replace(text, "(?i)" + CONTEXT.pattern, "\n")).otherwise(text))
     found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(BESIDE), F.lit(0)))).alias("word"))
-    of = F.pmod(F.xxhash64("word"), F.lit(MARK_CLASSES)).alias("class")  # at most 2**20 classes are broadcast
+    of = F.pmod(F.xxhash64("word"), F.lit(WORD_CLASSES)).alias("class")
     slim = found.withColumn("class", of).join(F.broadcast(words.select(of).distinct()), "class", "left_semi")
     return slim.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(words, "word", "left_semi")
 

@@ -96,6 +96,15 @@ def test_spans_do_not_depend_on_the_size_of_the_table(spark):
     assert not any(v for v in spans([f"the secret is {w}" for w in letters] + [f"some {w} here" for w in letters]).values())
 
 
+def test_words_decide_only_between_the_bounds():
+    rng = random.Random(12)
+    for _ in range(300):
+        value = "".join(rng.choice("abcdeXY07$-") for _ in range(rng.randrange(6, 30)))
+        words = set(secrets.candidate_words(value))
+        ranks = secrets.RANK | {w: rng.randrange(1, 2000) for w in words if rng.random() < 0.4}
+        assert secrets.guess_cost(value, secrets.EVERY_WORD) <= secrets.guess_cost(value, ranks) + 1e-9
+
+
 def test_redaction_keeps_any_column_and_long_words(spark):
     long = "donaudampfschifffahrtsgesellschaft"
     rows = [(1, f"Das Passwort is {long}.", {"k": 1}, "x", 2.0), (2, f"die {long} und mehr", None, None, None), (None, None, {}, "", 0.0), (3, "", None, "y", 1.0),
