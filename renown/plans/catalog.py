@@ -19,7 +19,7 @@ from renown.operators import report as RP
 from renown.operators import sections as S
 from renown.operators import summarize as SM
 from renown.operators import tagging as TG
-from renown.plans.strategy import any_of
+from renown.plans.strategy import any_of, cut_lineage
 from renown.plans import fixtures as fx
 
 QUERIES: dict = {}
@@ -485,6 +485,27 @@ def dedup_semantic(spark, sf):
     return D.dedup_semantic(fx.vectors_fx(spark, sf), SEMANTIC_T).select("company", "seq")
 
 
+from renown.operators import similarity as SIM  # noqa: E402
+
+
+@query
+def text_vectors(spark, sf):
+    """Entries of the text vectors that are not zero."""
+    v = SIM.text_vectors(fx.documents_one_company(spark, sf))
+    return v.select("company", "seq", F.posexplode("embedding").alias("dim", "value")).where(F.col("value") != 0)
+
+
+@query
+def near_dup_candidates(spark, sf):
+    v = cut_lineage(SIM.text_vectors(fx.documents_one_company(spark, sf)))
+    return SIM.near_dup_candidates(v).withColumn("sim", F.round("sim", 6))
+
+
+@query
+def dedup_text(spark, sf):
+    return SIM.dedup_text(fx.documents_one_company(spark, sf))
+
+
 # ---------------------------------------------------------------------- caps
 
 from renown.operators import caps as CP  # noqa: E402

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from renown.functions import lexicons as lx
+from renown.operators import similarity as SIM
 from renown.plans import fixtures as fx
 from renown.plans.catalog import AS_OF_RECENT, SITE_POOL
 from renown.plans.oracle_fixtures import arr, company_name, py_strip, q, with_views
@@ -670,6 +671,79 @@ ORACLE["dedup_semantic"] = with_views(GREEDY, "vectors_fx", extra=[
 SELECT 'all' AS company, unnest(kept)""", 1)
 
 
+# near duplicates from the texts: vectors, banded signatures, survivors
+_SLOT = " UNION ALL ".join(
+    f"SELECT company, seq, strpos('0123456789abcdef', substr(h, {2 * i + 1}, 1)) * 16 - 16 + strpos('0123456789abcdef', substr(h, {2 * i + 2}, 1)) - 1 AS dim, "
+    f"CASE WHEN strpos('0123456789abcdef', substr(h, {2 * SIM.SLOTS + 1 + i}, 1)) <= 8 THEN v ELSE -v END AS v FROM weighed_fx"
+    for i in range(SIM.SLOTS))
+TEXT_CELLS = [
+    ("words_fx", r"""SELECT company, seq, word, count(*) AS tf FROM (
+  SELECT company, seq, unnest(regexp_extract_all(translate(coalesce(raw_text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x20\x09-\x0D]+')) AS word FROM docs_one_fx) GROUP BY ALL"""),
+    ("weighed_fx", f"""SELECT company, seq, md5(word) AS h,
+    tf * CAST(floor({SIM.IDF_SCALE} * ln((SELECT count(*) FROM docs_one_fx) / CAST(df AS DOUBLE) + 1.0)) AS BIGINT) AS v
+    FROM words_fx JOIN (SELECT word, count(*) AS df FROM words_fx GROUP BY word) USING (word)"""),
+    ("cells_fx", f"SELECT company, seq, CAST(dim AS INTEGER) AS dim, CAST(sum(v) AS BIGINT) AS value FROM ({_SLOT}) GROUP BY ALL HAVING sum(v) <> 0"),
+]
+_P = 2147483647
+_T = lx.NEAR_DUP_THRESHOLD
+SIGNED = [
+    ("vec_fx", f"""SELECT company, seq, list(coalesce(value, 0) ORDER BY d.dim) AS e, max(abs(value)) AS top, sqrt(sum(CAST(value AS DOUBLE) * value)) AS nrm
+    FROM (SELECT DISTINCT company, seq FROM cells_fx) CROSS JOIN (SELECT unnest(range({SIM.DIMS})) AS dim) d
+    LEFT JOIN cells_fx c USING (company, seq, dim) GROUP BY company, seq"""),
+    ("first_fx", "SELECT *, min(seq) OVER (PARTITION BY company, e) AS a FROM vec_fx"),
+    ("reps_fx", "SELECT company, seq, e, nrm, top FROM first_fx WHERE seq = a"),
+    ("q_fx", f"SELECT acos({_T}) / pi() AS q, greatest({SIM.MIN_BITS}, CAST(ceil(log2((SELECT count(*) FROM reps_fx) / {SIM.BUCKET_ROWS}.0)) AS BIGINT)) AS bits"),
+    ("bands_fx", f"SELECT q, bits, CAST(ceil(ln(1 - {SIM.RECALL}) / ln(1 - pow(1 - q, bits))) AS BIGINT) AS bands FROM q_fx"),
+    ("plan_fx", f"""SELECT *, CAST(floor(sketch * (q + {SIM.SKETCH_SIGMAS} * sqrt(q * (1 - q) / sketch))) AS BIGINT) AS far
+    FROM (SELECT *, least({SIM.SKETCH_BITS}, bits * bands) AS sketch FROM bands_fx)"""),
+    ("signs_fx", f"""SELECT plane, dim, ((x * x % {_P}) // 65536 % 2) * 2 - 1 AS sign FROM (
+    SELECT plane, dim, y * y % {_P} * 48271 % {_P} AS x FROM (
+      SELECT plane, dim, (plane * 1000003 + dim * 7919 + 17) % {_P} AS y
+      FROM (SELECT unnest(range(bits * bands)) AS plane FROM plan_fx) CROSS JOIN (SELECT unnest(range({SIM.DIMS})) AS dim)))"""),
+    ("steps_fx", f"""SELECT company, seq, dim, CAST(floor(CAST(value AS DOUBLE) / top * {SIM.STEPS}) AS BIGINT) AS value
+    FROM cells_fx JOIN reps_fx USING (company, seq)"""),
+    ("on_fx", "SELECT company, seq, plane, sum(value * sign) >= 0 AS bit FROM steps_fx JOIN signs_fx USING (dim) GROUP BY ALL"),
+    ("keys_fx", """SELECT company, seq, plane // bits AS band, CAST(sum(CASE WHEN bit THEN 1 << CAST(plane % bits AS INTEGER) ELSE 0 END) AS BIGINT) AS key
+    FROM on_fx, plan_fx GROUP BY ALL"""),
+    ("met_fx", "SELECT DISTINCT x.company, x.seq AS a, y.seq AS b FROM keys_fx x JOIN keys_fx y USING (company, band, key) WHERE x.seq < y.seq"),
+    ("sketch_fx", "SELECT company, seq, list(bit ORDER BY plane) AS bits FROM on_fx WHERE plane < (SELECT sketch FROM plan_fx) GROUP BY ALL"),
+    ("near_fx", """SELECT m.company, a, b FROM met_fx m JOIN sketch_fx x ON x.company = m.company AND x.seq = a
+    JOIN sketch_fx y ON y.company = m.company AND y.seq = b
+    WHERE len(list_filter(list_zip(x.bits, y.bits), lambda z: z[1] <> z[2])) <= (SELECT far FROM plan_fx)"""),
+    ("edges_fx", f"""SELECT * FROM (SELECT n.company, a, b, list_dot_product(CAST(x.e AS DOUBLE[]), CAST(y.e AS DOUBLE[])) / (x.nrm * y.nrm) AS sim
+    FROM near_fx n JOIN reps_fx x ON x.company = n.company AND x.seq = a JOIN reps_fx y ON y.company = n.company AND y.seq = b) WHERE sim > {_T}"""),
+]
+
+
+@oracle("text_vectors", "docs_one_fx", extra=TEXT_CELLS)
+def _():
+    return "SELECT company, seq, dim, value FROM cells_fx"
+
+
+@oracle("near_dup_candidates", "docs_one_fx", extra=TEXT_CELLS + SIGNED)
+def _():
+    return ("SELECT company, a, b, 'link' AS kind, round(sim, 6) AS sim FROM edges_fx UNION ALL "
+            "SELECT company, a, seq, 'copy', 1.0 FROM first_fx WHERE seq <> a")
+
+
+ORACLE["dedup_text"] = with_views(
+    """, g(rn, kept) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT n.rn, CASE WHEN (SELECT count(*) FROM edge_list e WHERE e.b = n.seq AND list_contains(g.kept, e.a)) > 0
+                    THEN g.kept ELSE list_append(g.kept, n.seq) END
+  FROM g JOIN nodes_fx n ON n.rn = g.rn + 1)
+SELECT company, seq FROM docs_one_fx WHERE seq NOT IN (SELECT seq FROM vec_fx)
+   OR seq IN (SELECT unnest(kept) FROM g WHERE rn = (SELECT max(rn) FROM nodes_fx))""",
+    "docs_one_fx", extra=TEXT_CELLS + SIGNED + [
+        ("nodes_fx", "SELECT seq, row_number() OVER (ORDER BY seq) AS rn FROM reps_fx"),
+        ("edge_list", "SELECT a, b FROM edges_fx")]).replace("WITH ", "WITH RECURSIVE ", 1)
+for _k in ("near_dup_candidates", "dedup_text"):
+    for _v in ("weighed_fx", "cells_fx", "vec_fx", "first_fx", "plan_fx", "on_fx", "keys_fx", "near_fx", "nodes_fx", "edge_list"):
+        ORACLE[_k] = ORACLE[_k].replace(f"{_v} AS (", f"{_v} AS MATERIALIZED (", 1)
+
+
 # ---------------------------------------------------------------------- caps
 
 @oracle("capped_mentions", "mentions_fx")
