@@ -7,6 +7,8 @@ compared order-insensitively with the SQL oracles in ``renown.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from renown.operators import summarize as SM
 from renown.operators import tagging as TG
 from renown.plans.strategy import any_of, cut_lineage
 from renown.plans import fixtures as fx
+from renown.session import ensure_checkpoint_dir
 
 QUERIES: dict = {}
 AS_OF_RECENT = "2026-06-30 00:00:00"
@@ -609,6 +612,70 @@ def usage_totals(spark, sf):
     return SN.usage_totals(fx.usage_fx(spark, sf))
 
 
+from renown.operators import store as ST  # noqa: E402
+
+REPORT_JSON = "tokens long, kinds long"
+
+
+def _in_store(spark, run) -> DataFrame:
+    """Result of ``run(root)`` on a store of its own in the shared folder,
+    which goes once the result is checkpointed."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    try:
+        return cut_lineage(run(root))
+    finally:
+        ST.Folders(spark, root).remove()
+
+
+@query
+def snapshot_store(spark, sf):
+    """Two batches are written, one is replayed, the store is compacted, a
+    third batch and a replay of the first follow; fresh rows are read."""
+    s = fx.snapshots_fx(spark, sf)
+    part = F.pmod(F.col("seq"), F.lit(3))
+
+    def run(root):
+        for i in (0, 1, 0):
+            ST.write_batch(s.where(part == i), root, f"b{i}")
+        ST.compact(spark, root)
+        for i in (2, 0):
+            ST.write_batch(s.where(part == i), root, f"b{i}")
+        return ST.fresh_store(spark, root, fx.AS_OF)
+    return _in_store(spark, run)
+
+
+@query
+def cached_reports(spark, sf):
+    """Per user and model a report snapshot is written; the newest of a
+    user, whatever the model, is read back while it is fresh."""
+    u = fx.usage_fx(spark, sf)
+    per = u.groupBy("company", "model").agg(F.sum("tokens_used").alias("tokens"), F.count_distinct("provider").alias("kinds"),
+                                            F.max("run_at").alias("cached_at"))
+    rows = per.select(F.upper("company").alias("company"), F.col("model").alias("source"), "cached_at",
+                      F.to_json(F.struct("tokens", "kinds")).alias("payload"), F.col("tokens").alias("seq"))
+
+    def run(root):
+        ST.write_batch(rows, root, "reports")
+        ST.compact(spark, root)
+        r = ST.read_reports(spark, root, fx.AS_OF, REPORT_JSON)
+        return r.select("company", "model_used", "report.tokens", "report.kinds")
+    return _in_store(spark, run)
+
+
+@query
+def usage_ledger(spark, sf):
+    """Runs (one a day) are recorded in two jobs, the first is replayed."""
+    u = fx.usage_fx(spark, sf).withColumn("run_id", F.date_format("run_at", "yyyyMMdd"))
+    early = F.col("run_at") < F.to_timestamp(F.lit(SPLIT_TS))
+
+    def run(root):
+        ST.record_usage(u.where(early), root)
+        ST.record_usage(u.where(~early), root)
+        ST.record_usage(u.where(early), root)
+        return ST.recorded_totals(spark, root)
+    return _in_store(spark, run)
+
+
 # ------------------------------------------------------------------- sources
 
 from renown.sources import forum as FO  # noqa: E402

@@ -845,6 +845,18 @@ def _():
             "CAST(coalesce(sum(calls_made), 0) AS BIGINT) FROM usage_fx")
 
 
+ORACLE["usage_ledger"] = ORACLE["usage_totals"]
+ORACLE["snapshot_store"] = ORACLE["snapshot_fresh"].replace("FROM snapshots_fx)", "FROM snapshots_fx WHERE coalesce(payload, '') NOT IN ('', '[]'))")
+
+
+@oracle("cached_reports", "usage_fx")
+def _():
+    return f"""SELECT company, model AS model_used, tokens, kinds FROM (
+      SELECT *, row_number() OVER (PARTITION BY company ORDER BY cached_at DESC, tokens DESC) AS r FROM (
+        SELECT lower(company) AS company, model, CAST(sum(tokens_used) AS BIGINT) AS tokens, count(DISTINCT provider) AS kinds, max(run_at) AS cached_at
+        FROM usage_fx GROUP BY ALL)) WHERE r = 1 AND {AGE} <= {lx.SNAPSHOT_TTL_SECONDS}"""
+
+
 # ------------------------------------------------------------------- sources
 
 from renown.plans.catalog import AS_OF_FORUM  # noqa: E402
