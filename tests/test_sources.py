@@ -122,3 +122,17 @@ def test_csv_sink_and_header(spark):
     X.write_csv(df, os.path.join(d, "out"))
     back = spark.read.option("header", True).csv(os.path.join(d, "out")).first()
     assert back["Themes"] == "a; b" and back["Raw Text (truncated)"] == "text, with comma" and back["Confidence"] == "0.5"
+
+
+def test_elements_leave_the_worker_in_small_batches():
+    import pyarrow as pa
+
+    from renown.sources import html as HT
+
+    page = "<div>" + "<p>some text</p>" * 300 + "</div>"
+    pages = pa.RecordBatch.from_arrays([pa.array([1, 2, None, 4, 5, 6, 7, 8, 9, 10], pa.int64()), pa.array([page] * 9 + [None])], ["page_id", "html"])
+    out = list(HT._elements_fn(None)(iter([pages, pages])))
+    assert max(b.num_rows for b in out) <= HT.PIECE_ROWS == 1024
+    assert sum(b.num_rows for b in out) == 18 * 301
+    long = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["<p>" + "x" * HT.PIECE_CHARS + "</p>"] * 2)], ["page_id", "html"])
+    assert [b.num_rows for b in HT._elements_fn(None)(iter([long]))] == [1, 1]
