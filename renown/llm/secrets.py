@@ -56,7 +56,6 @@ LETTERS = re.compile(r"[^\W\d_]+")
 # a word beside another word; possessive, so a long run of letters is passed once
 BESIDE = r"(?<!\p{L})(?:(?<=\p{L},? )\p{L}++|\p{L}++(?=,? \p{L}))"
 FLUSH = 1 << 16  # candidate words a batch
-WORD_CLASSES = 1 << 22  # classes of words, the bound of what is broadcast of them (64 MB)
 
 # fixed values: common password words (by rank) and keyboard rows
 WORDS = """password welcome login admin master dragon monkey letmein secret shadow sunshine princess football baseball
@@ -210,9 +209,8 @@ def word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     rest = F.lower(F.when(_hinted(text), F.regexp_replace(text, "(?i)" + CONTEXT.pattern, "\n")).otherwise(text))
     found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(BESIDE), F.lit(0)))).alias("word"))
-    of = F.pmod(F.xxhash64("word"), F.lit(WORD_CLASSES)).alias("class")
-    slim = found.withColumn("class", of).join(F.broadcast(words.select(of).distinct()), "class", "left_semi")
-    return slim.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(words, "word", "left_semi")
+    # counted before the join: a task shuffles each of its words once, and the join makes a row a word
+    return found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(words, "word", "left_semi")
 
 
 def word_ranks(docs: DataFrame, min_guesses: float = MIN_GUESSES) -> DataFrame:
