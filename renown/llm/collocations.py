@@ -77,10 +77,11 @@ def piece_slices(batch):
             at = end
 
 
-def slice_phrases(b: np.ndarray, off: np.ndarray, lang: np.ndarray, longest: int = LONGEST):
+def slice_phrases(b: np.ndarray, off: np.ndarray, lang: np.ndarray, longest: int = LONGEST, within=None):
     """(keys, whole, start, end, row): for n = 1 .. longest the key of the phrase
     from every word on and whether it lies within a piece; byte range and
-    row of every word.  ``lang`` is a hash a row."""
+    row of every word.  ``lang`` is a hash a row.  With ``within``, a bitmap of
+    keys, (keys, places, ...): only those of phrases in it all whose parts are in it too."""
     word = WORD[b]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -101,6 +102,23 @@ def slice_phrases(b: np.ndarray, off: np.ndarray, lang: np.ndarray, longest: int
     row = np.searchsorted(off, start, "right") - 1
     own = lang[row]
     keys, whole, n = [], [], len(start)
+    if within is not None:
+        starts, inside = np.arange(n), None
+        for k in range(1, longest + 1):
+            if k > 1:  # both parts of a phrase are known ones
+                starts = starts[inside[starts + 1]]
+                starts = starts[piece[starts] == piece[starts + k - 1]]
+            acc = own[starts] + np.uint64(k * int(LENGTH_SEED) % 2**64)
+            for j in range(k):
+                acc = acc + h[starts + j] * WORD_MULT[j]
+            key = (mix(acc) & ~SIZE_BITS) | np.uint64(k - 1)
+            known = _member(key, within)
+            starts = starts[known]
+            keys.append(key[known])
+            whole.append(starts)
+            inside = np.zeros(n + 1, bool)
+            inside[starts] = True
+        return keys, whole, start, start + lens, row
     for k in range(1, longest + 1):
         m = max(0, n - k + 1)
         acc = own[:m] + np.uint64(k * int(LENGTH_SEED) % 2**64)
@@ -228,17 +246,14 @@ def phrase_counts(docs: DataFrame, keys: DataFrame) -> DataFrame:
         for batch in batches:
             lang, names = _hashed_lang(batch), batch.column("lang").to_pylist()
             for lo, b, off in piece_slices(batch):
-                found = slice_phrases(b, off, lang[lo:])
+                found = slice_phrases(b, off, lang[lo:], within=sent.value)
                 if found is None:
                     continue
-                keys_n, whole, start, end, row = found
-                for r, c in zip(*np.unique(row, return_counts=True), strict=True):
-                    totals[names[lo + r]] = totals.get(names[lo + r], 0) + int(c)
-                all_keys, place = [], []
-                for n, (k, t) in enumerate(zip(keys_n, whole, strict=True)):
-                    w = np.flatnonzero(t & _member(k, sent.value))
-                    all_keys.append(k[w])
-                    place.append(w + n * len(start))
+                all_keys, places, start, end, row = found
+                for r, c in enumerate(np.bincount(row).tolist()):
+                    if c:
+                        totals[names[lo + r]] = totals.get(names[lo + r], 0) + c
+                place = [w + n * len(start) for n, w in enumerate(places)]
                 key, at, count = np.unique(np.concatenate(all_keys), return_index=True, return_counts=True)
                 where = np.concatenate(place)[at]
                 held.append(((key, count, np.full(len(key), len(held), np.int32), where), (b.tobytes(), start.astype(np.int32), end.astype(np.int32), row.astype(np.int32), names[lo:lo + len(off) - 1])))

@@ -280,3 +280,32 @@ def test_pieces_of_any_size_and_bad_templates():
 
 def test_chat_empty(spark):
     assert chat_format.digests(chat_format.format_conversations(turns(spark, []))).collect() == []
+
+
+def test_phrase_keys_within_a_bitmap_are_those_of_the_whole_list():
+    text = b"a b c a b d. a b c e a b c"
+    b, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    lang = np.zeros(1, np.uint64)
+    keys, whole, start, *_ = collocations.slice_phrases(b, off, lang)
+    for take in ([0, 1, 2], [0, 1, 2, 5, 6, 7, 8]):  # words and the phrases that start there
+        bitmap = np.zeros(1 << 12, np.uint8)
+        for k, t in zip(keys, whole, strict=True):
+            for key in k[[w for w in take if w < len(k) and t[w]]]:
+                at = int(key) & (8 * len(bitmap) - 1)
+                bitmap[at >> 3] |= 1 << (at & 7)
+        known = [t & collocations._member(k, bitmap) for k, t in zip(keys, whole, strict=True)]
+        for n in range(1, len(known)):  # both parts known as well
+            known[n] &= known[n - 1][:len(known[n])] & known[n - 1][1:len(known[n]) + 1]
+        got, places, *_ = collocations.slice_phrases(b, off, lang, within=bitmap)
+        for n in range(4):
+            assert places[n].tolist() == np.flatnonzero(known[n]).tolist()
+            assert got[n].tolist() == keys[n][places[n]].tolist()
+
+
+def test_secret_words_are_counted_before_they_meet_the_candidates(spark):
+    docs = spark.createDataFrame([(i, "common words stand here, common words") for i in range(50)], "doc_id long, text string")
+    words = spark.createDataFrame([("common",), ("absent",)], "word string")
+    counts = secrets.word_counts(docs, words)
+    assert [tuple(r) for r in counts.collect()] == [("common", 50)]
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi") < plan.index("Aggregate [word")  # the join makes a row a word, not one an occurrence
