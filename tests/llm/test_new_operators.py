@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from renown.llm import chat_format, collocations, whitening
+from renown.llm import chat_format, collocations, secrets, whitening
 from renown.llm.chat_format import CHAT, Template
 
 # ---------------------------------------------------------------- whitening
