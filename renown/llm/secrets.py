@@ -32,13 +32,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from renown.llm.common import marked_rows, names, quoted, row_keys, scratch, written
+from renown.llm.common import in_filter, key_filter, marked_rows, names, quoted, row_keys, scratch, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a maximal run, so shorter ones fail as a whole
@@ -56,7 +57,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 # a word beside another word; possessive, so a long run of letters is passed once
 BESIDE = r"(?<!\p{L})(?:(?<=\p{L},? )\p{L}++|\p{L}++(?=,? \p{L}))"
 FLUSH = 1 << 16  # candidate words a batch
-WORD_CLASSES = 1 << 22  # classes of words, the bound of what is broadcast of them (64 MB)
+SPARSE = 32  # times the usual bits of a key filter: 1,024 a word, up to its bound
 
 # fixed values: common password words (by rank) and keyboard rows
 WORDS = """password welcome login admin master dragon monkey letmein secret shadow sunshine princess football baseball
@@ -206,13 +207,36 @@ def _candidates(docs: DataFrame, min_guesses: float) -> DataFrame:
 
 def word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
     """(word, n): rows in which a word of ``words`` (one column, distinct)
-    stands beside another word, outside of values in a credential context."""
+    stands beside another word, outside of values in a credential context.
+    Words are told by a bitmap of their hashes and counted where the texts lie:
+    a task makes a row a word it has, not one an occurrence.  The last join drops
+    what the bitmap lets through beside the words."""
     text = F.col("text").cast("string")
     rest = F.lower(F.when(_hinted(text), F.regexp_replace(text, "(?i)" + CONTEXT.pattern, "\n")).otherwise(text))
-    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(BESIDE), F.lit(0)))).alias("word"))
-    of = F.pmod(F.xxhash64("word"), F.lit(WORD_CLASSES)).alias("class")
-    slim = found.withColumn("class", of).join(F.broadcast(words.select(of).distinct()), "class", "left_semi")
-    return slim.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(words, "word", "left_semi")
+    found = docs.select(F.array_distinct(F.regexp_extract_all(rest, F.lit(BESIDE), F.lit(0))).alias("words"))
+    bitmap, bits = key_filter(words.select(F.xxhash64("word").alias("key")), "key", SPARSE * words.count(), lambda col, bits: col.bitwiseAND(bits - 1))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        held: Counter[str] = Counter()
+
+        def emit():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            keys = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            known = batch.column(0).flatten().filter(pa.array(in_filter(sent.value, keys & (bits - 1))))
+            for lo in range(0, len(known), FLUSH):
+                for pair in known.slice(lo, FLUSH).value_counts().to_pylist():
+                    held[pair["values"]] += pair["counts"]
+                if len(held) >= FLUSH:
+                    yield emit()
+                    held.clear()
+        if held:
+            yield emit()
+
+    rows = found.select("words", F.transform("words", lambda w: F.xxhash64(w)).alias("keys")).mapInArrow(run, "word string, n long")
+    return rows.groupBy("word").agg(F.sum("n").alias("n")).join(words, "word", "left_semi")
 
 
 def word_ranks(docs: DataFrame, min_guesses: float = MIN_GUESSES) -> DataFrame:

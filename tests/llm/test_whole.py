@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 from renown.llm import decontaminate, jaccard_join, mixing, secrets
 from tests.llm import brute
 
@@ -105,6 +107,23 @@ def test_words_decide_only_between_the_bounds():
         assert secrets.guess_cost(value, secrets.EVERY_WORD) <= secrets.guess_cost(value, ranks) + 1e-9
 
 
+def test_words_are_counted_where_the_texts_lie(spark, monkeypatch):
+    """A task makes a row a wanted word, however many rows hold it; false positives of the bitmap count nothing."""
+    texts = ["was Required, required and expected.", "Das über alles, nothing expected", "required", "the password is expected too", None, ""] * 100
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
+    made, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda *a, **k: made.append(plain(*a, **k)) or made[-1])
+    words = spark.createDataFrame([("required",), ("expected",), ("über",), ("absent",)], "word string")
+    want = {"required": 100, "expected": 200, "über": 100}
+    assert dict(map(tuple, secrets.word_counts(docs, words).collect())) == want
+    rows = [tuple(r) for r in made[0].collect()]
+    assert len(rows) <= 3 * 3 and sum(n for _, n in rows) == 400
+    monkeypatch.setattr(secrets, "FLUSH", 2)
+    monkeypatch.setattr(secrets, "key_filter", lambda *a: (np.full(4096, 255, np.uint8), 32768))
+    assert dict(map(tuple, secrets.word_counts(docs, words).collect())) == want
+    assert secrets.word_counts(docs, words.limit(0)).collect() == []
+
+
 def test_redaction_keeps_any_column_and_long_words(spark):
     long = "donaudampfschifffahrtsgesellschaft"
     rows = [(1, f"Das Passwort is {long}.", {"k": 1}, "x", 2.0), (2, f"die {long} und mehr", None, None, None), (None, None, {}, "", 0.0), (3, "", None, "y", 1.0),
