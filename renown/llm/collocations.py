@@ -12,15 +12,21 @@ All counts are per language.
 3. A frequent phrase that was not proposed is a border failure: the phrases it
    makes possible are counted by another full pass, and so on until no pass
    finds a failure.  A frequent phrase has frequent parts, so none is missed.
-4. One more pass counts the frequent phrases as text, exactly.  Scores, cuts and
-   the absorption by longer phrases are DataFrame code on that table.
+4. One more pass reads the frequent phrases as text.  Every document has one of
+   ``TAGS`` tags, and the counting passes keep for each phrase a tag of a document
+   that holds it; only documents of that tag name the phrase, so its rows do not
+   grow with the tasks.  Scores, cuts and the absorption by longer phrases are
+   DataFrame code on that table.
 
 Passes 1 to 3 work on hashed phrase keys, summed per task before the shuffle
 (a very common phrase is one row a slice).  Which phrases a pass counts is
 decided by a membership bitmap of at most 16 MB: its false positives make a
-pass count more, never less, so the closure holds whatever its size.  Counts
-of step 4 are by text; two phrases of one slice with an equal key would be
-taken for one (62 bits beside the number of words, about 1e-7 for a million phrases).
+pass count more, never less, so the closure holds whatever its size; a phrase is
+let through at all its places or at none, so one pass counts it whole.  Counts
+are by key (62 bits beside the number of words) and a check of 16 more bits; two
+phrases of one slice with an equal key would be taken for one (about 1e-7 for a
+million phrases).  Step 4 has three such bitmaps, and what they let through
+beside the frequent phrases meets no count.
 
 Cases: null and empty texts and texts without words have no phrases; a null
 language is ``und``, like the language of that name; repeated rows count as
@@ -48,7 +54,10 @@ SCALE = 2_000_000
 SIZE_BITS = np.uint64(3)  # of a key hold the number of words less one
 SAMPLE_SHARE = 8  # one of so many documents
 HELD_KEYS = 2_000_000  # keys summed together in a task
-HELD_BYTES = 1 << 25  # text whose phrases are written out together
+HELD_PHRASES = 1 << 16  # phrases of a task written out together
+TAGS = 1 << 8  # of documents
+TAG_MULT = (0x9E3779B1, 0x85EBCA6B)
+CHECK_MULT = WORD_MULT[LONGEST:]
 
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -129,9 +138,23 @@ def slice_phrases(b: np.ndarray, off: np.ndarray, lang: np.ndarray, longest: int
     return keys, whole, start, start + lens, row
 
 
+def phrase_checks(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """16 bits of the phrases of ``size`` words that start at ``starts``, apart
+    from their keys; ``words`` are the keys of all words.  A word needs none."""
+    acc = np.zeros(len(starts), np.uint64)
+    for j in range(size if size > 1 else 0):
+        acc += words[starts + j] * CHECK_MULT[j]
+    return (acc >> np.uint64(48)).astype(np.uint32)
+
+
+def _own(docs: DataFrame):
+    return [F.col(c).cast("string") for c in ("doc_id", "text") if c in docs.columns]
+
+
 def _plain(docs: DataFrame) -> DataFrame:
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    return docs.select(lang.alias("lang"), F.xxhash64(lang).alias("lh"), F.col("text").cast("string").alias("text"))
+    tag = F.pmod(F.xxhash64(F.lit("tag"), *_own(docs)), F.lit(TAGS)).cast("int")
+    return docs.select(lang.alias("lang"), F.xxhash64(lang).alias("lh"), tag.alias("tag"), F.col("text").cast("string").alias("text"))
 
 
 def _hashed_lang(batch):
@@ -154,22 +177,27 @@ def _border(keys, whole, bitmap):
 
 def _counted(filters):
     """Phrases counted by a pass: all (sample), or those let through by the
-    last filter and by none of the earlier ones; words by the first."""
+    last filter and by none of the earlier ones; words by the first.  ``info`` is
+    a phrase's check and, in its last 8 bits, the tag of a document that holds it."""
     def run(batches):
         maps = None if filters is None else [f.value for f in filters]
         held, size = [], 0
 
         def emit():
-            key, count = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["key", "c"])
+            key, info = (np.concatenate(part) for part in zip(*held, strict=True))
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            count = np.diff(np.append(first, len(key)))
+            return pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(info[order[first]].astype(np.int32)), pa.array(count)], ["key", "info", "c"])
 
         for batch in batches:
-            lang = _hashed_lang(batch)
+            lang, tags = _hashed_lang(batch), batch.column("tag").to_numpy().astype(np.uint32)
             for lo, b, off in piece_slices(batch):
                 found = slice_phrases(b, off, lang[lo:], LONGEST - 1 if maps is None else LONGEST)
                 if found is None:
                     continue
-                keys, whole = found[:2]
+                keys, whole, _, _, row = found
                 if maps is None:
                     take = whole
                 else:
@@ -177,27 +205,30 @@ def _counted(filters):
                     for earlier in maps[:-1]:
                         later = [x & ~y for x, y in zip(later, _border(keys, whole, earlier), strict=True)]
                     take = [whole[0] if len(maps) == 1 else np.zeros(len(keys[0]), bool), *later]
-                for k, t in zip(keys, take, strict=True):
-                    held.append(k[t])
-                    size += len(held[-1])
+                own = tags[lo + row]
+                for n, (k, t) in enumerate(zip(keys, take, strict=True)):
+                    starts = np.flatnonzero(t)
+                    held.append((k[starts], phrase_checks(keys[0], starts, n + 1) * np.uint32(TAGS) + own[starts]))
+                    size += len(starts)
                 if size >= HELD_KEYS:
                     yield emit()
                     held, size = [], 0
-        if held:
+        if size:
             yield emit()
     return run
 
 
 def _counts(docs: DataFrame, filters, least: int) -> DataFrame:
-    rows = _plain(docs).select("lh", "text").mapInArrow(_counted(filters), "key long, c long")
-    return rows.groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("key")
+    rows = _plain(docs).select("lh", "tag", "text").mapInArrow(_counted(filters), "key long, info int, c long")
+    return (rows.groupBy("key", F.expr(f"info div {TAGS}").cast("int").alias("chk")).agg(F.sum("c").alias("c"), F.min(F.expr(f"info % {TAGS}")).alias("tag"))
+            .filter(F.col("c") >= least))
 
 
 def frequent_keys(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """Keys of all frequent phrases of 1 to 4 words, by Toivonen's passes."""
+    """(key, chk, c, tag) of all frequent phrases of 1 to 4 words, by Toivonen's
+    passes: key, check, count and the tag of documents that hold the phrase."""
     spark = docs.sparkSession
-    own = F.xxhash64(*[F.col(c).cast("string") for c in ("doc_id", "text") if c in docs.columns])
-    sample = docs.filter(F.pmod(own, F.lit(SAMPLE_SHARE)) == 0)
+    sample = docs.filter(F.pmod(F.xxhash64(*_own(docs)), F.lit(SAMPLE_SHARE)) == 0)
     # half the count expected of a phrase at the support, so that few are missed
     proposed = written(_counts(sample, None, max(2, support // (2 * SAMPLE_SHARE))))
     found, filters = None, []
@@ -213,7 +244,7 @@ def frequent_keys(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array(~_member(batch.column("key").to_numpy().view(np.uint64), sent.value)))
 
-        shorter = found.filter(F.col("key").bitwiseAND(int(SIZE_BITS)) < LONGEST - 1)
+        shorter = found.select("key").filter(F.col("key").bitwiseAND(int(SIZE_BITS)) < LONGEST - 1)
         if shorter.mapInArrow(failures, "key long").isEmpty():
             return found
         # all known frequent phrases; counted ones are told by the earlier filters
@@ -221,54 +252,60 @@ def frequent_keys(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
 
 
 def phrase_counts(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(lang, size, phrase, c) of the phrases with these keys, by text; size 0
-    holds the number of words of a language."""
-    bitmap, _ = key_filter(keys, "key", keys.count(), key_position)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    """(lang, size, phrase, c) of the phrases of ``frequent_keys``; size 0 holds
+    the number of words of a language.  A phrase is named by the documents of its tag."""
+    n_keys, tag = keys.count(), F.col("tag").cast("long")
+    owned = keys.select("key", F.col("key").bitwiseXOR(tag * TAG_MULT[0]).alias("first"),
+                        F.shiftrightunsigned("key", 32).bitwiseXOR(tag * TAG_MULT[1]).alias("second"))
+    sent = docs.sparkSession.sparkContext.broadcast([key_filter(owned, c, n_keys, key_position)[0] for c in owned.columns])
 
     def run(batches):
-        held, size, totals = [], 0, {}
+        held, totals = {}, {}
+        known, first, second = sent.value
 
-        def emit():
-            key, count, slot, at = (np.concatenate([h[0][j] for h in held]) for j in range(4))
-            key, first, back = np.unique(key, return_index=True, return_inverse=True)
-            total = np.bincount(back, weights=count, minlength=len(key)).astype(np.int64)
-            langs, sizes, phrases = [], [], []
-            for s, a in zip(slot[first].tolist(), at[first].tolist(), strict=True):
-                b, start, end, row, own = held[s][1]
-                n, w = divmod(a, len(start))
-                langs.append(own[row[w]])
-                sizes.append(n + 1)
-                phrases.append(b" ".join(b[start[w]:end[w + n]].split()))
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(total)],
-                                              ["lang", "size", "phrase", "c"])
+        def emit(keys, checks, langs, sizes, phrases, counts):
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(checks, pa.int32()), pa.array(langs, pa.string()), pa.array(sizes, pa.int32()),
+                                               pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["key", "chk", "lang", "size", "phrase", "c"])
+
+        def named():
+            return emit(list(held), *zip(*held.values(), strict=True), [None] * len(held))
 
         for batch in batches:
             lang, names = _hashed_lang(batch), batch.column("lang").to_pylist()
+            tags = batch.column("tag").to_numpy().astype(np.uint64)
             for lo, b, off in piece_slices(batch):
-                found = slice_phrases(b, off, lang[lo:], within=sent.value)
+                found = slice_phrases(b, off, lang[lo:], within=known)
                 if found is None:
                     continue
                 all_keys, places, start, end, row = found
                 for r, c in enumerate(np.bincount(row).tolist()):
                     if c:
                         totals[names[lo + r]] = totals.get(names[lo + r], 0) + c
-                place = [w + n * len(start) for n, w in enumerate(places)]
-                key, at, count = np.unique(np.concatenate(all_keys), return_index=True, return_counts=True)
-                where = np.concatenate(place)[at]
-                held.append(((key, count, np.full(len(key), len(held), np.int32), where), (b.tobytes(), start.astype(np.int32), end.astype(np.int32), row.astype(np.int32), names[lo:lo + len(off) - 1])))
-                size += len(b)
-                if size >= HELD_BYTES:
-                    yield emit()
-                    held, size = [], 0
+                words, own, text = np.zeros(len(start), np.uint64), tags[lo + row], b.tobytes()
+                words[places[0]] = all_keys[0]
+                for n, (key, at) in enumerate(zip(all_keys, places, strict=True)):
+                    for shift, mult, bitmap in ((0, TAG_MULT[0], first), (32, TAG_MULT[1], second)):
+                        mine = _member((key >> np.uint64(shift)) ^ (own[at] * np.uint64(mult)), bitmap)
+                        key, at = key[mine], at[mine]
+                    key, once = np.unique(key, return_index=True)
+                    at = at[once]
+                    checks = phrase_checks(words, at, n + 1).tolist()
+                    for k, check, w in zip(key.view(np.int64).tolist(), checks, at.tolist(), strict=True):
+                        if k not in held:
+                            held[k] = check, names[lo + row[w]], n + 1, b" ".join(text[start[w]:end[w + n]].split())
+                if len(held) >= HELD_PHRASES:
+                    yield named()
+                    held = {}
         if held:
-            yield emit()
+            yield named()
         if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([0] * len(totals), pa.int32()), pa.array([""] * len(totals)),
-                                              pa.array(list(totals.values()), pa.int64())], ["lang", "size", "phrase", "c"])
+            none = [None] * len(totals)
+            yield emit(none, none, list(totals), [0] * len(totals), [b""] * len(totals), list(totals.values()))
 
-    rows = _plain(docs).mapInArrow(run, "lang string, size int, phrase string, c long")
-    return rows.groupBy("lang", "size", "phrase").agg(F.sum("c").alias("c"))
+    rows = _plain(docs).mapInArrow(run, "key long, chk int, lang string, size int, phrase string, c long")
+    rows = rows.groupBy("key", "chk", "lang", "size", "phrase").agg(F.sum("c").alias("words"))
+    return (rows.join(keys.select("key", "chk", "c"), ["key", "chk"], "left").select("lang", "size", "phrase", F.coalesce("words", "c").alias("c"))
+            .filter(F.col("c").isNotNull()))
 
 
 def _words(first: int, last) -> str:

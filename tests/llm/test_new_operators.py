@@ -157,6 +157,32 @@ def test_every_frequent_phrase_is_found_whatever_the_sample(spark, monkeypatch):
     assert sorted(tuple(r) for r in collocations.collocations(df, 6).collect()) == want
 
 
+def test_a_frequent_phrase_is_named_by_few_tasks(spark, monkeypatch):
+    """The last pass makes about a row a phrase, not one a phrase and task; counts are those of the passes."""
+    rng = random.Random(9)
+    docs = [("en", " ".join(rng.choice("abcdefgh") for _ in range(60))) for _ in range(400)]
+    df = frame(spark, docs).repartition(16).cache()
+    made, plain = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda *a, **k: made.append(plain(*a, **k)) or made[-1])
+    keys = collocations.frequent_keys(df, 30)
+    got = {(r.lang, tuple(r.phrase.split())): r.c for r in collocations.phrase_counts(df, keys).collect() if r.c >= 30}
+    counts, totals = plain_counts(docs)
+    assert got == {k: c for k, c in counts.items() if c >= 30} | {("en", ()): totals["en"]}
+    (named,) = [m for m in made if "phrase" in m.columns]
+    assert named.filter("size > 0").count() < 4 * (len(got) - 1)
+    assert keys.count() == keys.select("key").distinct().count() == len(got) - 1
+
+
+def test_checks_tell_phrases_apart():
+    words = np.random.default_rng(3).integers(0, 2**63, 2000, dtype=np.uint64)
+    starts = np.arange(1990)
+    for size in (2, 3, 4):
+        checks = collocations.phrase_checks(words, starts, size)
+        assert checks.max() < 1 << 16 and len(np.unique(checks)) > 1900
+        again = collocations.phrase_checks(np.concatenate([words[5:], words[:5]]), starts[:-5], size)
+        assert again.tolist() == checks[5:].tolist()
+
+
 def test_collocations_long_text_and_empty(spark, monkeypatch):
     import renown.llm.hashing as hashing
     rng = random.Random(4)
