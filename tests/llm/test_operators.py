@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,38 @@ def test_embedding_join_in_blocks(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.near_links(df).collect()} == want
 
 
+def test_embedding_join_sends_small_frames(monkeypatch):
+    # 3,000 evenly spread rows and 60 pivots: about 90,000 replicas, which one frame would hold
+    monkeypatch.setattr(embedding_join, "ENTRIES", 4096)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 64))
+    pivots, r = {64: embedding_join.far_apart(embedding_join.unit(x), 60)}, 0.32
+    rows = pd.DataFrame({"size": 64, "node": range(3000), "copies": 1, "vector": list(x)})
+    radii = pd.concat(embedding_join._radii(pivots)(iter([rows]))).groupby(["size", "cell"])["near"].max().to_dict()
+    frames = list(embedding_join._sent(pivots, r, radii)(iter([rows])))
+    sent = pd.concat(frames)
+    assert max(map(len, frames)) * 64 <= 4096
+    assert len(sent) > 20 * 3000 and not sent.duplicated(["node", "cell"]).any() and sent["home"].sum() == 3000
+    counted = pd.concat(embedding_join._counted(pivots, r, radii)(iter([rows])))
+    assert counted["members"].sum() == len(sent) and counted["own"].sum() == 3000
+
+
+def test_embedding_join_takes_fewer_cells_where_pivots_exclude_little(spark, monkeypatch):
+    monkeypatch.setattr(embedding_join, "CELL_ROWS", 10)
+    monkeypatch.setattr(embedding_join, "BLOCK", 100)
+    used, blocks, sent = [], embedding_join.block_rows, embedding_join._sent
+    monkeypatch.setattr(embedding_join, "_sent", lambda pivots, r, radius: used.append(pivots) or sent(pivots, r, radius))
+    rng = np.random.default_rng(12)
+    even = [list(map(float, v)) for v in rng.normal(size=(300, 64))]
+    even += [[x + 0.01 for x in v] for v in even[:40]]
+    far = np.eye(34)
+    groups = [list(map(float, far[i % 34] + 0.01 * rng.normal(size=34))) for i in range(340)]
+    df = spark.createDataFrame(list(enumerate(even + groups)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.near_links(df).collect()}
+    assert got == brute.near(list(enumerate(even + groups)))
+    assert len(used) == 1 and {size: len(p) for size, p in used[0].items()} == {64: 4, 34: 34} and blocks(1 << 20) == 2
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="with-sidebar"><header><h1>Site</h1></header>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><div id="cookie-notice">We use cookies, really.</div><script>var t="</p>";</script>
 <div class="content"><article><h1>Title&amp;</h1><div class="ad">Buy now, cheap.</div><p><b>First  para&nbsp;one, with words.<br><p>Second
